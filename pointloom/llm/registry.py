@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from pointloom.llm.balltree import OP9_SQL, op9_top_k
 from pointloom.llm.fingerprints import op1_fingerprints
+from pointloom.llm.langid import op2_language_id
+from pointloom.llm.licenses import op10_license_scan
+from pointloom.llm.mixing import OP8_SQL, op8_source_mixing
 from pointloom.llm.packing import op4_bit_packing
+from pointloom.llm.pieces import op6_sentencepiece
+from pointloom.llm.quality import op5_quality_mil
+from pointloom.llm.simhash import op7_simhash
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_language_id": op2_language_id,
     "op4_bit_packing": op4_bit_packing,
+    "op5_quality_mil": op5_quality_mil,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_simhash": op7_simhash,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_top_k": op9_top_k,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": OP8_SQL, "op9_top_k": OP9_SQL}
