@@ -24,7 +24,7 @@ Defined results
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,16 +35,33 @@ from pyspark.sql import functions as F
 
 from pointloom.llm import common
 
-#: Code points of training text for each language, of one document at most, and languages at most.
-SAMPLE_CHARS, DOCUMENT_CHARS, LANGUAGES = 24_000, 1_500, 400
-#: Characters told apart: the most frequent of all samples; the others count as unknown.
+#: Code points of training text for each language and of one document, at most; languages at most; and
+#: code points of all languages together.
+SAMPLE_CHARS, DOCUMENT_CHARS, LANGUAGES, ALL_CHARS = 24_000, 800, 400, 400_000
+#: Letters told apart: the most frequent of all samples; the others count as unknown.
 ALPHABET = 120
-_letter = re.compile(r"[^\W\d_]").search
+#: Code points below this are looked up one by one for being letters; those above count as letters.
+LOOKED_UP = 0x3000
 
 
-def normalised(text: str) -> str:
-    """Lower case, runs of white space as one blank."""
-    return " ".join(text.lower().split())
+def letters_of(texts: list[str], symbols: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the texts' letters, one text after the other, and how many each text has.
+
+    Lower case; each run of signs that are no letters counts as one blank. Signs and digits are no
+    evidence of a language, and junk made of them would join texts of one kind across languages.
+    """
+    lowered = [t.lower() for t in texts]
+    sizes = np.array([len(t) for t in lowered], dtype=np.int64)
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = symbols[np.minimum(points, len(symbols) - 1)]
+    gap = codes == blank
+    kept = ~gap
+    kept[1:] |= ~gap[:-1]  # the first blank of a run
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    kept[starts] = ~gap[starts]  # none before a text's first letter, and none carried over from the text before
+    before = np.concatenate([[0], np.cumsum(kept)])
+    ends = np.cumsum(sizes)
+    return codes[kept], before[ends] - before[ends - sizes]
 
 
 @dataclass
@@ -53,6 +70,7 @@ class Model:
 
     languages: list[str]
     symbols: np.ndarray  # code point -> column; the last entry stands for all higher code points
+    blank: int  # column of signs that are no letters; the one after it is for unknown letters
     table: np.ndarray  # state * width + column -> next state * width, or its complement if a phrase ended
     roots: np.ndarray
     sizes: np.ndarray
@@ -113,6 +131,7 @@ def sample(docs: DataFrame, chars: int = SAMPLE_CHARS, per_document: int = DOCUM
     sizes = sizes.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return {}
+    chars = min(chars, ALL_CHARS // len(sizes))
     rates = {r["lang"]: min(1.0, 2.0 * chars / max(1, r["chars"])) for r in sizes}
     rate = F.element_at(F.create_map(*(F.lit(x) for pair in rates.items() for x in pair)), F.col("lang"))
     draw = (F.xxhash64(F.col("doc_id"), F.col("text")).bitwiseAND((1 << 52) - 1) / float(1 << 52)).alias("draw")
@@ -120,46 +139,47 @@ def sample(docs: DataFrame, chars: int = SAMPLE_CHARS, per_document: int = DOCUM
     found: dict[str, list[tuple]] = {}
     for r in drawn.collect():
         found.setdefault(r["lang"], []).append((r["draw"], r["text"]))
-    out = {}
+    lines: dict[str, list[str]] = {}
     for lang, rows in found.items():
         texts = dict.fromkeys(t for _, t in sorted(rows))  # a text once, in order of the draw
-        out[lang] = normalised(" ".join(texts))[:chars]
-    return out
+        lines[lang] = list(dict.fromkeys(line.strip() for t in texts for line in t.lower().splitlines()))
+    homes = Counter(line for own in lines.values() for line in own)
+    # a line met in two languages (notices, boilerplate) tells none of them
+    return {lang: "\n".join(x for x in own if homes[x] == 1)[:chars] for lang, own in lines.items()}
 
 
 def train(texts: dict[str, str], alphabet: int = ALPHABET) -> Model:
     """Automata of each language's sample, over one alphabet."""
     languages = sorted(texts)
-    points = np.concatenate([np.frombuffer(texts[x].encode("utf-32-le"), np.uint32) for x in languages] or [np.empty(0, np.uint32)])
-    values, counts = np.unique(points, return_counts=True)
+    points = np.frombuffer("".join(texts.values()).lower().encode("utf-32-le"), np.uint32)
+    values, counts = np.unique(points[[chr(p).isalpha() for p in points.tolist()]] if len(points) else points, return_counts=True)
     chosen = np.sort(values[np.argsort(-counts, kind="stable")[:alphabet]])
-    width = len(chosen) + 1  # the last column: a character outside the alphabet
-    symbols = np.full(int(chosen.max() if len(chosen) else 0) + 2, width - 1, dtype=np.int32)
+    blank, unknown = len(chosen), len(chosen) + 1
+    width = unknown + 1
+    symbols = np.full(max(LOOKED_UP, int(chosen.max(initial=0)) + 1) + 1, unknown, dtype=np.uint8)
+    symbols[[p for p in range(LOOKED_UP) if not chr(p).isalpha()]] = blank
     symbols[chosen] = np.arange(len(chosen))
     tables, roots, sizes, base = [], [], [], 0
     for lang in languages:
-        codes = symbols[np.minimum(np.frombuffer(texts[lang].encode("utf-32-le"), np.uint32), len(symbols) - 1)]
-        step = suffix_automaton([c for c in codes.tolist() if c != width - 1])
+        codes, _ = letters_of([texts[lang]], symbols, blank)
+        step = suffix_automaton([c for c in codes.tolist() if c != unknown])
         table = completed(step, width)
         tables.append(np.where(table < 0, ~((~table + base) * width), (table + base) * width).astype(np.int32))
         roots.append(base * width)
         sizes.append(max(2, len(codes)))
         base += len(table)
-    return Model(languages, symbols, np.concatenate([t.reshape(-1) for t in tables]) if tables else np.empty(0, np.int32), np.array(roots, np.int32), np.array(sizes))
+    return Model(languages, symbols, blank, np.concatenate([t.reshape(-1) for t in tables]) if tables else np.empty(0, np.int32), np.array(roots, np.int32), np.array(sizes))
 
 
-def phrases(texts: list[str], model: Model) -> np.ndarray:
-    """Phrases that each text takes in each language; texts are normalised before."""
-    n = np.array([len(t) for t in texts], dtype=np.int64)
-    count = np.zeros((len(texts), len(model.languages)), dtype=np.int32)
-    if not len(texts) or not n.max():
+def phrases(codes: np.ndarray, n: np.ndarray, model: Model) -> np.ndarray:
+    """Phrases that each text takes in each language. ``codes``: letters of all texts, ``n``: of each."""
+    count = np.zeros((len(n), len(model.languages)), dtype=np.int32)
+    if not len(codes):
         return count
     order = np.argsort(-n, kind="stable")
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = model.symbols[np.minimum(points, len(model.symbols) - 1)]
     place = (np.cumsum(n) - n)[order]
-    alive = len(texts) - np.searchsorted(np.sort(n), np.arange(n.max()), side="right")  # texts longer than t
-    state = np.tile(model.roots, (len(texts), 1))
+    alive = len(n) - np.searchsorted(np.sort(n), np.arange(n.max()), side="right")  # texts longer than t
+    state = np.tile(model.roots, (len(n), 1))
     ended, table = np.zeros_like(state), model.table
     for m in alive.tolist():
         s = state[:m]
@@ -191,21 +211,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shipped.value
         for texts in batches:
-            out = []
-            values = [normalised(t) if t and _letter(t) else "" for t in texts]
-            for first, last in common.slices(np.array([len(v) for v in values]), 6_000_000):
+            out = [pd.DataFrame({"lang_pred": np.empty(0, dtype=object), "score": np.empty(0), "bits": np.empty(0)})]
+            values = [t or "" for t in texts]
+            for first, last in common.slices(np.array([len(v) for v in values]), 12_000_000):
                 part = values[first:last]
-                chars = np.array([len(v) for v in part])
                 if not m.languages:
                     out.append(pd.DataFrame({"lang_pred": ["und"] * len(part), "score": 0.0, "bits": 0.0}))
                     continue
-                bits = entropies(phrases(part, m), chars, m)
+                codes, chars = letters_of(part, m.symbols, m.blank)
+                bits = entropies(phrases(codes, chars, m), chars, m)
                 best = bits.argmin(axis=1)
                 two = np.partition(bits, 1, axis=1)[:, :2] if len(m.languages) > 1 else np.column_stack([bits[:, 0], np.full(len(part), np.inf)])
                 score = np.where(chars > 0, 1 - two[:, 0] / np.maximum(two[:, 1], 1e-300), 0.0)
                 names = np.where(chars > 0, np.array(m.languages, dtype=object)[best], "und")
                 out.append(pd.DataFrame({"lang_pred": names, "score": np.clip(score, 0, 1), "bits": np.where(chars > 0, two[:, 0], 0.0)}))
-            yield pd.concat(out) if out else pd.DataFrame({"lang_pred": [], "score": [], "bits": []}).astype({"lang_pred": object})
+            yield pd.concat(out, ignore_index=True)
 
     made = docs.withColumn("__lang", judged(F.col(text).cast("string")))
     return made.select(*(made[c] for c in kept), "__lang.lang_pred", "__lang.score", "__lang.bits")

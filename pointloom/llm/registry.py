@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pointloom.llm.balltree import OP9_SQL, op9_top_k
 from pointloom.llm.fingerprints import op1_fingerprints
+from pointloom.llm.hmm import op3_hmm_scores
 from pointloom.llm.langid import op2_language_id
 from pointloom.llm.licenses import op10_license_scan
 from pointloom.llm.mixing import OP8_SQL, op8_source_mixing
@@ -15,6 +16,7 @@ from pointloom.llm.simhash import op7_simhash
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
+    "op3_hmm_scores": op3_hmm_scores,
     "op4_bit_packing": op4_bit_packing,
     "op5_quality_mil": op5_quality_mil,
     "op6_sentencepiece": op6_sentencepiece,
