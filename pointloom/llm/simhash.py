@@ -31,7 +31,6 @@ Defined results
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +44,13 @@ BITS, SEED = 64, 42
 #: Nodes of a bucket that one task searches.
 HOT = 20_000
 PIVOTS = 48
-_words = re.compile(common.WORD_BYTES).findall
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
     """Unsigned XXH64 of each shingle, repeats included."""
     import xxhash
 
-    words = _words(common.lower_ascii(text.encode("utf-8", "surrogatepass")))
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and just the six white-space bytes
     if not words:
         return np.empty(0, dtype=np.uint64)
     line, size, one = b" ".join(words), min(size, len(words)), xxhash.xxh64_intdigest
@@ -96,29 +94,36 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def pivots(count: int = PIVOTS) -> np.ndarray:
-    """The reference fingerprints: fixed, spread evenly, the same in every task."""
-    return np.random.default_rng(SEED).integers(0, 1 << 64, size=count, dtype=np.uint64)
+def pivots(words: int = 1, count: int = PIVOTS) -> np.ndarray:
+    """The reference fingerprints of ``words`` times 64 bits: fixed, the same in every task."""
+    return np.random.default_rng(SEED).integers(0, 1 << 64, size=(count, words), dtype=np.uint64)
 
 
-def pivot_table(nodes: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Distance of each node to each reference, one row a reference."""
-    return np.bitwise_count(references[:, None] ^ nodes[None, :]).astype(np.int8)
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits along the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def stars(nodes: np.ndarray, radius: int, references: np.ndarray) -> np.ndarray:
-    """For each of the distinct ``nodes`` the smallest node (as signed) of its component in this bucket.
+def pivot_table(prints: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """Distance of each fingerprint to each reference, one row a reference."""
+    return np.stack([distance(prints, r) for r in references])
+
+
+def stars(ids: np.ndarray, prints: np.ndarray, radius: int, references: np.ndarray) -> np.ndarray:
+    """For each node of a bucket the smallest id of its component there. ``prints``: nodes x words.
 
     Breadth first: each reached node is compared with the nodes not reached yet. The table is sorted
     by the first pivot, so candidates are one run of it; the other columns drop most of the rest.
     """
-    n = len(nodes)
-    root = nodes.view(np.int64).copy()
-    if n < 2:
+    n = len(ids)
+    root = ids.copy()
+    if n < 3:
+        if n == 2 and distance(prints[0], prints[1]) <= radius:
+            root[:] = ids.min()
         return root
-    table = pivot_table(nodes, references)
+    table = pivot_table(prints, references[: max(2, min(len(references), n // 4))])
     order = np.argsort(table[0], kind="stable")
-    table, values, first = np.ascontiguousarray(table[:, order]), nodes[order], table[0][order].astype(np.int64)
+    table, prints, first = np.ascontiguousarray(table[:, order]), prints[order], table[0][order]
     left = np.ones(n, dtype=bool)
     for seed in range(n):
         if not left[seed]:
@@ -133,70 +138,92 @@ def stars(nodes: np.ndarray, radius: int, references: np.ndarray) -> np.ndarray:
                 if len(near) < 8:
                     break
                 kept = near[np.abs(column[near] - column[at]) <= radius]
-                if 8 * len(kept) > 7 * len(near):
-                    near = kept
-                    break  # a dense group: pivots tell its nodes apart no more, the true distance does
+                dense = 8 * len(kept) > 7 * len(near)
                 near = kept
-            near = near[np.bitwise_count(values[near] ^ values[at]) <= radius]
+                if dense:
+                    break  # pivots tell these nodes apart no more; the true distance does
+            near = near[distance(prints[near], prints[at]) <= radius]
             left[near] = False
             members.extend(near.tolist())
             queue.extend(near.tolist())
         if len(members) > 1:
             spots = order[members]
-            root[spots] = root[spots].min()
+            root[spots] = ids[spots].min()
     return root
 
 
-def links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
-    """``nodes(fp)``, distinct, to edges (a, b) with b < a that keep every component of the link graph."""
-    masks = [_signed(m) for m in run_masks(radius)]
-    keyed = nodes.select("fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("band", "mask"))
-    keyed = keyed.select("fp", "band", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    references = pivots()
-
-    def bucket(values: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        root = stars(values.view(np.uint64), radius, references)
-        linked = root != values
-        return (values[linked], root[linked]) if linked.any() else None
-
-    def made(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows; the last key of a batch may go on in the next, so it waits. Nodes of a hot bucket go out with themselves as partner."""
-        names = ("band", "key", "fp")
-        held, hot_key = tuple(np.empty(0, dtype=np.int64) for _ in names), None
-        for batch in itertools.chain(batches, [None]):
-            now = held if batch is None else tuple(np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, names, strict=True))
+LINK_SCHEMA = "a long, b long, band int, key long"
+
+
+def searched(dealt: DataFrame, words: int, radius: int, hot: int) -> DataFrame:
+    """Rows (band, key, node, print binary; without print the node is its own 64-bit fingerprint), all of a bucket in one partition and sorted by it, to links: star
+    edges (a, b) with band -1. Nodes of a bucket of more than ``hot`` come back unsearched, with their bucket.
+    """
+    references, own = pivots(words), "print" not in dealt.columns
+
+    def prints_of(batch: pa.RecordBatch) -> np.ndarray:
+        flat = batch.column("node").to_numpy().view(np.uint64) if own else np.frombuffer(b"".join(batch.column("print").to_pylist()), "<u8")
+        return flat.reshape(-1, words)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, dtype=np.int64)
+        held, prints_held, hot_key = (none, none, none), np.empty((0, words), dtype=np.uint64), None
+        for batch in itertools.chain(batches, [None]):  # the last key of a batch may go on in the next, so it waits
+            now, prints = held, prints_held
+            if batch is not None:
+                now = tuple(np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, ("band", "key", "node"), strict=True))
+                prints = np.concatenate([prints_held, prints_of(batch)])
             if not len(now[0]):
                 continue
-            cuts = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
-            edges = np.concatenate([[0], cuts, [len(now[0])]])
-            found, last = [], len(edges) - 1 if batch is None else len(edges) - 2
+            band, key, node = now
+            edges = np.concatenate([[0], np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1, [len(band)]])
+            last = len(edges) - 1 if batch is None else len(edges) - 2
+            found: list[tuple] = []
+
+            def unsearched(low: int, high: int, band=band, key=key, node=node, found=found) -> None:
+                found.append((node[low:high], node[low:high], band[low:high], key[low:high]))
+
             for i in np.flatnonzero(np.diff(edges[: last + 1]) > 1).tolist():
                 low, high = edges[i], edges[i + 1]
-                if high - low > hot or (now[0][low], now[1][low]) == hot_key:
-                    found.append((now[2][low:high], now[2][low:high]))
-                elif x := bucket(now[2][low:high]):
-                    found.append(x)
-            held = tuple(x[edges[last] :] for x in now)
-            if len(held[0]) > hot:
-                hot_key = (held[0][0], held[1][0])
-                found.append((held[2][1:], held[2][1:]))
-                held = tuple(x[:1] for x in held)  # one stays to mark the key
-            elif len(held[0]) and (held[0][0], held[1][0]) == hot_key:
-                found.append((held[2], held[2]))
-                held = tuple(x[:1] for x in held)
+                if (band[low], key[low]) == hot_key:
+                    unsearched(low + 1, high)
+                elif high - low > hot:
+                    unsearched(low, high)
+                else:
+                    root = stars(node[low:high], prints[low:high], radius, references)
+                    linked = np.flatnonzero(root != node[low:high])
+                    if len(linked):
+                        found.append((node[low:high][linked], root[linked], np.full(len(linked), -1), np.zeros(len(linked), dtype=np.int64)))
+            low = edges[last]
+            if low < len(band):
+                known = (band[low], key[low]) == hot_key
+                if known or len(band) - low > hot:
+                    unsearched(low + known, len(band))
+                    hot_key = (band[low], key[low])
+                    now, prints = tuple(x[: low + 1] for x in now), prints[: low + 1]  # one stays, to know the key by
+            held, prints_held = tuple(x[low:] for x in now), prints[low:]
             if found:
-                yield made(found)
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                columns[2] = columns[2].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "band", "key"])
 
-    parts = common.partitions_of(nodes.sparkSession)
-    dealt = keyed.repartition(parts, "band", "key").sortWithinPartitions("band", "key")
-    found = common.written(dealt.mapInArrow(search, "a long, b long"), "simhash-links").distinct()
-    inside = found.where("a = b").select(F.col("a").alias("fp"))
+    parts = common.partitions_of(dealt.sparkSession)
+    placed = dealt.repartition(parts, "band", "key").sortWithinPartitions("band", "key")
+    return common.written(placed.mapInArrow(scan, LINK_SCHEMA), "simhash-links")
+
+
+def links(nodes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
+    """``nodes(fp)``, distinct 64-bit fingerprints, to edges (a, b) with b < a that keep every component of the
+    link graph. Lossless: see the module's text."""
+    masks = [_signed(m) for m in run_masks(radius)]
+    keyed = nodes.select(F.col("fp").alias("node"), F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("band", "mask"))
+    dealt = keyed.select("band", F.col("node").bitwiseAND(F.col("mask")).alias("key"), "node")
+    found = searched(dealt, 1, radius, hot)
+    edges = found.where("band < 0").select("a", "b")
+    inside = found.where("band >= 0").select(F.col("a").alias("fp")).distinct()
     if inside.take(1):
-        return found.where("a != b").unionByName(middle_links(inside, radius)).distinct()
-    return found
+        edges = edges.unionByName(middle_links(inside, radius))
+    return edges.distinct()
 
 
 def middle_links(nodes: DataFrame, radius: int) -> DataFrame:
@@ -254,6 +281,91 @@ def near_duplicate_classes(docs: DataFrame, size: int, radius: int, hot: int = H
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "class_fps")
 
 
+# -- near-duplicates at a likeness of 0.8
+
+#: 256-bit fingerprints of five-word shingles: a likeness (cosine) of 0.8 is an angle of 0.205 half turns,
+#: so at most 52 differing bits.
+WORDS, SHINGLE, LIKENESS = 4, 5, 0.8
+#: Bands of two least shingles: sets that share 0.8 of their shingles meet in one of ten with 0.99996.
+BANDS, LEAST = 10, 2
+_mixers = np.random.default_rng(SEED + 1).integers(0, 1 << 63, size=(WORDS + BANDS * LEAST,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def radius_of(likeness: float, bits: int) -> int:
+    return int(np.arccos(likeness) / np.pi * bits)
+
+
+def wide_fingerprint(text: str, size: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    """256-bit fingerprint (little-endian) and the keys of the bands."""
+    h = shingle_hashes(text, size)
+    if not len(h):
+        return bytes(8 * WORDS), np.zeros(BANDS, dtype=np.int64)
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
+    for i in range(0, len(h), 16_384):
+        part = h[i : i + 16_384, None] * _mixers[None, :WORDS]
+        part ^= part >> np.uint64(29)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(32)
+        ones += np.unpackbits(np.ascontiguousarray(part, dtype="<u8").view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    least = np.array([(h * m).min() for m in _mixers[WORDS:]], dtype=np.uint64).reshape(BANDS, LEAST)
+    keys = (least[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (least[:, 1] >> np.uint64(7))
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").tobytes(), keys.view(np.int64)
+
+
+def pair_blocks(hot_rows: DataFrame, hot: int) -> DataFrame:
+    """Rows (band, key, node, print) of buckets too large for one task, dealt to pairs of chunks of at most
+    ``hot / 2`` nodes: two nodes of a bucket meet in a pair, and no task holds more than a pair."""
+    sizes = hot_rows.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) * 2.5 / hot).cast("int").alias("chunks"))
+    chunked = hot_rows.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    met = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return met.select("band", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "print")
+
+
+def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, hot: int = HOT) -> DataFrame:
+    """(doc_id, text_hash, component): classes of texts linked by fingerprints of ``likeness`` or more, one row
+    for each row of ``docs(doc_id, text)``; component is the smallest node id (a hash of the fingerprint)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            made = [wide_fingerprint(t.as_py() or "") for t in batch.column("text")]
+            node = np.array([xxhash.xxh64_intdigest(p, SEED) for p, _ in made], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array([p for p, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "node", "print", "keys"],
+            )
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    marked = common.written(plain.mapInArrow(scan, "doc_id long, text_hash long, node long, print binary, keys array<long>"), "near-prints")
+    nodes = marked.select("node", "print", "keys").distinct()
+    dealt = nodes.select("node", "print", F.posexplode("keys").alias("band", "key")).select("band", "key", "node", "print").distinct()
+    found = searched(dealt, WORDS, radius_of(likeness, 64 * WORDS), hot)
+    edges = found.where("band < 0").select("a", "b")
+    large = found.where("band >= 0").select(F.col("a").alias("node"), "band", "key").distinct()
+    if large.take(1):
+        prints = marked.select("node", "print").distinct()
+        edges = edges.unionByName(searched(pair_blocks(large.join(prints, "node"), hot), WORDS, radius_of(likeness, 64 * WORDS), 1 << 62).select("a", "b"))
+    roots = components(edges.distinct())
+    return marked.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
+
+
+def deduplicated(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """``docs`` with one document of each class: the one with the smallest (doc_id, hash of the text). Rows that
+    repeat it go too. Rows without doc_id stay."""
+    classes = common.written(near_duplicates(docs, likeness).where("doc_id IS NOT NULL"), "near-classes")
+    firsts = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    joined = classes.join(firsts, "component")
+    gone = joined.where(F.struct("doc_id", "text_hash") != F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    same = [F.col("doc_id").cast("long") == F.col("gone_id"), F.xxhash64("text") == F.col("gone_hash")]
+    kept = docs.join(gone, same, "left_anti")
+    again = common.written(classes.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")), "near-again")
+    if not again.take(1):
+        return kept
+    twice = [F.col("doc_id").cast("long") == F.col("again_id"), F.xxhash64("text") == F.col("again_hash")]
+    return kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = near_duplicate_classes(docs, size=4, radius=4)
