@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pointloom.plans import cloud  # noqa: F401  registers its queries
+from pointloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 FLAGSHIP = "tile_summary_first"
