@@ -189,12 +189,12 @@ def w5_midpoints(spark, d):
 
 @query()
 def w13_open_loop_poses(spark, d):
-    """Poses from each device's samples by hour; rotation in groups, velocity and position by running sums."""
+    """Poses from each device's samples by week; rotation in groups, velocity and position by running sums."""
     imu = fx.imu(spark, d)
-    by_hour = Window.partitionBy("device", "hour").orderBy("ts_us", "seq")
-    steps = imu.withColumn("hour", F.floor(F.col("ts_us") / 3_600_000_000).cast("bigint")).withColumn("dt", F.least(F.coalesce((F.col("ts_us") - F.lag("ts_us").over(by_hour)) / 1e6, F.lit(0.0)), F.lit(1.0)))
-    six = steps.select("device", "hour", "seq", "dt", (F.col("ax") / 100).alias("ax"), F.lit(0.1).alias("ay"), F.lit(9.81).alias("az"), F.lit(0.0).alias("gx"), F.lit(0.01).alias("gy"), (F.col("ax") / 1000).alias("gz"))
-    return motion.integrated(six, ["device", "hour"], "seq")
+    by_week = Window.partitionBy("device", "week").orderBy("ts_us", "seq")
+    steps = imu.withColumn("week", F.floor(F.col("ts_us") / 604_800_000_000).cast("bigint")).withColumn("dt", F.least(F.coalesce((F.col("ts_us") - F.lag("ts_us").over(by_week)) / 1e6, F.lit(0.0)), F.lit(1.0)))
+    six = steps.select("device", "week", "seq", "dt", (F.col("ax") / 100).alias("ax"), F.lit(0.1).alias("ay"), F.lit(9.81).alias("az"), F.lit(0.0).alias("gx"), F.lit(0.01).alias("gy"), (F.col("ax") / 1000).alias("gz"))
+    return motion.integrated(six, ["device", "week"], "seq")
 
 
 @query(f"""WITH {fx.IMU}, f AS (SELECT *, coalesce((ts_us - lag(ts_us) OVER w > 600000000)::INTEGER, 0) AS o FROM imu WINDOW w AS (PARTITION BY device ORDER BY ts_us, seq)), g AS (SELECT *, sum(o) OVER (PARTITION BY device ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS frame FROM f)

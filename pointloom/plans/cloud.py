@@ -152,7 +152,7 @@ def a18_quality_counters(spark, d):
 
 # -- voxels
 
-_BIG_ORDER = F.col("ord")
+_BIG_ORDER = "ord"
 _ALL = "x, y, z, intensity"
 
 
