@@ -50,18 +50,24 @@ def letters_of(texts: list[str], symbols: np.ndarray, blank: int) -> tuple[np.nd
     Lower case; each run of signs that are no letters counts as one blank. Signs and digits are no
     evidence of a language, and junk made of them would join texts of one kind across languages.
     """
-    lowered = [t.lower() for t in texts]
-    sizes = np.array([len(t) for t in lowered], dtype=np.int64)
-    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = symbols[np.minimum(points, len(symbols) - 1)]
-    gap = codes == blank
-    kept = ~gap
-    kept[1:] |= ~gap[:-1]  # the first blank of a run
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    kept[starts] = ~gap[starts]  # none before a text's first letter, and none carried over from the text before
-    before = np.concatenate([[0], np.cumsum(kept)])
-    ends = np.cumsum(sizes)
-    return codes[kept], before[ends] - before[ends - sizes]
+    codes, counts = [np.empty(0, dtype=symbols.dtype)], [np.empty(0, dtype=np.int64)]
+    for first, last in common.slices(np.array([len(t) for t in texts], dtype=np.int64), 1_000_000):
+        lowered = [t.lower() for t in texts[first:last]]
+        sizes = np.array([len(t) for t in lowered], dtype=np.int64)
+        points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = symbols[np.minimum(points, len(symbols) - 1)]
+        gap = own == blank
+        kept = ~gap
+        kept[1:] |= ~gap[:-1]  # the first blank of a run
+        some = sizes > 0
+        starts = (np.cumsum(sizes) - sizes)[some]
+        kept[starts] = ~gap[starts]  # none before a text's first letter, and none carried over from the text before
+        count = np.zeros(len(sizes), dtype=np.int64)
+        if len(starts):
+            count[some] = np.add.reduceat(kept, starts, dtype=np.int64)
+        codes.append(own[kept])
+        counts.append(count)
+    return np.concatenate(codes), np.concatenate(counts)
 
 
 @dataclass
@@ -213,7 +219,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             out = [pd.DataFrame({"lang_pred": np.empty(0, dtype=object), "score": np.empty(0), "bits": np.empty(0)})]
             values = [t or "" for t in texts]
-            for first, last in common.slices(np.array([len(v) for v in values]), 12_000_000):
+            for first, last in common.slices(np.array([len(v) for v in values]), 50_000_000):
                 part = values[first:last]
                 if not m.languages:
                     out.append(pd.DataFrame({"lang_pred": ["und"] * len(part), "score": 0.0, "bits": 0.0}))

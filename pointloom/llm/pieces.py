@@ -35,7 +35,7 @@ from pointloom.llm import common
 BLANK = "▁"
 UNKNOWN = 10.0
 #: Stretches that a worker remembers, and the longest one solved in numpy.
-CACHE, SHORT = 500_000, 48
+CACHE, SHORT = 250_000, 48
 _NEGATIVE = -1e300
 
 
