@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointloom.plans import alignment, cloud, maps, streams  # noqa: F401  they register their queries
+from pointloom.plans import alignment, cloud, features, maps, streams  # noqa: F401  they register their queries
 from pointloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
