@@ -41,7 +41,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("mix_source")), F.lit(0.0)) if pairs else F.lit(0.0)
     weighed = sizes.withColumn("weight", weight)
     whole = weighed.agg(F.sum("size").alias("total"), F.sum("weight").alias("weights"))
-    rate = F.when(F.col("size") > 0, F.col("total") * F.col("weight") / F.col("weights") / F.col("size")).otherwise(F.lit(1.0))
+    rate = F.when(F.col("size") > 0, F.try_divide(F.try_divide(F.col("total") * F.col("weight"), F.col("weights")), F.col("size"))).otherwise(F.lit(1.0))
     table = weighed.crossJoin(F.broadcast(whole)).select("mix_source", F.coalesce(rate, F.lit(0.0)).alias("rate"))  # the other side is one row
     # log p(k) = -rate + sum of ln(rate / j) up to k; far enough that what is left is below 2**-53
     reach = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 25).cast("int")

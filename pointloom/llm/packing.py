@@ -109,7 +109,7 @@ class Shard:
 # Pieces of text in which the tokenizer's own splitting is plain: ASCII without the apostrophe, and
 # the letters of Latin-1. All other pieces go to the library as they are.
 _PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+").fullmatch
-_RUNS = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
 
 
 class WordEncoder:
