@@ -35,7 +35,8 @@ def norm(a: Vector) -> Column:
 
 
 def cosine(a: Vector, b: Vector) -> Column:
-    return dot(a, b) / norm(a) / norm(b)
+    """Null where a vector has no length."""
+    return F.try_divide(F.try_divide(dot(a, b), norm(a)), norm(b))
 
 
 def squared_distance(a: Vector, b: Vector) -> Column:
@@ -100,7 +101,7 @@ def quaternion_euler(q: Vector) -> Vector:
     half = F.pi() / 2
     up, down = test > 0.49999 * unit, test < -0.49999 * unit
     roll = F.when(up, 2 * F.atan2(x, w)).when(down, -2 * F.atan2(x, w)).otherwise(F.atan2(2 * x * w + 2 * y * z, -x * x - y * y + z * z + w * w))
-    pitch = F.when(up, half).when(down, -half).otherwise(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * test / unit))))
+    pitch = F.when(up, half).when(down, -half).otherwise(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(2 * test, unit)))))
     yaw = F.when(up | down, 0.0).otherwise(F.atan2(2 * z * w + 2 * y * x, x * x - y * y - z * z + w * w))
     return [v * DEGREES_Q for v in (roll, pitch, yaw)]
 

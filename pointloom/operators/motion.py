@@ -22,11 +22,11 @@ def rest_statistics(samples: DataFrame, keys: list[str], order: list[str], axes:
     summed = means.select(*keys, *axes, *parts).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.avg(a).alias(f"mean_{a}") for a in axes), *((F.sum(f"__q_{a}") / F.count(F.lit(1))).alias(f"cov_{a}") for a in axes))
     acc = [F.col(f"mean_{a}") for a in axes[:3]]
     size = g.norm(acc)
-    return summed.select("*", *((-m / size * g.GRAVITY).alias(f"grav_{a}") for m, a in zip(acc, "xyz", strict=True)), (F.col("n") >= least).alias("done"))
+    return summed.select("*", *((F.try_divide(-m, size) * g.GRAVITY).alias(f"grav_{a}") for m, a in zip(acc, "xyz", strict=True)), (F.col("n") >= least).alias("done"))
 
 
 def normalised_acc(acc: Column, mean_norm: Column) -> Column:
-    return acc * g.GRAVITY / mean_norm
+    return F.try_divide(acc * g.GRAVITY, mean_norm)
 
 
 def from_g(acc: Column) -> Column:

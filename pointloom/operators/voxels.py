@@ -89,7 +89,7 @@ def bounding_box(points: DataFrame) -> DataFrame:
 def sizes(points: DataFrame) -> DataFrame:
     """Points, those not deleted, and the deleted share. ``points(deleted)``."""
     gone = F.count_if("deleted")
-    return points.agg(F.count(F.lit(1)).alias("n_points"), (F.count(F.lit(1)) - gone).alias("n_valid"), (gone / F.count(F.lit(1))).alias("deleted_share"))
+    return points.agg(F.count(F.lit(1)).alias("n_points"), (F.count(F.lit(1)) - gone).alias("n_valid"), F.try_divide(gone, F.count(F.lit(1))).alias("deleted_share"))
 
 
 def new_voxels(points: DataFrame, leaf: float, order: list[Column]) -> DataFrame:
