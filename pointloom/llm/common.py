@@ -15,10 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What a word is in the contracts of the scoring and near-duplicate queries.
-WORD_BYTES = rb"[^\x20\x09-\x0D]+"
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A driver table by Spark's own reader (the folder may be in any store)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,11 +59,6 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def lower_ascii(data: bytes) -> bytes:
-    """Lower-cases A-Z only (``bytes.lower`` leaves all other bytes alone)."""
-    return data.lower()
-
-
 def slices(lengths: np.ndarray, most: int):
     """(first, last) index pairs that cut rows into runs of about ``most`` units, one row at least."""
     first, held = 0, 0

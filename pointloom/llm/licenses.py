@@ -250,3 +250,37 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents", "doc_id", "text")
     return scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def oracle() -> str:
+    """The whole scan as DuckDB SQL. Words stand apart by two blanks there, so that a pattern takes its own ones and needs
+    no look-ahead; a piece of the line then has half as many words as blanks."""
+
+    def doubled(words: str) -> str:
+        return " " + words.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + " "
+
+    table = ", ".join(f"('{label}', '{keyword}', '{doubled(f'(?:{words})')}', {priority}, {weight})" for label, keyword, words, priority, weight in rules())
+    base = ", ".join(f"('{label}', '{doubled(words)}')" for words, label in BASE.items())
+    count = "(len(x) - len(replace(x, ' ', ''))) // 2"
+    first = f"list_sum(list_transform(gaps[1:i + 1], lambda x: {count})) + coalesce(list_sum(list_transform(hits[1:i], lambda x: {count})), 0)"
+    return f"""
+WITH words AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{WORD_GAP}', ' ', 'g')) AS raw FROM documents),
+lined AS (SELECT doc_id, CASE WHEN raw = '' THEN 0 ELSE len(raw) - len(replace(raw, ' ', '')) + 1 END AS n_words,
+    CASE WHEN regexp_matches(raw, '{GATE}') THEN ' ' || replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ', '  ') || ' ' END AS line FROM words),
+rules(label, keyword, pattern, priority, weight) AS (VALUES {table}),
+base_rules(label, pattern) AS (VALUES {base}),
+base_hits AS (SELECT doc_id, label, regexp_extract_all(line, pattern) AS hits, string_split_regex(line, pattern) AS gaps FROM lined, base_rules WHERE line IS NOT NULL AND regexp_matches(line, pattern)),
+base_at AS (SELECT doc_id, label, {first} AS first FROM (SELECT *, unnest(range(len(hits))) AS i FROM base_hits)),
+bases AS (SELECT doc_id, count(*) AS n, min(first) AS first_word, max(first) AS last_word, list(DISTINCT label) AS own FROM base_at GROUP BY doc_id),
+hits AS (SELECT doc_id, label, priority, weight, regexp_extract_all(line, pattern) AS hits, string_split_regex(line, pattern) AS gaps FROM lined, rules
+    WHERE line IS NOT NULL AND contains(line, keyword) AND regexp_matches(line, pattern)),
+found AS (SELECT DISTINCT doc_id, label, priority, weight, {first} AS f, {first} + {count.replace("x", "hits[i + 1]")} - 1 AS l FROM (SELECT *, unnest(range(len(hits))) AS i FROM hits)),
+kept AS (SELECT * FROM found d WHERE NOT EXISTS (SELECT 1 FROM found e WHERE e.doc_id = d.doc_id AND e.f <= d.f AND e.l >= d.l
+    AND (e.priority > d.priority OR (e.priority = d.priority AND (e.f <> d.f OR e.l <> d.l OR e.label < d.label))))),
+labelled AS (SELECT doc_id, list(DISTINCT label) AS own, max(weight) AS score FROM kept GROUP BY doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
+    coalesce(array_to_string(list_sort(b.own), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.own, []), coalesce(k.own, [])))), ','), '') AS labels,
+    greatest(coalesce(k.score, 0.0), CASE WHEN b.n > 0 THEN 0.6 ELSE 0.0 END)::DOUBLE AS score
+FROM lined LEFT JOIN bases b USING (doc_id) LEFT JOIN labelled k USING (doc_id)
+"""

@@ -7,6 +7,7 @@ from pointloom.llm.fingerprints import op1_fingerprints
 from pointloom.llm.hmm import op3_hmm_scores
 from pointloom.llm.langid import op2_language_id
 from pointloom.llm.licenses import op10_license_scan
+from pointloom.llm.licenses import oracle as license_sql
 from pointloom.llm.mixing import OP8_SQL, op8_source_mixing
 from pointloom.llm.packing import op4_bit_packing
 from pointloom.llm.pieces import op6_sentencepiece
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_source_mixing": OP8_SQL, "op9_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": OP8_SQL, "op9_top_k": OP9_SQL, "op10_license_scan": license_sql()}
