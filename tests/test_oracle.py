@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from pointloom.plans import catalog
@@ -21,9 +22,9 @@ def duck(small):
 
 def rows(frame):
     def plain(x):
-        if x is None or x != x:
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return "null"
-        return f"{float(x):.6g}" if isinstance(x, float) else str(x)
+        return f"{float(x):.10g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
     return sorted(tuple(plain(x) for x in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None))
 
