@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from pointloom.llm import common, langid, mixing, pieces, quality, simhash
 
-#: A text that takes more bits a letter than this in its best language is in none of them.
-MOST_BITS = 6.0
+#: A text of at least LEAST_CHARS that takes more bits a letter than MOST_BITS in its best language is in none of
+#: them (prose takes 2 to 3, random letters 5 to 7). Shorter texts hold too few phrases to tell, and stay.
+MOST_BITS, LEAST_CHARS = 5.5, 60
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have letters and that one of the learned languages explains."""
+    """Documents that have letters and are not far from all learned languages."""
     found = langid.predict(docs, langid.learned(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("bits") <= MOST_BITS)).select(*docs.columns)
+    explained = (F.col("bits") <= MOST_BITS) | (F.length("text") < LEAST_CHARS)
+    return found.where((F.col("lang_pred") != "und") & explained).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
