@@ -34,6 +34,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,21 +110,49 @@ def pivot_table(prints: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.stack([distance(prints, r) for r in references])
 
 
-def stars(ids: np.ndarray, prints: np.ndarray, radius: int, references: np.ndarray) -> np.ndarray:
+class Overlaps:
+    """Exact Jaccard likeness of a bucket's sets (sorted distinct 32-bit shingle hashes)."""
+
+    MANY = 64
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes, self.held = sets, np.array([len(x) for x in sets], dtype=np.int64), None
+
+    def _postings(self) -> tuple:
+        """Which nodes have a shingle: for many partners at a time."""
+        if self.held is None:
+            _, which = np.unique(np.concatenate(self.sets), return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            owner = np.repeat(np.arange(len(self.sets), dtype=np.int32), self.sizes)[order]
+            self.held = which, np.concatenate([[0], np.cumsum(self.sizes)]), owner, np.concatenate([[0], np.cumsum(np.bincount(which))])
+        return self.held
+
+    def likeness(self, at: int, near: np.ndarray) -> np.ndarray:
+        if len(near) < self.MANY:
+            both = np.array([len(np.intersect1d(self.sets[at], self.sets[j], assume_unique=True)) for j in near.tolist()], dtype=np.int64)
+        else:
+            which, starts, owner, ends = self._postings()
+            runs = [owner[ends[w] : ends[w + 1]] for w in which[starts[at] : starts[at + 1]].tolist()]
+            both = np.bincount(np.concatenate(runs), minlength=len(self.sets))[near] if runs else np.zeros(len(near), dtype=np.int64)
+        whole = self.sizes[at] + self.sizes[near] - both
+        return np.where(whole > 0, both / np.maximum(whole, 1), 1.0)
+
+
+def stars(ids: np.ndarray, prints: np.ndarray, radius: int, references: np.ndarray, sets: list[np.ndarray] | None = None, likeness: float = 0.0) -> np.ndarray:
     """For each node of a bucket the smallest id of its component there. ``prints``: nodes x words.
 
     Breadth first: each reached node is compared with the nodes not reached yet. The table is sorted
-    by the first pivot, so candidates are one run of it; the other columns drop most of the rest.
+    by the first pivot, so candidates are one run of it; the other columns drop most of the rest. Where
+    ``sets`` are given, a link also needs their exact likeness.
     """
     n = len(ids)
     root = ids.copy()
-    if n < 3:
-        if n == 2 and distance(prints[0], prints[1]) <= radius:
-            root[:] = ids.min()
+    if n < 2:
         return root
     table = pivot_table(prints, references[: max(2, min(len(references), n // 4))])
     order = np.argsort(table[0], kind="stable")
     table, prints, first = np.ascontiguousarray(table[:, order]), prints[order], table[0][order]
+    overlaps = None if sets is None else Overlaps([sets[i] for i in order.tolist()])
     left = np.ones(n, dtype=bool)
     for seed in range(n):
         if not left[seed]:
@@ -143,6 +172,8 @@ def stars(ids: np.ndarray, prints: np.ndarray, radius: int, references: np.ndarr
                 if dense:
                     break  # pivots tell these nodes apart no more; the true distance does
             near = near[distance(prints[near], prints[at]) <= radius]
+            if overlaps is not None and len(near):
+                near = near[overlaps.likeness(at, near) >= likeness]
             left[near] = False
             members.extend(near.tolist())
             queue.extend(near.tolist())
@@ -155,11 +186,12 @@ def stars(ids: np.ndarray, prints: np.ndarray, radius: int, references: np.ndarr
 LINK_SCHEMA = "a long, b long, band int, key long"
 
 
-def searched(dealt: DataFrame, words: int, radius: int, hot: int) -> DataFrame:
+def searched(dealt: DataFrame, words: int, radius: int, hot: int, likeness: float = 0.0) -> DataFrame:
     """Rows (band, key, node, print binary; without print the node is its own 64-bit fingerprint), all of a bucket in one partition and sorted by it, to links: star
-    edges (a, b) with band -1. Nodes of a bucket of more than ``hot`` come back unsearched, with their bucket.
+    edges (a, b) with band -1. Nodes of a bucket of more than ``hot`` come back unsearched, with their bucket. With a
+    column ``shingles`` (binary: sorted distinct 32-bit hashes) a link also needs that exact ``likeness``.
     """
-    references, own = pivots(words), "print" not in dealt.columns
+    references, own, exact = pivots(words), "print" not in dealt.columns, "shingles" in dealt.columns
 
     def prints_of(batch: pa.RecordBatch) -> np.ndarray:
         flat = batch.column("node").to_numpy().view(np.uint64) if own else np.frombuffer(b"".join(batch.column("print").to_pylist()), "<u8")
@@ -167,12 +199,13 @@ def searched(dealt: DataFrame, words: int, radius: int, hot: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, dtype=np.int64)
-        held, prints_held, hot_key = (none, none, none), np.empty((0, words), dtype=np.uint64), None
+        held, prints_held, sets, hot_key = (none, none, none), np.empty((0, words), dtype=np.uint64), [], None
         for batch in itertools.chain(batches, [None]):  # the last key of a batch may go on in the next, so it waits
             now, prints = held, prints_held
             if batch is not None:
                 now = tuple(np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, ("band", "key", "node"), strict=True))
                 prints = np.concatenate([prints_held, prints_of(batch)])
+                sets = sets + [np.frombuffer(x, "<u4") for x in batch.column("shingles").to_pylist()] if exact else []
             if not len(now[0]):
                 continue
             band, key, node = now
@@ -190,7 +223,7 @@ def searched(dealt: DataFrame, words: int, radius: int, hot: int) -> DataFrame:
                 elif high - low > hot:
                     unsearched(low, high)
                 else:
-                    root = stars(node[low:high], prints[low:high], radius, references)
+                    root = stars(node[low:high], prints[low:high], radius, references, sets[low:high] if exact else None, likeness)
                     linked = np.flatnonzero(root != node[low:high])
                     if len(linked):
                         found.append((node[low:high][linked], root[linked], np.full(len(linked), -1), np.zeros(len(linked), dtype=np.int64)))
@@ -200,8 +233,8 @@ def searched(dealt: DataFrame, words: int, radius: int, hot: int) -> DataFrame:
                 if known or len(band) - low > hot:
                     unsearched(low + known, len(band))
                     hot_key = (band[low], key[low])
-                    now, prints = tuple(x[: low + 1] for x in now), prints[: low + 1]  # one stays, to know the key by
-            held, prints_held = tuple(x[low:] for x in now), prints[low:]
+                    now, prints, sets = tuple(x[: low + 1] for x in now), prints[: low + 1], sets[: low + 1]  # one stays, to know the key by
+            held, prints_held, sets = tuple(x[low:] for x in now), prints[low:], sets[low:]
             if found:
                 columns = [np.concatenate(c) for c in zip(*found, strict=True)]
                 columns[2] = columns[2].astype(np.int32)
@@ -313,17 +346,21 @@ def wide_fingerprint(text: str, size: int = SHINGLE) -> tuple[bytes, np.ndarray]
 
 
 def pair_blocks(hot_rows: DataFrame, hot: int) -> DataFrame:
-    """Rows (band, key, node, print) of buckets too large for one task, dealt to pairs of chunks of at most
+    """Rows (band, key, node, ...) of buckets too large for one task, dealt to pairs of chunks of at most
     ``hot / 2`` nodes: two nodes of a bucket meet in a pair, and no task holds more than a pair."""
     sizes = hot_rows.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) * 2.5 / hot).cast("int").alias("chunks"))
     chunked = hot_rows.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     met = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return met.select("band", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "print")
+    return met.select("band", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *(c for c in hot_rows.columns if c not in ("band", "key")))
 
 
 def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, hot: int = HOT) -> DataFrame:
-    """(doc_id, text_hash, component): classes of texts linked by fingerprints of ``likeness`` or more, one row
-    for each row of ``docs(doc_id, text)``; component is the smallest node id (a hash of the fingerprint)."""
+    """(doc_id, text_hash, component): classes of texts whose five-word shingles (as sets) are alike by ``likeness`` or
+    more, one row for each row of ``docs(doc_id, text)``; component is the smallest node id (a hash of the fingerprint).
+
+    First links by fingerprints alone, whose angle allows for that likeness; then, among linked nodes only, the same
+    search again with the exact likeness of their shingles. Texts with one 256-bit fingerprint are one node.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -339,14 +376,33 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, hot: int = HOT)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     marked = common.written(plain.mapInArrow(scan, "doc_id long, text_hash long, node long, print binary, keys array<long>"), "near-prints")
     nodes = marked.select("node", "print", "keys").distinct()
-    dealt = nodes.select("node", "print", F.posexplode("keys").alias("band", "key")).select("band", "key", "node", "print").distinct()
-    found = searched(dealt, WORDS, radius_of(likeness, 64 * WORDS), hot)
-    edges = found.where("band < 0").select("a", "b")
-    large = found.where("band >= 0").select(F.col("a").alias("node"), "band", "key").distinct()
-    if large.take(1):
-        prints = marked.select("node", "print").distinct()
-        edges = edges.unionByName(searched(pair_blocks(large.join(prints, "node"), hot), WORDS, radius_of(likeness, 64 * WORDS), 1 << 62).select("a", "b"))
-    roots = components(edges.distinct())
+    radius = radius_of(likeness, 64 * WORDS)
+
+    def linked(rows: DataFrame, hot: int) -> DataFrame:
+        """Edges of rows (band, key, node, print, ...), by buckets or, where these are too large, pairs of chunks."""
+        rows = rows.distinct()
+        found = searched(rows, WORDS, radius, hot, likeness)
+        edges = found.where("band < 0").select("a", "b")
+        large = found.where("band >= 0").select("band", "key").distinct()
+        if large.take(1):
+            inside = rows.join(large, ["band", "key"], "left_semi").select(rows.columns)
+            edges = edges.unionByName(searched(pair_blocks(inside, hot), WORDS, radius, 1 << 62, likeness).select("a", "b"))
+        return edges.distinct()
+
+    exploded = nodes.select("node", "print", F.posexplode("keys").alias("band", "key")).select("band", "key", "node", "print")
+    loose = components(linked(exploded, hot))
+    # the texts behind linked fingerprints, one a node, give their shingles; few documents have such a node
+    chosen = marked.join(loose.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    chosen = chosen.select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash"))
+
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t or "", SHINGLE).astype("<u4")).tobytes() for t in texts], dtype=object)
+
+    same = [plain["doc_id"].eqNullSafe(chosen["doc_id"]), plain["text_hash"] == chosen["text_hash"]]
+    sets = common.written(plain.join(chosen, same).select("node", shingles("text").alias("shingles")).dropDuplicates(["node"]), "near-sets")
+    exact = exploded.join(sets, "node").select("band", "key", "node", "print", "shingles")
+    roots = components(linked(exact, max(2, hot // 4)))
     return marked.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
 
 
