@@ -35,7 +35,7 @@ from pointloom.llm import common
 BLANK = "▁"
 UNKNOWN = 10.0
 #: Stretches that a worker remembers, and the longest one solved in numpy.
-CACHE, SHORT = 250_000, 48
+CACHE, SHORT = 200_000, 48
 _NEGATIVE = -1e300
 
 
@@ -89,7 +89,7 @@ class Pieces:
                     used.append(to)
                     row[column] = number[to]
             rows.append(row)
-        self.table = np.concatenate(rows)
+        self.table = np.concatenate(rows).astype(np.uint16 if len(used) < 1 << 16 else np.int32)
         self.ids = np.array([self.piece_at[n] for n in used], dtype=np.int32)
         self.gain = np.where(self.ids >= 0, self.scores[self.ids], _NEGATIVE)
 
@@ -178,7 +178,7 @@ class Pieces:
             node = np.zeros(len(rows), dtype=np.int32)
             base = best[rows, i]
             for length in range(1, min(self.longest, wide - i) + 1):
-                node = self.table[node * self.width + signs[rows, i + length - 1]]
+                node = self.table[node * self.width + signs[rows, i + length - 1]].astype(np.int32)
                 to = i + length
                 gain = base + self.gain[node]
                 if length == 1:
