@@ -113,6 +113,39 @@ def test_near_copies_go_and_others_stay(spark):
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {*range(0, 100, 4), *range(1000, 1100)}
 
 
+def test_links_are_those_of_the_exact_likeness(spark):
+    """Copies with more and more changed words: classes are the components of all pairs at 0.8 or more."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(6):
+        base = " ".join(f"t{rng.randrange(10**6)}" for _ in range(150))
+        texts += [base, *(near_copy(rng, base, n) for n in (1, 2, 3, 3, 4, 5, 7, 9))]
+    sets = [set(s.shingle_hashes(t, 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if x in (a, b) else x for x in parent]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (20_000, 8):
+        found = {r.doc_id: r.component for r in s.near_duplicates(df, hot=hot).collect()}
+        pairs = set(zip(parent, (found[i] for i in range(len(texts))), strict=True))
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}), hot
+
+
+def test_exact_likeness_few_and_many():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, 40).astype("<u4")) for _ in range(100)] + [np.empty(0, "<u4")] * 2
+    o = s.Overlaps(sets)
+    near = np.arange(102)
+    many = o.likeness(3, near)
+    few = np.concatenate([o.likeness(3, near[i : i + 10]) for i in range(0, 102, 10)])
+    want = [len(set(sets[3]) & set(x)) / len(set(sets[3]) | set(x)) for x in sets]
+    assert np.allclose(many, want) and np.allclose(few, want)
+    assert o.likeness(100, np.array([101])).tolist() == [1.0]
+
+
 def test_deduplication_of_odd_rows(spark, odd):
     out = s.deduplicated(odd).toPandas()
     ids = out.doc_id.dropna().astype(int).tolist()
