@@ -41,8 +41,8 @@ from pointloom.llm import common
 MAGIC = b"PLPACK1\0"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
-#: Entries that a worker keeps of pieces of text already encoded; when full it starts anew.
-CACHE = 400_000
+#: Pieces of text, and runs inside them, that a worker keeps encoded; when full it starts anew.
+PIECES, RUNS = 500_000, 800_000
 END = 1
 
 
@@ -158,9 +158,9 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``kind``."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
-        if len(self.runs) > CACHE:
+        if len(self.runs) > RUNS:
             self.runs.clear()
         pieces, once = self.pieces, {"": b""}
         fresh = set().union(*split).difference(pieces) - {""}
