@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pointloom.operators.points import usable
 
 POLICIES = ("first", "latest", "centroid")
+#: Types that a hash aggregate keeps in place.
+FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
 
 
 def checked_grid(tile: float, voxel: float) -> int:
@@ -30,6 +32,19 @@ def cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("bigint")
 
 
+def one_per_key(points: DataFrame, keys: list[str], keep: tuple, order: Column | str, latest: bool = False, *more: Column) -> DataFrame:
+    """The first (or last) row of each key by ``order``: keys, ``keep``, and further aggregates.
+
+    Where the order is one number or time, each column is picked on its own, so that the aggregate's buffers have
+    fixed widths and Spark hashes on both sides of the shuffle. Other orders (structs) make it sort by key first.
+    """
+    pick = F.max_by if latest else F.min_by
+    if points.select(order).dtypes[0][1] in FIXED_WIDTH:
+        return points.groupBy(*keys).agg(*(pick(c, order).alias(c) for c in keep), *more)
+    picked = points.groupBy(*keys).agg(pick(F.struct(*keep), order).alias("__p"), *more)
+    return picked.select(*keys, "__p.*", *picked.columns[len(keys) + 1 :])
+
+
 def voxel_keys(points: DataFrame, leaf: float) -> DataFrame:
     return points.select("*", *(cell(F.col(c), leaf).alias(f"g{c}") for c in "xyz"))
 
@@ -41,16 +56,15 @@ def tile_keys(points: DataFrame, tile: float, voxel: float) -> DataFrame:
     return tiled.select("*", *(F.floor((F.col(c) - F.col(f"t{c}") * tile) / voxel).cast("int").alias(f"v{c}") for c in "xyz"))
 
 
-def first_per_voxel(points: DataFrame, leaf: float, order: Column, keep: tuple = ("x", "y", "z", "intensity")) -> DataFrame:
+def first_per_voxel(points: DataFrame, leaf: float, order: Column | str, keep: tuple = ("x", "y", "z", "intensity")) -> DataFrame:
     """The first usable point of each voxel; all usable points where ``leaf`` is 0 or less."""
     good = points.where(usable(F.col("x"), F.col("y"), F.col("z")))
     if leaf <= 0:
         return good.select(*keep)
-    keys = ["gx", "gy", "gz"]
-    return voxel_keys(good, leaf).groupBy(*keys).agg(F.min_by(F.struct(*keep), order).alias("p")).select(*keys, "p.*")
+    return one_per_key(voxel_keys(good, leaf), ["gx", "gy", "gz"], keep, order)
 
 
-def with_policy(points: DataFrame, policy: str, order: Column, keys: list[str], extra: tuple = ()) -> DataFrame:
+def with_policy(points: DataFrame, policy: str, order: Column | str, keys: list[str], extra: tuple = ()) -> DataFrame:
     """One row a voxel: x, y, z, intensity, n by policy. ``centroid`` averages these four; ``extra`` columns stay the first's."""
     if policy not in POLICIES:
         raise ValueError(f"policy has to be one of {POLICIES}")
@@ -59,11 +73,10 @@ def with_policy(points: DataFrame, policy: str, order: Column, keys: list[str],
         chosen = [F.avg(c).alias(c) for c in four] + [F.min_by(F.struct(*extra), order).alias("p")] * bool(extra)
         grouped = points.groupBy(*keys).agg(*chosen, F.count(F.lit(1)).alias("n"))
         return grouped.select(*keys, *four, *(["p.*"] if extra else []), "n")
-    pick = F.min_by if policy == "first" else F.max_by
-    return points.groupBy(*keys).agg(pick(F.struct(*four, *extra), order).alias("p"), F.count(F.lit(1)).alias("n")).select(*keys, "p.*", "n")
+    return one_per_key(points, keys, (*four, *extra), order, policy == "latest", F.count(F.lit(1)).alias("n"))
 
 
-def nearest_centre(points: DataFrame, leaf: float, order: Column, keep: tuple = ("x", "y", "z", "intensity")) -> DataFrame:
+def nearest_centre(points: DataFrame, leaf: float, order: Column | str, keep: tuple = ("x", "y", "z", "intensity")) -> DataFrame:
     """The point nearest to its voxel's centre. An existing point wins only if it is strictly closer, so of equal
     distances the last to arrive stays."""
     keys = ["gx", "gy", "gz"]
@@ -72,10 +85,10 @@ def nearest_centre(points: DataFrame, leaf: float, order: Column, keep: tuple =
     ranked = keyed.withColumn("__d2", d2)
     least = ranked.groupBy(*keys).agg(F.min("__d2").alias("__least"))
     tied = ranked.join(least, keys).where(F.col("__d2") == F.col("__least"))
-    return tied.groupBy(*keys).agg(F.max_by(F.struct(*keep), order).alias("p")).select(*keys, "p.*")
+    return one_per_key(tied, keys, keep, order, latest=True)
 
 
-def snapshot(voxels: DataFrame, native: float, leaf: float | None, order: Column) -> DataFrame:
+def snapshot(voxels: DataFrame, native: float, leaf: float | None, order: Column | str) -> DataFrame:
     """The representatives, thinned again only where the wanted leaf is coarser than the native one."""
     if leaf is None or leaf <= native:
         return voxels

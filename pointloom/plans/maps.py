@@ -281,10 +281,11 @@ def t12_delta_feed(spark, d):
 
 @query(f"""WITH {_OPENED}, f AS (SELECT tx, ty, tz, min(x) AS min_x, max(x) AS max_x, count(*) AS n_voxels, count(DISTINCT frame_id) AS version FROM opened GROUP BY tx, ty, tz) SELECT tx, ty, tz, min_x, max_x, n_voxels, version FROM f""")
 def tile_summary_first(spark, d):
-    """The flagship: first point of each voxel, summed up by tile. Two partial aggregates; the second's key is a part of
-    the first's."""
-    cells = tiled(spark, d).groupBy(*tiles.TILE, *tiles.VOXEL).agg(F.min_by(F.struct("x", "y", "z", "intensity", "frame_id"), F.struct(*_ORDER)).alias("p"))
-    return cells.groupBy(*tiles.TILE).agg(F.min("p.x").alias("min_x"), F.max("p.x").alias("max_x"), F.count(F.lit(1)).alias("n_voxels"), F.countDistinct("p.frame_id").alias("version"))
+    """The flagship: first point of each voxel, summed up by tile. The order of arrival is one number, so both aggregates
+    hash, on both sides of their shuffles."""
+    arrival = F.col("frame_id") * 32 + F.col("idx")
+    cells = v.one_per_key(tiled(spark, d), [*tiles.TILE, *tiles.VOXEL], ("x", "y", "z", "intensity", "frame_id"), arrival)
+    return cells.groupBy(*tiles.TILE).agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.count(F.lit(1)).alias("n_voxels"), F.countDistinct("frame_id").alias("version"))
 
 
 # -- metrics, chunks, logs
