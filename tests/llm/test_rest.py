@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pointloom.llm import balltree, licenses, mixing, registry
@@ -149,7 +150,8 @@ def test_oracle_twins(spark, small):
     for name, sql in registry.ORACLE_SQL.items():
         found, want = registry.QUERIES[name](spark, small).toPandas(), con.execute(sql).df()
         assert sorted(found.columns) == sorted(want.columns), name
-        plain = lambda f: sorted(map(str, f[sorted(f.columns)].astype(object).itertuples(index=False, name=None)))
+        one = lambda x: "null" if pd.isna(x) else f"{float(x):.12g}" if isinstance(x, (int, float)) else str(x)
+        plain = lambda f: sorted(tuple(map(one, r)) for r in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
         assert plain(found) == plain(want), name
 
 
