@@ -25,7 +25,7 @@ def cartesian(kind, first, each=None):
 
 
 def recording(frames, devices=b""):
-    body = lvx.HEADER.pack(b"livox_tech", bytes([1, 1, 0, 0]), lvx.MAGIC, 50, len(devices) // 59) + devices
+    body = lvx.HEADER.pack(b"signature", bytes([1, 1, 0, 0]), lvx.MAGIC, 50, len(devices) // 59) + devices
     for i, data in enumerate(frames):
         start = len(body)
         body += lvx.FRAME.pack(start, start + lvx.FRAME.size + len(data), i) + data
