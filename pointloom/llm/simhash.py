@@ -316,8 +316,7 @@ def near_duplicate_classes(docs: DataFrame, size: int, radius: int, hot: int = H
 
 # -- near-duplicates at a likeness of 0.8
 
-#: 256-bit fingerprints of five-word shingles: a likeness (cosine) of 0.8 is an angle of 0.205 half turns,
-#: so at most 52 differing bits.
+#: 256-bit fingerprints of the distinct five-word shingles.
 WORDS, SHINGLE, LIKENESS = 4, 5, 0.8
 #: Bands of two least shingles: sets that share 0.8 of their shingles meet in one of ten with 0.99996.
 BANDS, LEAST = 10, 2
@@ -325,14 +324,20 @@ _mixers = np.random.default_rng(SEED + 1).integers(0, 1 << 63, size=(WORDS + BAN
 
 
 def radius_of(likeness: float, bits: int) -> int:
-    return int(np.arccos(likeness) / np.pi * bits)
+    """Four deviations above the differing bits that sets of this likeness expect: their angle's share, but 3/16 where
+    the sets are small and halves tie (5 and 4 shingles; the most at 0.8)."""
+    share = max(np.arccos(2 * likeness / (1 + likeness)) / np.pi, 3 / 16)
+    return int(np.ceil(bits * share + 4 * np.sqrt(bits * share * (1 - share))))
 
 
-def wide_fingerprint(text: str, size: int = SHINGLE) -> tuple[bytes, np.ndarray]:
-    """256-bit fingerprint (little-endian) and the keys of the bands."""
-    h = shingle_hashes(text, size)
+def wide_fingerprint(text: str, size: int = SHINGLE) -> tuple[int, bytes, np.ndarray]:
+    """Of the set of shingles: its hash, 256-bit fingerprint (little-endian), and the keys of the bands."""
+    import xxhash
+
+    h = np.unique(shingle_hashes(text, size))  # the likeness is one of sets, so a repeated line counts once
+    node = xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED)
     if not len(h):
-        return bytes(8 * WORDS), np.zeros(BANDS, dtype=np.int64)
+        return node, bytes(8 * WORDS), np.zeros(BANDS, dtype=np.int64)
     ones = np.zeros(64 * WORDS, dtype=np.int64)
     for i in range(0, len(h), 16_384):
         part = h[i : i + 16_384, None] * _mixers[None, :WORDS]
@@ -342,7 +347,7 @@ def wide_fingerprint(text: str, size: int = SHINGLE) -> tuple[bytes, np.ndarray]
         ones += np.unpackbits(np.ascontiguousarray(part, dtype="<u8").view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     least = np.array([(h * m).min() for m in _mixers[WORDS:]], dtype=np.uint64).reshape(BANDS, LEAST)
     keys = (least[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (least[:, 1] >> np.uint64(7))
-    return np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").tobytes(), keys.view(np.int64)
+    return node, np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").tobytes(), keys.view(np.int64)
 
 
 def pair_blocks(hot_rows: DataFrame, hot: int) -> DataFrame:
@@ -356,20 +361,18 @@ def pair_blocks(hot_rows: DataFrame, hot: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, hot: int = HOT) -> DataFrame:
     """(doc_id, text_hash, component): classes of texts whose five-word shingles (as sets) are alike by ``likeness`` or
-    more, one row for each row of ``docs(doc_id, text)``; component is the smallest node id (a hash of the fingerprint).
+    more, one row for each row of ``docs(doc_id, text)``; component is the smallest node id (a hash of the whole set).
 
     First links by fingerprints alone, whose angle allows for that likeness; then, among linked nodes only, the same
-    search again with the exact likeness of their shingles. Texts with one 256-bit fingerprint are one node.
+    search again with the exact likeness of their shingles. Only texts with one set of shingles are one node.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             made = [wide_fingerprint(t.as_py() or "") for t in batch.column("text")]
-            node = np.array([xxhash.xxh64_intdigest(p, SEED) for p, _ in made], dtype=np.uint64).view(np.int64)
+            node = np.array([n for n, _, _ in made], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array([p for p, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array([p for _, p, _ in made], pa.binary()), pa.array([k for _, _, k in made], pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "node", "print", "keys"],
             )
 
@@ -391,7 +394,7 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, hot: int = HOT)
 
     exploded = nodes.select("node", "print", F.posexplode("keys").alias("band", "key")).select("band", "key", "node", "print")
     loose = components(linked(exploded, hot))
-    # the texts behind linked fingerprints, one a node, give their shingles; few documents have such a node
+    # one text of each linked node gives its shingles (all texts of a node have the same); few documents have such a node
     chosen = marked.join(loose.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
     chosen = chosen.select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash"))
 
