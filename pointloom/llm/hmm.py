@@ -13,8 +13,8 @@ exact log10 likelihood of the token sequence by the scaled forward recursion.
 
 The parts that grow with the corpus stay distributed. Documents become blocks of a bounded number of
 tokens; a block holds its distinct words once, so counting shuffles a word once a block (not once an
-occurrence), and counts come back to their block the same way. Baum-Welch starts on a bounded sample
-(``WARM_TOKENS``), then runs a round over all training documents: tasks emit expected counts as
+occurrence), and counts come back to their block the same way. Each of the ``ROUNDS`` of Baum-Welch
+goes over all training documents, whole: tasks emit expected counts as
 fixed-point numbers (sums are exact in any order), which are added up by state and symbol. Only tables
 of that fixed size (states times symbols) reach the driver.
 
@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from pointloom.llm import common
 
 STATES, FREQUENT, CLASSES = 8, 4_096, 2_048
-#: Tokens in a block, in the warm-up sample, and in a training sequence.
-BLOCK_TOKENS, WARM_TOKENS, SEGMENT = 4_000_000, 1_500_000, 1_024
-WARM_ROUNDS, FULL_ROUNDS = 12, 1
+#: Tokens in a block, and in a training sequence.
+BLOCK_TOKENS, SEGMENT = 4_000_000, 1_024
+ROUNDS = 13
 PRIOR, FIXED = 200.0, float(1 << 20)
 END, UNKNOWN = FREQUENT + CLASSES, FREQUENT + CLASSES + 1
 SYMBOLS = FREQUENT + CLASSES + 2
@@ -291,7 +291,8 @@ def pieces(sizes: np.ndarray, most: int = SEGMENT) -> np.ndarray:
 
 
 def training_round(data: DataFrame, model: Model, v: Vocabulary) -> Model:
-    """One Baum-Welch round over the training documents of coded blocks ``data(held, sizes, symbols)``."""
+    """One Baum-Welch round over the training documents of coded blocks ``data(held, sizes, symbols)``; the model as it
+    is where there are none."""
     shipped = data.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,41 +317,18 @@ def training_round(data: DataFrame, model: Model, v: Vocabulary) -> Model:
 
     k = len(model.start)
     summed = data.select("held", "sizes", "symbols").mapInArrow(scan, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).toArrow()
+    if not summed.num_rows:
+        return model  # nothing gathered; a model of no counts would have equal states for good
     flat = np.zeros(k + k * k + SYMBOLS * k)
     flat[summed.column("key").to_numpy()] = summed.column("value").to_numpy() / FIXED
     return model_of(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(SYMBOLS, k), v)
 
 
-def warm_sample(data: DataFrame, tokens: int) -> DataFrame:
-    """Some training documents of each block, so that all blocks give about WARM_TOKENS tokens, cut to a training
-    sequence each."""
-    share = min(1.0, WARM_TOKENS / max(1, tokens))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for held, sizes, data in zip(batch.column("held"), batch.column("sizes"), batch.column("symbols"), strict=True):
-                raw = data.as_py()
-                sizes = sizes.values.to_numpy().astype(np.int64) + 1
-                keep = ~np.array(held.values.to_pylist(), dtype=bool)
-                rank = np.cumsum(keep) - 1
-                keep &= np.floor((rank + 1) * share) > np.floor(rank * share)
-                starts = np.cumsum(sizes) - sizes
-                cut = [(2 * int(s), 2 * int(s + min(n, SEGMENT))) for s, n in zip(starts[keep], sizes[keep], strict=True)]
-                lengths = [(b - a) // 2 - 1 for a, b in cut]
-                if cut:
-                    yield pa.RecordBatch.from_arrays([pa.array([[False] * len(cut)]), pa.array([lengths], pa.list_(pa.int32())), pa.array([b"".join(raw[a:b] for a, b in cut)], pa.binary())], names=["held", "sizes", "symbols"])
-
-    return data.select("held", "sizes", "symbols").mapInArrow(scan, "held array<boolean>, sizes array<int>, symbols binary")
-
-
 def train(data: DataFrame, v: Vocabulary) -> Model:
     model = first_model(v)
     if not v.tokens:
         return model
-    warm = common.written(warm_sample(data, v.tokens).repartition(6), "lm-warm")
-    for _ in range(WARM_ROUNDS):
-        model = training_round(warm, model, v)
-    for _ in range(FULL_ROUNDS):
+    for _ in range(ROUNDS):
         model = training_round(data, model, v)
     return model
 

@@ -90,3 +90,26 @@ def test_equal_blocks(spark):
     got = hmm.language_model_scores(df).collect()
     assert len(got) == 4 and {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(4, 4, 16)}
     assert all(np.isclose(r.base_score, 2 * np.log10(9 / 20) + 2 * np.log10(5 / 20)) for r in got)
+
+
+def test_each_round_sees_all_training_tokens(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen, whole = [], hmm.training_round
+
+    def watched(data, model, v):
+        rows = data.select("held", "sizes").collect()
+        seen.append(sum(n + 1 for r in rows for h, n in zip(r.held, r.sizes, strict=True) if not h))
+        return whole(data, model, v)
+
+    monkeypatch.setattr(hmm, "training_round", watched)
+    texts = [(1, "the cat sat on a mat " * 500), (2, "a dog ran"), (3, "the end")]
+    hmm.language_model_scores(spark.createDataFrame(texts, "doc_id long, text string").withColumn("held", F.col("doc_id") == 3))
+    assert len(seen) > 1 and set(seen) == {3001 + 4}
+
+
+def test_a_round_without_training_rows_keeps_the_model(spark):
+    v = hmm.Vocabulary(100, 20, 5, {b"a": 0}, np.array([50.0] + [0.0] * (hmm.FREQUENT - 1)), np.zeros((3, hmm.CLASSES)))
+    first = hmm.first_model(v)
+    none = spark.createDataFrame([([True], [1], bytes(4))], "held array<boolean>, sizes array<int>, symbols binary")
+    assert np.array_equal(hmm.training_round(none, first, v).emit, first.emit)
