@@ -2,7 +2,7 @@
 
 Texts become words (ASCII letters in lower case, digits, all characters beyond ASCII). A rule is a
 pattern over words with a label, a keyword, a priority and a weight. A document is looked at only if
-it has one of the gate's stems, a rule only if the document has the rule's keyword. All places where
+it has one of the gate's stems, a rule only if the document has one of the rule's keywords. All places where
 a rule's words stand give detections (first word, last word). A detection that lies inside another
 one of the same or a higher priority is suppressed: sorted by start, longest and highest first, one
 pass with the furthest end of each priority decides all.
@@ -95,6 +95,11 @@ FAMILIES = {
     "mulan-2": ("mulan", r"mulan permissive software licen[cs]e( version)? 2", "mulanpsl 2 0"),
 }
 
+#: Further keywords of families whose name has alternatives without the first one: a document needs one of them.
+FURTHER = {
+    "mit": ("expat", "x11"), "gpl": ("gnu gpl",), "lgpl": ("gnu lgpl",), "cddl": ("common development",), "cc0": ("commons zero",), "libpng": ("png",), "psf": ("psf",),
+}
+
 #: Ways in which a license's name is used: pattern around the name, priority, weight.
 USES = {
     "name": ("({name})", 1, 0.6),
@@ -164,6 +169,11 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return found + SINGLE
 
 
+def keywords_of(label: str, keyword: str) -> tuple[str, ...]:
+    """Keywords of a rule of :func:`rules`, of which one stands wherever its pattern does."""
+    return (keyword, *FURTHER.get(label, ())) if label in FAMILIES and keyword == FAMILIES[label][0] else (keyword,)
+
+
 def _pattern(words: str) -> str:
     """A rule over `` words `` with blanks around; group 1 is the whole place."""
     return f"(?<= )((?:{words}))(?= )"
@@ -190,9 +200,9 @@ def _array(rows: list[tuple], names: str) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and detections
     (array of first, last, priority, weight, label: all of them, before suppression)."""
-    table = [(label, keyword, _pattern(words), priority, weight) for label, keyword, words, priority, weight in rules()]
-    rule_array = _array(table, "label keyword pattern priority weight")
-    keywords = F.array(*(F.lit(k) for k in sorted({r[1] for r in table})))
+    table = [(label, list(keywords_of(label, keyword)), _pattern(words), priority, weight) for label, keyword, words, priority, weight in rules()]
+    rule_array = _array(table, "label keywords pattern priority weight")
+    keywords = F.array(*(F.lit(k) for k in sorted({k for r in table for k in r[1]})))
     base_array = _array([(label, _pattern(words), words) for words, label in BASE.items()], "label pattern words")
     no_places = F.lit(None).cast("array<struct<first:int,last:int>>")
 
@@ -206,7 +216,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     place_type = "array<struct<first:int,last:int,priority:int,weight:double,label:string>>"
     held = F.filter(keywords, lambda k: line.contains(k))
-    present = F.filter(rule_array, lambda r: F.array_contains(F.col("__held"), r["keyword"]) & F.rlike(line, r["pattern"]))
+    present = F.filter(rule_array, lambda r: F.arrays_overlap(F.col("__held"), r["keywords"]) & F.rlike(line, r["pattern"]))
     spread = F.flatten(F.transform("__present", lambda r: F.transform(_places(line, r["pattern"]), lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), r["priority"].alias("priority"), r["weight"].alias("weight"), r["label"].alias("label")))))
     base_present = F.filter(base_array, lambda r: line.contains(F.concat(F.lit(" "), r["words"], F.lit(" "))))
     found = (

@@ -140,6 +140,44 @@ def test_rules_are_many_and_gated():
     assert samples
 
 
+def shortest(tree):
+    """All shortest strings of a parsed pattern: each alternative, each sign of a class, optional parts left out."""
+    out = [""]
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "ANY":
+            more = ["a"]
+        elif name == "IN":
+            more = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value]
+        elif name == "SUBPATTERN":
+            more = shortest(value[-1])
+        elif name == "BRANCH":
+            more = [x for branch in value[1] for x in shortest(branch)]
+        elif name == "MAX_REPEAT":
+            more = [""] if not value[0] else [x * value[0] for x in shortest(value[2])]
+        else:
+            raise ValueError(name)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_pattern_implies_a_keyword_and_the_gate():
+    from re import _parser
+
+    for label, keyword, pattern, *_ in licenses.rules():
+        for text in shortest(_parser.parse(pattern)):
+            assert re.fullmatch(pattern, text) and re.search(licenses.GATE, text), (label, text)
+            assert any(k in text for k in licenses.keywords_of(label, keyword)), (label, text)
+
+
+def test_alternative_names_are_found(spark):
+    names = {"gpl": "GNU GPL", "lgpl": "GNU LGPL", "mit": "Expat License", "cddl": "Common Development and Distribution License", "cc0": "Creative Commons Zero", "libpng": "PNG Reference Library License", "psf": "PSF License"}
+    df = spark.createDataFrame([(label, f"Released under the {name}.") for label, name in [*names.items(), ("mit", "X11 license")]], "want string, text string")
+    assert [(r.want, r.labels) for r in licenses.scan(df).collect() if r.want != r.labels] == []
+
+
 # -- the whole
 
 
