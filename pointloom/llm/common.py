@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +74,60 @@ def slices(lengths: np.ndarray, most: int):
         yield first, len(lengths)
 
 
+def texts_of_size(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in batches whose texts have about ``most`` bytes, one row at least: large ones are
+    cut, small ones gathered."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for first, last in slices(lengths, most):
+            own = int(lengths[first:last].sum())
+            if held and size + own > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(batch.slice(first, last - first))
+            size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts of a string column, one after the other, and the n + 1 places where they begin and end."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    texts = pa.concat_arrays([texts])  # a slice may start inside its buffers
+    _, offsets, data = texts.buffers()
+    cuts = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if offsets and len(texts) else np.zeros(len(texts) + 1, dtype=np.int64)
+    bytes_of = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    return bytes_of[cuts[0] : cuts[-1]], cuts - cuts[0]
+
+
+def strings(data: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The stretches of ``data`` from each of ``starts`` to the next as one Arrow column; nothing is copied."""
+    cuts = np.append(starts, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+_BLANKS = np.zeros(256, dtype=bool)
+_BLANKS[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text (runs without the six white-space bytes, A-Z in lower case): a number for each word in order,
+    how many each text has, and the distinct words by number."""
+    data, cuts = text_bytes(texts)
+    solid = ~_BLANKS[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    inner = cuts[:-1][cuts[:-1] < len(data)]
+    first[inner] = solid[inner]  # a text never goes on in the next
+    at = np.flatnonzero(first)
+    sizes = np.diff(np.searchsorted(at, cuts))
+    coded = strings(_LOWER[data[solid]], np.flatnonzero(first[solid]), pa.string()).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), sizes, coded.dictionary
+
+
 def range_bounds(df: DataFrame, key: str, blocks: int) -> list[int]:
     """Keys that occur in ``df`` and cut it into about ``blocks`` even ranges; the smallest key first.
 

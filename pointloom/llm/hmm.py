@@ -11,17 +11,22 @@ and the symbol's words share its probability:
 So a state's outcomes sum to 1 over training words, the unknown word and the end, and the score is the
 exact log10 likelihood of the token sequence by the scaled forward recursion.
 
-The parts that grow with the corpus stay distributed. Documents become blocks of a bounded number of
-tokens; a block holds its distinct words once, so counting shuffles a word once a block (not once an
-occurrence), and counts come back to their block the same way. Each of the ``ROUNDS`` of Baum-Welch
-goes over all training documents, whole: tasks emit expected counts as
-fixed-point numbers (sums are exact in any order), which are added up by state and symbol. Only tables
-of that fixed size (states times symbols) reach the driver.
+Learning is Baum-Welch by shares (incremental expectation maximisation): a hash deals the training
+documents to ``SHARES`` parts of growing size; each of the first rounds goes over one part with the
+model that the parts before it gave; ``ROUNDS`` more go over all training documents. Documents count whole. Tasks emit expected counts as fixed-point numbers (sums are exact in any order), which are added
+up by state and symbol; only tables of that fixed size (states times symbols) reach the driver.
+
+What grows with the corpus stays distributed. Documents become blocks of a bounded number of bytes; a
+block holds its distinct words once, so counting shuffles a word once a block (not once an occurrence).
+A count comes back to a block only where other blocks have the word too.
+
+Documents are never cut. One longer than ``PIECE`` tokens is walked in pieces that are all lanes of one
+numpy step: each piece first gives its transfer matrix (what any state before it leads to), the chain of
+these gives the exact chances at every piece's edges, and no count or likelihood is lost between pieces.
 
 Defined results
     * null text counts as empty: its one token is the end;
     * no training documents: base scores are 0 and the model falls back on its flat prior;
-    * training sequences longer than ``SEGMENT`` tokens are learned from in pieces; scores never cut;
     * repeated rows give repeated results; extra columns are ignored; null ids stay null and count as
       the empty id for the training split; an empty table gives no rows.
 """
@@ -33,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,61 +47,56 @@ from pyspark.sql import functions as F
 from pointloom.llm import common
 
 STATES, FREQUENT, CLASSES = 8, 4_096, 2_048
-#: Tokens in a block, and in a training sequence.
-BLOCK_TOKENS, SEGMENT = 4_000_000, 1_024
-ROUNDS = 13
+#: Bytes of text in a block, tokens in a piece (a lane), and tokens that a worker walks at once.
+BLOCK_BYTES, PIECE, WALK = 6_000_000, 2_048, 600_000
+#: Sixteenths of the training documents that the rounds by shares take, and the weight of each round's counts.
+SHARES, WEIGHTS = (1, 1, 1, 1, 2, 2, 4, 4), (1.0, 0.8, 0.8, 0.8, 0.7, 0.7, 0.7, 0.7)
+#: Rounds over all training documents after those.
+ROUNDS = 2
 PRIOR, FIXED = 200.0, float(1 << 20)
 END, UNKNOWN = FREQUENT + CLASSES, FREQUENT + CLASSES + 1
 SYMBOLS = FREQUENT + CLASSES + 2
 SUFFIX = 3
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words in lower case (A-Z only); bytes split at just the six white-space bytes of the contract."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 # -- documents to blocks
 
-BLOCK_SCHEMA = "block string, words array<string>, n_train array<int>, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary"
+BLOCK_SCHEMA = "block string, words array<string>, n_train array<int>, doc_ids array<long>, held array<boolean>, shares array<int>, sizes array<int>, tokens binary"
+_SHARE_OF = np.repeat(np.arange(len(SHARES)), SHARES)
 
 
-def blocks(docs: DataFrame, most: int = BLOCK_TOKENS) -> DataFrame:
+def blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """``docs(doc_id, text, held)`` to blocks. Tokens are numbers of the block's own words, frequent ones first."""
-
-    def close(rows: list[tuple], known: dict[bytes, int], tokens: list[np.ndarray]) -> pa.RecordBatch:
-        sizes = np.array([r[2] for r in rows], dtype=np.int32)
-        held = np.array([r[1] for r in rows], dtype=bool)
-        flat = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
-        order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
-        place = np.empty(len(known), dtype=np.int32)
-        place[order] = np.arange(len(known))
-        flat = place[flat]
-        train = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(known)).astype(np.int32)
-        spelled = list(known)
-        data = flat.astype("<i4").tobytes()
-        name = xxhash.xxh3_128_hexdigest(data + repr(rows).encode())
-        columns = [[name], [[spelled[i] for i in order.tolist()]], [train], [[r[0] for r in rows]], [held], [sizes], [zstandard.compress(data, 3)]]
-        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
+    names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, known, tokens, count = [], {}, [], 0
-        for batch in batches:
-            for doc_id, text, held in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held").to_pylist(), strict=True):
-                words = words_of(text.as_py() or "")
-                number = known.setdefault
-                tokens.append(np.array([number(w, len(known)) for w in words], dtype=np.int32))
-                rows.append((doc_id, held, len(words)))
-                count += len(words)
-                if count >= most:
-                    yield close(rows, known, tokens)
-                    rows, known, tokens, count = [], {}, [], 0
-        if rows:
-            yield close(rows, known, tokens)
-
+        for batch in common.texts_of_size(batches, most):
+            codes, sizes, words = common.coded_words(batch.column("text"))
+            held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            shares = _SHARE_OF[batch.column("dealt").to_numpy(zero_copy_only=False)]
+            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            place = np.empty(len(words), dtype=np.int32)
+            place[order] = np.arange(len(words))
+            codes = place[codes]
+            train = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(words)).astype(np.int32)
+            data = codes.astype("<i4").tobytes()
+            rest = repr((batch.column("doc_id").to_pylist(), held.tolist(), sizes.tolist())).encode()
+            name = xxhash.xxh3_128_hexdigest(data + rest + xxhash.xxh3_128_digest("\n".join(words.to_pylist()).encode()))
+            row = [name, words.take(pa.array(order)), train, batch.column("doc_id"), held, shares, sizes.astype(np.int32), zstandard.compress(data, 1)]
+            yield pa.RecordBatch.from_arrays([_lone(x, k) for x, k in zip(row, kinds, strict=True)], names=names)
+
+    dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(sum(SHARES))).cast("int").alias("dealt")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "held")
-    return plain.mapInArrow(scan, BLOCK_SCHEMA)
+    return plain.select("*", dealt).mapInArrow(scan, BLOCK_SCHEMA)
+
+
+def _lone(value, kind: pa.DataType) -> pa.Array:
+    """A column of one row; a list is given as an array."""
+    if not pa.types.is_list(kind):
+        return pa.array([value], kind)
+    flat = value if isinstance(value, pa.Array) else pa.array(value, kind.value_type)
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind.value_type))
 
 
 # -- counts over all blocks
@@ -117,12 +118,13 @@ def suffix_class(word: bytes) -> int:
 
 
 def counted(held: DataFrame) -> DataFrame:
-    """(block, idx, c long, word): training count of each block's words over all blocks. ``word`` is given on
-    one row of each word only. One shuffle, by word."""
+    """(block, idx, c long, n_train int, word): training count of each block's words over all blocks, and in the block.
+    ``word`` is given on one row of each word only. One shuffle, by word: a word has a row a block at most, which is
+    less than a block has words, so no word weighs more than a task's share of them."""
     each = held.select("block", F.posexplode(F.arrays_zip("words", "n_train")).alias("idx", "x")).select("block", "idx", "x.words", "x.n_train")
     own = Window.partitionBy("words")
-    first = F.row_number().over(own.orderBy("block", "idx")) == 1
-    return each.select("block", "idx", F.sum(F.col("n_train").cast("long")).over(own).alias("c"), F.when(first, F.col("words")).alias("word"))
+    first = F.row_number().over(own.orderBy("words")) == 1  # any one of them; the table is written once
+    return each.select("block", "idx", "n_train", F.sum(F.col("n_train").cast("long")).over(own).alias("c"), F.when(first, F.col("words")).alias("word"))
 
 
 def vocabulary(held: DataFrame, counts: DataFrame) -> Vocabulary:
@@ -139,45 +141,57 @@ def vocabulary(held: DataFrame, counts: DataFrame) -> Vocabulary:
     return Vocabulary(total, kinds, ends, {r["word"].encode(): i for i, r in enumerate(top)}, np.array([r["c"] for r in top] + [0] * (FREQUENT - len(top)), dtype=float), sums)
 
 
-CODED_SCHEMA = "doc_ids array<long>, held array<boolean>, sizes array<int>, known array<int>, base array<double>, inner array<double>, symbols binary"
+CODED_SCHEMA = "doc_ids array<long>, held array<boolean>, sizes array<int>, known array<int>, base array<double>, inner array<double>, symbols binary, share int"
 
 
 def coded(held: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Blocks of symbols. By document: words (without the end), known tokens, base score, and the log10 of
-    what its words have inside their symbols."""
+    """Documents as symbols, a row for each block and share. By document: words (without the end), known tokens, base
+    score, and the log10 of what its words have inside their symbols."""
     shipped = held.sparkSession.sparkContext.broadcast(vocab)
+    names = [x.split()[0] for x in CODED_SCHEMA.split(", ")]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.int32()]
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        v = shipped.value
-        parts = [[] for _ in range(7)]
+        v, rows = shipped.value, []
         if left.num_rows:
             # equal rows in two partitions may make equal blocks, with one name; their words are the same
-            words = left.column("words")[0].values.cast(pa.binary()).to_pylist()
-            c = np.zeros(len(words))
+            words = left.column("words")[0].values
+            c = left.column("n_train")[0].values.to_numpy().astype(np.float64)
             c[right.column("idx").to_numpy()] = right.column("c").to_numpy()
             base_word = np.log10((c + 1) / (v.tokens + v.kinds + 1))
             base_end = np.log10((v.ends + 1) / (v.tokens + v.kinds + 1))
-            symbol = np.array([v.frequent.get(w, -1) for w in words], dtype=np.int64)
+            frequent = pc.index_in(words, pa.array([w.decode("utf-8", "surrogatepass") for w in v.frequent], pa.string()))
+            symbol = pc.fill_null(frequent, -1).to_numpy(zero_copy_only=False).astype(np.int64)
             rare = np.flatnonzero((symbol < 0) & (c > 0))
-            group = np.array([suffix_class(words[i]) for i in rare.tolist()], dtype=np.int64)
+            classes: dict[str, int] = {}
+            group = np.empty(len(rare), dtype=np.int64)
+            for i, w in enumerate(words.take(pa.array(rare)).to_pylist()):
+                end = w[-SUFFIX:]
+                if end not in classes:
+                    classes[end] = suffix_class(end.encode("utf-8", "surrogatepass"))
+                group[i] = classes[end]
             symbol[rare] = FREQUENT + group
             symbol[c == 0] = UNKNOWN
             inner = np.zeros(len(words))
             inner[rare] = np.log10((c[rare] + 1) / class_mass(v)[group])
             for i in range(left.num_rows):
-                sizes = left.column("sizes")[i].values.to_numpy()
+                sizes, shares = (left.column(n)[i].values.to_numpy() for n in ("sizes", "shares"))
                 tokens = np.frombuffer(zstandard.decompress(left.column("tokens")[i].as_py()), "<i4")
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 total = lambda x: np.bincount(owner, x[tokens], minlength=len(sizes)) if len(tokens) else np.zeros(len(sizes))
                 flat = np.full(len(tokens) + len(sizes), END, dtype="<u2")
                 flat[np.arange(len(tokens)) + owner] = symbol[tokens]
-                row = [left.column(n)[i].as_py() for n in ("doc_ids", "held")] + [sizes, (total((c > 0).astype(float)) + (v.ends > 0)).astype(np.int32), total(base_word) + base_end, total(inner), flat.tobytes()]
-                for p, x in zip(parts, row, strict=True):
-                    p.append(x)
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary()]
-        return pa.table([pa.array(p, k) for p, k in zip(parts, kinds, strict=True)], names=[x.split()[0] for x in CODED_SCHEMA.split(", ")])
+                home = np.repeat(shares, sizes + 1)
+                by_document = [left.column("doc_ids")[i].values, left.column("held")[i].values, *(pa.array(x) for x in (sizes, (total((c > 0).astype(float)) + (v.ends > 0)).astype(np.int32), total(base_word) + base_end, total(inner)))]
+                for share in np.unique(shares).tolist():
+                    own = pa.array(np.flatnonzero(shares == share))
+                    rows.append([x.take(own) for x in by_document] + [flat[home == share].tobytes(), share])
+        made = [pa.RecordBatch.from_arrays([_lone(x, k) for x, k in zip(r, kinds, strict=True)], names=names) for r in rows]
+        return pa.Table.from_batches(made, schema=pa.schema(list(zip(names, kinds, strict=True))))
 
-    return held.drop("n_train").groupBy("block").cogroup(counts.select("block", "idx", "c").groupBy("block")).applyInArrow(one, CODED_SCHEMA)
+    # where no other block has the word, the block's own count is the whole one
+    others = counts.where("c <> n_train").select("block", "idx", "c")
+    return held.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(one, CODED_SCHEMA)
 
 
 # -- the model
@@ -225,111 +239,213 @@ def first_model(v: Vocabulary, states: int = STATES, seed: int = 11) -> Model:
     return model_of(np.ones(states), 50 * (np.full((states, states), 0.05 / states) + 0.95 * np.eye(states)) * 100, emit * size, v)
 
 
-def lanes(sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Order by falling length, and how many sequences are longer than t for each t."""
+def lanes(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences side by side: their order by falling length, where each step begins (and the last ends), and the
+    places of all tokens step by step, so that a step's tokens are neighbours."""
     order = np.argsort(-sizes, kind="stable")
-    return order, (len(sizes) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), side="right")).tolist()
+    alive = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), side="right")
+    cuts = np.concatenate([[0], np.cumsum(alive)])
+    step = np.repeat(np.arange(len(alive)), alive)
+    return order, cuts, first[order][np.arange(cuts[-1]) - cuts[step]] + step
 
 
-def forward(symbols: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
+@dataclass
+class Walk:
+    """Sequences (sizes of 1 or more) cut into pieces of at most PIECE tokens, with what stands at the edges of pieces."""
+
+    first: np.ndarray  # place of each piece's first token
+    sizes: np.ndarray
+    owner: np.ndarray  # sequence of each piece
+    opens: np.ndarray  # whether the piece opens its sequence
+    before: np.ndarray  # state chances at the token before the piece (not used where it opens)
+    enter: np.ndarray  # chances of the first token's state, before its symbol
+    exit: np.ndarray  # what the rest of the sequence makes of the last token's state, up to a factor
+    reach: np.ndarray  # log10 likelihood of what stands before the piece
+
+
+def walk(symbols: np.ndarray, sizes: np.ndarray, model: Model, piece: int) -> Walk:
+    k, counts = len(model.start), -(-sizes // piece)
+    lengths = np.full(int(counts.sum()), piece, dtype=np.int64)
+    heads = np.cumsum(counts) - counts
+    lengths[heads + counts - 1] = sizes - (counts - 1) * piece
+    n, opens = len(lengths), np.zeros(len(lengths), dtype=bool)
+    opens[heads] = True
+    w = Walk(np.cumsum(lengths) - lengths, lengths, np.repeat(np.arange(len(sizes)), counts), opens, np.zeros((n, k)), np.tile(model.start, (n, 1)), np.ones((n, k)), np.zeros(n))
+    long = np.flatnonzero(counts > 1)
+    if not len(long):
+        return w
+    mine = np.flatnonzero(counts[w.owner] > 1)
+    transfer, weight = np.zeros((n, k, k)), np.zeros(n)
+    for a, b in common.slices(lengths[mine] * k, 4 * WALK):
+        transfer[mine[a:b]], weight[mine[a:b]] = transfers(symbols, w.first[mine[a:b]], lengths[mine[a:b]], model)
+    for j in range(1, int(counts.max())):  # one step for all sequences that have a piece j
+        at = heads[long[counts[long] > j]] + j
+        ahead = np.einsum("ni,nij->nj", w.enter[at - 1], transfer[at - 1])
+        mass = ahead.sum(axis=1)
+        w.before[at] = ahead / mass[:, None]
+        w.enter[at] = w.before[at] @ model.step
+        w.reach[at] = w.reach[at - 1] + weight[at - 1] + np.log10(mass)
+    for j in range(int(counts.max()) - 1, 0, -1):
+        at = heads[long[counts[long] > j]] + j
+        later = np.einsum("nij,nj->ni", transfer[at], w.exit[at]) @ model.step.T
+        w.exit[at - 1] = later / later.max(axis=1, keepdims=True)
+    return w
+
+
+def transfers(symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the matrix (scaled, and its scale's log10) from the chances of its first token's state to what its last has."""
+    order, cuts, spots = lanes(first, sizes)
+    k, n = len(model.start), len(sizes)
+    own, turn = np.take(model.emit.T, symbols[spots], axis=1), model.step.T
+    held, weight = np.repeat(np.eye(k)[:, :, None], n, axis=2), np.zeros(n)  # state now, state before, piece
+    for t, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        m = high - low
+        now = held[:, :, :m] if t == 0 else (turn @ held[:, :, :m].reshape(k, k * m)).reshape(k, k, m)
+        now = now * own[:, None, low:high]
+        if t % 4 == 3:
+            c = now.max(axis=(0, 1))
+            now /= c
+            weight[:m] += np.log10(c)
+        held[:, :, :m] = now
+    out, logs = np.empty((n, k, k)), np.empty(n)
+    out[order], logs[order] = held.transpose(2, 1, 0), weight
+    return out, logs
+
+
+def forward(symbols: np.ndarray, sizes: np.ndarray, model: Model, piece: int = PIECE) -> np.ndarray:
     """log10 likelihood of each sequence (sizes of 1 or more), many at a time, scaled at each token."""
-    order, alive = lanes(sizes)
-    at = (np.cumsum(sizes) - sizes)[order]
-    alpha = np.tile(model.start, (len(sizes), 1))
-    total, scale = np.zeros(len(sizes)), np.ones(len(sizes))
-    for t, m in enumerate(alive):
-        now = alpha[:m] if t == 0 else alpha[:m] @ model.step
-        now *= model.emit[symbols[at[:m]]]
-        c = now.sum(axis=1)
-        np.divide(now, c[:, None], out=alpha[:m])
-        scale[:m] *= c
-        if t % 16 == 15:  # a product of 16 factors stays far from underflow
-            total[:m] += np.log10(scale[:m])
-            scale[:m] = 1.0
-        at[:m] += 1
+    w = walk(symbols, sizes, model, piece)
+    last = np.append(w.opens[1:], True)[: len(w.opens)]  # what stands before a sequence's last piece is known by now
     out = np.empty(len(sizes))
-    out[order] = total + np.log10(scale)
-    return out
-
-
-def expected(symbols: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first, lengths, enter = w.first[last], w.sizes[last], w.enter[last]
+    for a, b in common.slices(lengths, WALK):
+        order, cuts, spots = lanes(first[a:b], lengths[a:b])
+        own, turn = np.take(model.emit.T, symbols[spots], axis=1), np.ascontiguousarray(model.step.T)
+        alpha, total, scale = np.ascontiguousarray(enter[a:b][order].T), np.zeros(b - a), np.ones(b - a)
+        for t, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            m = high - low
+            now = alpha[:, :m] if t == 0 else turn @ alpha[:, :m]
+            now = now * own[:, low:high]
+            c = now.sum(axis=0)
+            now /= c
+            alpha[:, :m] = now
+            scale[:m] *= c
+            if t % 16 == 15:  # a product of 16 factors stays far from underflow
+                total[:m] += np.log10(scale[:m])
+                scale[:m] = 1.0
+        out[a:b][order] = total + np.log10(scale)
+    return out + w.reach[last]
+
+
+def expected(symbols: np.ndarray, sizes: np.ndarray, model: Model, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected starts, steps and emissions of sequences (sizes of 1 or more)."""
-    order, alive = lanes(sizes)
-    first = (np.cumsum(sizes) - sizes)[order]
+    whole, k = walk(symbols, sizes, model, piece), len(model.start)
+    starts, steps, emits = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k))
+    for a, b in common.slices(whole.sizes, WALK):
+        low, high = int(whole.first[a]), int(whole.first[b - 1] + whole.sizes[b - 1])
+        one = Walk(whole.first[a:b] - low, *(getattr(whole, n)[a:b] for n in ("sizes", "owner", "opens", "before", "enter", "exit", "reach")))
+        for total, x in zip((starts, steps, emits), _expected(symbols[low:high], one, model), strict=True):
+            total += x
+    return starts, steps, emits
+
+
+def _expected(symbols: np.ndarray, w: Walk, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of pieces; in single precision, for they are scaled at each token and only summed here."""
+    order, cuts, spots = lanes(w.first, w.sizes)
     k = len(model.start)
-    alphas, scales = np.empty((len(symbols), k), dtype=np.float32), np.empty(len(symbols), dtype=np.float32)
-    alpha = np.tile(model.start, (len(sizes), 1))
-    for t, m in enumerate(alive):
-        spot = first[:m] + t
-        now = alpha[:m] if t == 0 else alpha[:m] @ model.step
-        now *= model.emit[symbols[spot]]
-        c = now.sum(axis=1)
-        np.divide(now, c[:, None], out=alpha[:m])
-        alphas[spot], scales[spot] = alpha[:m], c
+    step = model.step.astype(np.float32)
+    turn = np.ascontiguousarray(step.T)
+    symbols = symbols[spots].astype(np.int64)
+    own = np.take(np.ascontiguousarray(model.emit.T, dtype=np.float32), symbols, axis=1)
+    alphas = np.empty_like(own)
+    alpha, ranges = np.ascontiguousarray(w.enter[order].T, dtype=np.float32), list(zip(cuts.tolist(), cuts[1:].tolist()))
+    for t, (low, high) in enumerate(ranges):
+        m = high - low
+        now = np.multiply(alpha[:, :m] if t == 0 else turn @ alpha[:, :m], own[:, low:high], out=alphas[:, low:high])
+        scale = 1 / now.sum(axis=0)
+        now *= scale
+        own[:, low:high] *= scale  # what the way back needs of a token: its symbol's chances over its scale
+        alpha = now
+    ends = np.empty((k, len(order)), dtype=np.float32)
+    for (low, high), rest in zip(ranges, [*(b - a for a, b in ranges[1:]), 0]):
+        ends[:, rest : high - low] = alphas[:, low + rest : high]
     steps = np.zeros((k, k))
-    beta = np.ones((len(sizes), k))
-    for t in range(len(alive) - 1, -1, -1):
-        m, spot = alive[t], first[: alive[t]] + t
-        later = alive[t + 1] if t + 1 < len(alive) else 0
-        if later:
-            after = spot[:later] + 1
-            ahead = beta[:later] * model.emit[symbols[after]] / scales[after][:, None]
-            steps += alphas[spot[:later]].astype(np.float64).T @ ahead
-            beta[:later] = ahead @ model.step.T
-        alphas[spot] *= beta[:m]
-    starts = alphas[first].astype(np.float64).sum(axis=0)
-    emits = np.stack([np.bincount(symbols, alphas[:, i], minlength=SYMBOLS) for i in range(k)], axis=1)
+    beta = w.exit[order].T
+    beta = (beta / (ends * beta).sum(axis=0)).astype(np.float32)
+    for t in range(len(ranges) - 1, -1, -1):
+        low, high = ranges[t]
+        if t + 1 < len(ranges):
+            a, b = ranges[t + 1]
+            ahead = beta[:, : b - a] * own[:, a:b]
+            steps += alphas[:, low : low + b - a] @ ahead.T
+            np.matmul(step, ahead, out=beta[:, : b - a])
+        alphas[:, low:high] *= beta[:, : high - low]
+    opens = w.opens[order]
+    over = ~opens
+    if over.any():  # from the last token of the piece before
+        steps += w.before[order][over].T @ (beta * own[:, : len(order)])[:, over].T
+    starts = alphas[:, : len(order)][:, opens].sum(axis=1, dtype=np.float64)
+    emits = np.stack([np.bincount(symbols, a, minlength=SYMBOLS) for a in alphas], axis=1)
     return starts, steps * model.step, emits
 
 
-def pieces(sizes: np.ndarray, most: int = SEGMENT) -> np.ndarray:
-    """Lengths of the pieces of at most ``most`` tokens that sequences are cut into, in order."""
-    counts = -(-sizes // most)
-    out = np.full(int(counts.sum()), most, dtype=np.int64)
-    out[np.cumsum(counts) - 1] = sizes - (counts - 1) * most
-    return out
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def training_round(data: DataFrame, model: Model, v: Vocabulary) -> Model:
-    """One Baum-Welch round over the training documents of coded blocks ``data(held, sizes, symbols)``; the model as it
-    is where there are none."""
+def gathered(data: DataFrame, model: Model) -> Counts | None:
+    """Expected counts over the training documents of coded rows ``data(held, sizes, symbols)``; None where there are none."""
     shipped = data.sparkSession.sparkContext.broadcast(model)
+    k = len(model.start)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        k = len(m.start)
         sums = [np.zeros(k, dtype=np.int64), np.zeros((k, k), dtype=np.int64), np.zeros((SYMBOLS, k), dtype=np.int64)]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add() -> None:
+            for s, x in zip(sums, expected(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), m), strict=True):
+                s += np.round(x * FIXED).astype(np.int64)
+            held.clear()
+
         for batch in batches:
-            for held, sizes, data in zip(batch.column("held"), batch.column("sizes"), batch.column("symbols"), strict=True):
+            for flags, sizes, row in zip(batch.column("held"), batch.column("sizes"), batch.column("symbols"), strict=True):
                 sizes = sizes.values.to_numpy().astype(np.int64) + 1
-                keep = ~np.array(held.values.to_pylist(), dtype=bool)
-                symbols = np.frombuffer(data.as_py(), "<u2")[np.repeat(keep, sizes)]
-                lengths = pieces(sizes[keep])
-                ends = np.cumsum(lengths)
-                for a, b in common.slices(lengths, 600_000):
-                    low = int(ends[a - 1]) if a else 0
-                    for s, x in zip(sums, expected(symbols[low : int(ends[b - 1])], lengths[a:b], m), strict=True):
-                        s += np.round(x * FIXED).astype(np.int64)
+                keep = ~flags.values.to_numpy(zero_copy_only=False).astype(bool)
+                if keep.any():
+                    held.append((np.frombuffer(row.as_py(), "<u2")[np.repeat(keep, sizes)], sizes[keep]))
+                if sum(len(h[0]) for h in held) >= WALK:
+                    add()
+        if held:
+            add()
         keys = np.concatenate([np.arange(k), k + np.arange(k * k), k + k * k + np.arange(SYMBOLS * k)])
         values = np.concatenate([s.reshape(-1) for s in sums])
         some = values != 0
         yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(values[some])], names=["key", "value"])
 
-    k = len(model.start)
     summed = data.select("held", "sizes", "symbols").mapInArrow(scan, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).toArrow()
     if not summed.num_rows:
-        return model  # nothing gathered; a model of no counts would have equal states for good
+        return None
     flat = np.zeros(k + k * k + SYMBOLS * k)
     flat[summed.column("key").to_numpy()] = summed.column("value").to_numpy() / FIXED
-    return model_of(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(SYMBOLS, k), v)
+    return flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(SYMBOLS, k)
 
 
 def train(data: DataFrame, v: Vocabulary) -> Model:
-    model = first_model(v)
+    """Rounds by shares, then over all. A round that gathers nothing leaves the model as it is: a model of no
+    counts would have equal states for good."""
+    model, sums = first_model(v), None
     if not v.tokens:
         return model
+    for share, (part, weight) in enumerate(zip(SHARES, WEIGHTS, strict=True)):
+        found = gathered(data.where(F.col("share") == share), model)
+        if found is not None:
+            scaled = [x * (sum(SHARES) / part) for x in found]
+            sums = scaled if sums is None else [(1 - weight) * s + weight * x for s, x in zip(sums, scaled, strict=True)]
+            model = model_of(*sums, v)
     for _ in range(ROUNDS):
-        model = training_round(data, model, v)
+        found = gathered(data, model)
+        if found is not None:
+            model = model_of(*found, v)
     return model
 
 
@@ -340,15 +456,24 @@ def scored(data: DataFrame, model: Model) -> DataFrame:
     shipped = data.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[pa.Array]] = []
+        symbols: list[np.ndarray] = []
+
+        def judged() -> pa.RecordBatch:
+            doc_ids, flags, sizes, known, base, inner = (pa.concat_arrays(c) for c in zip(*held, strict=True))
+            sizes = sizes.to_numpy().astype(np.int64) + 1
+            likely = forward(np.concatenate(symbols), sizes, shipped.value) + inner.to_numpy()
+            held.clear(), symbols.clear()
+            return pa.RecordBatch.from_arrays([doc_ids, flags, pa.array(sizes), known.cast(pa.int64()), base, pa.array(likely)], names=[x.split()[0] for x in SCORE_SCHEMA.split(", ")])
+
         for batch in batches:
             for row in range(batch.num_rows):
-                own = {n: batch.column(n)[row].values for n in ("doc_ids", "held", "sizes", "known", "base", "inner")}
-                sizes = own["sizes"].to_numpy().astype(np.int64) + 1
-                symbols = np.frombuffer(batch.column("symbols")[row].as_py(), "<u2")
-                likely = forward(symbols, sizes, shipped.value) + own["inner"].to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [own["doc_ids"], own["held"], pa.array(sizes), own["known"].cast(pa.int64()), own["base"], pa.array(likely)], names=[x.split()[0] for x in SCORE_SCHEMA.split(", ")]
-                )
+                held.append([batch.column(n)[row].values for n in ("doc_ids", "held", "sizes", "known", "base", "inner")])
+                symbols.append(np.frombuffer(batch.column("symbols")[row].as_py(), "<u2"))
+                if sum(map(len, symbols)) >= WALK:
+                    yield judged()
+        if held:
+            yield judged()
 
     return data.mapInArrow(scan, SCORE_SCHEMA)
 
@@ -359,7 +484,9 @@ def language_model_scores(docs: DataFrame, held: str = "held") -> DataFrame:
     made = common.written(blocks(docs.withColumnRenamed(held, "held")), "lm-blocks")
     counts = common.written(counted(made), "lm-counts")
     v = vocabulary(made, counts)
-    data = common.written(coded(made, counts, v), "lm-coded")
+    path = common.new_path(docs.sparkSession, "lm-coded")
+    coded(made, counts, v).write.partitionBy("share").parquet(path)
+    data = docs.sparkSession.read.schema(CODED_SCHEMA).parquet(path)
     model = train(data, v)
     return scored(data, model).withColumn("train_tokens", F.lit(v.tokens).cast("long"))
 

@@ -3,6 +3,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pytest
 
 from pointloom.llm import hmm
 
@@ -14,11 +15,12 @@ def toy(states=3, seed=0):
     return hmm.Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def test_forward_and_counts_against_all_paths():
+@pytest.mark.parametrize("piece", [1, 2, 3, 100])
+def test_forward_and_counts_against_all_paths(piece):
     m, rng = toy(), np.random.default_rng(1)
-    sizes = np.array([4, 1, 3])
+    sizes = np.array([4, 1, 3, 7])
     symbols = rng.integers(0, hmm.SYMBOLS, sizes.sum()).astype("<u2")
-    found = hmm.forward(symbols, sizes, m)
+    found = hmm.forward(symbols, sizes, m, piece)
     starts, steps, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((hmm.SYMBOLS, 3))
     for i, n in enumerate(sizes):
         s = symbols[sizes[:i].sum() : sizes[: i + 1].sum()]
@@ -36,7 +38,7 @@ def test_forward_and_counts_against_all_paths():
                 emits[s[t], p[t]] += v / total
                 if t:
                     steps[p[t - 1], p[t]] += v / total
-    a, b, c = hmm.expected(symbols, sizes, m)
+    a, b, c = hmm.expected(symbols, sizes, m, piece)
     assert np.allclose(a, starts, atol=1e-5) and np.allclose(b, steps, atol=1e-5) and np.allclose(c, emits, atol=1e-5)
 
 
@@ -49,8 +51,14 @@ def test_states_sum_to_one():
     assert np.allclose(whole, 1)
 
 
-def test_pieces():
-    assert hmm.pieces(np.array([3, 8, 1]), 3).tolist() == [3, 3, 3, 2, 1]
+def test_pieces_of_long_texts_lose_nothing():
+    m, rng = toy(5, 3), np.random.default_rng(2)
+    sizes = np.array([40_000, 1, 300, 9_000])
+    symbols = rng.integers(0, hmm.SYMBOLS, sizes.sum()).astype("<u2")
+    whole = 10**9
+    assert np.allclose(hmm.forward(symbols, sizes, m, 700), hmm.forward(symbols, sizes, m, whole), rtol=1e-10)
+    for a, b in zip(hmm.expected(symbols, sizes, m, 700), hmm.expected(symbols, sizes, m, whole), strict=True):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-3)
 
 
 def test_query(spark, odd, odd_rows, folder):
@@ -92,24 +100,27 @@ def test_equal_blocks(spark):
     assert all(np.isclose(r.base_score, 2 * np.log10(9 / 20) + 2 * np.log10(5 / 20)) for r in got)
 
 
-def test_each_round_sees_all_training_tokens(spark, monkeypatch):
+def test_rounds_see_all_training_tokens(spark, monkeypatch):
+    """Each training document is in one round by shares, whole, and in all after them."""
     from pyspark.sql import functions as F
 
-    seen, whole = [], hmm.training_round
+    seen, whole = [], hmm.gathered
 
-    def watched(data, model, v):
+    def watched(data, model):
         rows = data.select("held", "sizes").collect()
         seen.append(sum(n + 1 for r in rows for h, n in zip(r.held, r.sizes, strict=True) if not h))
-        return whole(data, model, v)
+        return whole(data, model)
 
-    monkeypatch.setattr(hmm, "training_round", watched)
-    texts = [(1, "the cat sat on a mat " * 500), (2, "a dog ran"), (3, "the end")]
+    monkeypatch.setattr(hmm, "gathered", watched)
+    texts = [(1, "the cat sat on a mat " * 500), (2, "a dog ran"), (3, "the end"), *((i, "one more " + "text " * i) for i in range(4, 60))]
     hmm.language_model_scores(spark.createDataFrame(texts, "doc_id long, text string").withColumn("held", F.col("doc_id") == 3))
-    assert len(seen) > 1 and set(seen) == {3001 + 4}
+    total = 3001 + 4 + sum(3 + i for i in range(4, 60))
+    by_share, rest = seen[: len(hmm.SHARES)], seen[len(hmm.SHARES) :]
+    assert rest == [total] * hmm.ROUNDS and sum(by_share) == total and max(by_share) < total
 
 
 def test_a_round_without_training_rows_keeps_the_model(spark):
     v = hmm.Vocabulary(100, 20, 5, {b"a": 0}, np.array([50.0] + [0.0] * (hmm.FREQUENT - 1)), np.zeros((3, hmm.CLASSES)))
-    first = hmm.first_model(v)
-    none = spark.createDataFrame([([True], [1], bytes(4))], "held array<boolean>, sizes array<int>, symbols binary")
-    assert np.array_equal(hmm.training_round(none, first, v).emit, first.emit)
+    none = spark.createDataFrame([([True], [1], bytes(4), 0)], "held array<boolean>, sizes array<int>, symbols binary, share int")
+    assert hmm.gathered(none, hmm.first_model(v)) is None
+    assert np.array_equal(hmm.train(none, v).emit, hmm.first_model(v).emit)
