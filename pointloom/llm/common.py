@@ -92,8 +92,10 @@ def texts_of_size(batches: Iterator[pa.RecordBatch], most: int, column: str = "t
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts of a string column, one after the other, and the n + 1 places where they begin and end."""
-    texts = pc.fill_null(texts.cast(pa.string()), "")
+    """Bytes (UTF-8 of strings) of all values of a column, one after the other, and the n + 1 places where they begin and
+    end. Null counts as empty."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "" if pa.types.is_string(texts.type) else b"")
     texts = pa.concat_arrays([texts])  # a slice may start inside its buffers
     _, offsets, data = texts.buffers()
     cuts = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if offsets and len(texts) else np.zeros(len(texts) + 1, dtype=np.int64)

@@ -41,8 +41,10 @@ from pointloom.llm import common
 MAGIC = b"PLPACK1\0"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
-#: Entries that a worker keeps of pieces of text already encoded; when full it starts anew.
-CACHE = 400_000
+#: Runs that a worker keeps with their ids; when full it starts anew. Bytes of text that it encodes at once.
+CACHE, WALK_BYTES = 600_000, 12_000_000
+#: Ids in a file.
+SHARD_IDS = 1 << 25
 END = 1
 
 
@@ -52,12 +54,19 @@ def bits_for(vocabulary: int) -> int:
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """Ids, lowest bit first, in ceil(n * bits / 8) bytes."""
-    wide = np.unpackbits(np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    parts = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:  # whole bytes
+        return parts[:, : bits // 8].tobytes()
+    wide = np.unpackbits(parts, axis=1, bitorder="little")
     return np.packbits(wide[:, :bits].reshape(-1), bitorder="little").tobytes()
 
 
 def unpack_bits(data: bytes, count: int, bits: int) -> np.ndarray:
     """The first ``count`` ids of a packed block."""
+    if bits % 8 == 0:
+        parts = np.zeros((count, 4), dtype=np.uint8)
+        parts[:, : bits // 8] = np.frombuffer(data, dtype=np.uint8, count=count * bits // 8).reshape(count, bits // 8)
+        return parts.reshape(-1).view("<u4")
     flat = np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=count * bits, bitorder="little")
     wide = np.zeros((count, 32), dtype=np.uint8)
     wide[:, :bits] = flat.reshape(count, bits)
@@ -106,76 +115,138 @@ class Shard:
         return self.read(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-# Pieces of text in which the tokenizer's own splitting is plain: ASCII without the apostrophe, and
-# the letters of Latin-1. All other pieces go to the library as they are.
-_PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+").fullmatch
-_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
+# Kinds of bytes. Runs without white space ("pieces") of bytes that are all plain are cut here as the tokenizer's own
+# pattern cuts them: letters, single digits, other signs. Letters are ASCII's and those of Latin-1 in two bytes.
+# A piece with any other byte (the apostrophe too, for endings such as 's) goes to the library as it is.
+_BLANK, _LETTER, _DIGIT, _SIGN, _OTHER = 0, 1, 2, 3, 4
+_kind = np.full(256, _OTHER, dtype=np.uint8)
+_kind[33:127] = _SIGN
+_kind[39] = _OTHER
+_kind[48:58] = _DIGIT
+_kind[65:91] = _kind[97:123] = _LETTER
+_kind[[9, 10, 11, 12, 13, 32]] = _BLANK
+_lead = 0xC3  # of U+00C0 to U+00FF; U+00D7 and U+00F7 are no letters
+
+
+def runs_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of texts that stand one after the other in ``data``, text i from ``cuts[i]`` to ``cuts[i + 1]``: the bytes
+    of all runs (plain ones in lower case), where each starts there, whether it goes to the library as it is, and the
+    number of runs before each text and in all."""
+    kind = _kind[data]
+    low = data + ((data >= 65) & (data <= 90)) * np.uint8(32)
+    pairs = np.flatnonzero(data[:-1] == _lead)
+    if len(pairs):
+        second = data[pairs + 1]
+        letter = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+        kind[pairs[letter]] = kind[pairs[letter] + 1] = _LETTER
+        capital = pairs[letter & (second < 0x9F)] + 1
+        low[capital] += 32
+    kind[np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))] = _OTHER  # the start of a special token's name
+    solid = kind != _BLANK
+    opens = solid.copy()
+    opens[1:] &= ~solid[:-1]
+    inner = cuts[:-1][cuts[:-1] < len(data)]
+    opens[inner] = solid[inner]  # a text never goes on in the next
+    first = solid & ((kind == _DIGIT) | opens)
+    first[1:] |= solid[1:] & (kind[1:] != kind[:-1])
+    other = np.flatnonzero(kind == _OTHER)
+    raw = np.zeros(0, dtype=np.int64)
+    if len(other):  # whole pieces, as they are
+        starts = np.flatnonzero(opens)
+        own = np.unique(np.searchsorted(starts, other, side="right") - 1)
+        piece = np.zeros(len(starts), dtype=bool)
+        piece[own] = True
+        inside = np.repeat(piece, np.diff(np.append(starts, len(data)))) if len(starts) else piece
+        at = starts[0] + np.flatnonzero(inside)
+        first[at] = opens[at]
+        low[at] = data[at]
+        raw = starts[own]
+    at = np.flatnonzero(first)
+    whole = np.zeros(len(at), dtype=bool)
+    whole[np.searchsorted(at, raw)] = True
+    return low[solid], np.flatnonzero(first[solid]), whole, np.searchsorted(at, cuts)
 
 
 class WordEncoder:
-    """Encodes with the tokenizers library, each distinct piece between spaces once.
+    """Encodes with the tokenizers library, each distinct run once.
 
-    White space parts pieces for the tokenizer's pattern, so ids of a text are those of its pieces
-    one after the other. Plain pieces are cut on as the pattern cuts them, so that forms such as
-    ``The,`` and ``the.`` share their runs; runs are encoded many in one call, joined by spaces, and
-    told apart by the ids that end a word.
+    White space parts pieces for the tokenizer's pattern, so ids of a text are those of its pieces one after the other,
+    and ids of a plain piece are those of its runs. Runs of a whole batch are told apart in Arrow; only those that the
+    worker has not met yet go to the library, many in a call, and are told apart again by the ids that end a word.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model without the steps that a plain run in lower case has behind it
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = []
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self.known: dict[str, int] = {}  # run -> its number
+        self.ids, self.cuts = np.empty(1 << 16, dtype=self.kind), np.zeros(1 << 12, dtype=np.int64)  # of run i: ids[cuts[i]:cuts[i + 1]]
+
+    def _learn(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        used = int(self.cuts[n])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while n + len(runs) >= len(self.cuts):
+            self.cuts = np.concatenate([self.cuts, np.zeros_like(self.cuts)])
+        self.ids[used : used + len(ids)] = ids
+        self.cuts[n + 1 : n + len(runs) + 1] = used + np.cumsum(sizes)
+        self.known.update(zip(runs, range(n, n + len(runs)), strict=True))
+
+    def _learn_whole(self, texts: list[str]) -> None:
         for i in range(0, len(texts), 256):
-            found += [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
-        return found
-
-    def _learn_runs(self, runs: list[str]) -> None:
-        for i in range(0, len(runs), 4096):
-            lines = [runs[j : j + 256] for j in range(i, min(i + 4096, len(runs)), 256)]
-            for words, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            part = texts[i : i + 256]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._learn(part, np.array([x for ids in found for x in ids], dtype=self.kind), np.array([len(x) for x in found]))
+
+    def _learn_plain(self, runs: list[str], line: int = 128) -> None:
+        for i in range(0, len(runs), 64 * line):
+            lines = [runs[j : j + line] for j in range(i, min(i + 64 * line, len(runs)), line)]
+            for words, e in zip(lines, self.plain.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, dtype=self.kind)
                 cuts = np.flatnonzero(self.ends[ids]) + 1
                 if len(cuts) == len(words) and cuts[-1] == len(ids):
-                    data, size = ids.tobytes(), self.kind.itemsize
-                    at = [0, *(cuts * size).tolist()]
-                    self.runs.update(zip(words, (data[a:b] for a, b in zip(at, at[1:])), strict=False))
+                    self._learn(words, ids, np.diff(cuts, prepend=0))
                 else:
-                    self.runs.update(zip(words, self._whole(words), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes of ``kind``."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        if len(self.runs) > CACHE:
-            self.runs.clear()
-        pieces, once = self.pieces, {"": b""}
-        fresh = set().union(*split).difference(pieces) - {""}
-        plain = {p: _RUNS(p.lower()) for p in fresh if "<|" not in p and _PLAIN(p)}
-        self._learn_runs(list(set().union(*plain.values()).difference(self.runs)))
-        runs = self.runs
-        ready = {p: b"".join([runs[r] for r in rs]) for p, rs in plain.items()}
-        other = [p for p in fresh if p not in plain]
-        ready.update(zip(other, self._whole(other), strict=True))
-        for p, data in ready.items():
-            (pieces if len(p) <= 64 else once)[p] = data
-        pieces[""] = b""
-        if len(once) == 1:
-            return [b"".join(map(pieces.__getitem__, s)) for s in split]
-        return [b"".join([pieces[p] if p in pieces else once[p] for p in s]) for s in split]
+                    self._learn_whole(words)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has; each text's end id stands after its own."""
+        if len(self.known) > CACHE:
+            self._start_anew()
+        data, starts, raw, before = runs_of(*common.text_bytes(texts))
+        sizes = np.diff(before)
+        coded = common.strings(data, starts, pa.string()).dictionary_encode()
+        codes, runs = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        whole = np.zeros(len(runs), dtype=bool)
+        whole[codes[raw]] = True
+        fresh = [i for i, r in enumerate(runs) if r not in self.known]
+        self._learn_whole([runs[i] for i in fresh if whole[i]])
+        self._learn_plain([runs[i] for i in fresh if not whole[i]])
+        number = np.fromiter(map(self.known.__getitem__, runs), dtype=np.int64, count=len(runs))
+        starts, lengths = self.cuts[number], self.cuts[number + 1] - self.cuts[number]
+        per_run = lengths[codes]
+        before = np.concatenate([[0], np.cumsum(per_run)])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(starts[codes] - before[:-1], per_run) + np.arange(before[-1])]
+        counts = np.diff(before[bounds])
+        if end_id is not None:
+            ids, counts = np.insert(ids, before[bounds[1:]], end_id), counts + 1
+        return ids, counts
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -200,12 +271,12 @@ def _put(uri: str, name: str, data: bytes) -> None:
     store.move(draft, f"{path}/{name}")
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END, block: int = BLOCK) -> DataFrame:
-    """Encodes ``docs(doc_id, text)`` and writes shards ``shard-N.plpack`` to ``folder``.
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END, block: int = BLOCK, most: int = SHARD_IDS) -> DataFrame:
+    """Encodes ``docs(doc_id, text)`` and writes shards ``shard-N-M.plpack`` to ``folder``: file M of range N.
 
-    Texts are encoded where they are read; only ids are shuffled, in the narrowest dtype, to the
-    range of doc_id that their shard covers. Returns (and has written) one row for each shard:
-    shard long, n_docs long, n_ids long.
+    Texts are encoded where they are read; only ids are shuffled, in the narrowest dtype, to their range of doc_id. A
+    file is closed after ``most`` ids, so a task holds no more than that and one document, however large its range.
+    Returns (and has written) one row for each file: shard long, part long, n_docs long, n_ids long.
     """
     parts = common.partitions_of(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text"))
@@ -214,54 +285,57 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], dtype=enc.kind).tobytes()
-        for batch in batches:
-            lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
-            for first, last in common.slices(lengths, 2_000_000):
-                part = batch.slice(first, last - first)
-                ids = part.column("doc_id")
-                at = np.maximum(np.searchsorted(cuts, pc.fill_null(ids, -(1 << 63)).to_numpy(), side="right") - 1, 0)
-                data = [x + end for x in enc.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), ids, pa.array(data, pa.binary())], names=["shard", "doc_id", "ids"])
+        for batch in common.texts_of_size(batches, WALK_BYTES):
+            ids = batch.column("doc_id")
+            at = np.maximum(np.searchsorted(cuts, pc.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False), side="right") - 1, 0)
+            flat, counts = enc.encode(batch.column("text"), end_id)
+            data = common.strings(flat.view(np.uint8), (np.cumsum(counts) - counts) * enc.kind.itemsize, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), ids, data], names=["shard", "doc_id", "ids"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        bits, held, at = bits_for(enc.size), [], None
+        bits, held, size, at, number = bits_for(enc.size), [], 0, None, 0
 
         def close() -> pa.RecordBatch:
-            doc_ids = [d for part, _ in held for d in part]
-            data = [x for _, part in held for x in part]
-            counts = np.array([len(x) // enc.kind.itemsize for x in data], dtype=np.int64)
-            _put(folder, f"shard-{at:08d}.plpack", shard_bytes(doc_ids, counts, np.frombuffer(b"".join(data), dtype=enc.kind), bits, block))
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (at, len(doc_ids), int(counts.sum()))], names=["shard", "n_docs", "n_ids"])
+            doc_ids = [d for part, _ in held for d in part.to_pylist()]
+            data = [common.text_bytes(part) for _, part in held]
+            counts = np.concatenate([np.diff(c) for _, c in data]) // enc.kind.itemsize
+            ids = np.concatenate([d for d, _ in data]).view(enc.kind)
+            _put(folder, f"shard-{at:08d}-{number:06d}.plpack", shard_bytes(doc_ids, counts, ids, bits, block))
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (at, number, len(doc_ids), len(ids))], names=["shard", "part", "n_docs", "n_ids"])
 
         for batch in batches:
             shards = batch.column("shard").to_numpy()
+            lengths = pc.binary_length(batch.column("ids")).to_numpy() // enc.kind.itemsize
             edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
             for first, last in zip(edges, edges[1:]):
-                if last > first:
-                    if at is not None and shards[first] != at:
+                for a, b in common.slices(lengths[first:last], most):
+                    own = int(lengths[first + a : first + b].sum())
+                    fresh = at is not None and shards[first] != at
+                    if held and (fresh or size + own > most):
                         yield close()
-                        held = []
-                    at = int(shards[first])
-                    part = batch.slice(first, last - first)
-                    held.append((part.column("doc_id").to_pylist(), part.column("ids").to_pylist()))
+                        held, size, number = [], 0, number + 1
+                    if fresh or at is None:
+                        at, number = int(shards[first]), 0
+                    part = batch.slice(first + a, b - a)
+                    held.append((part.column("doc_id"), part.column("ids")))
+                    size += own
         if held:
             yield close()
 
     dealt = keyed.mapInArrow(encode, "shard long, doc_id long, ids binary").repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    return common.written(dealt.mapInArrow(store, "shard long, n_docs long, n_ids long"), "packed-manifest")
+    return common.written(dealt.mapInArrow(store, "shard long, part long, n_docs long, n_ids long"), "packed-manifest")
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids binary (unsigned 32-bit, little-endian).
 
-    The manifest (three numbers a shard) gives each shard its first id's place in the whole.
+    The manifest (four numbers a file) gives each file its first id's place in the whole.
     """
-    sizes = sorted((r["shard"], r["n_ids"]) for r in manifest.select("shard", "n_ids").collect())
+    sizes = sorted((r["shard"], r["part"], r["n_ids"]) for r in manifest.select("shard", "part", "n_ids").collect())
     before, total = {}, 0
-    for shard, n in sizes:
-        before[shard], total = total, total + n
+    for shard, part, n in sizes:
+        before[shard, part], total = total, total + n
     if not sizes:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
 
@@ -269,7 +343,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 shard = Shard(content.as_buffer().to_pybytes())
-                base = before[int(re.search(r"shard-(\d+)\.plpack", path)[1])]
+                base = before[tuple(map(int, re.search(r"shard-(\d+)-(\d+)\.plpack", path).groups()))]
                 for first, last in common.slices(shard.counts, 2_000_000):
                     at = int(shard.starts[first])
                     data = shard.read(at, int(shard.starts[last])).tobytes()

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,16 +50,35 @@ def test_random_access():
 def test_encoder_equals_library(text):
     want = Tokenizer.from_file(PATH) if not hasattr(test_encoder_equals_library, "t") else test_encoder_equals_library.t
     test_encoder_equals_library.t = want
-    got = np.frombuffer(packing.encoder(PATH).encode([text])[0], packing.encoder(PATH).kind).tolist()
+    got = packing.encoder(PATH).encode(pa.array([text]))[0].tolist()
     assert got == want.encode(text, add_special_tokens=False).ids
 
 
 def test_special_strings(library):
     for text in ("a<|endoftext|>b", "x <|startoftext|> it's don't'll", "I'll they've we'd"):
-        got = np.frombuffer(packing.encoder(PATH).encode([text])[0], "<u2").tolist()
+        got = packing.encoder(PATH).encode(pa.array([text]))[0].tolist()
         assert got == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(" \n'aAé.<|>12日"), max_size=12)), max_size=6))
+def test_texts_of_a_column_stand_apart(texts):
+    enc = packing.encoder(PATH)
+    ids, counts = enc.encode(pa.array(["x", *texts], pa.string()).slice(1), end_id=1)
+    cuts = np.concatenate([[0], np.cumsum(counts)]).astype(int)
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_small_files(spark, odd):
+    """Files of few ids: several a range, read back as one sequence."""
+    whole, small = common.new_path(spark, "test-whole"), common.new_path(spark, "test-small")
+    rows = []
+    for path, most in ((whole, packing.SHARD_IDS), (small, 50)):
+        manifest = packing.write_shards(odd, path, PATH, most=most)
+        rows.append((manifest.count(), sorted((r.start, r.doc_id or -1, bytes(r.ids)) for r in packing.read_shards(spark, path, manifest).collect())))
+    assert rows[0][1] == rows[1][1] and rows[1][0] > rows[0][0]
+
+
 def test_query(spark, odd, odd_rows, library, folder):
     got = packing.op4_bit_packing(spark, folder(documents=odd)).toPandas()
     rows = sorted(((-1 if i is None else i, i, library.encode(t or "", add_special_tokens=False).ids + [1]) for i, t, *_ in odd_rows), key=lambda r: (r[0], np.array(r[2], "<u2").tobytes()))
