@@ -35,6 +35,44 @@ def test_phrases_against_search():
             assert found[i, j] == plain_phrases(line, sample), (t, lang)
 
 
+def test_many_letters_against_search():
+    """Letters without a column of their own are found all the same."""
+    rng = random.Random(4)
+    texts = {"zh": "".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 400) for _ in range(1500)), "ja": "".join(chr(rng.choice([0x3042, 0x30A2, 0x4E00]) + rng.randrange(60)) for _ in range(1500)), "en": "the cat sat on the mat"}
+    m = langid.train(texts, alphabet=20)
+    assert len(m.rare)
+    probe = [texts["zh"][100:160], texts["ja"][7:90], "the mat 日本", texts["zh"][5:9] + "、" + texts["ja"][3:30], "cat" + texts["zh"][:40]]
+    codes, n = langid.letters_of(probe, m.symbols, m.blank)
+    found = langid.phrases(codes, n, m)
+    for i, t in enumerate(probe):
+        clean = "".join(c if c.isalpha() else " " for c in t.lower())
+        for j, lang in enumerate(m.languages):
+            assert found[i, j] == plain_phrases(clean, texts[lang]), (t, lang)
+
+
+def test_texts_without_letters_and_rare_scripts(spark):
+    rng = random.Random(6)
+    han, kana = ([chr(a + i) for i in range(n)] for a, n in ((0x4E00, 900), (0x3041, 80)))
+    rows = [(i, "".join(rng.choice(han) for _ in range(200)), "zh") for i in range(60)]
+    rows += [(100 + i, "".join(rng.choice(kana + han[:50]) for _ in range(200)), "ja") for i in range(60)]
+    rows += [(200 + i, sentence(rng, 40), "en") for i in range(60)] + [(300, "a", "xx"), (301, "!?", "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learned(df)
+    assert "yy" not in model.languages
+    asked = spark.createDataFrame([("😀😀", "und"), ("、。", "und"), ("12!", "und"), (" ", "und"), ("𝟙٣", "und"), (rows[3][1], "zh"), (rows[70][1], "ja"), ("the said what were", "en")], "text string, want string")
+    assert all(r.lang_pred == r.want and 0 <= r.score <= 1 for r in langid.predict(asked, model).collect())
+
+
+def test_short_samples_win_nothing(spark):
+    """A label with a few letters, or all of whose lines another language has, takes no other language's texts."""
+    rng = random.Random(7)
+    rows = [(i, sentence(rng, 60), "en") for i in range(60)] + [(100 + i, " ".join(rng.choice(FR) for _ in range(60)), "fr") for i in range(60)]
+    rows += [(i + 500, "ok", "xx") for i in range(4)] + [(i + 600, rows[0][1], "zz") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(df.where("lang IN ('en', 'fr')"), langid.learned(df)).collect()
+    assert np.mean([r.lang_pred == r.lang for r in found]) > 0.97
+
+
 def test_automaton_holds_all_substrings():
     step = langid.suffix_automaton([0, 1, 0, 0, 1, 2])
     text = [0, 1, 0, 0, 1, 2]
