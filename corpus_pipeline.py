@@ -6,6 +6,8 @@ last return the columns of documents. Stages are written as Parquet and read aga
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,31 +18,67 @@ from pointloom.llm import common, langid, mixing, pieces, quality, simhash
 MOST_BITS, LEAST_CHARS = 5.5, 60
 
 
+def _apart(docs: DataFrame, own: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work(docs)`` with the columns of ``docs``, as they are: those that the operator would replace by its own
+    (``own``) stand aside meanwhile."""
+    aside = {c: f"__aside_{c}" for c in docs.columns if c in own}
+    return work(docs.withColumnsRenamed(aside)).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier marks as good. It learns from labelled rows of ``docs``."""
+    """Documents that the classifier marks as good (score 0.7 or more). It learns from labelled rows of ``docs``.
+
+    Null and empty texts are scored like any other, and stay or go by their score; texts of any length are read whole;
+    equal texts fare alike, so ties and repeated rows stay or go together. Where nothing can be learned (no labels, or
+    of one kind only) all rows stay. Columns of ``docs`` are kept as they are, whatever their names; no rows give none.
+    """
     model = quality.learned(docs, common.read_table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    if model.constant is not None:
+        return docs
+    return _apart(docs, ("score", "predicted"), lambda d: quality.score(d, model).where("predicted = 1"))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have letters and are not far from all learned languages."""
-    found = langid.predict(docs, langid.learned(docs))
+    """Documents that have letters and are not far from all learned languages.
+
+    Texts that are null, empty or without letters go (no language can be told). Texts of 60 characters or more go
+    where even the best language takes more bits a letter than any prose in it; shorter ones stay. Texts are parsed
+    whole; equal texts fare alike. Where no language can be learned all rows stay. Columns of ``docs`` are kept as they
+    are, whatever their names; no rows give none.
+    """
+    model = langid.learned(docs)
+    if not model.languages:
+        return docs
     explained = (F.col("bits") <= MOST_BITS) | (F.length("text") < LEAST_CHARS)
-    return found.where((F.col("lang_pred") != "und") & explained).select(*docs.columns)
+    return _apart(docs, ("lang_pred", "score", "bits"), lambda d: langid.predict(d, model).where((F.col("lang_pred") != "und") & explained))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (five-word shingles, likeness 0.8)."""
+    """One document of each class of near-duplicates (sets of five-word shingles, likeness 0.8): the smallest doc_id,
+    of one id the row with the smallest hash of its text.
+
+    Texts without words (null, empty) are one class. A text of fewer than five words is one shingle. Rows that repeat a
+    doc_id and text count once; rows without doc_id stay. Texts of any length count whole. Columns of ``docs`` are kept as
+    they are; no rows give none.
+    """
     return simhash.deduplicated(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources repeated to their target weights and shuffled; a document drawn n times stands n times."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """Sources repeated to their target weights and shuffled; a document drawn n times stands n times, one drawn no time goes.
+
+    A null source is the source of the empty name; null and empty texts have size 0 and are drawn at their source's rate;
+    rows with one doc_id draw alike. Columns of ``docs`` are kept as they are, whatever their names; no rows give none.
+    """
+    return _apart(docs, ("replica", "shuffle_key"), mixing.mixed)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every row (little-endian unsigned 32-bit), their number, and whether they decode to the text."""
+    """Ids of every row (little-endian unsigned 32-bit), their number, and whether they decode to the text.
+
+    Null and empty texts have no ids; texts of any length are encoded whole; repeated rows give repeated results; further
+    columns are left out; no rows give none.
+    """
     path = pieces.model_path()
     coded = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text"), path), path)
     return coded.select(
