@@ -220,6 +220,23 @@ def test_pipeline_on_odd_rows(spark, odd_rows, folder):
         assert stage(spark, docs.limit(0), at).count() == 0, name
 
 
+def test_stages_leave_columns_alone(spark, folder, odd_rows):
+    """Columns named like an operator's own keep their values, and stages that can learn nothing keep all rows."""
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(*r, 0.9) for r in odd_rows], "doc_id long, text string, lang string, source string, score double")
+    for c in ("bits", "lang_pred", "predicted", "replica", "shuffle_key"):
+        docs = docs.withColumn(c, F.lit("own"))
+    at = folder(documents=docs, labels=spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns
+        assert {(r.score, r.bits, r.lang_pred, r.predicted, r.replica, r.shuffle_key) for r in out.collect()} <= {(0.9, *["own"] * 5)}, name
+    bare = folder(labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert cp.keep_quality(spark, docs, bare).count() == len(odd_rows)
+    assert cp.keep_known_languages(spark, docs.withColumn("lang", F.lit(None).cast("string")), bare).count() == len(odd_rows)
+
+
 def test_registered_names():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in registry.QUERIES) == 1
