@@ -109,6 +109,44 @@ def strings(data: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+class IdTable:
+    """Ids of distinct runs of text, each learned once by a worker: a number for each run, and the ids of all runs in one
+    array. When it holds ``most`` runs, or 16 ids for each of so many, it starts anew."""
+
+    def __init__(self, kind: np.dtype, most: int):
+        self.kind, self.most = kind, most
+        self._start()
+
+    def _start(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.cuts = np.empty(1 << 16, dtype=self.kind), np.zeros(1 << 12, dtype=np.int64)  # of run i: ids[cuts[i]:cuts[i + 1]]
+
+    def fresh(self, runs: list[str]) -> list[int]:
+        """Which of the distinct runs of a batch are to be learned."""
+        if len(self.known) > self.most or self.cuts[len(self.known)] > 16 * self.most:
+            self._start()
+        return [i for i, r in enumerate(runs) if r not in self.known]
+
+    def learn(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        used = int(self.cuts[n])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while n + len(runs) >= len(self.cuts):
+            self.cuts = np.concatenate([self.cuts, np.zeros_like(self.cuts)])
+        self.ids[used : used + len(ids)] = ids
+        self.cuts[n + 1 : n + len(runs) + 1] = used + np.cumsum(sizes)
+        self.known.update(zip(runs, range(n, n + len(runs)), strict=True))
+
+    def gathered(self, codes: np.ndarray, runs: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts of ``sizes`` runs, ``runs[codes]`` in order: one text after the other, and how many each has."""
+        number = np.fromiter(map(self.known.__getitem__, runs), dtype=np.int64, count=len(runs))
+        per_run = (self.cuts[number + 1] - self.cuts[number])[codes]
+        before = np.concatenate([[0], np.cumsum(per_run)])
+        ids = self.ids[np.repeat(self.cuts[number][codes] - before[:-1], per_run) + np.arange(before[-1])]
+        return ids, np.diff(before[np.concatenate([[0], np.cumsum(sizes)])])
+
+
 _BLANKS = np.zeros(256, dtype=bool)
 _BLANKS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

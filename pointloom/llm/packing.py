@@ -190,28 +190,13 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._start_anew()
-
-    def _start_anew(self) -> None:
-        self.known: dict[str, int] = {}  # run -> its number
-        self.ids, self.cuts = np.empty(1 << 16, dtype=self.kind), np.zeros(1 << 12, dtype=np.int64)  # of run i: ids[cuts[i]:cuts[i + 1]]
-
-    def _learn(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.known)
-        used = int(self.cuts[n])
-        while used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + len(runs) >= len(self.cuts):
-            self.cuts = np.concatenate([self.cuts, np.zeros_like(self.cuts)])
-        self.ids[used : used + len(ids)] = ids
-        self.cuts[n + 1 : n + len(runs) + 1] = used + np.cumsum(sizes)
-        self.known.update(zip(runs, range(n, n + len(runs)), strict=True))
+        self.table = common.IdTable(self.kind, CACHE)
 
     def _learn_whole(self, texts: list[str]) -> None:
         for i in range(0, len(texts), 256):
             part = texts[i : i + 256]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self._learn(part, np.array([x for ids in found for x in ids], dtype=self.kind), np.array([len(x) for x in found]))
+            self.table.learn(part, np.array([x for ids in found for x in ids], dtype=self.kind), np.array([len(x) for x in found]))
 
     def _learn_plain(self, runs: list[str], line: int = 128) -> None:
         for i in range(0, len(runs), 64 * line):
@@ -220,32 +205,24 @@ class WordEncoder:
                 ids = np.array(e.ids, dtype=self.kind)
                 cuts = np.flatnonzero(self.ends[ids]) + 1
                 if len(cuts) == len(words) and cuts[-1] == len(ids):
-                    self._learn(words, ids, np.diff(cuts, prepend=0))
+                    self.table.learn(words, ids, np.diff(cuts, prepend=0))
                 else:
                     self._learn_whole(words)
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has; each text's end id stands after its own."""
-        if len(self.known) > CACHE:
-            self._start_anew()
         data, starts, raw, before = runs_of(*common.text_bytes(texts))
         sizes = np.diff(before)
         coded = common.strings(data, starts, pa.string()).dictionary_encode()
         codes, runs = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         whole = np.zeros(len(runs), dtype=bool)
         whole[codes[raw]] = True
-        fresh = [i for i, r in enumerate(runs) if r not in self.known]
+        fresh = self.table.fresh(runs)
         self._learn_whole([runs[i] for i in fresh if whole[i]])
         self._learn_plain([runs[i] for i in fresh if not whole[i]])
-        number = np.fromiter(map(self.known.__getitem__, runs), dtype=np.int64, count=len(runs))
-        starts, lengths = self.cuts[number], self.cuts[number + 1] - self.cuts[number]
-        per_run = lengths[codes]
-        before = np.concatenate([[0], np.cumsum(per_run)])
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(starts[codes] - before[:-1], per_run) + np.arange(before[-1])]
-        counts = np.diff(before[bounds])
+        ids, counts = self.table.gathered(codes, runs, sizes)
         if end_id is not None:
-            ids, counts = np.insert(ids, before[bounds[1:]], end_id), counts + 1
+            ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
         return ids, counts
 
 

@@ -6,12 +6,15 @@ longest). A character that is no piece costs the lowest score less ``UNKNOWN`` a
 byte pieces. White space is kept: a blank is written as U+2581, one is put before the text, nothing
 is normalised, so decoding gives the text back exactly.
 
-The Viterbi state is a window: only the last ``longest piece`` positions can still be extended, so
-nothing older is kept. Whenever all paths that survive in the window run through one boundary, the
-ids up to it are committed. The boundary before a U+2581 that follows another character is always
-such a point (no piece crosses it), and so is every sign that no longer piece holds; texts are cut
-there, and a worker solves each distinct stretch once: short ones many at a time in numpy, the
-others by :func:`stream`.
+The Viterbi state is a window: only the last ``longest piece`` boundaries can still be extended, so a ring of that
+many scores is all that the recursion holds. Whenever the back pointers of all paths that survive in the window
+run through one boundary, the ids up to it are committed and what stands before it goes.
+
+:meth:`Pieces.solve` walks many stretches of text side by side in numpy, one boundary of each a step. It commits at the
+end of a stretch and, in a longer one, every ``STEPS`` boundaries as far as the surviving paths agree. Texts are dealt to
+stretches at boundaries at which paths are bound to meet: before a U+2581 that follows another character (no piece
+crosses it), and around a sign that no longer piece holds. A worker remembers the ids of short stretches.
+:meth:`Pieces.stream` is the same for a text that comes character by character.
 
 Defined results
     * null or empty text has no ids and decodes to the empty text;
@@ -21,12 +24,13 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +38,10 @@ from pointloom.llm import common
 
 BLANK = "▁"
 UNKNOWN = 10.0
-#: Stretches that a worker remembers, and the longest one solved in numpy.
-CACHE, SHORT = 200_000, 48
+#: Stretches that a worker remembers; boundaries walked between two commits; signs walked, and characters encoded, at once.
+CACHE, STEPS, SIGNS, WALK = 300_000, 64, 200_000, 6_000_000
 _NEGATIVE = -1e300
+_CODE = 21  # bits of a code point
 
 
 class Pieces:
@@ -71,27 +76,40 @@ class Pieces:
         crossing = any(BLANK in self.texts[i].lstrip(BLANK) for i in plain)
         # stretches: a blank's run with what follows, or one sign that no longer piece holds
         alone = "\n\t\r" if not inner & set("\n\t\r") else ""
-        self.cut = (lambda t: [t] if t else []) if crossing else re.compile(f"[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
-        self.known: dict[str, bytes] = {}
+        self.alone, self.crossing = alone if not crossing else "", crossing
+        self.known = common.IdTable(np.dtype("<u4"), CACHE)
         self._dense()
 
     def _dense(self) -> None:
-        """The trie as a table over Latin-1 and the blank, for :func:`solve`."""
+        """The trie for :meth:`solve`: a table over Latin-1 and the blank, sorted transitions for all other signs."""
         self.width = 257
-        used, number = [0], {0: 0}
-        rows = []
-        for node in used:
-            row = np.zeros(self.width, dtype=np.int32)
-            for c, to in self.trie[node].items():
-                column = 256 if c == BLANK else ord(c)
-                if column <= 256 and (c == BLANK or ord(c) < 256):
-                    number[to] = len(used)
-                    used.append(to)
-                    row[column] = number[to]
-            rows.append(row)
-        self.table = np.concatenate(rows).astype(np.uint16 if len(used) < 1 << 16 else np.int32)
-        self.ids = np.array([self.piece_at[n] for n in used], dtype=np.int32)
+        self.ids = np.array(self.piece_at, dtype=np.int32)
         self.gain = np.where(self.ids >= 0, self.scores[self.ids], _NEGATIVE)
+        table = np.zeros((len(self.trie), self.width), dtype=np.uint16 if len(self.trie) < 1 << 16 else np.int32)
+        other = []
+        for node, row in enumerate(self.trie):
+            for c, to in row.items():
+                if c == BLANK or ord(c) < 256:
+                    table[node, 256 if c == BLANK else ord(c)] = to
+                else:
+                    other.append((node << _CODE | ord(c), to))
+        self.table = table.reshape(-1)
+        other.sort()
+        self.other, self.leads = (np.array([x[i] for x in other], dtype=np.int64) for i in range(2))
+
+    def _onward(self, node: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """Trie nodes after one more sign; 0 where there is none."""
+        column = np.where(sign == 0x2581, 256, sign)
+        plain = column <= 256
+        if plain.all():
+            return self.table[node * self.width + column].astype(np.int64)
+        out = np.zeros(len(node), dtype=np.int64)
+        out[plain] = self.table[node[plain] * self.width + column[plain]]
+        if len(self.other):
+            key = node[~plain] << _CODE | sign[~plain]
+            spot = np.minimum(np.searchsorted(self.other, key), len(self.other) - 1)
+            out[~plain] = np.where(self.other[spot] == key, self.leads[spot], 0)
+        return out
 
     # -- one stretch, any characters, any length
 
@@ -124,7 +142,7 @@ class Pieces:
             live = {start for start, _ in going} | {at}
             meet = self._meeting(live, back, done)
             if meet > done:
-                yield self._path(meet, back, done)
+                yield self._walked(meet, back, done)
                 kept = {meet} | live
                 for x in list(live):
                     while x > meet:
@@ -134,7 +152,7 @@ class Pieces:
                 back = {k: v for k, v in back.items() if k in kept and k > meet}
                 done = meet
         if at > done:
-            yield self._path(at, back, done)
+            yield self._walked(at, back, done)
 
     @staticmethod
     def _meeting(live: set[int], back: dict, done: int) -> int:
@@ -149,7 +167,7 @@ class Pieces:
         return max(paths.pop(), done)
 
     @staticmethod
-    def _path(to: int, back: dict, since: int) -> list[int]:
+    def _walked(to: int, back: dict, since: int) -> list[int]:
         parts = []
         while to > since:
             to, ids = back[to]
@@ -160,73 +178,128 @@ class Pieces:
         data = c.encode("utf-8", "surrogatepass")
         return tuple(self.bytes[b] for b in data) if all(b in self.bytes for b in data) else (self.unknown_id,)
 
-    # -- many short stretches at once
-
-    def solve(self, stretches: list[str]) -> list[bytes]:
-        """Ids (little-endian unsigned 32-bit) of stretches of Latin-1 and blanks, all at one go."""
-        count = len(stretches)
-        n = np.array([len(s) for s in stretches])
-        wide = int(n.max())
-        points = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)
-        signs = np.zeros((count, wide), dtype=np.int32)
-        signs[np.arange(wide)[None, :] < n[:, None]] = np.where(points == 0x2581, 256, points)
-        best = np.full((count, wide + 1), _NEGATIVE)
-        best[:, 0] = 0.0
-        start, piece = np.zeros((count, wide + 1), dtype=np.int32), np.full((count, wide + 1), -1, dtype=np.int32)
-        for i in range(wide):
-            rows = np.flatnonzero(n > i)
-            node = np.zeros(len(rows), dtype=np.int32)
-            base = best[rows, i]
-            for length in range(1, min(self.longest, wide - i) + 1):
-                node = self.table[node * self.width + signs[rows, i + length - 1]].astype(np.int32)
-                to = i + length
-                gain = base + self.gain[node]
-                if length == 1:
-                    lone = self.ids[node] < 0
-                    gain[lone] = base[lone] + self.unknown_score
-                better = gain > best[rows, to]
-                spots = rows[better]
-                best[spots, to], start[spots, to], piece[spots, to] = gain[better], i, self.ids[node[better]]
-                alive = (node > 0) & (n[rows] > to)
-                rows, node, base = rows[alive], node[alive], base[alive]
-                if not len(rows):
-                    break
-        # back from the ends, one piece of every stretch a step
-        at, rows, parts = n.copy(), np.arange(count), []
-        while len(rows):
-            parts.append((rows, piece[rows, at[rows]], start[rows, at[rows]]))
-            at[rows] = start[rows, at[rows]]
-            rows = rows[at[rows] > 0]
-        row = np.concatenate([p[0] for p in parts])
-        ids = np.concatenate([p[1] for p in parts])
-        where = np.concatenate([p[2] for p in parts])
-        order = np.lexsort((where, row))
-        row, ids, where = row[order], ids[order], where[order]
-        if (ids < 0).any():  # characters that are no pieces
-            out: list[list[int]] = [[] for _ in stretches]
-            for r, i, w in zip(row.tolist(), ids.tolist(), where.tolist()):
-                out[r].extend((i,) if i >= 0 else self.fallback(stretches[r][w]))
-            return [np.array(x, dtype="<u4").tobytes() for x in out]
-        data, cuts = ids.astype("<u4").tobytes(), (4 * np.searchsorted(row, np.arange(count + 1))).tolist()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.cut(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, once = self.known, {}
-        fresh = set().union(*split).difference(known)
-        short = sorted((s for s in fresh if len(s) <= SHORT and s.replace(BLANK, "").encode("latin-1", "ignore").decode("latin-1") == s.replace(BLANK, "")), key=len)
-        for i in range(0, len(short), 20_000):
-            part = short[i : i + 20_000]
-            known.update(zip(part, self.solve(part), strict=True))
-        for s in fresh.difference(known):
-            ids = np.array([i for run in self.stream(s) for i in run], dtype="<u4").tobytes()
-            (known if len(s) <= SHORT else once)[s] = ids
-        if not once:
-            return [b"".join(map(known.__getitem__, s)) for s in split]
-        return [b"".join([known[p] if p in known else once[p] for p in s]) for s in split]
+    # -- many stretches at once
+
+    def _matches(self, signs: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the place where a piece ends: the score and id of the piece of each length, the longest first. ``left``: signs
+        from each place to its stretch's end."""
+        wide = self.longest
+        gain, ids = np.full((len(signs), wide), _NEGATIVE), np.full((len(signs), wide), -1, dtype=np.int32)
+        start, node = np.arange(len(signs)), np.zeros(len(signs), dtype=np.int64)
+        for length in range(1, wide + 1):
+            node = self._onward(node, signs[start + length - 1])
+            good = self.ids[node] >= 0
+            end = start[good] + length - 1
+            gain[end, wide - length], ids[end, wide - length] = self.gain[node[good]], self.ids[node[good]]
+            if length == 1:
+                gain[~good, wide - 1] = self.unknown_score
+            going = (node > 0) & (left[start] > length)
+            start, node = start[going], node[going]
+            if not len(start):
+                break
+        return gain, ids
+
+    def solve(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches of one sign or more, one after the other, and how many each has."""
+        sizes = np.array([len(s) for s in stretches])
+        signs = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        gain, ids = self._matches(signs, np.repeat(sizes + first, sizes) - np.arange(len(signs)))
+        wide, order = self.longest, np.argsort(-sizes, kind="stable")
+        first, n = first[order], sizes[order]
+        best = np.full((len(n), wide + STEPS), _NEGATIVE)
+        best[:, wide - 1] = 0.0
+        chosen: list[tuple[np.ndarray, np.ndarray]] = []  # committed: places where pieces end, and their lengths
+        held: dict[int, np.ndarray] = {}  # of a long stretch: lengths of the last pieces at boundaries not committed yet
+        for at in range(0, int(n[0]), STEPS):
+            alive = int(np.searchsorted(-n, -at, side="left"))  # stretches that go on beyond ``at``
+            back = np.zeros((alive, STEPS), dtype=np.int32)
+            rows = np.arange(alive)
+            for t in range(min(STEPS, int(n[0]) - at)):
+                m = int(np.searchsorted(-n, -(at + t), side="left"))
+                found = best[:m, t : t + wide] + gain[first[:m] + at + t]
+                k = found.argmax(axis=1)
+                best[:m, t + wide] = found[rows[:m], k]
+                back[:m, t] = wide - k
+            ended = int(np.searchsorted(-n, -(at + STEPS), side="left"))  # those from here on have their last boundary
+            for i in held.keys() & set(range(ended, alive)):
+                lengths = np.concatenate([held.pop(i), back[i, : n[i] - at]])
+                chosen.append(self._path(lengths, len(lengths), int(first[i] + n[i]) - len(lengths)))
+                back[i] = 0
+            spot, row = n[ended:alive] - at, np.arange(ended, alive)
+            some = back[row, spot - 1] > 0
+            spot, row = spot[some], row[some]
+            while len(row):  # back from the ends, one piece of every stretch a step
+                length = back[row, spot - 1]
+                chosen.append((first[row] + at + spot - 1, length))
+                spot = spot - length
+                row, spot = row[spot > 0], spot[spot > 0]
+            for i in range(ended):
+                lengths = np.concatenate([held[i], back[i]]) if i in held else back[i]
+                meet = self._meet(lengths)
+                chosen.append(self._path(lengths, meet, int(first[i]) + at + STEPS - len(lengths)))
+                held[i] = lengths[meet:]
+            best[:ended, :wide] = best[:ended, STEPS:]
+        place, length = (np.concatenate(c) for c in zip(*chosen, strict=True))
+        sort = np.argsort(place)
+        place, length = place[sort], length[sort]
+        found = ids[place, wide - length]
+        row = np.searchsorted(np.cumsum(sizes), place, side="right")
+        lone = np.flatnonzero(found < 0)
+        if len(lone):  # characters that are no pieces
+            bytes_of = [self.fallback(chr(c)) for c in signs[place[lone]].tolist()]
+            times = np.ones(len(found), dtype=np.int64)
+            times[lone] = [len(b) for b in bytes_of]
+            at = (np.cumsum(times) - times)[lone]
+            found, row = np.repeat(found, times), np.repeat(row, times)
+            found[np.repeat(at, times[lone]) + np.concatenate([np.arange(len(b)) for b in bytes_of])] = [i for b in bytes_of for i in b]
+        return found.astype("<u4"), np.bincount(row, minlength=len(stretches))
+
+    def _meet(self, lengths: np.ndarray) -> int:
+        """The last boundary (0: where ``lengths`` begins) that the paths to all boundaries of the window run through."""
+        paths = set(range(max(0, len(lengths) - self.longest + 1), len(lengths) + 1))
+        while len(paths) > 1:
+            top = max(paths)
+            paths.discard(top)
+            paths.add(max(0, top - int(lengths[top - 1])))
+        return paths.pop()
+
+    @staticmethod
+    def _path(lengths: np.ndarray, to: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where the pieces on the path to a boundary end, and their lengths."""
+        ends = []
+        while to > 0:
+            ends.append(to - 1)
+            to -= int(lengths[to - 1])
+        at = np.array(ends, dtype=np.int64)
+        return at + base, lengths[at]
+
+    def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Stretches of all texts (as numbers), how many each text has, and the distinct stretches. A blank goes before
+        each text that isn't empty."""
+        data, cuts = common.text_bytes(pc.replace_substring(texts.cast(pa.string()), BLANK, " "))
+        some = np.diff(cuts) > 0
+        data = np.insert(data, cuts[:-1][some], 32)
+        cuts = cuts + np.concatenate([[0], np.cumsum(some)])
+        blank, alone = data == 32, np.isin(data, np.frombuffer(self.alone.encode(), np.uint8))
+        first = alone.copy()
+        if self.crossing:
+            first[:] = False
+        else:
+            first[1:] |= alone[:-1] | (blank[1:] & ~blank[:-1])
+        first[cuts[:-1][some]] = True
+        at = np.flatnonzero(first)
+        coded = common.strings(data, at, pa.string()).dictionary_encode()
+        distinct = [s.replace(" ", BLANK) for s in coded.dictionary.to_pylist()]
+        return coded.indices.to_numpy(zero_copy_only=False), np.diff(np.searchsorted(at, cuts)), distinct
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none), one after the other, and how many each has."""
+        codes, sizes, stretches = self._stretches(texts)
+        fresh = sorted((stretches[i] for i in self.known.fresh(stretches)), key=len)
+        for first, last in common.slices(np.array([len(s) for s in fresh], dtype=np.int64), SIGNS):
+            self.known.learn(fresh[first:last], *self.solve(fresh[first:last]))
+        return self.known.gathered(codes, stretches, sizes)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text; bytes that are no UTF-8 become U+FFFD. The blank put before the text goes."""
@@ -254,6 +327,13 @@ def pieces(path: str) -> Pieces:
     return _held[path]
 
 
+def _coded(texts: pd.Series, path: str) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Runs of rows: their texts, all ids, and how many each text has."""
+    values = [t or "" for t in texts]
+    for first, last in common.slices(np.array([len(v) for v in values]), WALK):
+        yield values[first:last], *pieces(path).encode(pa.array(values[first:last], pa.string()))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ids binary (little-endian unsigned 32-bit). A map over rows: nothing is shuffled.
 
@@ -263,10 +343,10 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        model, out = pieces(path), []
-        values = [t or "" for t in texts]
-        for first, last in common.slices(np.array([len(v) for v in values]), 2_000_000):
-            out += model.encode(values[first:last])
+        out = []
+        for _, found, counts in _coded(texts, path):
+            data, cuts = found.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
         return pd.Series(out, dtype=object)
 
     made = docs.withColumn("__ids", ids(F.col(text).cast("string")))
@@ -293,11 +373,10 @@ def report(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("n_pieces long, ids_crc32 long, decoded_ok boolean")
     def coded(texts: pd.Series) -> pd.DataFrame:
         model, out = pieces(path), []
-        values = [t or "" for t in texts]
-        for first, last in common.slices(np.array([len(v) for v in values]), 2_000_000):
-            part = values[first:last]
-            for v, data in zip(part, model.encode(part), strict=True):
-                out.append((len(data) // 4, crc32(data), model.decode_all(data) == v.replace(BLANK, " ")))
+        for values, found, counts in _coded(texts, path):
+            data, cuts = found.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+            for v, a, b in zip(values, cuts, cuts[1:], strict=False):
+                out.append(((b - a) // 4, crc32(data[a:b]), model.decode_all(data[a:b]) == v.replace(BLANK, " ")))
         return pd.DataFrame(out, columns=["n_pieces", "ids_crc32", "decoded_ok"]).astype({"n_pieces": "int64", "ids_crc32": "int64", "decoded_ok": "bool"})
 
     made = plain.withColumn("__coded", coded("text"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,11 +49,29 @@ def test_against_whole_viterbi(text):
     m = pieces.pieces(PATH)
     line = pieces.BLANK + text.replace(" ", pieces.BLANK) if text else ""
     want = plain(m, line)
-    assert np.frombuffer(m.encode([text])[0], "<u4").tolist() == want
+    ids, counts = m.encode(pa.array([None, text, "", text]))
+    assert ids.tolist() == want + want and counts.tolist() == [0, len(want), 0, len(want)]
     assert [i for run in m.stream(line) for i in run] == want
     assert m.decode(want) == text.replace(pieces.BLANK, " ") == m.decode_all(np.array(want, "<u4").tobytes())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("tionhe s▁日の.a"), st.characters(codec="utf-8")), min_size=1, max_size=400), min_size=1, max_size=5))
+def test_solver_commits_in_windows(stretches):
+    """Stretches of several windows, side by side, any signs."""
+    m = pieces.pieces(PATH)
+    ids, counts = m.solve(stretches)
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [plain(m, s) for s in stretches]
+
+
+@pytest.mark.parametrize("text", ["tion" * 2000, "x" * 3000, "日本語の" * 700, "ab" * 40 + "é" + "=" * 1000])
+def test_solver_on_long_stretches(model, text):
+    for s in (text, pieces.BLANK + text):
+        ids, counts = model.solve([s, "the"])
+        assert ids[: counts[0]].tolist() == [i for run in model.stream(s) for i in run]
+
+
 def test_stream_commits_early(model):
     runs = list(model.stream(pieces.BLANK + pieces.BLANK.join(["the", "quick", "station"] * 50)))
     assert len(runs) > 100 and max(map(len, runs)) < 12
