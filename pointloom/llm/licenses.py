@@ -27,7 +27,7 @@ from pointloom.llm import common
 #: Phrases of the base count, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: A license by label: keyword, words of its name (a pattern), words of its SPDX identifier.
+#: A license by label: keyword, words of its name (a pattern), words of its SPDX identifier if it has one.
 FAMILIES = {
     "apache-2": ("apache", r"apache (software )?licen[cs]e( version| v)? ?2( 0)?|apache 2( 0)? licen[cs]e", "apache 2 0"),
     "apache-1.1": ("apache", r"apache (software )?licen[cs]e( version)? 1 1", "apache 1 1"),
@@ -37,7 +37,8 @@ FAMILIES = {
     "bsd-2-clause": ("bsd", r"(bsd 2 clause|2 clause bsd|simplified bsd|freebsd)( simplified)?( licen[cs]e)?", "bsd 2 clause"),
     "bsd-3-clause": ("bsd", r"(bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)( new| revised)?( licen[cs]e)?", "bsd 3 clause"),
     "bsd-4-clause": ("bsd", r"(bsd 4 clause|4 clause bsd|original bsd|old bsd)( licen[cs]e)?", "bsd 4 clause"),
-    "bsd": ("bsd", r"bsd( style)? licen[cs]e", "0bsd"),
+    "bsd": ("bsd", r"bsd( style)? licen[cs]e", None),
+    "0bsd": ("bsd", r"(zero clause bsd|bsd zero clause|0bsd)( licen[cs]e)?", "0bsd"),
     "gpl-1": ("general", r"gnu general public licen[cs]e( version| v)? ?1", "gpl 1 0"),
     "gpl-2": ("general", r"gnu general public licen[cs]e( as published by the free software foundation)?( either)?( version| v)? ?2", "gpl 2 0"),
     "gpl-3": ("general", r"gnu general public licen[cs]e( as published by the free software foundation)?( either)?( version| v)? ?3", "gpl 3 0"),
@@ -151,10 +152,86 @@ SINGLE = [
     ("gpl", "gnu", "gnu org licen[cs]es gpl", 2, 0.8),
     ("lgpl", "gnu", "gnu org licen[cs]es lgpl", 2, 0.8),
     ("mpl-2", "mozilla", "mozilla org mpl 2 0", 2, 0.9),
+    # sentences of license texts, notices and headers
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 3, 0.9),
+    ("mit", "noninfringement", "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable", 2, 0.7),
+    ("x11-notice", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software", 3, 0.9),
+    ("bsd", "reproduce", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 3, 0.9),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 3, 0.9),
+    ("bsd-4-clause", "includes", "this product includes software developed by .{1,80}", 2, 0.7),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the licen[cs]e", 3, 0.85),
+    ("apache-2", "limitations", "see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e", 3, 0.85),
+    ("apache-2", "contributor", "subject to the terms and conditions of this licen[cs]e each contributor hereby grants to you a perpetual worldwide non exclusive", 3, 0.95),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation", 3, 0.9),
+    ("gpl", "warranty", "this program is distributed in the hope that it will be useful but without any warranty", 3, 0.85),
+    ("gpl", "received", "you should have received a copy of the gnu general public licen[cs]e along with this program", 3, 0.95),
+    ("lgpl", "received", "you should have received a copy of the gnu lesser general public licen[cs]e along with this (library|program)", 3, 0.95),
+    ("agpl", "received", "you should have received a copy of the gnu affero general public licen[cs]e along with this program", 3, 0.95),
+    ("agpl-3", "interact", "all users interacting with it remotely through a computer network", 2, 0.85),
+    ("gpl", "freedom", "the licen[cs]es for most software are designed to take away your freedom to share and change it", 3, 0.95),
+    ("gpl-3", "copyleft", "the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works", 3, 0.95),
+    ("gpl", "linking", "linking this library statically or dynamically with other modules is making a combined work", 3, 0.85),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts", 3, 0.95),
+    ("mpl-1.1", "contents", "the contents of this file are subject to the mozilla public licen[cs]e( version)?( 1 1)?", 3, 0.95),
+    ("mpl-2", "incompatible", "this source code form is incompatible with secondary licen[cs]es as defined by the mozilla public licen[cs]e", 3, 0.95),
+    ("epl-1", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v1 0", 4, 1.0),
+    ("epl-2", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e( v| version)? ?2 0", 4, 1.0),
+    ("cddl", "contents", "the contents of this file are subject to the terms of the common development and distribution licen[cs]e", 3, 0.95),
+    ("cpl", "accompanying", "the accompanying program is provided under the terms of this common public licen[cs]e", 3, 0.95),
+    ("eupl", "joinup", "joinup ec europa eu (software|collection) .{0,40}eupl", 2, 0.85),
+    ("cc0", "waived", "(has|have) waived all copyright and related or neighboring rights", 3, 0.95),
+    ("cc0", "dedicated", "has dedicated the work to the public domain by waiving all of his or her rights", 3, 0.95),
+    ("cc-by", "redistribute the material", "you are free to share copy and redistribute the material in any medium or format", 2, 0.7),
+    ("cc-by-sa", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e as the original", 3, 0.9),
+    ("cc-by-nc", "commercial", "you may not use the material for commercial purposes", 2, 0.85),
+    ("cc-by-nd", "modified", "if you remix transform or build upon the material you may not distribute the modified material", 3, 0.9),
+    ("isc", "systems consortium", "internet systems consortium", 1, 0.5),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", 3, 0.95),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 3, 0.95),
+    ("libpng", "group 42", "the contributing authors and group 42 inc disclaim all warranties", 2, 0.8),
+    ("boost-1", "boost", "see accompanying file licen[cs]e 1 0 txt or copy at( http| https)? www boost org licen[cs]e 1 0 txt", 3, 0.95),
+    ("artistic-2", "standard", "you may distribute verbatim forms of the source form of the standard version of this package", 3, 0.9),
+    ("artistic-1", "artistic", "artistic control over the development of the package", 3, 0.85),
+    ("ofl-1.1", "fonts", "the fonts and derivatives however cannot be released under any other type of licen[cs]e", 3, 0.95),
+    ("ofl-1.1", "font", "this font software is licen[cs]ed under the sil open font licen[cs]e", 3, 0.95),
+    ("psf", "python", "psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e", 3, 0.95),
+    ("postgresql", "paragraphs", "provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies", 3, 0.9),
+    ("ms-pl", "accept", "if you use the software you accept this licen[cs]e if you do not accept the licen[cs]e do not use the software", 3, 0.85),
+    ("odbl", "database", "any rights in individual contents of the database are licen[cs]ed under the database contents licen[cs]e", 3, 0.95),
+    ("sspl", "service", "if you make the functionality of the program or a modified version available to third parties as a service", 3, 0.95),
+    ("elastic-2", "hosted", "you may not provide the software to third parties as a hosted or managed service", 3, 0.95),
+    ("busl-1.1", "production", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", 3, 0.95),
+    ("ncsa", "contributors", "neither the names of .{1,80} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", 3, 0.8),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 3, 0.95),
+    ("vim", "vim", "vim is charityware you can use and copy it as much as you like", 3, 0.95),
+    ("php-3", "php", "this product includes php software freely available from", 3, 0.95),
+    ("w3c", "w3c", "permission to copy modify and distribute this work .{0,120}w3c", 2, 0.8),
+    ("unlicense", "unlicense", "for more information please refer to( http| https)?( www)? unlicense org", 3, 0.9),
+    ("wtfpl", "sam hocevar", "copyright c 2004 sam hocevar", 2, 0.7),
+    ("hpnd", "suitability", "makes no representations about the suitability of this software for any purpose", 2, 0.8),
+    ("beerware", "beer", "you can buy me a beer in return", 3, 0.95),
+    ("json-license", "evil", "the software shall be used for good not evil", 3, 0.95),
+    ("llvm-exception", "llvm", "apache licen[cs]e v ?2 0 with llvm exceptions", 4, 1.0),
+    ("classpath-exception", "classpath", "(gnu )?classpath exception", 2, 0.8),
+    ("ogl-uk-3", "government", "open government licen[cs]e( v| version)?( 3 0)?", 2, 0.9),
+    ("cdla-permissive-2", "community data", "community data licen[cs]e agreement permissive( version)?( 2 0)?", 2, 0.95),
+    ("cdla-sharing-1", "community data", "community data licen[cs]e agreement sharing( version)?( 1 0)?", 2, 0.95),
+    ("openrail", "rail", "(creativeml )?open ?rail( m| d| s| \\+\\+ m)?( licen[cs]e)", 2, 0.9),
+    ("non-commercial", "non", "(for )?non ?commercial use only", 2, 0.7),
+    ("no-redistribution", "redistribut", "(do not redistribute|not for redistribution|redistribution (is )?(strictly )?(prohibited|forbidden))", 2, 0.7),
+    ("proprietary", "trade", "(contains|constitutes) (confidential )?(and )?(proprietary )?trade secrets", 2, 0.7),
+    ("proprietary", "written consent", "without( the)?( prior| express)*( written)? written consent of", 1, 0.5),
+    ("all-rights-reserved", "tous", "tous droits r\u00e9serv\u00e9s", 1, 0.4),
+    ("all-rights-reserved", "rechte", "alle rechte vorbehalten", 1, 0.4),
+    ("all-rights-reserved", "derechos", "todos los derechos reservados", 1, 0.4),
 ]
 
 #: One of these stems stands in every rule's words.
-GATE = r"(?i)licen|copyright|permi|redistribut|domain|reserved|proprietary|\bcc|creativecommons|commons|gpl|cddl|wtfpl|mozilla|gnu|endorse|advertising|warranty|bsd|mit no|zero"
+GATE = (
+    r"(?i)licen|copyright|permi|redistribut|domain|reserved|proprietary|\bcc|creativecommons|commons|gpl|cddl|wtfpl|mozilla|gnu|endorse|advertising|warranty|bsd|mit no|zero"
+    r"|includes software|php software|merchantability|network|linking this|invariant|eupl|related or neighboring|redistribute the material|modified material|commercial|systems consortium|misrepresented"
+    r"|disclaim|verbatim|artistic|paragraphs|third parties|charityware|representations|beer|good not evil|exception|trade secret|consent|r\xe9serv|vorbehalten|derechos"
+)
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _PRIORITIES = (1, 2, 3, 4)
@@ -165,7 +242,8 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     found = []
     for label, (keyword, name, spdx) in FAMILIES.items():
         found += [(label, keyword, form.format(name=name), priority, weight) for form, priority, weight in USES.values()]
-        found.append((label, "spdx", f"spdx licen[cs]e identifier {spdx}( only| or later)?", 4, 1.0))
+        if spdx:
+            found.append((label, "spdx", f"spdx licen[cs]e identifier {spdx}( only| or later)?", 4, 1.0))
     return found + SINGLE
 
 
@@ -269,7 +347,8 @@ def oracle() -> str:
     def doubled(words: str) -> str:
         return " " + words.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + " "
 
-    table = ", ".join(f"('{label}', '{keyword}', '{doubled(f'(?:{words})')}', {priority}, {weight})" for label, keyword, words, priority, weight in rules())
+    keys = lambda label, keyword: "[" + ", ".join("'" + k.replace(" ", "  ") + "'" for k in keywords_of(label, keyword)) + "]"
+    table = ", ".join(f"('{label}', {keys(label, keyword)}, '{doubled(f'(?:{words})')}', {priority}, {weight})" for label, keyword, words, priority, weight in rules())
     base = ", ".join(f"('{label}', '{doubled(words)}')" for words, label in BASE.items())
     count = "(len(x) - len(replace(x, ' ', ''))) // 2"
     first = f"list_sum(list_transform(gaps[1:i + 1], lambda x: {count})) + coalesce(list_sum(list_transform(hits[1:i], lambda x: {count})), 0)"
@@ -277,13 +356,13 @@ def oracle() -> str:
 WITH words AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{WORD_GAP}', ' ', 'g')) AS raw FROM documents),
 lined AS (SELECT doc_id, CASE WHEN raw = '' THEN 0 ELSE len(raw) - len(replace(raw, ' ', '')) + 1 END AS n_words,
     CASE WHEN regexp_matches(raw, '{GATE}') THEN ' ' || replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ', '  ') || ' ' END AS line FROM words),
-rules(label, keyword, pattern, priority, weight) AS (VALUES {table}),
+rules(label, keywords, pattern, priority, weight) AS (VALUES {table}),
 base_rules(label, pattern) AS (VALUES {base}),
 base_hits AS (SELECT doc_id, label, regexp_extract_all(line, pattern) AS hits, string_split_regex(line, pattern) AS gaps FROM lined, base_rules WHERE line IS NOT NULL AND regexp_matches(line, pattern)),
 base_at AS (SELECT doc_id, label, {first} AS first FROM (SELECT *, unnest(range(len(hits))) AS i FROM base_hits)),
 bases AS (SELECT doc_id, count(*) AS n, min(first) AS first_word, max(first) AS last_word, list(DISTINCT label) AS own FROM base_at GROUP BY doc_id),
 hits AS (SELECT doc_id, label, priority, weight, regexp_extract_all(line, pattern) AS hits, string_split_regex(line, pattern) AS gaps FROM lined, rules
-    WHERE line IS NOT NULL AND contains(line, keyword) AND regexp_matches(line, pattern)),
+    WHERE line IS NOT NULL AND len(list_filter(keywords, lambda k: contains(line, k))) > 0 AND regexp_matches(line, pattern)),
 found AS (SELECT DISTINCT doc_id, label, priority, weight, {first} AS f, {first} + {count.replace("x", "hits[i + 1]")} - 1 AS l FROM (SELECT *, unnest(range(len(hits))) AS i FROM hits)),
 kept AS (SELECT * FROM found d WHERE NOT EXISTS (SELECT 1 FROM found e WHERE e.doc_id = d.doc_id AND e.f <= d.f AND e.l >= d.l
     AND (e.priority > d.priority OR (e.priority = d.priority AND (e.f <> d.f OR e.l <> d.l OR e.label < d.label))))),

@@ -102,7 +102,7 @@ def plain_scan(text):
         base |= {label} if hits else set()
     found = []
     for label, keyword, pattern, priority, weight in licenses.rules():
-        if keyword in line and re.search(licenses.GATE, line):
+        if any(k in line for k in licenses.keywords_of(label, keyword)) and re.search(licenses.GATE, line):
             for m in re.finditer(f"(?<= )((?:{pattern}))(?= )", line):
                 first = line[: m.start()].count(" ") - 1
                 found.append((first, first + m[0].count(" "), priority, weight, label))
@@ -118,6 +118,7 @@ TEXTS = [
     None, "", "...", "plain words only", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License. under the MIT license under the mit license", "CC BY-NC 4.0 or cc-by-nc-sa; CC-BY",
     "This work is licensed under the GNU General Public License, version 3. All rights reserved.", "SPDX-License-Identifier: Apache-2.0", "GNU Lesser General Public License v2.1 and GNU Affero General Public License version 3",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "subject to the terms of the Mozilla Public License, v. 2.0", "https://creativecommons.org/licenses/by-nc/4.0/ BSD-3-Clause license",
+    "Tous droits réservés", "BSD Zero Clause License; 0BSD", "The Software shall be used for Good, not Evil.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "apache license " * 3000 + "version 2", "under the mit license " * 2000, "UNDER THE MIT LICENSEK under the mİt license", "dedicated to the public domain; CC0 1.0 Universal",
 ]
 
@@ -174,7 +175,7 @@ def test_every_pattern_implies_a_keyword_and_the_gate():
 
 def test_alternative_names_are_found(spark):
     names = {"gpl": "GNU GPL", "lgpl": "GNU LGPL", "mit": "Expat License", "cddl": "Common Development and Distribution License", "cc0": "Creative Commons Zero", "libpng": "PNG Reference Library License", "psf": "PSF License"}
-    df = spark.createDataFrame([(label, f"Released under the {name}.") for label, name in [*names.items(), ("mit", "X11 license")]], "want string, text string")
+    df = spark.createDataFrame([(label, f"Released under the {name}.") for label, name in [*names.items(), ("mit", "X11 license"), ("0bsd", "Zero Clause BSD"), ("bsd", "BSD style license")]], "want string, text string")
     assert [(r.want, r.labels) for r in licenses.scan(df).collect() if r.want != r.labels] == []
 
 
