@@ -1,17 +1,18 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages (runs of ``PASSAGE`` UTF-8 bytes over the whole text). Each passage
-is described by counts of character classes and their pairs and by word repetition, and encoded by a
-learned layer. Gated attention, ``softmax(a . (tanh(V h) * sigmoid(U h)))`` over the passages of a
+is described by counts of character classes and their pairs, by word repetition, and by its words (hashed to
+``WORDS`` buckets, each with a learned vector), and encoded by a learned layer. Gated attention, ``softmax(a . (tanh(V h) * sigmoid(U h)))`` over the passages of a
 document, weighs the passage codes ``h``; the weighted code gives the document's score. Only
 document labels are used for learning; which passages count is learned with them.
 
-Learning uses a bounded sample of labelled rows (``TRAIN_DOCUMENTS``, drawn by a hash of the id).
-Scores read every whole text.
+Learning uses a bounded sample: labelled rows drawn by a hash of the id (``TRAIN_DOCUMENTS`` expected, twice as many at
+most), and of each of them at most ``TRAIN_PASSAGES`` passages, evenly spaced. Scores read every passage of every text.
 
 Defined results
     * null text counts as empty; an empty text is one passage without any sign, and gets a score;
     * labels, lang, source and doc_id are no inputs of a score; equal texts have equal scores;
+    * a document labelled several times counts once, with the mean of its labels; rows that repeat a document count once;
     * without labelled rows every score is 0.5; with one kind of label, that label's share;
     * extra columns are kept by :func:`score`; its own columns replace those of the same name.
 """
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from pointloom.llm import common
 
 PASSAGE = 320
-TRAIN_DOCUMENTS = 3_000
+TRAIN_DOCUMENTS, TRAIN_PASSAGES = 3_000, 128
+#: Buckets of words, and how much less than the other features each of them weighs at first.
+WORDS, CALM = 128, 5.0
 CODE, GATE, EPOCHS = 16, 8, 160
 THRESHOLD = 0.7
 
@@ -43,7 +46,7 @@ _kind[10] = 1
 _kind[97:110], _kind[110:123], _kind[65:91], _kind[48:58] = 2, 3, 4, 5
 _kind[46], _kind[44], _kind[[33, 63]], _kind[124], _kind[128:] = 6, 7, 8, 9, 11
 _PAIRS = _KINDS * _KINDS
-FEATURES = _KINDS + _PAIRS + 5
+FEATURES = _KINDS + _PAIRS + 5 + WORDS
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -101,7 +104,9 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out[:, at + 1] = np.bincount(spot, twice, minlength=total) / share
         out[:, at + 2] = np.bincount(spot, b - a, minlength=total) / share / 10
         out[:, at + 3] = words / 50
-    out[:, -1] = np.log1p(held) / 6
+        bucket = ((word * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % WORDS
+        out[:, at + 5 :] = np.sqrt(np.bincount(spot * WORDS + bucket, minlength=total * WORDS).reshape(total, WORDS) / share[:, None])
+    out[:, _KINDS + _PAIRS + 4] = np.log1p(held) / 6
     return out, counts
 
 
@@ -138,6 +143,7 @@ def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = EPO
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(FEATURES), np.ones(FEATURES), {}, float(labels.mean()) if len(labels) else 0.5)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
+    scale[-WORDS:] *= CALM
     x = ((x - mean) / scale).astype(np.float32)
     rng = np.random.default_rng(seed)
     w = {
@@ -147,20 +153,8 @@ def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = EPO
     w = {k: v.astype(np.float32) for k, v in w.items()}
     model = Model(mean, scale, w)
     m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    starts, n = np.cumsum(counts) - counts, len(labels)
     for step in range(1, epochs + 1):
-        p, h, v, u, att, bag = forward(model, x, counts)
-        d = ((p - labels) / n).astype(np.float32)
-        g = {"c": bag.T @ d, "b": d.sum(keepdims=True)}
-        dbag = np.repeat(d[:, None] * w["c"], counts, axis=0)
-        datt = (dbag * h).sum(axis=1)
-        dlogit = att * (datt - np.repeat(np.add.reduceat(att * datt, starts), counts))
-        g["a"] = (v * u).T @ dlogit
-        dgate = dlogit[:, None] * w["a"]
-        dv, du = dgate * u * (1 - v * v), dgate * v * u * (1 - u)
-        g["V"], g["U"] = h.T @ dv, h.T @ du
-        dh = (att[:, None] * dbag + dv @ w["V"].T + du @ w["U"].T) * (1 - h * h)
-        g["E"], g["e"] = x.T @ dh, dh.sum(axis=0)
+        g = gradients(model, x, counts, labels)
         for k in w:
             grad = g[k] + 1e-5 * w[k]
             m1[k] = 0.9 * m1[k] + 0.1 * grad
@@ -169,6 +163,24 @@ def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = EPO
     return model
 
 
+def gradients(model: Model, x: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross entropy of the bags' labels, by each weight."""
+    w, starts = model.weights, np.cumsum(counts) - counts
+    p, h, v, u, att, bag = forward(model, x, counts)
+    d = ((p - labels) / len(labels)).astype(x.dtype)
+    g = {"c": bag.T @ d, "b": d.sum(keepdims=True)}
+    dbag = np.repeat(d[:, None] * w["c"], counts, axis=0)
+    datt = (dbag * h).sum(axis=1)
+    dlogit = att * (datt - np.repeat(np.add.reduceat(att * datt, starts), counts))
+    g["a"] = (v * u).T @ dlogit
+    dgate = dlogit[:, None] * w["a"]
+    dv, du = dgate * u * (1 - v * v), dgate * v * u * (1 - u)
+    g["V"], g["U"] = h.T @ dv, h.T @ du
+    dh = (att[:, None] * dbag + dv @ w["V"].T + du @ w["U"].T) * (1 - h * h)
+    g["E"], g["e"] = x.T @ dh, dh.sum(axis=0)
+    return g
+
+
 def scores(texts: list[bytes], model: Model) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
@@ -182,25 +194,27 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
 def learned(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = TRAIN_DOCUMENTS) -> Model:
     """From labelled rows whose id is not held out. ``docs(doc_id, text)``, ``labels(doc_id, <target>)``.
 
-    The drawn labels are bounded (an expected ``most`` rows), so they are broadcast; passages are
-    described where the texts are, and only the drawn documents' features come to the driver.
+    The drawn labels (see the module's text for the bounds) go out with the plan; passages are described where the
+    texts are, and only the drawn documents' features come to the driver.
     """
     usable = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (common.fold(F.col("doc_id"), 4) != 2))
-    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("double").alias("label"))
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(target).cast("double")).alias("label"))
     rate = min(1.0, most / max(1, usable.count()))
-    drawn = usable.where(F.xxhash64("doc_id").bitwiseAND((1 << 52) - 1) < int(rate * (1 << 52)))
+    drawn = usable.where(F.xxhash64("doc_id").bitwiseAND((1 << 52) - 1) < int(rate * (1 << 52))).orderBy("doc_id").limit(2 * most).collect()
+    if not drawn:
+        return fit(np.empty((0, FEATURES), np.float32), np.empty(0, np.int64), np.empty(0))
+    known = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in drawn], "doc_id long, label double")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            for first, last in common.slices(np.array([len(t) for t in texts]), 1_000_000):
-                x, counts = passages(texts[first:last])
-                ends = np.cumsum(counts)
-                rows = [x[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, last - first) for c in ("doc_id", "label")] + [pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
+        for batch in common.texts_of_size(batches, 1_000_000):
+            x, counts = passages([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()])
+            ends = np.cumsum(counts)
+            rows = [x[e - c : e][np.unique(np.linspace(0, c - 1, min(c, TRAIN_PASSAGES)).round().astype(int))].tobytes() for e, c in zip(ends, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = plain.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text").mapInArrow(describe, "doc_id long, label double, x binary").collect()
+    met = plain.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text").distinct()  # of 2 * most rows at most
+    rows = met.mapInArrow(describe, "doc_id long, label double, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["x"])))
     if not rows:
         return fit(np.empty((0, FEATURES), np.float32), np.empty(0, np.int64), np.empty(0))

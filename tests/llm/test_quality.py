@@ -18,6 +18,72 @@ def test_gradients():
     assert np.allclose(np.add.reduceat(p[4], starts), 1, atol=1e-5) and (p[4] >= 0).all()
 
 
+def small_model(rng, features=6, code=3, gate=2):
+    w = {"E": rng.normal(0, 1, (features, code)), "e": rng.normal(0, 1, code), "V": rng.normal(0, 1, (code, gate)), "U": rng.normal(0, 1, (code, gate)), "a": rng.normal(0, 1, gate), "c": rng.normal(0, 1, code), "b": rng.normal(0, 1, 1)}
+    return quality.Model(np.zeros(features), np.ones(features), w)
+
+
+def plain_score(w, bag):
+    """Gated attention over one document's passages, one by one."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    codes = [np.tanh(p @ w["E"] + w["e"]) for p in bag]
+    power = [np.exp(sum(a * np.tanh(h @ w["V"])[i] * sigmoid(h @ w["U"])[i] for i, a in enumerate(w["a"]))) for h in codes]
+    whole = sum(p / sum(power) * h for p, h in zip(power, codes, strict=True))
+    return float(sigmoid(whole @ w["c"] + w["b"])[0])
+
+
+def test_attention_against_one_document_at_a_time():
+    rng = np.random.default_rng(3)
+    m, counts = small_model(rng), np.array([1, 4, 2, 7])
+    x = rng.normal(0, 1, (counts.sum(), 6))
+    ends = np.cumsum(counts)
+    want = [plain_score(m.weights, x[e - n : e]) for e, n in zip(ends, counts, strict=True)]
+    assert np.allclose(quality.forward(m, x, counts)[0], want)
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(4)
+    m, counts, labels = small_model(rng), np.array([2, 1, 3]), np.array([1.0, 0.0, 1.0])
+    x = rng.normal(0, 1, (6, 6))
+
+    def loss():
+        p = quality.forward(m, x, counts)[0]
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    for k, g in quality.gradients(m, x, counts, labels).items():
+        for at in np.ndindex(m.weights[k].shape):
+            was = m.weights[k][at]
+            m.weights[k][at] = was + 1e-6
+            high = loss()
+            m.weights[k][at] = was - 1e-6
+            low = loss()
+            m.weights[k][at] = was
+            assert np.isclose(g[at], (high - low) / 2e-6, atol=1e-7), (k, at)
+
+
+def test_query_against_one_text_at_a_time(spark, folder):
+    """The registered query, passage by passage in plain Python with the model that it learned."""
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, rng.randint(1, 200)) if i % 2 else " ".join(sentence(rng, 60).upper().split()) + " 123 !!") for i in range(60)] + [(60, None), (61, ""), (62, "é日😀 " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.op5_quality_mil(spark, folder(documents=docs, labels=labels)).collect()}
+    m = quality.learned(docs, labels)
+    for i, text in rows:
+        data = (text or "").encode()
+        x, counts = quality.passages([data])
+        assert counts[0] == max(1, -(-len(data) // quality.PASSAGE)) == len(x)
+        want = plain_score({k: w.astype(float) for k, w in m.weights.items()}, (x - m.mean) / m.scale)
+        assert abs(got[i].score - want) < 1e-4 and got[i].predicted == (got[i].score >= 0.7)
+
+
+def test_labels_and_documents_said_twice(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (5 + i)) for i in range(40)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once, often = quality.learned(docs.distinct(), labels), quality.learned(docs, labels.unionByName(labels))
+    assert all(np.array_equal(once.weights[k], often.weights[k]) for k in once.weights)
+
+
 def test_passages_cover_the_text():
     x, counts = quality.passages([b"", b"a" * 319, b"a" * 321, b"one one one two"])
     assert counts.tolist() == [1, 1, 2, 1] and x.shape == (5, quality.FEATURES)
