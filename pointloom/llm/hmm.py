@@ -18,7 +18,7 @@ up by state and symbol; only tables of that fixed size (states times symbols) re
 
 What grows with the corpus stays distributed. Documents become blocks of a bounded number of bytes; a
 block holds its distinct words once, so counting shuffles a word once a block (not once an occurrence).
-A count comes back to a block only where other blocks have the word too.
+Counts come back to their block as numbers; only words that may be frequent come with their letters.
 
 Documents are never cut. One longer than ``PIECE`` tokens is walked in pieces that are all lanes of one
 numpy step: each piece first gives its transfer matrix (what any state before it leads to), the chain of
@@ -39,8 +39,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,17 +61,18 @@ SUFFIX = 3
 
 # -- documents to blocks
 
-BLOCK_SCHEMA = "block string, words array<string>, n_train array<int>, doc_ids array<long>, held array<boolean>, shares array<int>, sizes array<int>, tokens binary"
+BLOCK_SCHEMA = "block long, words array<string>, n_train array<int>, doc_ids array<long>, held array<boolean>, shares array<int>, sizes array<int>, tokens binary"
 _SHARE_OF = np.repeat(np.arange(len(SHARES)), SHARES)
 
 
 def blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """``docs(doc_id, text, held)`` to blocks. Tokens are numbers of the block's own words, frequent ones first."""
     names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
-    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+    kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.texts_of_size(batches, most):
+        part = TaskContext.get().partitionId()  # the table is written once, so a block keeps its number
+        for number, batch in enumerate(common.texts_of_size(batches, most)):
             codes, sizes, words = common.coded_words(batch.column("text"))
             held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
             shares = _SHARE_OF[batch.column("dealt").to_numpy(zero_copy_only=False)]
@@ -80,10 +81,7 @@ def blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
             place[order] = np.arange(len(words))
             codes = place[codes]
             train = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(words)).astype(np.int32)
-            data = codes.astype("<i4").tobytes()
-            rest = repr((batch.column("doc_id").to_pylist(), held.tolist(), sizes.tolist())).encode()
-            name = xxhash.xxh3_128_hexdigest(data + rest + xxhash.xxh3_128_digest("\n".join(words.to_pylist()).encode()))
-            row = [name, words.take(pa.array(order)), train, batch.column("doc_id"), held, shares, sizes.astype(np.int32), zstandard.compress(data, 1)]
+            row = [part << 32 | number, words.take(pa.array(order)), train, batch.column("doc_id"), held, shares, sizes.astype(np.int32), squeezed(codes.astype("<i4"))]
             yield pa.RecordBatch.from_arrays([_lone(x, k) for x, k in zip(row, kinds, strict=True)], names=names)
 
     dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(sum(SHARES))).cast("int").alias("dealt")
@@ -108,37 +106,49 @@ class Vocabulary:
     tokens: int  # N
     kinds: int  # V
     ends: int
-    frequent: dict[bytes, int]  # word -> symbol
+    frequent: dict[str, int]  # word -> symbol
     counts: np.ndarray  # of the frequent words
     sums: np.ndarray  # N_o, V_o, U_o by class
 
 
-def suffix_class(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word.decode("utf-8", "surrogatepass")[-SUFFIX:].encode("utf-8", "surrogatepass"), 42) % CLASSES
-
-
 def counted(held: DataFrame) -> DataFrame:
-    """(block, idx, c long, n_train int, word): training count of each block's words over all blocks, and in the block.
-    ``word`` is given on one row of each word only. One shuffle, by word: a word has a row a block at most, which is
-    less than a block has words, so no word weighs more than a task's share of them."""
-    each = held.select("block", F.posexplode(F.arrays_zip("words", "n_train")).alias("idx", "x")).select("block", "idx", "x.words", "x.n_train")
-    own = Window.partitionBy("words")
-    first = F.row_number().over(own.orderBy("words")) == 1  # any one of them; the table is written once
-    return each.select("block", "idx", "n_train", F.sum(F.col("n_train").cast("long")).over(own).alias("c"), F.when(first, F.col("words")).alias("word"))
+    """(block, idx, c long, o short, word, first boolean): training count of each block's words over all blocks, and their
+    classes; ``first`` on one row of each word. One shuffle, by word: a word has a row a block at most, which is less than
+    a block has words, so no word weighs more than a task's share of them."""
+    each = held.select("block", F.posexplode(F.arrays_zip("words", "n_train")).alias("idx", "x")).select("block", "idx", F.col("x.words").alias("word"), "x.n_train")
+    own = Window.partitionBy("word")
+    first = F.row_number().over(own.orderBy("word")) == 1  # any one of them; the table is written once
+    group = F.pmod(F.xxhash64(F.substring("word", -SUFFIX, SUFFIX)), F.lit(CLASSES)).cast("short")
+    return each.select("block", "idx", F.sum(F.col("n_train").cast("long")).over(own).alias("c"), group.alias("o"), "word", first.alias("first"))
 
 
 def vocabulary(held: DataFrame, counts: DataFrame) -> Vocabulary:
-    seen = counts.where("word IS NOT NULL AND c > 0")
-    group = F.pmod(F.xxhash64(F.substring("word", -SUFFIX, SUFFIX)), F.lit(CLASSES)).alias("o")
+    seen = counts.where("first AND c > 0")
     sums = np.zeros((3, CLASSES))
-    for r in seen.groupBy(group).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("u")).collect():
+    for r in seen.groupBy("o").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("u")).collect():
         sums[:, r["o"]] = r["n"], r["v"], r["u"]
     ends = held.select(F.sum(F.size(F.filter("held", lambda x: ~x))).alias("n")).first()["n"] or 0
     total, kinds = int(sums[0].sum()) + ends, int(sums[1].sum()) + (ends > 0)
-    top = seen.orderBy(F.desc("c"), "word").limit(FREQUENT).select("word", "c").collect()
+    # how often a frequent word stands at least, to a power of 2: few others are sorted with them, whatever the number of tasks
+    power, least, above = F.floor(F.log2("c")), 0, 0
+    for r in sorted(seen.groupBy(power.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["k"]):
+        least, above = r["k"], above + r["n"]
+        if above >= FREQUENT:
+            break
+    top = seen.where(power >= least).orderBy(F.desc("c"), "word").limit(FREQUENT).select("word", "c", "o").collect()
     for r in top:
-        sums[:, suffix_class(r["word"].encode())] -= r["c"], 1, r["c"] == 1
-    return Vocabulary(total, kinds, ends, {r["word"].encode(): i for i, r in enumerate(top)}, np.array([r["c"] for r in top] + [0] * (FREQUENT - len(top)), dtype=float), sums)
+        sums[:, r["o"]] -= r["c"], 1, r["c"] == 1
+    return Vocabulary(total, kinds, ends, {r["word"]: i for i, r in enumerate(top)}, np.array([r["c"] for r in top] + [0] * (FREQUENT - len(top)), dtype=float), sums)
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers compressed byte plane by byte plane."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def spread(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 CODED_SCHEMA = "doc_ids array<long>, held array<boolean>, sizes array<int>, known array<int>, base array<double>, inner array<double>, symbols binary, share int"
@@ -154,29 +164,22 @@ def coded(held: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         v, rows = shipped.value, []
         if left.num_rows:
-            # equal rows in two partitions may make equal blocks, with one name; their words are the same
-            words = left.column("words")[0].values
-            c = left.column("n_train")[0].values.to_numpy().astype(np.float64)
-            c[right.column("idx").to_numpy()] = right.column("c").to_numpy()
+            place, n = right.column("idx").to_numpy(), right.num_rows  # a row for each word of the block
+            c, group = np.empty(n), np.empty(n, dtype=np.int64)
+            c[place], group[place] = right.column("c").to_numpy(), right.column("o").to_numpy()
             base_word = np.log10((c + 1) / (v.tokens + v.kinds + 1))
             base_end = np.log10((v.ends + 1) / (v.tokens + v.kinds + 1))
-            frequent = pc.index_in(words, pa.array([w.decode("utf-8", "surrogatepass") for w in v.frequent], pa.string()))
-            symbol = pc.fill_null(frequent, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            symbol = np.full(n, -1, dtype=np.int64)
+            symbol[place] = pc.fill_null(pc.index_in(right.column("word"), pa.array(list(v.frequent), pa.string())), -1).to_numpy()
             rare = np.flatnonzero((symbol < 0) & (c > 0))
-            classes: dict[str, int] = {}
-            group = np.empty(len(rare), dtype=np.int64)
-            for i, w in enumerate(words.take(pa.array(rare)).to_pylist()):
-                end = w[-SUFFIX:]
-                if end not in classes:
-                    classes[end] = suffix_class(end.encode("utf-8", "surrogatepass"))
-                group[i] = classes[end]
+            group = group[rare]
             symbol[rare] = FREQUENT + group
             symbol[c == 0] = UNKNOWN
-            inner = np.zeros(len(words))
+            inner = np.zeros(n)
             inner[rare] = np.log10((c[rare] + 1) / class_mass(v)[group])
             for i in range(left.num_rows):
                 sizes, shares = (left.column(n)[i].values.to_numpy() for n in ("sizes", "shares"))
-                tokens = np.frombuffer(zstandard.decompress(left.column("tokens")[i].as_py()), "<i4")
+                tokens = spread(left.column("tokens")[i].as_py(), "<i4")
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 total = lambda x: np.bincount(owner, x[tokens], minlength=len(sizes)) if len(tokens) else np.zeros(len(sizes))
                 flat = np.full(len(tokens) + len(sizes), END, dtype="<u2")
@@ -185,13 +188,13 @@ def coded(held: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
                 by_document = [left.column("doc_ids")[i].values, left.column("held")[i].values, *(pa.array(x) for x in (sizes, (total((c > 0).astype(float)) + (v.ends > 0)).astype(np.int32), total(base_word) + base_end, total(inner)))]
                 for share in np.unique(shares).tolist():
                     own = pa.array(np.flatnonzero(shares == share))
-                    rows.append([x.take(own) for x in by_document] + [flat[home == share].tobytes(), share])
+                    rows.append([x.take(own) for x in by_document] + [squeezed(flat[home == share]), share])
         made = [pa.RecordBatch.from_arrays([_lone(x, k) for x, k in zip(r, kinds, strict=True)], names=names) for r in rows]
         return pa.Table.from_batches(made, schema=pa.schema(list(zip(names, kinds, strict=True))))
 
-    # where no other block has the word, the block's own count is the whole one
-    others = counts.where("c <> n_train").select("block", "idx", "c")
-    return held.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(one, CODED_SCHEMA)
+    frequent = F.when(F.col("c") >= float(vocab.counts[vocab.counts > 0].min(initial=np.inf)), F.col("word")).alias("word")  # all that may be
+    asked = counts.select("block", "idx", "c", "o", frequent)
+    return held.drop("words", "n_train").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(one, CODED_SCHEMA)
 
 
 # -- the model
@@ -412,7 +415,7 @@ def gathered(data: DataFrame, model: Model) -> Counts | None:
                 sizes = sizes.values.to_numpy().astype(np.int64) + 1
                 keep = ~flags.values.to_numpy(zero_copy_only=False).astype(bool)
                 if keep.any():
-                    held.append((np.frombuffer(row.as_py(), "<u2")[np.repeat(keep, sizes)], sizes[keep]))
+                    held.append((spread(row.as_py(), "<u2")[np.repeat(keep, sizes)], sizes[keep]))
                 if sum(len(h[0]) for h in held) >= WALK:
                     add()
         if held:
@@ -469,7 +472,7 @@ def scored(data: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 held.append([batch.column(n)[row].values for n in ("doc_ids", "held", "sizes", "known", "base", "inner")])
-                symbols.append(np.frombuffer(batch.column("symbols")[row].as_py(), "<u2"))
+                symbols.append(spread(batch.column("symbols")[row].as_py(), "<u2"))
                 if sum(map(len, symbols)) >= WALK:
                     yield judged()
         if held:

@@ -43,7 +43,7 @@ def test_forward_and_counts_against_all_paths(piece):
 
 
 def test_states_sum_to_one():
-    v = hmm.Vocabulary(100, 20, 5, {b"a": 0}, np.array([50.0] + [0.0] * (hmm.FREQUENT - 1)), np.stack([np.eye(1, hmm.CLASSES, 3)[0] * 45, np.eye(1, hmm.CLASSES, 3)[0] * 18, np.eye(1, hmm.CLASSES, 3)[0] * 4]))
+    v = hmm.Vocabulary(100, 20, 5, {"a": 0}, np.array([50.0] + [0.0] * (hmm.FREQUENT - 1)), np.stack([np.eye(1, hmm.CLASSES, 3)[0] * 45, np.eye(1, hmm.CLASSES, 3)[0] * 18, np.eye(1, hmm.CLASSES, 3)[0] * 4]))
     m = hmm.first_model(v)
     mass = hmm.class_mass(v)
     known = (v.sums[0] + v.sums[1]) / mass
@@ -120,7 +120,7 @@ def test_rounds_see_all_training_tokens(spark, monkeypatch):
 
 
 def test_a_round_without_training_rows_keeps_the_model(spark):
-    v = hmm.Vocabulary(100, 20, 5, {b"a": 0}, np.array([50.0] + [0.0] * (hmm.FREQUENT - 1)), np.zeros((3, hmm.CLASSES)))
-    none = spark.createDataFrame([([True], [1], bytes(4), 0)], "held array<boolean>, sizes array<int>, symbols binary, share int")
+    v = hmm.Vocabulary(100, 20, 5, {"a": 0}, np.array([50.0] + [0.0] * (hmm.FREQUENT - 1)), np.zeros((3, hmm.CLASSES)))
+    none = spark.createDataFrame([([True], [1], hmm.squeezed(np.zeros(2, '<u2')), 0)], "held array<boolean>, sizes array<int>, symbols binary, share int")
     assert hmm.gathered(none, hmm.first_model(v)) is None
     assert np.array_equal(hmm.train(none, v).emit, hmm.first_model(v).emit)
