@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.walks import walked
+
 
 def last_samples(samples: DataFrame, window: int, keys: list[str], order: str, value: str) -> DataFrame:
     """The last ``window`` samples of each key; negative and non-finite values don't count."""
@@ -34,19 +36,18 @@ def chunk_ids(rows: DataFrame, size: int, keys: list[str], order: list[str]) ->
 
 def frame_chunks(frames: DataFrame, points: int, count: int, keys: list[str], order: str = "frame_id") -> DataFrame:
     """Frames ``(keys, order, n_points)`` with ``chunk``: it rotates once it has ``points`` points or ``count`` frames (0: no
-    such bound). What a chunk holds restarts with it, so frames, one row each, are folded in order."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("n_points").cast("bigint").alias("n"))))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("chunk"), zero.alias("p"), zero.alias("f"), F.array().cast("array<struct<o:bigint,n:bigint,chunk:bigint>>").alias("out"))
+    such bound). What a chunk holds restarts with it, so frames, one row each, are walked in order."""
 
-    def step(s, r):
-        p, f = s["p"] + r["n"], s["f"] + 1
-        full = (F.lit(points > 0) & (p >= points)) | (F.lit(count > 0) & (f >= count))
-        made = F.struct(r["o"].alias("o"), r["n"].alias("n"), s["chunk"].alias("chunk"))
-        return F.struct((s["chunk"] + F.when(full, 1).otherwise(0)).cast("bigint").alias("chunk"), F.when(full, zero).otherwise(p).alias("p"), F.when(full, zero).otherwise(f).alias("f"), F.concat(s["out"], F.array(made)).alias("out"))
+    def step(held: dict, row: dict) -> tuple:
+        chunk = held["chunk"]
+        held["points"], held["frames"] = held["points"] + row["n_points"], held["frames"] + 1
+        if (points > 0 and held["points"] >= points) or (count > 0 and held["frames"] >= count):
+            held.update(chunk=chunk + 1, points=0, frames=0)
+        return row[order], row["n_points"], chunk
 
-    folded = frames.groupBy(*keys).agg(F.aggregate(rows, start, step)["out"].alias("out"))
-    return folded.select(*keys, F.explode("out").alias("x")).select(*keys, F.col("x.o").alias(order), F.col("x.n").alias("n_points"), F.col("x.chunk").alias("chunk"))
+    begin = lambda: {"chunk": 0, "points": 0, "frames": 0}
+    kind = dict(frames.dtypes)[order]
+    return walked(frames.select(*keys, order, F.col("n_points").cast("bigint").alias("n_points")), keys, [order], begin, step, f"{order} {kind}, n_points bigint, chunk bigint")
 
 
 def chunk_index(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
@@ -66,46 +67,34 @@ def bounded_path(path: DataFrame, capacity: int, publish: int, keys: list[str],
     return path.withColumn("__held", held).withColumn("__back", back).where(F.col("__back") <= F.col("__held")).withColumn("published", F.col("__back") <= publish).drop("__held", "__back")
 
 
-def throttled(messages: DataFrame, keys: list[str], time_us: str, hz: float, kind: str = "bigint") -> DataFrame:
+def throttled(messages: DataFrame, keys: list[str], time_us: str, hz: float) -> DataFrame:
     """Messages that a rate limit lets through: at least ``1 / hz`` after the last one let through. The choice depends
-    on the one before, so each key's times (numbers only) are walked in order in its own group."""
-    import pandas as pd
-
-    step = int(round(1e6 / hz))
-    kinds = dict(messages.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {time_us} bigint, seq bigint"
+    on the one before, so each key's times (numbers only) are walked in order."""
+    gap = int(round(1e6 / hz))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([time_us, "seq"])
-        times, kept, last = group[time_us].tolist(), [], None
-        for i, t in enumerate(times):
-            if last is None or t >= last + step:
-                kept.append(i)
-                last = t
-        return group.iloc[kept]
+    def step(held: dict, row: dict) -> tuple | None:
+        if held["last"] is not None and row[time_us] < held["last"] + gap:
+            return None
+        held["last"] = row[time_us]
+        return row[time_us], row["seq"]
 
-    return messages.select(*keys, F.col(time_us).cast("bigint").alias(time_us), F.col("seq").cast("bigint").alias("seq")).groupBy(*keys).applyInPandas(walk, schema)
+    narrow = messages.select(*keys, F.col(time_us).cast("bigint").alias(time_us), F.col("seq").cast("bigint").alias("seq"))
+    return walked(narrow, keys, [time_us, "seq"], lambda: {"last": None}, step, f"{time_us} bigint, seq bigint")
 
 
 def accumulated_frames(packets: DataFrame, keys: list[str], most_s: float = 0.10, most_points: int = 20_000) -> DataFrame:
     """Packets ``(keys, ts_us, seq, n_points)`` with ``frame`` and its ``begin_us``: a frame closes when it is ``most_s`` long or
-    has ``most_points`` points; the next packet opens the next one. Groups hold a row a packet, never points."""
-    import pandas as pd
-
-    kinds = dict(packets.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ts_us bigint, seq bigint, n_points bigint, frame bigint, begin_us bigint"
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts_us", "seq"])
-        frame, begin, held, frames, begins = 0, None, 0, [], []
-        for t, n in zip(group["ts_us"].tolist(), group["n_points"].tolist(), strict=True):
-            if begin is None:
-                begin, held = t, 0
-            held += n
-            frames.append(frame)
-            begins.append(begin)
-            if (t - begin) / 1e6 >= most_s or held >= most_points:
-                frame, begin = frame + 1, None
-        return group.assign(frame=frames, begin_us=begins)
-
-    return packets.select(*keys, *(F.col(c).cast("bigint").alias(c) for c in ("ts_us", "seq", "n_points"))).groupBy(*keys).applyInPandas(walk, schema)
+    has ``most_points`` points; the next packet opens the next one. A row is a packet, never a point."""
+
+    def step(held: dict, row: dict) -> tuple:
+        if held["begin"] is None:
+            held.update(begin=row["ts_us"], points=0)
+        held["points"] += row["n_points"]
+        out = row["ts_us"], row["seq"], row["n_points"], held["frame"], held["begin"]
+        if (row["ts_us"] - held["begin"]) / 1e6 >= most_s or held["points"] >= most_points:
+            held.update(frame=held["frame"] + 1, begin=None)
+        return out
+
+    narrow = packets.select(*keys, *(F.col(c).cast("bigint").alias(c) for c in ("ts_us", "seq", "n_points")))
+    begin = lambda: {"frame": 0, "begin": None, "points": 0}
+    return walked(narrow, keys, ["ts_us", "seq"], begin, step, "ts_us bigint, seq bigint, n_points bigint, frame bigint, begin_us bigint")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.walks import walked
+
 TILE = ["tx", "ty", "tz"]
 VOXEL = ["vx", "vy", "vz"]
 
@@ -41,23 +43,33 @@ def dirty(points: DataFrame, delivered: DataFrame) -> DataFrame:
 
 
 def bounded_batch(changed: DataFrame, max_tiles: int, max_points: int, max_bytes: int) -> DataFrame:
-    """Rows of ``changed(map_id, seq, deleted, n_points, n_bytes)`` that go into the next batch, in dirty order.
+    """Rows of ``changed(map_id, seq, deleted, n_points, n_bytes)`` that go into each map's next batch; a bound of 0 is none.
 
-    Live tiles stop at the first that doesn't fit; a deletion (no points) that doesn't fit is skipped alone.
-    Running sums over what was taken so far decide: a live tile that fails closes the batch for live ones.
+    Deletions (no points) go first, in order of seq; one that doesn't fit is skipped and takes no room. Live tiles follow
+    in order of seq and stop at the first that doesn't fit beside what was taken.
     """
-    order = Window.partitionBy("map_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     live = ~F.col("deleted")
-    sums = changed.withColumn("__t", F.sum(live.cast("int")).over(order)).withColumn("__p", F.sum(F.when(live, F.col("n_points")).otherwise(0)).over(order)).withColumn("__b", F.sum(F.when(live, F.col("n_bytes")).otherwise(0)).over(order))
-    fits = (F.col("__t") <= max_tiles) & (F.col("__p") <= max_points) & (F.col("__b") <= max_bytes)
-    broken = sums.withColumn("__bad", F.max((live & ~fits).cast("int")).over(order))
-    taken = broken.withColumn("__live", (live & (F.col("__bad") == 0)).cast("int"))
-    used = taken.groupBy("map_id").agg(F.coalesce(F.sum("__live"), F.lit(0)).alias("__tiles"), F.coalesce(F.sum(F.when(F.col("__live") == 1, F.col("n_bytes"))), F.lit(0)).alias("__bytes"))
-    # deletions fill what the live tiles leave, each by itself
-    gone = Window.partitionBy("map_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    room = taken.join(used, "map_id").withColumn("__d", F.sum(F.col("deleted").cast("int")).over(gone)).withColumn("__db", F.sum(F.when(F.col("deleted"), F.col("n_bytes")).otherwise(0)).over(gone))
-    fit = F.col("deleted") & (F.col("__tiles") + F.col("__d") <= max_tiles) & (F.col("__bytes") + F.col("__db") <= max_bytes)
-    return room.where((F.col("__live") == 1) | fit).select(*changed.columns)
+    some = changed
+    if max_bytes:  # alone too large: a deletion is skipped anyway; a live tile stays, for it ends the batch
+        some = some.where(live | (F.col("n_bytes") <= max_bytes))
+    if max_tiles:  # live tiles are a prefix, so one behind max_tiles others is never reached
+        place = F.row_number().over(Window.partitionBy("map_id", "deleted").orderBy("seq"))
+        some = some.withColumn("__place", place).where(F.col("deleted") | (F.col("__place") <= max_tiles)).drop("__place")
+    own = [c for c in changed.columns if c != "map_id"]
+    kinds = dict(changed.dtypes)
+
+    def step(taken: dict, row: dict) -> tuple | None:
+        points = taken["points"] + (0 if row["deleted"] else row["n_points"])
+        held = taken["bytes"] + row["n_bytes"]
+        fits = not taken["closed"] and not (max_tiles and taken["tiles"] >= max_tiles) and not (max_points and points > max_points) and not (max_bytes and held > max_bytes)
+        if not fits:
+            taken["closed"] = taken["closed"] or not row["deleted"]
+            return None
+        taken.update(tiles=taken["tiles"] + 1, points=points, bytes=held)
+        return tuple(row[c] for c in own)
+
+    begin = lambda: {"tiles": 0, "points": 0, "bytes": 0, "closed": False}
+    return walked(some, ["map_id"], [F.desc("deleted"), F.col("seq")], begin, step, ", ".join(f"{c} {kinds[c]}" for c in own)).select(*changed.columns)
 
 
 def voxel_cap(points: DataFrame, most: int, order: list[str]) -> DataFrame:
@@ -125,14 +137,12 @@ def resync(tiles: DataFrame) -> DataFrame:
 def delta_with_overflow(deltas: DataFrame, bound: int) -> DataFrame:
     """(map_id, frame_id, points, dropped, resync) of per-frame deltas ``(map_id, frame_id, points)``: a delta that doesn't
     fit beside the ones still waiting drops them and asks for a resync. Waiting deltas restart after a drop,
-    so the running sum is folded in order by map; frames are one row each."""
-    rows = F.array_sort(F.collect_list(F.struct("frame_id", "points")))
-    start = F.struct(F.lit(0).cast("bigint").alias("waiting"), F.array().cast("array<struct<frame_id:bigint,points:bigint,dropped:bigint,resync:boolean>>").alias("out"))
+    so frames (one row each) are walked in order by map."""
 
-    def step(state: Column, row: Column) -> Column:
-        over = (state["waiting"] > 0) & (state["waiting"] + row["points"] > bound)
-        made = F.struct(row["frame_id"].alias("frame_id"), row["points"].alias("points"), F.when(over, state["waiting"]).otherwise(F.lit(0).cast("bigint")).alias("dropped"), over.alias("resync"))
-        return F.struct(F.when(over, row["points"]).otherwise(state["waiting"] + row["points"]).alias("waiting"), F.concat(state["out"], F.array(made)).alias("out"))
+    def step(held: dict, row: dict) -> tuple:
+        waiting, points = held["waiting"], row["points"]
+        over = waiting > 0 and waiting + points > bound
+        held["waiting"] = points if over else waiting + points
+        return row["frame_id"], points, waiting if over else 0, over
 
-    folded = deltas.groupBy("map_id").agg(F.aggregate(rows, start, step)["out"].alias("out"))
-    return folded.select("map_id", F.explode("out").alias("o")).select("map_id", "o.*")
+    return walked(deltas.select("map_id", "frame_id", "points"), ["map_id"], ["frame_id"], lambda: {"waiting": 0}, step, "frame_id bigint, points bigint, dropped bigint, resync boolean")

@@ -176,23 +176,34 @@ def j8_dirty_tiles(spark, d):
     return tiles.dirty(t, _delivered(t)).groupBy(*tiles.TILE).agg(F.count(F.lit(1)).alias("n"))
 
 
-_CHANGED = f"""{_TILES}, n AS (SELECT frame_id % 4 AS map_id, tx, ty, tz, count(*) AS n_points, max(frame_id * 21 + idx) AS seq FROM tiled GROUP BY 1, 2, 3, 4), changed AS (SELECT map_id, seq, tx, ty, tz, seq % 5 = 0 AS deleted, n_points, CASE WHEN seq % 5 = 0 THEN 100 ELSE n_points * 256 END AS n_bytes FROM n)"""
+_CHANGED = f"""{_TILES}, n AS (SELECT frame_id % 4 AS map_id, tx, ty, tz, count(*) AS n_points, max(frame_id * 21 + idx) AS seq FROM tiled GROUP BY 1, 2, 3, 4), changed AS (SELECT map_id, seq, tx, ty, tz, seq % 5 = 0 AS deleted, n_points, CASE WHEN seq % 5 = 0 THEN 100 + seq % 4 * 150000 ELSE n_points * 256 END AS n_bytes FROM n)"""
 
 
 def _changed(spark, d):
     n = tiled(spark, d).groupBy((F.col("frame_id") % 4).alias("map_id"), *tiles.TILE).agg(F.count(F.lit(1)).alias("n_points"), F.max(F.col("frame_id") * 21 + F.col("idx")).alias("seq"))
-    return n.select("map_id", "seq", *tiles.TILE, (F.col("seq") % 5 == 0).alias("deleted"), "n_points", F.when(F.col("seq") % 5 == 0, 100).otherwise(F.col("n_points") * 256).cast("bigint").alias("n_bytes"))
+    return n.select("map_id", "seq", *tiles.TILE, (F.col("seq") % 5 == 0).alias("deleted"), "n_points", F.when(F.col("seq") % 5 == 0, 100 + F.col("seq") % 4 * 150_000).otherwise(F.col("n_points") * 256).cast("bigint").alias("n_bytes"))
 
 
-@query(f"""WITH {_CHANGED}, s AS (SELECT *, sum((NOT deleted)::INTEGER) OVER w AS t, sum(CASE WHEN deleted THEN 0 ELSE n_points END) OVER w AS p, sum(CASE WHEN deleted THEN 0 ELSE n_bytes END) OVER w AS b FROM changed WINDOW w AS (PARTITION BY map_id ORDER BY seq)),
-m AS (SELECT *, max((NOT deleted AND NOT (t <= 6 AND p <= 3000 AND b <= 600000))::INTEGER) OVER (PARTITION BY map_id ORDER BY seq) AS bad FROM s), l AS (SELECT *, NOT deleted AND bad = 0 AS live FROM m),
-u AS (SELECT map_id, count(*) FILTER (live) AS tiles, coalesce(sum(n_bytes) FILTER (live), 0) AS bytes FROM l GROUP BY map_id),
-x AS (SELECT l.*, tiles, bytes, sum(deleted::INTEGER) OVER (PARTITION BY l.map_id ORDER BY seq) AS d, sum(CASE WHEN deleted THEN n_bytes ELSE 0 END) OVER (PARTITION BY l.map_id ORDER BY seq) AS db FROM l JOIN u USING (map_id))
-SELECT map_id, seq, deleted, n_points FROM x WHERE live OR (deleted AND tiles + d <= 6 AND bytes + db <= 600000)""")
+def _batch_sql(tiles: int, points: int, size: int) -> str:
+    """Row by row: deletions first, then live tiles; 0 is no bound."""
+    fits = " AND ".join(["NOT s.closed", *([f"s.tiles < {tiles}"] * bool(tiles)), *([f"s.points + CASE WHEN o.deleted THEN 0 ELSE o.n_points END <= {points}"] * bool(points)), *([f"s.bytes + o.n_bytes <= {size}"] * bool(size))])
+    return f"""WITH RECURSIVE {_CHANGED}, o AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY deleted DESC, seq) AS k FROM changed),
+s AS (SELECT DISTINCT map_id, 0::BIGINT AS k, 0::BIGINT AS tiles, 0::BIGINT AS points, 0::BIGINT AS bytes, false AS closed, false AS taken FROM o
+UNION ALL SELECT map_id, k, tiles + t::INTEGER, points + CASE WHEN t AND NOT deleted THEN n_points ELSE 0 END, bytes + CASE WHEN t THEN n_bytes ELSE 0 END, closed OR NOT (t OR deleted), t
+    FROM (SELECT s.map_id, o.k, s.tiles, s.points, s.bytes, s.closed, o.deleted, o.n_points, o.n_bytes, {fits} AS t FROM s JOIN o ON o.map_id = s.map_id AND o.k = s.k + 1))
+SELECT o.map_id, o.seq, o.deleted, o.n_points FROM o JOIN s USING (map_id, k) WHERE s.taken"""
+
+
+@query(_batch_sql(6, 3000, 600_000))
 def o5_bounded_batch(spark, d):
     return tiles.bounded_batch(_changed(spark, d), 6, 3000, 600_000).select("map_id", "seq", "deleted", "n_points")
 
 
+@query(_batch_sql(0, 0, 2_000_000))
+def o5_batch_by_bytes(spark, d):
+    return tiles.bounded_batch(_changed(spark, d), 0, 0, 2_000_000).select("map_id", "seq", "deleted", "n_points")
+
+
 @query(f"""WITH {_TILES}, f AS (SELECT tx, ty, tz, vx, vy, vz, min(frame_id * 21 + idx) AS first FROM tiled GROUP BY ALL), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty, tz ORDER BY first) AS n FROM f) WHERE n <= 40)
 SELECT frame_id, idx FROM tiled t JOIN k USING (tx, ty, tz, vx, vy, vz)""")
 def o6_voxel_cap(spark, d):

@@ -85,7 +85,7 @@ def test_voxel_cap_keeps_refreshing(spark):
 def test_bounded_batch(spark):
     changed = spark.createDataFrame([(0, 1, False, 1, 256), (0, 2, False, 1, 256), (0, 3, False, 1, 256), (0, 4, True, 0, 100)], "map_id int, seq int, deleted boolean, n_points int, n_bytes int")
     taken = lambda *most: sorted(r.seq for r in tiles.bounded_batch(changed, *most).collect())
-    assert taken(1, 100, 10_000) == [1]
+    assert taken(1, 100, 10_000) == [4]  # deletions go first
     assert taken(2, 1, 10_000) == [1, 4]
     assert taken(10, 100, 255) == [4]
     assert taken(10, 100, 10_000) == [1, 2, 3, 4]
@@ -191,3 +191,20 @@ def test_as_of_is_strict(spark):
     right = spark.createDataFrame([(0, 5, 50), (0, 2, 20)], "k int, t long, v int")
     assert {(r.name, r.v) for r in sync.as_of(left, right, ["k"], "t", ["v"]).collect()} == {("a", 20), ("b", 50), ("c", None)}
     assert {(r.name, r.v) for r in sync.as_of(left, right, ["k"], "t", ["v"], strict=False).collect()} == {("a", 50), ("b", 50), ("c", None)}
+
+
+def batch(spark, rows, *bounds):
+    """Tiles (number, deleted, points, bytes) that go into the next batch, in the order in which they are offered."""
+    df = spark.createDataFrame([(0, *r) for r in rows], "map_id long, seq long, deleted boolean, n_points long, n_bytes long")
+    return sorted(r.seq for r in tiles.bounded_batch(df, *bounds).collect())
+
+
+def test_batches_take_deletions_first(spark):
+    rows = [(1, False, 5, 100), (2, True, 0, 900), (3, True, 0, 50), (4, False, 5, 100)]
+    assert batch(spark, rows, 0, 0, 500) == [1, 3, 4]  # the large deletion is skipped and takes no room
+    assert batch(spark, [(1, False, 5, 300), (2, True, 0, 300)], 0, 0, 400) == [2]
+    assert batch(spark, rows, 2, 0, 0) == [2, 3]
+    assert batch(spark, rows, 0, 0, 0) == [1, 2, 3, 4]
+    assert batch(spark, [(1, False, 5, 1), (2, False, 50, 1), (3, False, 1, 1)], 0, 10, 0) == [1]  # live tiles stop at the first misfit
+    assert batch(spark, [(1, True, 0, 300), (2, True, 0, 300), (3, True, 0, 100)], 0, 0, 450) == [1, 3]
+    assert batch(spark, [], 1, 1, 1) == []
