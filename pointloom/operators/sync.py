@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.walks import walked
+
 #: Width of the time buckets that range joins are dealt by.
 BUCKET_US = 3_600_000_000
 
@@ -109,3 +111,41 @@ def recording_summary(messages: DataFrame, time: str = "sensor_us") -> DataFrame
     return messages.groupBy("recording_id", "topic").agg(
         F.count(F.lit(1)).alias("n"), F.min(time).alias("start_us"), F.max(time).alias("end_us"), ((F.max(time) - F.min(time)) / 1e6).alias("duration_s")
     )
+
+
+class SampleBuffer:
+    """What a device holds while frames wait for inertial samples: fed in order of arrival, it gives (frame_id, seq,
+    ts_us, reason) rows. A sample used by a frame has no reason. A sample older than the one before it drops all that are
+    held (``clock_back``); beyond ``most`` samples the oldest goes (``full``); both have no frame.
+    """
+
+    def __init__(self, samples: list | None = None, frames: list | None = None, high: int = -(1 << 62), last: int | None = None, most: int = 20_000):
+        self.samples, self.frames, self.high, self.last, self.most = samples or [], frames or [], high, last, most
+
+    def push(self, kind: str, id: int, beg_us: int, end_us: int) -> list[tuple]:
+        out = []
+        if kind == "frame":
+            self.frames.append((id, end_us))
+        else:
+            if self.last is not None and beg_us < self.last:
+                out += [(None, s, t, "clock_back") for s, t in self.samples]
+                self.samples = []
+            self.last = beg_us
+            if len(self.samples) >= self.most:
+                s, t = self.samples.pop(0)
+                out.append((None, s, t, "full"))
+            self.samples.append((id, beg_us))
+        while self.frames and self.last is not None and max(self.high, self.frames[0][1]) <= self.last:
+            frame, end = self.frames.pop(0)
+            low, self.high = self.high, max(self.high, end)
+            used = [x for x in self.samples if x[1] <= self.high]
+            self.samples = self.samples[len(used) :]  # times rise since the clock last went back
+            out += [(frame, s, t, None) for s, t in used if low < t <= end]
+        return out
+
+
+def buffered_pairs(arrivals: DataFrame) -> DataFrame:
+    """(device, frame_id, seq, ts_us, reason) of ``arrivals(device, arrival, kind, id, beg_us, end_us)``: the pairs and the
+    dropped samples of :class:`SampleBuffer`. Samples that are still held at the end are in no row."""
+    step = lambda held, row: held.push(row["kind"], row["id"], row["beg_us"], row["end_us"])
+    return walked(arrivals, ["device"], ["arrival"], SampleBuffer, step, "frame_id bigint, seq bigint, ts_us bigint, reason string")

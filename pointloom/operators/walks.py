@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def walked(rows: DataFrame, keys: list[str], order: list[str | Column], start: Callable[[], Any], step: Callable[[Any, dict], tuple | None], schema: str) -> DataFrame:
+def walked(rows: DataFrame, keys: list[str], order: list[str | Column], start: Callable[[], Any], step: Callable[[Any, dict], tuple | list[tuple] | None], schema: str) -> DataFrame:
     """Of each row of ``rows``, in ``order`` by ``keys``, what ``step(state, row)`` gives (columns of ``schema``, after the
-    keys); None leaves the row out. ``start()`` makes a key's state, which ``step`` changes.
+    keys); None leaves the row out, a list gives several. ``start()`` makes a key's state, which ``step`` changes.
 
     Rows are dealt by key, sorted and passed through in Arrow batches: a task holds one batch and one state, however
     many rows a key has, and repeats exactly if it is lost. A key's rows go through one task one after the other; that is
@@ -32,8 +32,7 @@ def walked(rows: DataFrame, keys: list[str], order: list[str | Column], start: C
                 if state is None or own != key:
                     key, state = own, start()
                 found = step(state, row)
-                if found is not None:
-                    made.append(own + found)
+                made += [own + x for x in (found if isinstance(found, list) else [] if found is None else [found])]
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
 

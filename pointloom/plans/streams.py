@@ -9,45 +9,40 @@ from pointloom.plans.alignment import _COVER
 from pointloom.plans.cloud import _TILES, tiled
 from pointloom.plans.maps import _VERSIONS
 from pointloom.plans.registry import ORACLE_SQL, query, r, sql_r
-from pointloom.sources.scratch import in_pieces
 from pointloom.streaming import feeds, stateful
 
 PIECES = 3
 
 
-def _stream(spark, rows, time, name, devices=None):
-    return feeds.packets_in(spark, in_pieces(rows, time, PIECES, name), rows.schema, devices)
-
-
-def _collected(stream, sink=None, name="stream"):
-    """Results of a stream run to its end; the schema is the stream's."""
-    path = feeds.run_to_end(stream, sink, name)
-    return feeds.results(stream.sparkSession, path, stream.schema).drop("batch")
+def _collected(inputs, build, sink=None, name="stream"):
+    """All batches that the streaming query ``build`` gives for tables (rows, time) that arrive in pieces."""
+    path, schema = feeds.fed(inputs, build, PIECES, sink, name)
+    return feeds.results(inputs[0][0].sparkSession, path, schema)
 
 
 @query(ORACLE_SQL["j1_interval_join"])
 def t2_stream_interval_join(spark, d):
     frames = fx.frames(spark, d).select("device", F.lit("frame").alias("kind"), F.col("frame_id").alias("id"), "beg_us", "end_us")
     imu = fx.imu(spark, d).select("device", F.lit("imu").alias("kind"), F.col("seq").alias("id"), F.col("ts_us").alias("beg_us"), F.col("ts_us").alias("end_us"))
-    return _collected(stateful.interval_pairs(_stream(spark, frames.unionByName(imu), "beg_us", "t2")))
+    return _collected([(frames.unionByName(imu), "beg_us")], stateful.interval_pairs, name="t2").drop("batch")
 
 
 @query(ORACLE_SQL["g4_throttle"])
 def t4_stream_throttle(spark, d):
     rows = fx.imu(spark, d).select("device", "seq", "ts_us")
-    return _collected(stateful.throttle(_stream(spark, rows, "ts_us", "t4"), 1_800_000_000)).select("device", "seq")
+    return _collected([(rows, "ts_us")], lambda s: stateful.throttle(s, 1_800_000_000), name="t4").select("device", "seq")
 
 
 @query(ORACLE_SQL["g3_frame_accumulation"])
 def t3_stream_frames(spark, d):
     packets = fx.imu(spark, d).select("device", "seq", "ts_us", (F.col("seq") % 7).alias("n_points"))
-    return _collected(stateful.count_or_time_frames(_stream(spark, packets, "ts_us", "t3"), 3600, 20))
+    return _collected([(packets, "ts_us")], lambda s: stateful.count_or_time_frames(s, 3600, 20), name="t3").drop("batch")
 
 
 @query(ORACLE_SQL["w10_clock_epochs"])
 def t5_stream_epochs(spark, d):
     late = fx.imu(spark, d).select("device", "seq", (F.col("ts_us") - F.when(F.col("seq") % 97 == 0, 1_000_000_000).otherwise(0)).alias("ts_us"))
-    return _collected(stateful.clock_epochs(_stream(spark, late, "seq", "t5")))
+    return _collected([(late, "seq")], stateful.clock_epochs, name="t5").drop("batch")
 
 
 @query(f"""WITH {_TILES}, {_VERSIONS.format(rows='tiled')}, c AS (SELECT tx, ty, tz, count(DISTINCT (vx, vy, vz)) AS n_voxels, count(*)::BIGINT AS n_points FROM tiled GROUP BY tx, ty, tz),
@@ -56,7 +51,7 @@ SELECT tx, ty, tz, n_voxels, n_points, version, {sql_r('(SELECT sum(x) FROM l WH
 def t7_stream_tile_map(spark, d):
     """The map after the last batch, from its change feed: the newest change of each tile."""
     points = tiled(spark, d).select("tx", "ty", "tz", "vx", "vy", "vz", "frame_id", "idx", "x", "y", "z", "intensity")
-    changes = _collected(stateful.tile_changes(_stream(spark, points, "frame_id", "t7")), feeds.change_feed)
+    changes = _collected([(points, "frame_id")], stateful.tile_changes, feeds.change_feed, "t7")
     now = changes.groupBy("tx", "ty", "tz").agg(F.max_by(F.struct("n_voxels", "n_points", "version", "points"), "version").alias("u")).select("tx", "ty", "tz", "u.*")
     return now.withColumn("sum_x", r(F.aggregate("points", F.lit(0.0), lambda s, p: s + p["x"]))).drop("points")
 
@@ -66,13 +61,13 @@ SELECT device, (h * 3600000000)::BIGINT AS start_us, n, {sql_r('m')} AS mean_ax
 def t1_watermark_windows(spark, d):
     """Hourly windows that the watermark has closed: all but those of the last hour."""
     rows = fx.imu(spark, d).select("device", "ax", "ts_us", F.timestamp_micros("ts_us").alias("ts"))
-    found = _collected(feeds.windowed_counts(_stream(spark, rows, "ts_us", "t1"), "1 hour", "0 seconds"))
+    found = _collected([(rows, "ts_us")], lambda s: feeds.windowed_counts(s, "1 hour", "0 seconds"), name="t1")
     return found.select("device", F.unix_micros("w.start").alias("start_us"), "n", r(F.col("mean_ax")).alias("mean_ax"))
 
 
 @query(f"WITH {fx.IMU} SELECT device, seq, {sql_r('ax')} AS ax FROM imu WHERE device IN (1, 3)")
 def s7_device_stream(spark, d):
-    return _collected(_stream(spark, fx.imu(spark, d), "ts_us", "s7", [1, 3])).select("device", "seq", r(F.col("ax")).alias("ax"))
+    return _collected([(fx.imu(spark, d), "ts_us")], lambda s: s.where(F.col("device").isin(1, 3)), name="s7").select("device", "seq", r(F.col("ax")).alias("ax"))
 
 
 @query(f"WITH {_COVER} SELECT device, frame_id, seq FROM frames f JOIN imu i USING (device) WHERE i.ts_us > f.beg_us AND i.ts_us <= f.end_us AND f.end_us - f.beg_us < 7200000000")
@@ -80,15 +75,15 @@ def t2_bounded_stream_join(spark, d):
     """The plain stream-stream join, of frames of under two hours; all state is bounded by the watermarks."""
     frames = fx.frames(spark, d).where("end_us - beg_us < 7200000000").select("device", "frame_id", F.timestamp_micros("beg_us").alias("beg"), F.timestamp_micros("end_us").alias("end"), "beg_us")
     imu = fx.imu(spark, d).select("device", "seq", F.timestamp_micros("ts_us").alias("ts"), "ts_us")
-    joined = feeds.bounded_interval_join(_stream(spark, frames, "beg_us", "t2f").drop("beg_us"), _stream(spark, imu, "ts_us", "t2i").drop("ts_us"), "2 hours", "30 days")
-    return _collected(joined).select("device", "frame_id", "seq")
+    build = lambda f, s: feeds.bounded_interval_join(f.drop("beg_us"), s.drop("ts_us"), "2 hours", "30 days")
+    return _collected([(frames, "beg_us"), (imu, "ts_us")], build, name="t2").select("device", "frame_id", "seq")
 
 
 @query(f"WITH {fx.POSES}, n AS (SELECT device, count(*) AS n, arg_max(pose_id, ts_us) AS pose_id FROM poses GROUP BY device) SELECT device, pose_id FROM n")
 def s14_latest_pose_feed(spark, d):
     """A channel that keeps the newest pose of each batch; the last batch's is the newest of all."""
     rows = fx.poses(spark, d).select("device", "pose_id", "ts_us", "px")
-    found = _collected(_stream(spark, rows, "ts_us", "s14"), lambda path: feeds.latest_wins(path, ["device"], "ts_us"))
+    found = _collected([(rows, "ts_us")], lambda s: s, lambda path: feeds.latest_wins(path, ["device"], "ts_us"), "s14")
     return found.groupBy("device").agg(F.max_by("pose_id", "ts_us").alias("pose_id"))
 
 
@@ -98,5 +93,36 @@ def s12_tile_change_feed(spark, d):
     from pointloom.functions import text as tx
 
     points = tiled(spark, d).select("tx", "ty", "tz", "vx", "vy", "vz", "frame_id", "idx", "x", "y", "z", "intensity")
-    feed = _collected(stateful.tile_changes(_stream(spark, points, "frame_id", "s12")), feeds.change_feed)
+    feed = _collected([(points, "frame_id")], stateful.tile_changes, feeds.change_feed, "s12")
     return feed.groupBy("tx", "ty", "tz").agg(F.max("version").alias("version")).withColumn("id", tx.tile_id(F.col("tx"), F.col("ty"), F.col("tz")))
+
+
+@query(f"WITH {fx.POSES} SELECT device, pose_id, ts_us // 1000000 AS sec, ts_us % 1000000 * 1000 AS nsec, 'map' AS frame, 'body' AS child, {sql_r('px')} AS x, {sql_r('sin(yaw / 2)')} AS qz, {sql_r('cos(yaw / 2)')} AS qw FROM poses")
+def s14_odometry_feed(spark, d):
+    """Each pose as an odometry message and transform."""
+    rows = fx.poses(spark, d).select("device", "pose_id", "ts_us", "px", "yaw")
+    found = _collected([(rows, "ts_us")], feeds.odometry, name="s14o")
+    return found.select("device", "pose_id", "sec", "nsec", "frame", "child", *(r(F.col(c)).alias(c) for c in ("x", "qz", "qw")))
+
+
+@query(f"WITH {fx.POSES}, n AS (SELECT device, pose_id, ts_us, row_number() OVER (PARTITION BY device ORDER BY ts_us DESC, pose_id DESC) AS k FROM poses) SELECT device, pose_id, ts_us FROM n WHERE k <= 500")
+def s14_path_feed(spark, d):
+    """The path as published last: the newest 500 poses of each device."""
+    rows = fx.poses(spark, d).select("device", "pose_id", "ts_us")
+    found = _collected([(rows, "ts_us")], lambda s: s, lambda path: feeds.kept_path(path, ["device"], ["ts_us", "pose_id"]), "s14p")
+    return found.where(F.col("batch") == PIECES - 1).drop("batch")
+
+
+@query()
+def t5_dropped_samples(spark, d):
+    """Pairs and dropped samples where clocks go back: against the batch walk in the tests."""
+    rows = _arrivals(spark, d)
+    return _collected([(rows, "arrival")], stateful.buffered_pairs, name="t5b").drop("batch")
+
+
+def _arrivals(spark, d):
+    """Frames and samples in one order of arrival; every 97th sample's clock is behind."""
+    frames = fx.frames(spark, d).select("device", F.col("frame_id").alias("arrival"), F.lit("frame").alias("kind"), F.col("frame_id").alias("id"), "beg_us", "end_us")
+    ts = F.col("ts_us") - F.when(F.col("seq") % 97 == 0, 1_000_000_000).otherwise(0)
+    imu = fx.imu(spark, d).select("device", F.col("seq").alias("arrival"), F.lit("imu").alias("kind"), F.col("seq").alias("id"), ts.alias("beg_us"), ts.alias("end_us"))
+    return frames.unionByName(imu)

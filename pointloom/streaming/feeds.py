@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pointloom.operators import tiles
-from pointloom.sources.scratch import shared_path
+from pointloom.sources.scratch import in_pieces, shared_path
 
 
-def packets_in(spark: SparkSession, path: str, schema: StructType, devices: list | None = None, files_per_batch: int = 1) -> DataFrame:
-    """A stream of decoded rows from files as they come, of given devices; the rate is bounded by files a batch."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def packets_in(spark: SparkSession, path: str, schema: StructType, devices: list | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of decoded rows from files as they come, of given devices; files a batch may be bounded."""
+    reader = spark.readStream.schema(schema)
+    rows = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
     return rows if devices is None else rows.where(F.col("device").isin(*devices))
 
 
@@ -46,15 +47,57 @@ def latest_wins(path: str, keys: list[str], order: str) -> Callable[[DataFrame,
     return batch_sink(path, newest)
 
 
-def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None = None, name: str = "stream", mode: str = "append") -> str:
-    """Runs all that is there through the stream in batches, and gives the folder of the results."""
+def kept_path(path: str, keys: list[str], order: list[str], most: int = 500) -> Callable[[DataFrame, int], None]:
+    """Sink of a path: each batch publishes the newest ``most`` poses of each key, of the batch and of what was published
+    before. The state is what the sink wrote last; a repeated batch starts from the one before it again."""
+    last = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch
+        if batch_id:
+            rows = rows.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={batch_id - 1}"))
+        newest = rows.withColumn("__n", F.row_number().over(last)).where(F.col("__n") <= most).drop("__n")
+        newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def odometry(poses: DataFrame) -> DataFrame:
+    """Messages of ``poses(device, pose_id, ts_us, px, yaw)``, a pose and a transform from the map to the body each:
+    seconds and nanoseconds, position, orientation as a quaternion about the vertical."""
+    return poses.select(
+        "device", "pose_id", F.floor(F.col("ts_us") / 1_000_000).cast("bigint").alias("sec"), (F.pmod("ts_us", F.lit(1_000_000)) * 1000).cast("bigint").alias("nsec"), F.lit("map").alias("frame"), F.lit("body").alias("child"),
+        F.col("px").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(F.col("yaw") / 2).alias("qz"), F.cos(F.col("yaw") / 2).alias("qw"),
+    )
+
+
+def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None = None, name: str = "stream", mode: str = "append", path: str | None = None, state: str | None = None) -> str:
+    """Runs all that is there through the stream in batches, and gives the folder of the results. With the ``state`` of an
+    earlier run it goes on from where that one ended."""
     spark = stream.sparkSession
-    path = shared_path(spark, name)
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True)
+    path, state = path or shared_path(spark, name), state or shared_path(spark, f"{name}-state")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     writer.foreachBatch(sink(path) if sink else batch_sink(path)).start().awaitTermination()
     return path
 
 
+def fed(inputs: list[tuple[DataFrame, str]], build: Callable[..., DataFrame], pieces: int, sink: Callable[[str], Callable] | None = None, name: str = "stream") -> tuple[str, StructType]:
+    """Tables as streams: each of ``inputs`` (rows, time column) arrives in pieces by time, all in step; after each arrival
+    the query ``build(*streams)`` is started again from its checkpoint and takes what is new as one batch. A piece has as
+    many files as Spark makes of it. Gives the folder of the results and their schema."""
+    spark = inputs[0][0].sparkSession
+    folders, path, state = [shared_path(spark, f"{name}-in") for _ in inputs], shared_path(spark, name), shared_path(spark, f"{name}-state")
+    parts = [in_pieces(rows, time, pieces) for rows, time in inputs]
+    schema = None
+    for k in range(pieces):
+        for folder, own in zip(folders, parts, strict=True):
+            own[k].write.mode("append").parquet(folder)
+        stream = build(*(packets_in(spark, folder, rows.schema) for folder, (rows, _) in zip(folders, inputs, strict=True)))
+        schema = stream.schema
+        run_to_end(stream, sink, name, path=path, state=state)
+    return path, schema
+
+
 def results(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """All batches of a finished stream; no batch, no rows."""
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -12,23 +12,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pointloom.operators.sync import SampleBuffer
+
 
 def _rows(parts: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable")
 
 
-def interval_pairs(events: DataFrame) -> DataFrame:
+def interval_pairs(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Exact once-only frame and sample pairs of ``events(device, kind, id, beg_us, end_us)``, frames (kind ``frame``) and
     samples (kind ``imu``, both times the sample's).
 
+    With ``idle_ms`` a device that sends nothing for so long has ended: its frames that were never covered come out with
+    a ``reason`` (``no_final_imu``, ``no_final_imu_coverage``) and no sample, and its state goes.
+
     State of a device: the running end, frames not covered yet, samples not used yet. The head frame waits until
     a sample at or after the running end has come, and holds up those behind it.
     """
-    out = "device long, frame_id long, seq long, ts_us long"
+    out = "device long, frame_id long, seq long, ts_us long" + (", reason string" if idle_ms else "")
+    names = [x.split()[0] for x in out.split(", ")]
     state_schema = "high long, frames array<long>, begins array<long>, ends array<long>, seqs array<long>, times array<long>"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         high, frames, begins, ends, seqs, times = state.get if state.exists else (-(1 << 62), [], [], [], [], [])
+        if state.hasTimedOut:
+            state.remove()
+            reason = "no_final_imu_coverage" if times else "no_final_imu"
+            yield pd.DataFrame([(key[0], f, None, None, reason) for f in frames], columns=names).astype({"device": "int64", "frame_id": "Int64", "seq": "Int64", "ts_us": "Int64"})
+            return
         rows = _rows(parts, ["beg_us", "id"])
         new = rows[rows["kind"] == "frame"]
         waiting = sorted([*zip(begins, frames, ends, strict=True), *zip(new["beg_us"], new["id"], new["end_us"], strict=True)])
@@ -46,9 +57,30 @@ def interval_pairs(events: DataFrame) -> DataFrame:
             # the last sample stays known, since it says how far inertial data reach
             samples = samples[n:] or samples[-1:]
         state.update((high, [f for _, f, _ in waiting], [b for b, _, _ in waiting], [e for _, _, e in waiting], [s for _, s in samples], [t for t, _ in samples]))
-        yield pd.DataFrame(pairs, columns=["device", "frame_id", "seq", "ts_us"]).astype("int64")
+        found = pd.DataFrame(pairs, columns=["device", "frame_id", "seq", "ts_us"]).astype("int64")
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+            found = found.assign(reason=pd.Series([None] * len(found), dtype=object))
+        yield found
+
+    timer = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("device").applyInPandasWithState(step, out, state_schema, "append", timer)
 
-    return events.groupBy("device").applyInPandasWithState(step, out, state_schema, "append", GroupStateTimeout.NoTimeout)
+
+def buffered_pairs(arrivals: DataFrame) -> DataFrame:
+    """As :func:`pointloom.operators.sync.buffered_pairs`, for a stream: a device's buffer is its state."""
+    state_schema = "high long, last long, frames array<long>, ends array<long>, seqs array<long>, times array<long>"
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        high, last, frames, ends, seqs, times = state.get if state.exists else (-(1 << 62), None, [], [], [], [])
+        held = SampleBuffer(list(zip(seqs, times, strict=True)), list(zip(frames, ends, strict=True)), high, last)
+        rows = []
+        for kind, id, beg, end in _rows(parts, ["arrival"])[["kind", "id", "beg_us", "end_us"]].itertuples(index=False):
+            rows += [(key[0], *x) for x in held.push(kind, int(id), int(beg), int(end))]
+        state.update((held.high, held.last, [f for f, _ in held.frames], [e for _, e in held.frames], [s for s, _ in held.samples], [t for _, t in held.samples]))
+        yield pd.DataFrame(rows, columns=["device", "frame_id", "seq", "ts_us", "reason"]).astype({"device": "int64", "frame_id": "Int64", "seq": "int64", "ts_us": "int64", "reason": object})
+
+    return arrivals.groupBy("device").applyInPandasWithState(step, "device long, frame_id long, seq long, ts_us long, reason string", state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def throttle(messages: DataFrame, step_us: int) -> DataFrame:

@@ -31,8 +31,8 @@ def test_pairs_across_batches_equal_the_batch_join(spark):
         imu.select("device", F.lit("imu").alias("kind"), F.col("seq").alias("id"), F.col("ts_us").alias("beg_us"), F.col("ts_us").alias("end_us"))
     )
     for pieces in (1, 4):
-        stream = stateful.interval_pairs(feeds.packets_in(spark, in_pieces(both, "beg_us", pieces, "pairs"), both.schema))
-        got = feeds.results(spark, feeds.run_to_end(stream), stream.schema).select("device", "frame_id", "seq").collect()
+        path, schema = feeds.fed([(both, "beg_us")], stateful.interval_pairs, pieces)
+        got = feeds.results(spark, path, schema).select("device", "frame_id", "seq").collect()
         want = sync.interval_join(frames, imu).select("device", "frame_id", "seq").collect()
         assert sorted(got) == sorted(want), pieces
 
@@ -42,3 +42,86 @@ def test_resync_and_latest(spark):
     rows = spark.createDataFrame([("pose", 1, "a"), ("pose", 2, "b"), ("path", 5, "c")], "channel string, t long, v string")
     feeds.latest_wins(path, ["channel"], "t")(rows, 0)
     assert sorted((r.channel, r.v) for r in spark.read.parquet(path).collect()) == [("path", "c"), ("pose", "b")]
+
+
+def test_pieces_hold_all_rows_in_order(spark):
+    rows = spark.createDataFrame([(i, i * 7 % 50 if i % 9 else None) for i in range(200)], "id long, t long").repartition(5)
+    parts = [[(r.id, r.t) for r in p.collect()] for p in in_pieces(rows, "t", 4)]
+    assert sorted(x[0] for p in parts for x in p) == list(range(200)) and all(t is not None for p in parts[1:] for _, t in p)
+    known = [[t for _, t in p if t is not None] for p in parts]
+    assert all(max(a) < min(b) for a, b in zip(known, known[1:]))
+    assert [p.count() for p in in_pieces(rows.where("id < 0"), "t", 3)] == [0, 0, 0]
+
+
+def test_a_silent_device_ends(spark):
+    """Frames that were never covered come out, with the reason, once their device has been silent for the time set."""
+    import time
+
+    folder, path = shared_path(spark, "idle"), shared_path(spark, "idle-out")
+    rows = [(0, "frame", 1, 0, 10), (0, "imu", 5, 4, 4), (1, "frame", 2, 0, 10), (2, "frame", 3, 0, 10), (2, "imu", 6, 3, 3), (2, "imu", 7, 12, 12)]
+    events = spark.createDataFrame(rows, "device long, kind string, id long, beg_us long, end_us long")
+    events.write.parquet(folder)
+    stream = stateful.interval_pairs(feeds.packets_in(spark, folder, events.schema), idle_ms=500)
+    query = stream.writeStream.foreachBatch(feeds.batch_sink(path)).option("checkpointLocation", shared_path(spark, "idle-state")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(60):  # a device's time runs out in some later batch
+            time.sleep(0.5)
+            got = sorted((r.device, r.frame_id, r.seq, r.reason or "") for r in feeds.results(spark, path, stream.schema).collect()) if query.lastProgress else []
+            if len(got) == 3:
+                break
+    finally:
+        query.stop()
+    assert got == [(0, 1, None, "no_final_imu_coverage"), (1, 2, None, "no_final_imu"), (2, 3, 6, "")]
+
+
+def test_dropped_samples_equal_the_batch_walk(spark, small):
+    from pointloom.plans.streams import _arrivals, t5_dropped_samples
+
+    rows = lambda df: sorted(str(r) for r in df.select("device", "frame_id", "seq", "ts_us", "reason").collect())
+    got = t5_dropped_samples(spark, small)
+    assert rows(got) == rows(sync.buffered_pairs(_arrivals(spark, small)))
+    assert got.where("reason = 'clock_back'").count() > 0 and got.where("reason IS NULL").count() > 0
+
+
+def test_buffer_drops():
+    b = sync.SampleBuffer(most=2)
+    assert b.push("imu", 1, 10, 10) == [] and b.push("imu", 2, 20, 20) == []
+    assert b.push("imu", 3, 30, 30) == [(None, 1, 10, "full")]
+    assert b.push("imu", 4, 5, 5) == [(None, 2, 20, "clock_back"), (None, 3, 30, "clock_back")]
+    assert b.push("frame", 9, 0, 6) == [] and b.push("imu", 5, 7, 7) == [(9, 4, 5, None)]
+
+
+def test_a_failed_delivery_is_repeated_once(spark):
+    """A sink that fails half-way: the batch stays pending, and the next run of the query delivers it whole, once."""
+    import pytest
+
+    folder, path, state = (shared_path(spark, n) for n in ("retry", "retry-out", "retry-state"))
+    spark.range(20).write.parquet(folder)
+    tries = []
+
+    def flaky(out):
+        write = feeds.batch_sink(out)
+
+        def sink(batch, batch_id):
+            tries.append(batch_id)
+            write(batch.where("id < 5") if len(tries) == 1 else batch, batch_id)
+            if len(tries) == 1:
+                raise IOError("the receiver went away")
+
+        return sink
+
+    stream = lambda: feeds.packets_in(spark, folder, spark.range(0).schema)
+    with pytest.raises(Exception, match="went away"):
+        feeds.run_to_end(stream(), flaky, path=path, state=state)
+    feeds.run_to_end(stream(), flaky, path=path, state=state)
+    assert tries == [0, 0] and sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(20))
+
+
+def test_path_feed(spark):
+    path = shared_path(spark, "path")
+    write = feeds.kept_path(path, ["device"], ["t"], most=3)
+    rows = lambda *ts: spark.createDataFrame([(0, t) for t in ts], "device long, t long")
+    write(rows(1, 2), 0)
+    write(rows(3, 4), 1)
+    write(rows(3, 4), 1)  # repeated
+    assert sorted(r.t for r in spark.read.parquet(f"{path}/batch=1").collect()) == [2, 3, 4]
