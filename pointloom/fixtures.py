@@ -29,20 +29,20 @@ def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PTS = """pts AS (SELECT vec_id AS frame_id, i::INTEGER AS idx, 50 * embedding[3*i+1]::DOUBLE AS x, 50 * embedding[3*i+2]::DOUBLE AS y, 50 * embedding[3*i+3]::DOUBLE AS z,
     label * 25.0::DOUBLE AS intensity, ((vec_id * 7 + i * 5) % 64)::INTEGER AS tag, (i % 8)::INTEGER AS line, (i * 0.5)::DOUBLE AS offset_ms FROM embeddings, range(21) r(i))"""
 
-ORDER_BIG = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-
-
 def pts_big(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bench cloud, one point a row of ``lineitem``; ``ord`` is its order of arrival."""
+    """The bench cloud, one point a row of ``lineitem``; ``ord`` is its number in the order of arrival: the day, the order
+    and its line, then the part."""
     li = table(spark, sf_dir, "lineitem")
+    day = F.datediff("l_shipdate", F.lit("1992-01-01")).cast("bigint")
+    arrival = ((day * (1 << 34) + F.col("l_orderkey")) * 8 + F.col("l_linenumber")) * (1 << 14) + F.col("l_partkey") % (1 << 14)
     return li.select(
         F.col("l_orderkey").alias("frame_id"), (F.col("l_quantity") - 25).alias("x"), ((F.col("l_extendedprice") - 52500) / 1000).alias("y"),
-        F.round((F.col("l_discount") - 0.05) * 100, 6).alias("z"), F.round(F.col("l_tax") * 1000, 6).alias("intensity"), F.struct(*ORDER_BIG).alias("ord"),
+        F.round((F.col("l_discount") - 0.05) * 100, 6).alias("z"), F.round(F.col("l_tax") * 1000, 6).alias("intensity"), arrival.cast("bigint").alias("ord"),
     )
 
 
-PTS_BIG = f"""pts_big AS (SELECT l_orderkey AS frame_id, l_quantity - 25 AS x, (l_extendedprice - 52500) / 1000 AS y, round((l_discount - 0.05) * 100, 6) AS z,
-    round(l_tax * 1000, 6) AS intensity, row_number() OVER (ORDER BY {", ".join(ORDER_BIG)}) AS ord FROM lineitem)"""
+PTS_BIG = """pts_big AS (SELECT l_orderkey AS frame_id, l_quantity - 25 AS x, (l_extendedprice - 52500) / 1000 AS y, round((l_discount - 0.05) * 100, 6) AS z,
+    round(l_tax * 1000, 6) AS intensity, ((date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::BIGINT * 17179869184 + l_orderkey) * 8 + l_linenumber) * 16384 + l_partkey % 16384 AS ord FROM lineitem)"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

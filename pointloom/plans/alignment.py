@@ -255,7 +255,7 @@ def s13_imu_json(spark, d):
 @query("SELECT s_suppkey, n_name AS device, s_suppkey % 360 AS yaw_deg FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def j7_device_lookup(spark, d):
     supplier, nation = fx.table(spark, d, "supplier"), fx.table(spark, d, "nation")
-    return supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey, "left").select("s_suppkey", F.col("n_name").alias("device"), (F.col("s_suppkey") % 360).alias("yaw_deg"))
+    return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left").select("s_suppkey", F.col("n_name").alias("device"), (F.col("s_suppkey") % 360).alias("yaw_deg"))
 
 
 @query(f"""WITH {fx.PACKETS} SELECT (ts_ns // 50000000)::BIGINT AS frame, count(DISTINCT packet_no) AS packets, count(*) AS points FROM packets WHERE data_type <> 6 GROUP BY 1""")

@@ -14,7 +14,7 @@ from pointloom.plans.cloud import _TILES, tiled
 from pointloom.plans.registry import query, r, sql_r
 
 XYZ = ("x", "y", "z")
-_PT = f"{fx.PTS}, p AS (SELECT frame_id * 21 + idx AS point_id, x, y, z FROM pts), q AS (SELECT point_id AS query_id, x AS qx, y AS qy, z AS qz FROM p WHERE point_id % 50 = 0)"
+_PT = f"{fx.PTS}, p AS (SELECT frame_id * 21 + idx AS point_id, x, y, z FROM pts), q AS (SELECT point_id AS query_id, x AS qx, y AS qy, z AS qz FROM p WHERE point_id % 20 = 0)"
 _D2 = "(pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2))"
 
 
@@ -23,8 +23,8 @@ def _points(spark, d):
 
 
 def _queries(spark, d):
-    """Every 50th point: the search's own stated queries."""
-    return _points(spark, d).where("point_id % 50 = 0").select(F.col("point_id").alias("query_id"), "frame_id", *(F.col(c).alias(f"q{c}") for c in XYZ))
+    """The searches' stated queries: points whose id is divisible by 20, against all points."""
+    return _points(spark, d).where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "frame_id", *(F.col(c).alias(f"q{c}") for c in XYZ))
 
 
 @query(f"""WITH {_PT}, m AS (SELECT query_id, point_id, {_D2} AS d2 FROM q JOIN p ON abs(x - qx) <= 2.2361 AND abs(y - qy) <= 2.2361 AND abs(z - qz) <= 2.2361), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM m WHERE d2 <= 5.0)
@@ -55,9 +55,9 @@ def j9_delete_in_boxes(spark, d):
     return spatial.delete_in_boxes(_points(spark, d), _boxes(spark, d), 5.0).select("point_id")
 
 
-@query(f"WITH {_PT} SELECT point_id FROM p WHERE point_id % 50 <> 0")
+@query(f"WITH {_PT} SELECT point_id FROM p WHERE point_id % 20 <> 0")
 def j9_delete_matching(spark, d):
-    """Points that stand within 1e-6 of one of every 50 points, moved by 4e-7, go."""
+    """Points that stand within 1e-6 of one of every 20 points, moved by 4e-7, go."""
     marks = _queries(spark, d).select((F.col("qx") + 4e-7).alias("x"), (F.col("qy") - 4e-7).alias("y"), F.col("qz").alias("z"))
     return spatial.delete_matching(_points(spark, d), marks).select("point_id")
 
@@ -85,47 +85,95 @@ def o11_local_map_trim(spark, d):
     return spatial.trimmed(_points(spark, d), (F.lit(2.0), F.lit(-2.0), F.lit(0.0)), 10.0).select("point_id")
 
 
-# -- matching
+# -- matching: all points of every frame, each against the map of its stretch of 500 frames
+
+_ALL = f"{fx.PTS}, p AS (SELECT frame_id * 21 + idx AS point_id, frame_id, x, y, z FROM pts)"
+_SIDE = 2.23606797749979  # fixed value: the root of 5
+_FIT = f"""{_ALL}, c AS (SELECT *, frame_id // 500 AS part, floor(x / {_SIDE})::BIGINT AS cx, floor(y / {_SIDE})::BIGINT AS cy, floor(z / {_SIDE})::BIGINT AS cz FROM p),
+q AS (SELECT point_id AS query_id, part, x AS qx, y AS qy, z AS qz, cx + a AS cx, cy + b AS cy, cz + e AS cz FROM c, range(-1, 2) r1(a), range(-1, 2) r2(b), range(-1, 2) r3(e)),
+m AS (SELECT query_id, point_id, x, y, z, {_D2} AS d2 FROM q JOIN c USING (part, cx, cy, cz) WHERE {_D2} <= 5.0),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) AS k, count(*) OVER (PARTITION BY query_id) AS n FROM m) WHERE k <= 5 AND n >= 5),
+s AS (SELECT query_id, sum(x*x) AS xx, sum(x*y) AS xy, sum(x*z) AS xz, sum(y*y) AS yy, sum(y*z) AS yz, sum(z*z) AS zz, -sum(x) AS bx, -sum(y) AS by_, -sum(z) AS bz FROM n GROUP BY query_id),
+d AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM s),
+v AS (SELECT query_id, (bx * (yy * zz - yz * yz) - xy * (by_ * zz - yz * bz) + xz * (by_ * yz - yy * bz)) / det AS n0, (xx * (by_ * zz - yz * bz) - bx * (xy * zz - yz * xz) + xz * (xy * bz - by_ * xz)) / det AS n1,
+    (xx * (yy * bz - by_ * yz) - xy * (xy * bz - by_ * xz) + bx * (xy * yz - yy * xz)) / det AS n2 FROM d WHERE abs(det) > 1e-12),
+u AS (SELECT query_id, n0 / sqrt(n0*n0 + n1*n1 + n2*n2) AS a, n1 / sqrt(n0*n0 + n1*n1 + n2*n2) AS b, n2 / sqrt(n0*n0 + n1*n1 + n2*n2) AS c, 1 / sqrt(n0*n0 + n1*n1 + n2*n2) AS d FROM v),
+w AS (SELECT query_id, max(abs(a * x + b * y + c * z + d)) AS worst FROM n JOIN u USING (query_id) GROUP BY query_id),
+fits AS (SELECT s.query_id, a, b, c, d, worst, coalesce(worst <= 0.1, false) AS accepted FROM s LEFT JOIN u USING (query_id) LEFT JOIN w USING (query_id))"""
+_MATCH = f"""{_FIT}, res AS (SELECT point_id AS query_id, frame_id, x, y, z, a, b, c, a * x + b * y + c * z + d AS residual, sqrt(x*x + y*y + z*z) + 25.0 AS norm FROM p JOIN fits ON query_id = point_id WHERE accepted),
+matched AS (SELECT * FROM res WHERE norm > 0 AND 1 - 0.9 * abs(residual) / sqrt(norm) > 0.9)"""
+
+
+def _scan(spark, d):
+    """Every point as a query."""
+    return _points(spark, d).select(F.col("point_id").alias("query_id"), "frame_id", *(F.col(c).alias(f"q{c}") for c in XYZ))
+
 
 def _neighbours(spark, d):
+    """The five nearest points of each point; stretches of 500 frames stand 1,000 cells apart for the search."""
     points = _points(spark, d)
-    near = spatial.nearest_join(_queries(spark, d), points)
+    apart = points.withColumn("x", F.col("x") + F.floor(F.col("frame_id") / 500) * (1000 * _SIDE))
+    near = spatial.nearest_join(apart.select(F.col("point_id").alias("query_id"), *(F.col(c).alias(f"q{c}") for c in XYZ)), apart)
     return near.join(points.select("point_id", *XYZ), "point_id")
 
 
 def _matched(spark, d):
-    q = _queries(spark, d)
-    fits = matching.planes(_neighbours(spark, d), threshold=1.0)
+    q = _scan(spark, d)
+    fits = matching.planes(_neighbours(spark, d))
     return matching.residuals(q.withColumn("body_norm", F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2) + 25.0), fits)
 
 
-@query()
+@query(f"WITH {_FIT} SELECT query_id, accepted, CASE WHEN accepted THEN {sql_r('worst', 5)} END AS worst, CASE WHEN accepted THEN {sql_r('d', 4)} END AS d FROM fits")
 def a11_plane_fits(spark, d):
-    return matching.planes(_neighbours(spark, d), threshold=1.0)
+    fits = matching.planes(_neighbours(spark, d))
+    return fits.select("query_id", "accepted", *(F.when(F.col("accepted"), r(F.col(c), n)).alias(c) for c, n in (("worst", 5), ("d", 4))))
 
 
-@query(f"WITH {_PT}, s AS (SELECT query_id, qx / 10 AS residual, sqrt(qx*qx + qy*qy + qz*qz) AS norm FROM q) SELECT query_id FROM s WHERE norm > 0 AND 1 - 0.9 * abs(residual) / sqrt(norm) > 0.9")
+@query(f"WITH {_ALL}, s AS (SELECT point_id AS query_id, x / 10 AS residual, sqrt(x*x + y*y + z*z) AS norm FROM p) SELECT query_id FROM s WHERE norm > 0 AND 1 - 0.9 * abs(residual) / sqrt(norm) > 0.9")
 def p14_residual_gate(spark, d):
-    q = _queries(spark, d)
+    q = _scan(spark, d)
     return q.where(matching.residual_accepted(F.col("qx") / 10, F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2))).select("query_id")
 
 
-@query()
+@query(f"WITH {_MATCH} SELECT frame_id, count(*) AS effective, {sql_r('sum(abs(residual))')} AS total_residual, {sql_r('avg(abs(residual))')} AS mean_residual FROM matched GROUP BY frame_id")
 def a12_match_report(spark, d):
-    return matching.match_report(_matched(spark, d))
+    found = matching.match_report(_matched(spark, d))
+    return found.select("frame_id", "effective", *(r(F.col(c)).alias(c) for c in ("total_residual", "mean_residual")))
+
+
+#: A frame's heading, and where the sensor sits in the body.
+_YAW, _MOUNT = "(frame_id % 7) * 0.1", (0.3, -0.2, 0.1)
+
+
+def _normal_equations(spark, d):
+    """Each frame turned by its heading: world points back into the sensor, and through the mount into the body."""
+    m = _matched(spark, d)
+    turn = g.rotation_z((F.col("frame_id") % 7) * 0.1)
+    body = [c + o for c, o in zip(g.apply(g.transpose(turn), [F.col(f"q{c}") for c in XYZ]), (F.lit(o) for o in _MOUNT), strict=True)]
+    return matching.normal_equations(m, matching.jacobian([F.col(c) for c in "abc"], body, turn))
+
+
+_ROWS = f"""{_MATCH}, t AS (SELECT *, cos({_YAW}) AS co, sin({_YAW}) AS si FROM matched), b AS (SELECT *, co * x + si * y + {_MOUNT[0]} AS px, -si * x + co * y + {_MOUNT[1]} AS py, z + {_MOUNT[2]} AS pz, co * a + si * b AS ra, -si * a + co * b AS rb, c AS rc FROM t),
+rows_ AS (SELECT frame_id, residual, a AS j0, b AS j1, c AS j2, py * rc - pz * rb AS j3, pz * ra - px * rc AS j4, px * rb - py * ra AS j5 FROM b)"""
+_SUMS = ", ".join([f"{sql_r(f'sum(j{i} * j{k})', 5)} AS h_{i}{k}" for i in range(6) for k in range(i, 6)] + [f"{sql_r(f'sum(-j{i} * residual)', 5)} AS g_{i}" for i in range(6)])
+
+
+@query(f"WITH {_ROWS} SELECT frame_id, {_SUMS}, count(*) AS n FROM rows_ GROUP BY frame_id")
+def a13_normal_equations(spark, d):
+    found = _normal_equations(spark, d)
+    return found.select("frame_id", *(r(F.col(c), 5).alias(c) for c in found.columns if c[:2] in ("h_", "g_")), "n")
 
 
 @query()
 def a13_gauss_newton_step(spark, d):
-    m = _matched(spark, d).withColumn("frame_id", F.col("frame_id") % 16)
-    rows = matching.jacobian([F.col(c) for c in "abc"], [F.col(f"q{c}") for c in XYZ], g.identity())
-    return matching.solved(matching.normal_equations(m, rows))
+    """The step that the equations give; the solving itself is tested on known systems."""
+    return matching.solved(_normal_equations(spark, d))
 
 
-@query(f"""WITH {_PT} SELECT query_id, {', '.join(f'{sql_r(e, 8)} AS j{i}' for i, e in enumerate(('0.6', '0.0', '0.8', 'qy * 0.8', 'qz * 0.6 - qx * 0.8', '-qy * 0.6')))} FROM q""")
+@query(f"""WITH {_ALL} SELECT point_id AS query_id, {', '.join(f'{sql_r(e, 8)} AS j{i}' for i, e in enumerate(('0.6', '0.0', '0.8', 'y * 0.8', 'z * 0.6 - x * 0.8', '-y * 0.6')))} FROM p""")
 def f22_jacobian_rows(spark, d):
     rows = matching.jacobian([F.lit(0.6), F.lit(0.0), F.lit(0.8)], [F.col(f"q{c}") for c in XYZ], g.identity())
-    return _queries(spark, d).select("query_id", *(r(c, 8).alias(f"j{i}") for i, c in enumerate(rows)))
+    return _scan(spark, d).select("query_id", *(r(c, 8).alias(f"j{i}") for i, c in enumerate(rows)))
 
 
 # -- the tiled map

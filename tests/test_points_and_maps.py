@@ -208,3 +208,19 @@ def test_batches_take_deletions_first(spark):
     assert batch(spark, [(1, False, 5, 1), (2, False, 50, 1), (3, False, 1, 1)], 0, 10, 0) == [1]  # live tiles stop at the first misfit
     assert batch(spark, [(1, True, 0, 300), (2, True, 0, 300), (3, True, 0, 100)], 0, 0, 450) == [1, 3]
     assert batch(spark, [], 1, 1, 1) == []
+
+
+def test_boxes_of_all_sizes(spark):
+    import random
+
+    rng = random.Random(5)
+    pts = [(i, *(rng.uniform(-900, 900) for _ in range(3))) for i in range(400)]
+    boxes = []
+    for i, size in enumerate([0.5, 3, 20, 300, 5000, 1e9] * 5):
+        low = [rng.uniform(-900, 900) - size / 2 for _ in range(3)]
+        boxes.append((i, *(v for a in low for v in (a, a + size * rng.uniform(0.2, 1)))))
+    boxes.append((99, 5.0, 5.0, 0.0, 9.0, 0.0, 9.0))  # empty
+    b = spark.createDataFrame(boxes, "box_id long, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double")
+    got = {tuple(r) for r in spatial.box_join(b, spark.createDataFrame(pts, "point_id long, x double, y double, z double"), 2.0).collect()}
+    assert got == {(k, i) for k, *m in boxes for i, *p in pts if all(m[2 * a] <= p[a] < m[2 * a + 1] for a in range(3))}
+    assert spatial.box_join(b.limit(0), spark.createDataFrame(pts, "point_id long, x double, y double, z double"), 2.0).count() == 0
