@@ -1,17 +1,17 @@
 """Exact top-k inner product by ball trees with branch and bound.
 
-Candidates are dealt to shards of a bounded number of vectors, queries to blocks of a bounded
-number; each (shard, block) pair is one group of a cogroup. In a group a ball tree of the shard is
-built (numpy), every query orders the leaves by the upper bound ``q.c + |q| r``, and goes down that
-order until the bound falls below its current k-th score. Nodes whose bound is too low close their
-whole subtree.
+Candidates are put into shards of a bounded number of vectors, the longest vectors first. A shard's ball tree is built
+once (numpy) and stored with it as one row. Rounds take the shards in order, one, then twice as many as before: a query
+goes to a shard only if the bound of the shard's own ball (``q.c + |q| r``, or ``|q|`` times the longest vector) reaches
+the query's current k-th score, which all shards share: each round starts from the k best of all rounds before it. In a
+shard a query orders the leaves by the same bound and goes down that order until the bound falls below its k-th
+score; nodes whose bound is too low close their whole subtree. Bounds are strict, so ties survive and the result is exact.
 
-The current k-th score is shared: a first round searches one shard, and each query takes the k-th
-score found there into all others as its bound from the start. Bounds are strict, so ties survive
-and the result is exact.
+Queries are dealt in blocks of a bounded number, so a task holds one shard and one block, never pairs of rows.
 
 Defined results
-    * vectors null, empty, or holding null or non-finite components take no part, nor rows without id;
+    * vectors null or holding null or non-finite components take no part, nor rows without id; an empty vector
+      takes part, with score 0 to all;
     * a shorter vector counts as filled up with zeros;
     * scores are exact integers; beyond the range of a long they are held at its ends;
     * rows that repeat an id are each candidates (but not for a query of that id); as a query an id
@@ -21,10 +21,12 @@ Defined results
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
         for batch in batches:
             ids, out = [], []
             for vec_id, values in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-                if vec_id is None or not values or any(x is None for x in values):
+                if vec_id is None or values is None or any(x is None for x in values):
                     continue
                 v = np.array(values, dtype=np.float64)
                 if np.isfinite(v).all():
@@ -91,12 +93,16 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, _LOW, -_LOW - 1).astype(np.int64)
 
 
-def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, vec_id, score) of the k best of each query in this shard with a score of ``floor`` or more."""
-    tree = Tree(points)
+def bounds(queries: np.ndarray, center: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Above every inner product of a query with a point of a ball, queries by balls."""
     norm = np.sqrt((queries**2).sum(axis=1))
-    bound = queries @ tree.center.T + norm[:, None] * tree.radius[None, :]
-    bound += 1e-9 * (np.abs(bound) + norm[:, None] * np.sqrt((tree.center**2).sum(axis=1))[None, :]) + 1e-6  # what rounding may take
+    bound = queries @ center.T + norm[:, None] * radius[None, :]
+    return bound + 1e-9 * (np.abs(bound) + norm[:, None] * np.sqrt((center**2).sum(axis=1))[None, :]) + 1e-6  # what rounding may take
+
+
+def search(tree: Tree, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, vec_id, score) of the k best of each query in this shard with a score of ``floor`` or more."""
+    bound = bounds(queries, tree.center, tree.radius)
     for node, below in enumerate(tree.children):  # parents come first: a child's bound is no higher
         for child in below or ():
             np.minimum(bound[:, child], bound[:, node], out=bound[:, child])
@@ -132,52 +138,111 @@ def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
     return got[0], got[2], got[1]
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    rows = [np.frombuffer(x, "<f8") for x in column.to_pylist()]
+def _matrix(rows: list[bytes], width: int) -> np.ndarray:
     out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+        v = np.frombuffer(r, "<f8")[:width]
+        out[i, : len(v)] = v
     return out
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+SHARDS = "shard long, longest double, radius double, center binary, tree binary"
+
+
+def sharded(points: DataFrame, n: int, size: int) -> DataFrame:
+    """``points(vec_id, v)`` as shards of at most ``size`` vectors, numbered from the longest vectors down, a row each."""
+
+    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [float(np.sqrt((np.frombuffer(v, "<f8") ** 2).sum())) for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(found, pa.float64())], names=["vec_id", "v", "norm"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, ids, rows, longest = TaskContext.get().partitionId(), 0, [], [], 0.0
+
+        def close() -> pa.RecordBatch:
+            values = _matrix(rows, max(1, max(len(r) // 8 for r in rows)))
+            tree = Tree(values)
+            whole = pickle.dumps((tree, values, np.array(ids, dtype=np.int64)), protocol=5)
+            columns = [[part << 20 | number], [longest], [float(tree.radius[0])], [tree.center[0].astype("<f8").tobytes()], [whole]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in SHARDS.split(", ")])
+
+        for batch in batches:
+            for vec_id, v, norm in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), batch.column("norm").to_pylist(), strict=True):
+                ids.append(vec_id)
+                rows.append(v)
+                longest = max(longest, norm)
+                if len(ids) == size:
+                    yield close()
+                    number, ids, rows, longest = number + 1, [], [], 0.0
+        if ids:
+            yield close()
+
+    # equal lengths, and one vector many times, are told apart by a hash of the id
+    placed = points.mapInArrow(norms, "vec_id long, v binary, norm double").repartitionByRange(-(-n // size), F.desc("norm"), F.xxhash64("vec_id")).sortWithinPartitions(F.desc("norm"))
+    return common.written(placed.mapInArrow(build, SHARDS), "top-k-shards")
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK, group: int = 1_024) -> DataFrame:
     """``candidates(vec_id, v)``, ``queries(vec_id, v)`` to (query_id, rank, vec_id, score).
 
-    Work is that of all queries against all rows, in blocks; a row travels once for each block of
-    queries and a query once for each shard, never a pair of rows.
+    Work is that of all queries against the shards that may still hold one of their k best, in blocks.
     """
+    spark = candidates.sparkSession
     points = common.written(candidates, "top-k-points")
     asked = common.written(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "top-k-queries")
     n, m = points.count(), asked.count()
     if not n or not m:
-        return points.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    shards, blocks = -(-n // shard), -(-m // block)
-    here = points.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    shards = sharded(points, n, shard)
+    order = [r["shard"] for r in shards.select("shard").orderBy("shard").collect()]  # a number for each ``shard`` vectors
+    blocks = -(-m // block)
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    schema = "query_id long, vec_id long, score long"
+    balls = shards.select("shard", "longest", "radius", "center").withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(-(-len(order) // group))).cast("int"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def reach(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Which queries of a block (right) go to which shards of a group (left)."""
+        out = []
+        if left.num_rows and right.num_rows:
+            vectors = right.column("v").to_pylist()
+            centers = left.column("center").to_pylist()
+            width = max(len(x) // 8 for x in [*vectors, *centers])
+            q, floor = _matrix(vectors, width), right.column("floor").to_numpy()
+            bound = np.minimum(bounds(q, _matrix(centers, width), left.column("radius").to_numpy()), bounds(q, np.zeros((left.num_rows, width)), left.column("longest").to_numpy()))
+            row, column = np.nonzero(bound >= floor[:, None])
+            asks = right.take(pa.array(row))
+            out = [pa.array(left.column("shard").to_numpy()[column]), *(asks.column(c) for c in ("block", "vec_id", "v", "floor"))]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+        return pa.table(out or [pa.array([], t) for t in kinds], names=["shard", "block", "vec_id", "v", "floor"])
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        width = max(len(x) // 8 for t in (left, right) for x in t.column("v").to_pylist())
+        place = vec_id = score = np.empty(0, dtype=np.int64)
         query_ids = right.column("vec_id").to_numpy()
-        floor = right.column("floor").to_numpy()
-        place, vec_id, score = search(_matrix(left.column("v"), width), left.column("vec_id").to_numpy(), _matrix(right.column("v"), width), query_ids, floor.astype(np.int64), k)
+        if left.num_rows and right.num_rows:
+            tree, values, ids = pickle.loads(left.column("tree")[0].as_py())
+            width = max(values.shape[1], *(len(x) // 8 for x in right.column("v").to_pylist()))
+            q = _matrix(right.column("v").to_pylist(), width)[:, : values.shape[1]]  # what lies beyond the shard's width meets zeros
+            place, vec_id, score = search(tree, values, ids, q, query_ids, right.column("floor").to_numpy().astype(np.int64), k)
         return pa.table({"query_id": query_ids[place], "vec_id": vec_id, "score": score})
 
-    def over(which: DataFrame, numbers, floors: DataFrame) -> DataFrame:
-        left = which.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block")
-        right = floors.withColumn("shard", F.explode(numbers)).groupBy("shard", "block")
-        return left.cogroup(right).applyInArrow(one, schema)
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = common.written(over(here.where("shard = 0"), F.array(F.lit(0)), dealt.withColumn("floor", F.lit(_LOW).cast("long"))), "top-k-first")
-    found = first
-    if shards > 1:
-        kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    found, at, width = spark.createDataFrame([], "query_id long, vec_id long, score long"), 0, 1
+    while at < len(order):
+        low, high = order[at], order[min(at + width, len(order)) - 1]
+        now = F.col("shard").between(low, high)
+        kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
         floors = dealt.join(kth, dealt.vec_id == kth.query_id, "left").select("vec_id", "v", "block", F.coalesce("least", F.lit(_LOW).cast("long")).alias("floor"))
-        found = first.unionByName(over(here.where("shard > 0"), F.sequence(F.lit(1), F.lit(shards - 1)), floors))
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        inside = balls.where(now)
+        spread = floors.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(-(-len(order) // group) - 1))))
+        around = inside.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        going = common.written(around.groupBy("group", "block").cogroup(spread.groupBy("group", "block")).applyInArrow(reach, "shard long, block int, vec_id long, v binary, floor long"), "top-k-going")
+        asking = going.select(F.col("shard").alias("of"), F.col("block").alias("by")).distinct()
+        trees = shards.where(now).select("shard", "tree").join(asking, F.col("shard") == F.col("of")).select("of", "by", "tree")
+        fresh = trees.groupBy("of", "by").cogroup(going.groupBy("shard", "block")).applyInArrow(one, "query_id long, vec_id long, score long")
+        merged = found.unionByName(fresh).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+        found = common.written(merged, "top-k-found")
+        at, width = at + width, 2 * width
+    ranked = found.withColumn("rank", F.row_number().over(best))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -188,10 +253,9 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM usable),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
-    FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2),
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

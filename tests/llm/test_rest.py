@@ -46,7 +46,7 @@ def test_mixing_odd_rows(spark, odd):
 
 
 def plain_top(rows, k):
-    good = [(i, np.floor(64 * np.array(v, dtype=float))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, np.floor(64 * np.array(v, dtype=float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = {}
     for q in sorted({i for i, _ in good if i % 20 == 0}):
         v = min((v for i, v in good if i == q), key=lambda v: v.astype("<f8").tobytes())
@@ -62,9 +62,9 @@ def test_top_k_against_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     points = balltree.quantised(df)
     want = plain_top(rows, 7)
-    for shard, block in ((10_000, 10_000), (40, 5)):
+    for shard, block, group in ((10_000, 10_000, 1_000), (40, 5, 3)):
         got = collections.defaultdict(list)
-        for r in balltree.top_k(points, points.where("vec_id % 20 = 0"), 7, shard, block).orderBy("query_id", "rank").collect():
+        for r in balltree.top_k(points, points.where("vec_id % 20 = 0"), 7, shard, block, group).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.vec_id, r.score))
         assert got == want
     assert balltree.top_k(points.limit(0), points.limit(0), 3).count() == 0
@@ -72,6 +72,18 @@ def test_top_k_against_brute_force(spark):
     assert balltree.top_k(few, few.where("vec_id = 0"), 20).count() == 2
 
 
+def test_empty_and_short_vectors_take_part(spark, folder):
+    """An empty vector scores 0 with all; the query and its SQL agree."""
+    rows = [(0, [1.0, 2.0]), (1, [1.0]), (2, []), (3, [-1.0, -1.0]), (4, [0.5, 0.0, 9.0]), (20, []), (40, [-3.0]), (None, [1.0]), (5, None), (6, [None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    at = folder(embeddings=df)
+    got = sorted(map(tuple, balltree.op9_top_k(spark, at).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{at}/embeddings.parquet/*.parquet')")
+    assert got == sorted(con.execute(balltree.OP9_SQL).fetchall())
+    assert {(q, v) for q, _, v, s in got if q == 20 and s == 0} == {(20, i) for i in (0, 1, 2, 3, 4, 40)}
+
+
 def test_large_components():
     a = np.array([[2.0**40, 1.0], [-(2.0**40), 0.0]])
     assert balltree.inner(a, a).tolist() == [[(1 << 63) - 1, -(1 << 63)], [-(1 << 63), (1 << 63) - 1]]
