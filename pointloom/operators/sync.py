@@ -56,20 +56,29 @@ def tail_report(frames: DataFrame, imu: DataFrame, sizes: DataFrame | None = Non
     return found.withColumn("reason", reason).where("reason <> 'covered'").groupBy("device", "reason").agg(F.count(F.lit(1)).alias("frames"))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], strict: bool = True) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], strict: bool = True, bucket_us: int = BUCKET_US) -> DataFrame:
     """``left`` with ``values`` of the latest row of ``right`` whose time is before (or, not strict, at) its own.
 
-    One sort by (keys, time) of both sides together; no row pairs are made. On equal times a strict
-    match puts the left rows first, so that an equal row of the right does not count.
+    Both sides are cut into time buckets and sorted together by (keys, bucket), so a busy key is spread over many tasks
+    and no row pairs are made. What a bucket starts with, the last row before it, comes from a running value over buckets
+    (one row each). On equal times a strict match puts the left rows first, so that an equal row of the right does not count.
     """
-    l, r = left.withColumn("__side", F.lit(0 if strict else 1)), right.withColumn("__side", F.lit(1 if strict else 0))
+    bucket = F.floor(F.col(time) / bucket_us).cast("bigint").alias("__bucket")
+    found = F.struct(*values)
+    kind = right.select(found.alias("x")).schema["x"].dataType
     own = [c for c in left.columns if c not in keys + [time]]
-    both = l.select(*keys, time, "__side", F.struct(*own).alias("__left") if own else F.lit(None).alias("__left"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("__right")).unionByName(
-        r.select(*keys, time, "__side", F.lit(None).cast(left.select(F.struct(*own)).schema[0].dataType).alias("__left"), F.struct(*values).alias("__right"))
-    )
-    order = Window.partitionBy(*keys).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__found", F.last("__right", ignorenulls=True).over(order)).where(F.col("__left").isNotNull())
-    return found.select(*keys, time, "__left.*", *(F.col(f"__found.{v}").alias(v) for v in values))
+    row = F.struct(*own) if own else F.struct(F.lit(1).alias("__none"))
+    row_kind = left.select(row.alias("x")).schema["x"].dataType
+    lefts = left.select(*keys, bucket, F.col(time), F.lit(0 if strict else 1).alias("__side"), row.alias("__left"), F.lit(None).cast(kind).alias("__right"))
+    rights = right.select(*keys, bucket, F.col(time), F.lit(1 if strict else 0).alias("__side"), F.lit(None).cast(row_kind).alias("__left"), found.alias("__right"))
+    ends = rights.groupBy(*keys, "__bucket").agg(F.max_by("__right", time).alias("__end"))
+    known = ends.unionByName(lefts.select(*keys, "__bucket", F.lit(None).cast(kind).alias("__end")).distinct()).groupBy(*keys, "__bucket").agg(F.first("__end", ignorenulls=True).alias("__end"))
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    opens = known.withColumn("__before", before).where(F.col("__before").isNotNull())
+    carried = opens.select(*keys, "__bucket", F.lit(None).cast("bigint").alias(time), F.lit(-1).alias("__side"), F.lit(None).cast(row_kind).alias("__left"), F.col("__before").alias("__right"))
+    order = Window.partitionBy(*keys, "__bucket").orderBy(F.asc_nulls_first(time), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    met = lefts.unionByName(rights).unionByName(carried).withColumn("__found", F.last("__right", ignorenulls=True).over(order)).where(F.col("__left").isNotNull())
+    return met.select(*keys, time, *(F.col(f"__left.{c}").alias(c) for c in own), *(F.col(f"__found.{v}").alias(v) for v in values))
 
 
 def gap_frames(messages: DataFrame, gap_us: int, keys: list[str], time: str = "ts_us") -> DataFrame:

@@ -224,3 +224,23 @@ def test_boxes_of_all_sizes(spark):
     got = {tuple(r) for r in spatial.box_join(b, spark.createDataFrame(pts, "point_id long, x double, y double, z double"), 2.0).collect()}
     assert got == {(k, i) for k, *m in boxes for i, *p in pts if all(m[2 * a] <= p[a] < m[2 * a + 1] for a in range(3))}
     assert spatial.box_join(b.limit(0), spark.createDataFrame(pts, "point_id long, x double, y double, z double"), 2.0).count() == 0
+
+
+def test_as_of_against_all_rows(spark):
+    """Rows before, at and far before the time asked for, in many buckets; keys without a match."""
+    import random
+
+    rng = random.Random(3)
+    right = [(rng.randrange(3), rng.randrange(0, 4000), i) for i in range(120)]
+    right = list({(k, t): (k, t, v) for k, t, v in right}.values())
+    left = [(rng.randrange(4), rng.randrange(-50, 5000), i) for i in range(200)] + [(0, right[0][1], 900)]
+    l = spark.createDataFrame(left, "k long, t long, id long")  # noqa: E741
+    r = spark.createDataFrame(right, "k long, t long, v long")
+    for strict in (True, False):
+        want = {}
+        for k, t, i in left:
+            met = [x for x in right if x[0] == k and (x[1] < t or (not strict and x[1] == t))]
+            want[i] = max(met, key=lambda x: x[1])[2] if met else None
+        for width in (37, 1000, 10**9):
+            got = {x.id: x.v for x in sync.as_of(l, r, ["k"], "t", ["v"], strict, width).collect()}
+            assert got == want, (strict, width)
