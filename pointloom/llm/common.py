@@ -27,13 +27,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (local tests) a temporary folder is made and set.
+    Only where it is unset, in local mode (tests), a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")

@@ -171,3 +171,32 @@ def test_deduplication_of_odd_rows(spark, odd):
 
 def test_long_text():
     assert s.fingerprint(sentence(random.Random(0), 70_000), 4) == plain_fingerprint(sentence(random.Random(0), 70_000), 4)
+
+
+def test_recall_on_documents_against_all_pairs(spark):
+    """The classes of 1,000 documents are exactly the components of all pairs at a likeness of 0.8 or more."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = [np.unique(s.shingle_hashes(r.text or "", s.SHINGLE)) for r in rows]
+    holders = {}
+    for i, x in enumerate(sets):
+        for h in x.tolist():
+            holders.setdefault(h, []).append(i)
+    parent = list(range(len(rows)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = 0
+    for i, x in enumerate(sets):
+        both = np.bincount([j for h in x.tolist() for j in holders[h] if j < i] or [0], minlength=len(sets)) if len(x) else np.array([len(y) == 0 for y in sets]) * 1
+        for j in np.flatnonzero(both[:i]).tolist():
+            if not len(x) or both[j] >= 0.8 * (len(x) + len(sets[j]) - both[j]):
+                pairs += 1
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    found = {r.doc_id: r.component for r in s.near_duplicates(docs).collect()}
+    met = {(top(i), found[r.doc_id]) for i, r in enumerate(rows)}
+    assert pairs > 50 and len(met) == len({a for a, _ in met}) == len({b for _, b in met})
