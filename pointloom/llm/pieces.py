@@ -39,7 +39,7 @@ from pointloom.llm import common
 BLANK = "▁"
 UNKNOWN = 10.0
 #: Stretches that a worker remembers; boundaries walked between two commits; signs walked, and characters encoded, at once.
-CACHE, STEPS, SIGNS, WALK = 300_000, 64, 200_000, 6_000_000
+CACHE, STEPS, SIGNS, WALK = 150_000, 64, 40_000, 1_500_000
 _NEGATIVE = -1e300
 _CODE = 21  # bits of a code point
 
@@ -275,8 +275,8 @@ class Pieces:
         return at + base, lengths[at]
 
     def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Stretches of all texts (as numbers), how many each text has, and the distinct stretches. A blank goes before
-        each text that isn't empty."""
+        """Stretches of all texts (as numbers), how many each text has, and the distinct stretches, with plain blanks. A
+        blank goes before each text that isn't empty."""
         data, cuts = common.text_bytes(pc.replace_substring(texts.cast(pa.string()), BLANK, " "))
         some = np.diff(cuts) > 0
         data = np.insert(data, cuts[:-1][some], 32)
@@ -290,15 +290,14 @@ class Pieces:
         first[cuts[:-1][some]] = True
         at = np.flatnonzero(first)
         coded = common.strings(data, at, pa.string()).dictionary_encode()
-        distinct = [s.replace(" ", BLANK) for s in coded.dictionary.to_pylist()]
-        return coded.indices.to_numpy(zero_copy_only=False), np.diff(np.searchsorted(at, cuts)), distinct
+        return coded.indices.to_numpy(zero_copy_only=False), np.diff(np.searchsorted(at, cuts)), coded.dictionary.to_pylist()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none), one after the other, and how many each has."""
         codes, sizes, stretches = self._stretches(texts)
         fresh = sorted((stretches[i] for i in self.known.fresh(stretches)), key=len)
         for first, last in common.slices(np.array([len(s) for s in fresh], dtype=np.int64), SIGNS):
-            self.known.learn(fresh[first:last], *self.solve(fresh[first:last]))
+            self.known.learn(fresh[first:last], *self.solve([s.replace(" ", BLANK) for s in fresh[first:last]]))
         return self.known.gathered(codes, stretches, sizes)
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -332,6 +331,7 @@ def _coded(texts: pd.Series, path: str) -> Iterator[tuple[list[str], np.ndarray,
     values = [t or "" for t in texts]
     for first, last in common.slices(np.array([len(v) for v in values]), WALK):
         yield values[first:last], *pieces(path).encode(pa.array(values[first:last], pa.string()))
+    pa.default_memory_pool().release_unused()
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
