@@ -8,6 +8,8 @@ Defined results
     * null text counts as empty; an empty text has no k-grams and an empty fingerprint;
     * a text shorter than ``k`` has one entry, the hash of the whole text at position 0;
     * a text with fewer than ``w`` k-grams has one window, so at least one entry;
+    * hashes are compared by all bits but as many low ones as number a window's places (6 of 64 here); equal ones tie;
+    * texts of any length are walked whole, in stretches;
     * equal texts have equal fingerprints; likeness of two empty fingerprints is 1, of an empty
       and a non-empty one 0;
     * extra columns of the input are ignored; repeated rows give repeated results.
@@ -29,6 +31,8 @@ from pointloom.llm import common
 
 #: Code points in a k-gram, and k-grams in a window: shared runs of 64 code points are always met.
 K, W = 32, 33
+#: Windows of a text that are walked at once.
+STRETCH = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -65,7 +69,20 @@ def kgram_hashes(text: str, k: int = K) -> np.ndarray:
 
 
 def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen hashes and their positions, in order of position.
+    """Chosen hashes and their positions, in order of position. A long text is walked in stretches of ``STRETCH`` windows,
+    each with the code points that its last window reaches, so memory is that of a stretch."""
+    windows = len(text) - k - w + 2
+    if windows <= STRETCH:
+        return _winnow(text, k, w)
+    parts = [(first, *_winnow(text[first : first + STRETCH + k + w - 2], k, w)) for first in range(0, windows, STRETCH)]
+    h, at = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + p[0] for p in parts])
+    fresh = np.ones(len(at), dtype=bool)
+    fresh[1:] = at[1:] != at[:-1]  # a stretch's first window may choose what the last one before it did
+    return h[fresh], at[fresh]
+
+
+def _winnow(text: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one stretch.
 
     Blocks of ``w``: a window is the end of one block and the start of the next, so running minima
     inside the blocks from both sides give every window's minimum in two passes.

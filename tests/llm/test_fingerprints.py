@@ -71,3 +71,14 @@ def test_operator_keeps_positions(spark, odd):
     row = out.where("doc_id = 0").first()
     h, p = f.winnow(row.text)
     assert row.positions == p.tolist() and row.hashes == h.view(np.int64).tolist()
+
+
+def test_stretches_make_no_difference(monkeypatch):
+    rng = np.random.default_rng(5)
+    for text in ("".join(rng.choice(list("abé日"), 700)), "a" * 500, "ab" * 300 + "".join(rng.choice(list("xyz"), 300)), "", "short"):
+        monkeypatch.setattr(f, "STRETCH", 1 << 18)
+        want = f.winnow(text, 5, 9)
+        for size in (1, 7, 64):
+            monkeypatch.setattr(f, "STRETCH", size)
+            got = f.winnow(text, 5, 9)
+            assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1]), (text[:20], size)
