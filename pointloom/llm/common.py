@@ -155,8 +155,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Words of each text (runs without the six white-space bytes, A-Z in lower case): a number for each word in order,
+def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text (runs without the six white-space bytes, A-Z in lower case if ``lower``): a number for each word in order,
     how many each text has, and the distinct words by number."""
     data, cuts = text_bytes(texts)
     solid = ~_BLANKS[data]
@@ -166,7 +166,7 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     first[inner] = solid[inner]  # a text never goes on in the next
     at = np.flatnonzero(first)
     sizes = np.diff(np.searchsorted(at, cuts))
-    coded = strings(_LOWER[data[solid]], np.flatnonzero(first[solid]), pa.string()).dictionary_encode()
+    coded = strings(_LOWER[data[solid]] if lower else data[solid], np.flatnonzero(first[solid]), pa.string()).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), sizes, coded.dictionary
 
 
