@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators import scans
 from pointloom.operators.walks import walked
 
 
@@ -29,9 +30,8 @@ def channel_counters(records: DataFrame, keys: list[str], value: str, most: floa
 
 
 def chunk_ids(rows: DataFrame, size: int, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows with ``chunk``: a new one after every ``size`` rows; the last one may be shorter."""
-    run = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("chunk", F.floor((F.row_number().over(run) - 1) / size).cast("bigint"))
+    """Rows with ``chunk``: a new one after every ``size`` rows; the last one may be shorter (a prefix scan)."""
+    return scans.row_numbers(rows, keys, order, "__n").withColumn("chunk", F.floor((F.col("__n") - 1) / size).cast("bigint")).drop("__n")
 
 
 def frame_chunks(frames: DataFrame, points: int, count: int, keys: list[str], order: str = "frame_id") -> DataFrame:
@@ -58,13 +58,16 @@ def bounded_path(path: DataFrame, capacity: int, publish: int, keys: list[str],
     """Path points that are still held, with ``published`` for the last ``publish``.
 
     At capacity the oldest tenth goes before a point is added, so after n points the number held is
-    ``n`` up to the capacity, then falls back by a tenth and grows again: a formula of n alone.
+    ``n`` up to the capacity, then falls back by a tenth and grows again: a formula of n alone. Places come from a prefix
+    scan, so one device's path is many tasks.
     """
     cut = max(1, capacity // 10)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    numbered = scans.row_numbers(path, keys, [order], "__n")
+    total = path.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
+    n, back = F.col("__total"), F.col("__total") - F.col("__n") + 1
     held = F.when(n <= capacity, n).otherwise(capacity - cut + 1 + F.pmod(n - capacity - 1, F.lit(cut)))
-    return path.withColumn("__held", held).withColumn("__back", back).where(F.col("__back") <= F.col("__held")).withColumn("published", F.col("__back") <= publish).drop("__held", "__back")
+    met = numbered.alias("p").join(total.alias("t"), [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
+    return met.where(back <= held).select("p.*", (back <= publish).alias("published")).drop("__n")
 
 
 def throttled(messages: DataFrame, keys: list[str], time_us: str, hz: float) -> DataFrame:

@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as g
+from pointloom.operators import scans
 
 
 def rest_statistics(samples: DataFrame, keys: list[str], order: list[str], axes: tuple = ("ax", "ay", "az", "gx", "gy", "gz"), least: int = 10) -> DataFrame:
     """Mean and variance of samples at rest, gravity and gyro bias, and whether there were enough samples.
 
     The variance is the recurrence's closed form: with the running mean m_k after sample k,
-    ``sum((x_k - m_k)^2 (k - 1) / k) / N``. Gravity points against the mean acceleration.
+    ``sum((x_k - m_k)^2 (k - 1) / k) / N``. Running means come from a prefix scan, so one device is many tasks. Gravity points against the mean acceleration.
     """
-    run = Window.partitionBy(*keys).orderBy(*order)
-    upto = run.rowsBetween(Window.unboundedPreceding, 0)
-    k = F.row_number().over(run)
-    means = samples.select(*keys, *axes, k.alias("__k"), *(F.avg(a).over(upto).alias(f"__m_{a}") for a in axes))
-    parts = [((F.col(a) - F.col(f"__m_{a}")) ** 2 * (F.col("__k") - 1) / F.col("__k")).alias(f"__q_{a}") for a in axes]
+    own = {"__k": F.lit(1).cast("long"), **{f"__m_{a}": F.coalesce(F.col(a).cast("double"), F.lit(0.0)) for a in axes}}
+    means = scans.prefix(samples.select(*keys, *order, *(a for a in axes if a not in order)), keys, order, own)
+    parts = [((F.col(a) - F.col(f"__m_{a}") / F.col("__k")) ** 2 * (F.col("__k") - 1) / F.col("__k")).alias(f"__q_{a}") for a in axes]
     summed = means.select(*keys, *axes, *parts).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.avg(a).alias(f"mean_{a}") for a in axes), *((F.sum(f"__q_{a}") / F.count(F.lit(1))).alias(f"cov_{a}") for a in axes))
     acc = [F.col(f"mean_{a}") for a in axes[:3]]
     size = g.norm(acc)
@@ -57,42 +56,56 @@ def compensated(point: g.Vector, dt: Column, rotation: g.Matrix, velocity: g.Vec
     return g.apply(g.transpose(mount), back)
 
 
-INTEGRATED = "px double, py double, pz double, vx double, vy double, vz double, r0 double, r1 double, r2 double, r3 double, r4 double, r5 double, r6 double, r7 double, r8 double"
+_TURN, _SPEED, _WAY = ("__qw", "__qx", "__qy", "__qz"), ("__vx", "__vy", "__vz"), ("__px", "__py", "__pz")
 
 
-def integrated(steps: DataFrame, keys: list[str], order: str, gravity: tuple = (0.0, 0.0, -g.GRAVITY)) -> DataFrame:
+def _product(a: list, b: list) -> list:
+    """Quaternion product, of numbers, arrays or columns."""
+    return [
+        a[0] * b[0] - a[1] * b[1] - a[2] * b[2] - a[3] * b[3], a[0] * b[1] + a[1] * b[0] + a[2] * b[3] - a[3] * b[2],
+        a[0] * b[2] - a[1] * b[3] + a[2] * b[0] + a[3] * b[1], a[0] * b[3] + a[1] * b[2] - a[2] * b[1] + a[3] * b[0],
+    ]
+
+
+def _turned(q: list, v: list) -> list:
+    """``v`` turned by the unit quaternion ``q``."""
+    w, u = q[0], q[1:]
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    once = [c + c for c in cross(u, v)]
+    return [x + w * y + z for x, y, z in zip(v, once, cross(u, once), strict=True)]
+
+
+def stepped(a: dict, b: dict) -> dict:
+    """Two stretches of open-loop motion, one after the other: what the second turned, gained and moved in its own frame is
+    turned into the first one's. Associative, not commutative. ``__t`` is the time, ``__s`` the sum of the time before each
+    step times the step, by which gravity's pull moves."""
+    q, v, p = ([a[c] for c in names] for names in (_TURN, _SPEED, _WAY))
+    gained, moved = _turned(q, [b[c] for c in _SPEED]), _turned(q, [b[c] for c in _WAY])
+    turn = _product(q, [b[c] for c in _TURN])
+    return {
+        **dict(zip(_TURN, turn, strict=True)), **{c: x + y for c, x, y in zip(_SPEED, v, gained, strict=True)}, **{c: x + s * b["__t"] + y for c, x, s, y in zip(_WAY, p, v, moved, strict=True)},
+        "__t": a["__t"] + b["__t"], "__s": a["__s"] + a["__t"] * b["__t"] + b["__s"],
+    }
+
+
+def integrated(steps: DataFrame, keys: list[str], order: str, gravity: tuple = (0.0, 0.0, -g.GRAVITY), parts: int | None = None) -> DataFrame:
     """Open-loop poses of ``steps(keys, order, dt, ax, ay, az, gx, gy, gz)``, from rest at the origin.
 
-    Rotations are a running product, which no aggregate expresses: it runs by (recording, segment) group in
-    numpy. Velocity and position are running sums, so they stay windows.
+    A stretch of steps is one element (turn, gain of velocity, way, time), and elements combine associatively, so poses are
+    a prefix scan: a segment of any length is as many tasks as it fills. A step turns by its rates, gains its acceleration
+    in the frame that held before it, and moves by the velocity that held before it. Values that are null count as 0.
     """
-    import numpy as np
-    import pandas as pd
-
-    names = [f"r{i}" for i in range(9)]
-    kinds = dict(steps.select(*keys, order).dtypes)
-    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", dt double, wx double, wy double, wz double, " + ", ".join(f"{n} double" for n in names)
-
-    def turn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        now, out, world = np.eye(3), [], []
-        for dt, a, w in zip(group["dt"], group[["ax", "ay", "az"]].to_numpy(), group[["gx", "gy", "gz"]].to_numpy(), strict=True):
-            world.append(now @ a)
-            size = np.linalg.norm(w)
-            if size > 1e-7:
-                x, y, z = w / size
-                k = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
-                now = now @ (np.eye(3) + np.sin(size * dt) * k + (1 - np.cos(size * dt)) * (k @ k))
-            out.append(now.reshape(-1))
-        made = group[[*keys, order, "dt"]].copy()
-        made[["wx", "wy", "wz"]] = np.array(world).reshape(-1, 3)
-        made[names] = np.array(out).reshape(-1, 9)
-        return made
-
-    turned = steps.groupBy(*keys).applyInPandas(turn, schema)
-    run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    pull = {c: (F.col(f"w{c}") + grav) * F.col("dt") for c, grav in zip("xyz", gravity, strict=True)}
-    speeds = turned.select("*", *(F.sum(pull[c]).over(run).alias(f"v{c}") for c in "xyz"))
-    # position moves by the velocity that held before the step
-    moved = speeds.select("*", *(((F.col(f"v{c}") - pull[c]) * F.col("dt")).alias(f"__d{c}") for c in "xyz"))
-    return moved.select(*keys, order, *(F.sum(f"__d{c}").over(run).alias(f"p{c}") for c in "xyz"), *(f"v{c}" for c in "xyz"), *names)
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("dt", "ax", "ay", "az", "gx", "gy", "gz")}
+    size = g.norm([value[f"g{c}"] for c in "xyz"])
+    half = F.when(size > 1e-7, size * value["dt"] / 2).otherwise(0.0)
+    axis = [F.when(size > 1e-7, F.sin(half) * value[f"g{c}"] / size).otherwise(0.0) for c in "xyz"]
+    own = {
+        **dict(zip(_TURN, [F.cos(half), *axis], strict=True)), **{v: value[f"a{c}"] * value["dt"] for v, c in zip(_SPEED, "xyz", strict=True)}, **dict.fromkeys(_WAY, F.lit(0.0)),
+        "__t": value["dt"], "__s": F.lit(0.0),
+    }
+    found = scans.prefix(steps.select(*keys, order, *value), keys, [order], own, stepped, parts)
+    matrix = g.from_quaternion([F.col(c) for c in (*_TURN[1:], _TURN[0])])
+    return found.select(
+        *keys, order, *((F.col(p) + pull * F.col("__s")).alias(f"p{c}") for p, c, pull in zip(_WAY, "xyz", gravity, strict=True)),
+        *((F.col(v) + pull * F.col("__t")).alias(f"v{c}") for v, c, pull in zip(_SPEED, "xyz", gravity, strict=True)), *(x.alias(f"r{i}") for i, x in enumerate(matrix)),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators import scans
 from pointloom.operators.walks import walked
 
 #: Width of the time buckets that range joins are dealt by.
@@ -82,24 +83,20 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values:
 
 
 def gap_frames(messages: DataFrame, gap_us: int, keys: list[str], time: str = "ts_us") -> DataFrame:
-    """Messages with ``frame``: a new one begins where the gap to the message before is larger than ``gap_us``."""
-    order = Window.partitionBy(*keys).orderBy(time, "seq")
-    opened = F.coalesce((F.col(time) - F.lag(time).over(order) > gap_us).cast("int"), F.lit(0))
-    return messages.withColumn("__open", opened).withColumn("frame", F.sum("__open").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__open")
+    """Messages with ``frame``: a new one begins where the gap to the message before is larger than ``gap_us``. One device's
+    messages are as many tasks as they fill (a prefix scan)."""
+    return scans.breaks(messages, keys, [time, "seq"], time, "frame", gap=gap_us)
 
 
 def clock_epochs(samples: DataFrame, keys: list[str], arrival: str = "seq", time: str = "ts_us") -> DataFrame:
-    """Samples with ``epoch``, which rises where a sample is older than the one that arrived before it."""
-    order = Window.partitionBy(*keys).orderBy(arrival)
-    back = F.coalesce((F.col(time) < F.lag(time).over(order)).cast("int"), F.lit(0))
-    return samples.withColumn("__back", back).withColumn("epoch", F.sum("__back").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__back")
+    """Samples with ``epoch``, which rises where a sample is older than the one that arrived before it (a prefix scan)."""
+    return scans.breaks(samples, keys, [arrival], time, "epoch")
 
 
 def by_sensor_time(messages: DataFrame, known_topics: list[str]) -> DataFrame:
-    """Messages with ``place`` in order of sensor time; topics that are not known sort at time 0."""
+    """Messages with ``place`` in order of sensor time; topics that are not known sort at time 0 (a prefix scan)."""
     time = F.when(F.col("topic").isin(*known_topics), F.col("sensor_us")).otherwise(0)
-    placed = messages.withColumn("order_us", time)
-    return placed.withColumn("place", F.row_number().over(Window.partitionBy("recording_id").orderBy("order_us", "seq")))
+    return scans.row_numbers(messages.withColumn("order_us", time), ["recording_id"], ["order_us", "seq"], "place")
 
 
 def best_topic(messages: DataFrame, ranked: list[str]) -> DataFrame:

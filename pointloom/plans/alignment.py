@@ -187,14 +187,29 @@ def w5_midpoints(spark, d):
     return motion.midpoints(imu.join(ends, "device"), ["device"], ("ax",), "end_us").select("device", "seq", "ts_us", "tail_us", r(F.col("ax_mid")).alias("ax_mid"), r(F.col("dt_s")).alias("dt_s"))
 
 
-@query()
+_SPIN = "pow(ax / 1000, 2) + 0.0001"
+_ROTATED = (
+    "(1 - 2 * (qy*qy + qz*qz)) * n.ax / 100 + 2 * (qx*qy - qw*qz) * 0.1 + 2 * (qx*qz + qw*qy) * 9.81", "2 * (qx*qy + qw*qz) * n.ax / 100 + (1 - 2 * (qx*qx + qz*qz)) * 0.1 + 2 * (qy*qz - qw*qx) * 9.81",
+    "2 * (qx*qz - qw*qy) * n.ax / 100 + 2 * (qy*qz + qw*qx) * 0.1 + (1 - 2 * (qx*qx + qy*qy)) * 9.81 - 9.81",
+)
+
+
+@query(f"""WITH RECURSIVE {fx.IMU}, w AS (SELECT *, ts_us // 604800000000 AS week FROM imu),
+d AS (SELECT *, least(coalesce((ts_us - lag(ts_us) OVER t) / 1e6, 0), 1) AS dt, row_number() OVER (PARTITION BY device, week ORDER BY seq) AS k FROM w WINDOW t AS (PARTITION BY device, week ORDER BY ts_us, seq)),
+n AS (SELECT device, week, seq, k, dt, ax, cos(sqrt({_SPIN}) * dt / 2) AS ew, sin(sqrt({_SPIN}) * dt / 2) * 0.01 / sqrt({_SPIN}) AS ey, sin(sqrt({_SPIN}) * dt / 2) * ax / 1000 / sqrt({_SPIN}) AS ez FROM d),
+f AS (SELECT device, week, 0::BIGINT AS k, 0::BIGINT AS seq, 1.0::DOUBLE AS qw, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS vz, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, 0.0::DOUBLE AS pz FROM n WHERE n.k = 1
+UNION ALL SELECT n.device, n.week, n.k, n.seq, qw*ew - qy*ey - qz*ez, qx*ew + qy*ez - qz*ey, qw*ey - qx*ez + qy*ew, qw*ez + qx*ey + qz*ew,
+    vx + ({_ROTATED[0]}) * dt, vy + ({_ROTATED[1]}) * dt, vz + ({_ROTATED[2]}) * dt, px + vx * dt, py + vy * dt, pz + vz * dt
+    FROM f JOIN n ON n.device = f.device AND n.week = f.week AND n.k = f.k + 1)
+SELECT device, week, seq, {", ".join(f"{sql_r(f'p{c}', 2)} AS p{c}, {sql_r(f'v{c}', 4)} AS v{c}" for c in XYZ)}, {sql_r("1 - 2 * (qy*qy + qz*qz)")} AS r0, {sql_r("2 * (qx*qy - qw*qz)")} AS r1, {sql_r("2 * (qx*qz - qw*qy)")} AS r6 FROM f WHERE k > 0""")
 def w13_open_loop_poses(spark, d):
-    """Poses from each device's samples by week; rotation in groups, velocity and position by running sums."""
+    """Poses from each device's samples by week: a scan with a product that doesn't commute; the twin walks step by step."""
     imu = fx.imu(spark, d)
     by_week = Window.partitionBy("device", "week").orderBy("ts_us", "seq")
     steps = imu.withColumn("week", F.floor(F.col("ts_us") / 604_800_000_000).cast("bigint")).withColumn("dt", F.least(F.coalesce((F.col("ts_us") - F.lag("ts_us").over(by_week)) / 1e6, F.lit(0.0)), F.lit(1.0)))
     six = steps.select("device", "week", "seq", "dt", (F.col("ax") / 100).alias("ax"), F.lit(0.1).alias("ay"), F.lit(9.81).alias("az"), F.lit(0.0).alias("gx"), F.lit(0.01).alias("gy"), (F.col("ax") / 1000).alias("gz"))
-    return motion.integrated(six, ["device", "week"], "seq")
+    found = motion.integrated(six, ["device", "week"], "seq")
+    return found.select("device", "week", "seq", *(r(F.col(f"p{c}"), 2).alias(f"p{c}") for c in XYZ), *(r(F.col(f"v{c}"), 4).alias(f"v{c}") for c in XYZ), *(r(F.col(c)).alias(c) for c in ("r0", "r1", "r6")))
 
 
 @query(f"""WITH {fx.IMU}, f AS (SELECT *, coalesce((ts_us - lag(ts_us) OVER w > 600000000)::INTEGER, 0) AS o FROM imu WINDOW w AS (PARTITION BY device ORDER BY ts_us, seq)), g AS (SELECT *, sum(o) OVER (PARTITION BY device ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS frame FROM f)

@@ -20,6 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: it is computed once and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def in_pieces(df: DataFrame, time: str, pieces: int) -> list[DataFrame]:
     """``df`` cut into ranges of ``time``, in order; rows without a time are in the first. Some may be empty."""
     cuts = df.agg(F.percentile_approx(time, [i / pieces for i in range(1, pieces)], 1000).alias("c")).first()["c"] or [] if pieces > 1 else []
