@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointloom import fixtures as fx
 from pointloom.functions import geometry as g
 from pointloom.functions import text as tx
-from pointloom.operators import matching, metrics, spatial, tiles
+from pointloom.operators import knn, matching, metrics, spatial, tiles
 from pointloom.operators import voxels as v
 from pointloom.plans.cloud import _TILES, tiled
 from pointloom.plans.registry import query, r, sql_r
@@ -33,6 +33,15 @@ def j4_nearest_join(spark, d):
     return spatial.nearest_join(_queries(spark, d), _points(spark, d)).withColumn("d2", r(F.col("d2")))
 
 
+@query(f"""WITH {fx.PTS}, p AS (SELECT frame_id * 21 + idx AS point_id, x, y, z FROM pts), q AS (SELECT point_id AS query_id, CASE WHEN point_id % 40 = 0 THEN x * 3 ELSE x END AS qx, CASE WHEN point_id % 40 = 0 THEN y * 3 ELSE y END AS qy, z AS qz FROM p WHERE point_id % 20 = 0),
+m AS (SELECT query_id, point_id, {_D2} AS d2 FROM q, p), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) AS rank FROM m) SELECT query_id, rank::INTEGER AS rank, point_id, {sql_r('d2')} AS d2 FROM n WHERE rank <= 5""")
+def j4_nearest_ungated(spark, d):
+    """The five nearest however far: every second query stands at three times its distance, in emptier space."""
+    away = F.when(F.col("query_id") % 40 == 0, 3.0).otherwise(1.0)
+    asked = _queries(spark, d).withColumn("qx", F.col("qx") * away).withColumn("qy", F.col("qy") * away)
+    return knn.nearest(asked, _points(spark, d)).withColumn("d2", r(F.col("d2")))
+
+
 @query(f"WITH {_PT} SELECT query_id, point_id, {sql_r(_D2)} AS d2 FROM q JOIN p ON {_D2} <= 9.0")
 def j5_radius_join(spark, d):
     return spatial.radius_join(_queries(spark, d), _points(spark, d), 3.0).withColumn("d2", r(F.col("d2")))
