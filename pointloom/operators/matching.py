@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Where the determinant of the normal equations is below this share of what equal axes would give, they are not trusted.
+THIN = 1e-8
 
 
 def solve3(m: list[Column], b: list[Column]) -> tuple[list[Column], Column]:
@@ -15,25 +23,73 @@ def solve3(m: list[Column], b: list[Column]) -> tuple[list[Column], Column]:
         xx * (b[1] * zz - yz * b[2]) - b[0] * (xy * zz - yz * xz) + xz * (xy * b[2] - b[1] * xz),
         xx * (yy * b[2] - b[1] * yz) - xy * (xy * b[2] - b[1] * xz) + b[0] * (xy * yz - yy * xz),
     ]
-    safe = F.when(F.abs(det) > 1e-12, det)
-    return [v / safe for v in n], det
-
-
-def planes(neighbours: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """(query_id, a, b, c, d, worst, accepted) of ``neighbours(query_id, x, y, z)``: the plane ``n . p = -1`` by least
-    squares, scaled to a unit normal; accepted if no neighbour is further than ``threshold`` from it.
-
-    Nine sums a query and a closed solution; planes through the origin have none (null, not accepted).
+    return [F.try_divide(v, det) for v in n], det
+
+
+def pivoted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least squares ``a x = b`` of many small systems (n, rows, 3) by Householder steps, the longest remaining column first.
+    A column that is nothing but rounding against the longest one counts as dependent, and its unknown is 0."""
+    a, b = a.astype(np.float64).copy(), b.astype(np.float64).copy()
+    n, rows, width = a.shape
+    every = np.arange(n)
+    order = np.tile(np.arange(width), (n, 1))
+    diagonal = np.zeros((n, width))
+    for i in range(width):
+        longest = i + np.argmax((a[:, i:, i:] ** 2).sum(axis=1), axis=1)
+        order[every, i], order[every, longest] = order[every, longest].copy(), order[every, i].copy()
+        left, right = a[every, :, i].copy(), a[every, :, longest].copy()
+        a[every, :, i], a[every, :, longest] = right, left
+        v = a[:, i:, i].copy()
+        size = np.sqrt((v**2).sum(axis=1))
+        v[:, 0] += np.where(v[:, 0] < 0, -size, size)
+        scale = (v**2).sum(axis=1)
+        v /= np.sqrt(np.where(scale > 0, scale, 1.0))[:, None]
+        a[:, i:, i:] -= 2 * v[:, :, None] * np.einsum("nr,nrc->nc", v, a[:, i:, i:])[:, None, :]
+        b[:, i:] -= 2 * v * np.einsum("nr,nr->n", v, b[:, i:])[:, None]
+        diagonal[:, i] = a[:, i, i]
+    sure = np.abs(diagonal) > np.abs(diagonal[:, :1]) * max(rows, width) * np.finfo(np.float64).eps
+    out = np.zeros((n, width))
+    for i in reversed(range(width)):
+        rest = b[:, i] - np.einsum("nc,nc->n", a[:, i, i + 1 :], out[:, i + 1 :])
+        out[:, i] = np.where(sure[:, i], rest / np.where(sure[:, i], diagonal[:, i], 1.0), 0.0)
+    x = np.zeros((n, width))
+    np.put_along_axis(x, order, out, axis=1)
+    return x
+
+
+@F.arrow_udf(T.StructType([T.StructField(f"n{i}", T.DoubleType()) for i in range(3)]))
+def _by_steps(lists: pa.Array) -> pa.Array:
+    """Normals of ``n . p = -1`` of lists of points by :func:`pivoted`; null for a null list."""
+    kind = pa.struct([(f"n{i}", pa.float64()) for i in range(3)])
+    at = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+    found = np.full((len(lists), 3), np.nan)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    for rows in np.unique(sizes[at]).astype(int):
+        own = at[sizes[at] == rows]
+        flat = lists.take(pa.array(own)).flatten()
+        points = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1).reshape(len(own), rows, 3)
+        found[own] = pivoted(points, -np.ones((len(own), rows)))
+    return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(3)], fields=list(kind), mask=pa.array(~np.isin(np.arange(len(lists)), at)))
+
+
+def planes(near: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """``near(query_id, points array<struct<x, y, z>>, ...)`` with (a, b, c, d, worst, accepted): the plane ``n . p = -1`` by
+    least squares, scaled to a unit normal; accepted if no point is further than ``threshold`` from it.
+
+    Nine sums and a closed solution; where the points are nearly on a line, or their plane nearly through the origin, the
+    sums lose what they would need, and the points themselves are solved by pivoted Householder steps.
     """
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    points = F.collect_list(F.struct("x", "y", "z")).alias("points")
-    sums = neighbours.groupBy("query_id").agg(*(F.sum(F.col(p) * F.col(q)).alias(f"s{p}{q}") for p, q in pairs), *(F.sum(p).alias(f"s{p}") for p in "xyz"), points)
-    n, _ = solve3([F.col(f"s{p}{q}") for p, q in pairs], [-F.col(f"s{p}") for p in "xyz"])
-    fitted = sums.select("query_id", "points", *(v.alias(c) for v, c in zip(n, ("n0", "n1", "n2"), strict=True)))
-    size = F.sqrt(F.col("n0") ** 2 + F.col("n1") ** 2 + F.col("n2") ** 2)
-    unit = fitted.select("query_id", "points", (F.col("n0") / size).alias("a"), (F.col("n1") / size).alias("b"), (F.col("n2") / size).alias("c"), (1.0 / size).alias("d"))
+    total = lambda f: F.aggregate("points", F.lit(0.0), lambda s, p: s + f(p))
+    sums = near.select("*", *(total(lambda p, u=u, v=v: p[u] * p[v]).alias(f"__s{u}{v}") for u, v in pairs), *(total(lambda p, u=u: p[u]).alias(f"__s{u}") for u in "xyz"))
+    n, det = solve3([F.col(f"__s{u}{v}") for u, v in pairs], [-F.col(f"__s{u}") for u in "xyz"])
+    thin = F.abs(det) <= THIN * ((F.col("__sxx") + F.col("__syy") + F.col("__szz")) / 3) ** 3
+    solved_ = sums.withColumn("__thin", thin).withColumn("__steps", _by_steps(F.when(F.col("__thin"), F.col("points"))))
+    fitted = solved_.select(*near.columns, *(F.when(F.col("__thin"), F.col(f"__steps.n{i}")).otherwise(v).alias(f"__n{i}") for i, v in enumerate(n)))
+    size = F.sqrt(F.col("__n0") ** 2 + F.col("__n1") ** 2 + F.col("__n2") ** 2)
+    unit = fitted.select(*near.columns, *(F.try_divide(F.col(f"__n{i}"), size).alias(c) for i, c in enumerate("abc")), F.try_divide(F.lit(1.0), size).alias("d"))
     worst = F.array_max(F.transform("points", lambda p: F.abs(F.col("a") * p["x"] + F.col("b") * p["y"] + F.col("c") * p["z"] + F.col("d"))))
-    return unit.withColumn("worst", worst).withColumn("accepted", F.coalesce(F.col("worst") <= threshold, F.lit(False))).drop("points")
+    return unit.withColumn("worst", worst).withColumn("accepted", F.coalesce(F.col("worst") <= threshold, F.lit(False)))
 
 
 def residual_accepted(residual: Column, body_norm: Column) -> Column:
@@ -41,11 +97,11 @@ def residual_accepted(residual: Column, body_norm: Column) -> Column:
     return (body_norm > 0) & (1 - 0.9 * F.abs(residual) / F.sqrt(body_norm) > 0.9)
 
 
-def residuals(queries: DataFrame, fits: DataFrame) -> DataFrame:
-    """Queries (query_id, frame_id, qx, qy, qz in the world, body_norm) with an accepted plane and residual."""
-    met = queries.join(fits.where("accepted"), "query_id")
+def residuals(fits: DataFrame) -> DataFrame:
+    """Fits (query_id, frame_id, qx, qy, qz in the world, body_norm, plane) that are accepted and whose query is near enough
+    to the plane, with ``residual``."""
     d = F.col("a") * F.col("qx") + F.col("b") * F.col("qy") + F.col("c") * F.col("qz") + F.col("d")
-    return met.withColumn("residual", d).where(residual_accepted(F.col("residual"), F.col("body_norm")))
+    return fits.where("accepted").withColumn("residual", d).where(residual_accepted(F.col("residual"), F.col("body_norm")))
 
 
 def match_report(matched: DataFrame) -> DataFrame:
@@ -71,7 +127,6 @@ def normal_equations(matched: DataFrame, rows: list[Column], key: str = "frame_i
 
 def solved(equations: DataFrame, damping: float = 1e-6, key: str = "frame_id", n: int = 6) -> DataFrame:
     """One Gauss-Newton step of each frame: (key, d_0 .. d_5). A frame is one row; its system is solved in numpy."""
-    import numpy as np
     import pandas as pd
 
     kind = dict(equations.dtypes)[key]

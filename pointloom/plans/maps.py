@@ -94,18 +94,18 @@ def o11_local_map_trim(spark, d):
     return spatial.trimmed(_points(spark, d), (F.lit(2.0), F.lit(-2.0), F.lit(0.0)), 10.0).select("point_id")
 
 
-# -- matching: all points of every frame, each against the map of its stretch of 500 frames
+# -- matching: all points of every frame, against the whole map
 
 _ALL = f"{fx.PTS}, p AS (SELECT frame_id * 21 + idx AS point_id, frame_id, x, y, z FROM pts)"
 _SIDE = 2.23606797749979  # fixed value: the root of 5
-_FIT = f"""{_ALL}, c AS (SELECT *, frame_id // 500 AS part, floor(x / {_SIDE})::BIGINT AS cx, floor(y / {_SIDE})::BIGINT AS cy, floor(z / {_SIDE})::BIGINT AS cz FROM p),
-q AS (SELECT point_id AS query_id, part, x AS qx, y AS qy, z AS qz, cx + a AS cx, cy + b AS cy, cz + e AS cz FROM c, range(-1, 2) r1(a), range(-1, 2) r2(b), range(-1, 2) r3(e)),
-m AS (SELECT query_id, point_id, x, y, z, {_D2} AS d2 FROM q JOIN c USING (part, cx, cy, cz) WHERE {_D2} <= 5.0),
+_FIT = f"""{_ALL}, c AS (SELECT *, floor(x / {_SIDE})::BIGINT AS cx, floor(y / {_SIDE})::BIGINT AS cy, floor(z / {_SIDE})::BIGINT AS cz FROM p),
+q AS (SELECT point_id AS query_id, x AS qx, y AS qy, z AS qz, cx + a AS cx, cy + b AS cy, cz + e AS cz FROM c, range(-1, 2) r1(a), range(-1, 2) r2(b), range(-1, 2) r3(e)),
+m AS (SELECT query_id, point_id, x, y, z, {_D2} AS d2 FROM q JOIN c USING (cx, cy, cz) WHERE {_D2} <= 5.0),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) AS k, count(*) OVER (PARTITION BY query_id) AS n FROM m) WHERE k <= 5 AND n >= 5),
 s AS (SELECT query_id, sum(x*x) AS xx, sum(x*y) AS xy, sum(x*z) AS xz, sum(y*y) AS yy, sum(y*z) AS yz, sum(z*z) AS zz, -sum(x) AS bx, -sum(y) AS by_, -sum(z) AS bz FROM n GROUP BY query_id),
 d AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM s),
 v AS (SELECT query_id, (bx * (yy * zz - yz * yz) - xy * (by_ * zz - yz * bz) + xz * (by_ * yz - yy * bz)) / det AS n0, (xx * (by_ * zz - yz * bz) - bx * (xy * zz - yz * xz) + xz * (xy * bz - by_ * xz)) / det AS n1,
-    (xx * (yy * bz - by_ * yz) - xy * (xy * bz - by_ * xz) + bx * (xy * yz - yy * xz)) / det AS n2 FROM d WHERE abs(det) > 1e-12),
+    (xx * (yy * bz - by_ * yz) - xy * (xy * bz - by_ * xz) + bx * (xy * yz - yy * xz)) / det AS n2 FROM d WHERE abs(det) > 1e-8 * pow((xx + yy + zz) / 3, 3)),
 u AS (SELECT query_id, n0 / sqrt(n0*n0 + n1*n1 + n2*n2) AS a, n1 / sqrt(n0*n0 + n1*n1 + n2*n2) AS b, n2 / sqrt(n0*n0 + n1*n1 + n2*n2) AS c, 1 / sqrt(n0*n0 + n1*n1 + n2*n2) AS d FROM v),
 w AS (SELECT query_id, max(abs(a * x + b * y + c * z + d)) AS worst FROM n JOIN u USING (query_id) GROUP BY query_id),
 fits AS (SELECT s.query_id, a, b, c, d, worst, coalesce(worst <= 0.1, false) AS accepted FROM s LEFT JOIN u USING (query_id) LEFT JOIN w USING (query_id))"""
@@ -118,24 +118,19 @@ def _scan(spark, d):
     return _points(spark, d).select(F.col("point_id").alias("query_id"), "frame_id", *(F.col(c).alias(f"q{c}") for c in XYZ))
 
 
-def _neighbours(spark, d):
-    """The five nearest points of each point; stretches of 500 frames stand 1,000 cells apart for the search."""
-    points = _points(spark, d)
-    apart = points.withColumn("x", F.col("x") + F.floor(F.col("frame_id") / 500) * (1000 * _SIDE))
-    near = spatial.nearest_join(apart.select(F.col("point_id").alias("query_id"), *(F.col(c).alias(f"q{c}") for c in XYZ)), apart)
-    return near.join(points.select("point_id", *XYZ), "point_id")
+def _fits(spark, d):
+    """The plane of the five nearest points of each point, in the whole map."""
+    q = _scan(spark, d).withColumn("body_norm", F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2) + 25.0)
+    return matching.planes(spatial.nearest_lists(q, _points(spark, d), keep=("frame_id", "body_norm")))
 
 
 def _matched(spark, d):
-    q = _scan(spark, d)
-    fits = matching.planes(_neighbours(spark, d))
-    return matching.residuals(q.withColumn("body_norm", F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2) + 25.0), fits)
+    return matching.residuals(_fits(spark, d))
 
 
 @query(f"WITH {_FIT} SELECT query_id, accepted, CASE WHEN accepted THEN {sql_r('worst', 5)} END AS worst, CASE WHEN accepted THEN {sql_r('d', 4)} END AS d FROM fits")
 def a11_plane_fits(spark, d):
-    fits = matching.planes(_neighbours(spark, d))
-    return fits.select("query_id", "accepted", *(F.when(F.col("accepted"), r(F.col(c), n)).alias(c) for c, n in (("worst", 5), ("d", 4))))
+    return _fits(spark, d).select("query_id", "accepted", *(F.when(F.col("accepted"), r(F.col(c), n)).alias(c) for c, n in (("worst", 5), ("d", 4))))
 
 
 @query(f"WITH {_ALL}, s AS (SELECT point_id AS query_id, x / 10 AS residual, sqrt(x*x + y*y + z*z) AS norm FROM p) SELECT query_id FROM s WHERE norm > 0 AND 1 - 0.9 * abs(residual) / sqrt(norm) > 0.9")

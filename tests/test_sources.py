@@ -152,16 +152,47 @@ def test_planes_against_numpy(spark):
 
     rng = np.random.default_rng(5)
     rows, want = [], {}
+
+    def put(q, p):
+        rows.append((q, [tuple(map(float, v)) for v in p]))
+        n, *_ = np.linalg.lstsq(p, -np.ones(len(p)), rcond=None)
+        size = np.linalg.norm(n)
+        want[q] = (*(n / size), 1 / size)
+
     for q in range(20):
-        p = rng.normal(0, 1, (5, 3)) * [1, 1, 0.02] + [0, 0, 3]
-        rows += [(q, *map(float, v)) for v in p]
-        n, *_ = np.linalg.lstsq(p, -np.ones(5), rcond=None)
-        want[q] = (*(n / np.linalg.norm(n)), 1 / np.linalg.norm(n))
-    found = matching.planes(spark.createDataFrame(rows, "query_id long, x double, y double, z double")).collect()
+        put(q, rng.normal(0, 1, (5, 3)) * [1, 1, 0.02] + [0, 0, 3])
+    for q in range(20, 30):  # thin: far from the origin, close together; plane nearly through the origin
+        put(q, rng.normal(0, 1, (5, 3)) * [1e-3, 1e-3, 1e-6] + rng.normal(0, 40, 3))
+        put(q + 10, rng.normal(0, 1, (5, 3)) * [1, 1, 1e-7] + [0, 0, 1e-6])
+    kind = "query_id long, points array<struct<x: double, y: double, z: double>>"
+    found = matching.planes(spark.createDataFrame(rows, kind)).collect()
+    assert len(found) == 40
     for r in found:
-        assert np.allclose((r.a, r.b, r.c, r.d), want[r.query_id], atol=1e-6)
-    flat = spark.createDataFrame([(0, float(i), 0.0, 0.0) for i in range(5)], "query_id long, x double, y double, z double")
-    assert matching.planes(flat).first().accepted is False
+        assert np.allclose((r.a, r.b, r.c, r.d), want[r.query_id], atol=1e-6 if r.query_id < 20 else 1e-4), r.query_id
+    line = [(float(i), 2.0 * i, 0.0) for i in range(1, 6)]
+    zero = [(0.0, 0.0, 0.0)] * 5
+    through = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (-1.0, 0.0, 0.0), (0.0, -1.0, 0.0), (1.0, 1.0, 0.0)]
+    flat = {r.query_id: r for r in matching.planes(spark.createDataFrame([(0, line), (1, zero), (2, through), (3, None), (4, [(1.0, 0.0, 0.0), (1.0, 1.0, 0.0), (1.0, 0.0, 1.0), (1.0, 2.0, 0.0), (1.0, 0.0, 2.0)])], kind)).collect()}
+    assert not flat[0].accepted and not flat[1].accepted and not flat[2].accepted and not flat[3].accepted and flat[3].worst is None
+    assert flat[4].accepted and np.allclose((flat[4].a, flat[4].b, flat[4].c, flat[4].d), (-1, 0, 0, 1))
+
+
+def test_pivoted_steps_against_least_squares():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    a = np.concatenate([rng.normal(0, 1, (200, 5, 3)) * 10.0 ** rng.integers(-6, 7, (200, 1, 3)), rng.normal(0, 1, (50, 5, 3)) + 1e4])
+    b = rng.normal(0, 1, (250, 5))
+    x = matching.pivoted(a, b)
+    for m, y, got in zip(a, b, x, strict=True):
+        want, *_ = np.linalg.lstsq(m, y, rcond=None)
+        assert np.linalg.norm(m @ got - y) <= np.linalg.norm(m @ want - y) * (1 + 1e-9) + 1e-12
+    a[:, :, 2] = a[:, :, 0]  # dependent columns: one unknown is 0, the rest as good as can be
+    x = matching.pivoted(a, b)
+    assert ((x == 0).sum(axis=1) >= 1).all()
+    for m, y, got in zip(a, b, x, strict=True):
+        want, *_ = np.linalg.lstsq(m, y, rcond=None)
+        assert np.linalg.norm(m @ got - y) <= np.linalg.norm(m @ want - y) * (1 + 1e-9) + 1e-9
 
 
 def test_gauss_newton_against_numpy(spark):
