@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators import scans
+from pointloom.operators import chains, scans
 from pointloom.operators.walks import walked
 
 
@@ -71,18 +71,9 @@ def bounded_path(path: DataFrame, capacity: int, publish: int, keys: list[str],
 
 
 def throttled(messages: DataFrame, keys: list[str], time_us: str, hz: float) -> DataFrame:
-    """Messages that a rate limit lets through: at least ``1 / hz`` after the last one let through. The choice depends
-    on the one before, so each key's times (numbers only) are walked in order."""
-    gap = int(round(1e6 / hz))
-
-    def step(held: dict, row: dict) -> tuple | None:
-        if held["last"] is not None and row[time_us] < held["last"] + gap:
-            return None
-        held["last"] = row[time_us]
-        return row[time_us], row["seq"]
-
-    narrow = messages.select(*keys, F.col(time_us).cast("bigint").alias(time_us), F.col("seq").cast("bigint").alias("seq"))
-    return walked(narrow, keys, [time_us, "seq"], lambda: {"last": None}, step, f"{time_us} bigint, seq bigint")
+    """Messages that a rate limit lets through: at least ``1 / hz`` after the last one let through. Time buckets work out what
+    they do for any message before them, so a busy key is many tasks (:mod:`pointloom.operators.chains`)."""
+    return chains.kept(messages.select(*keys, time_us, F.col("seq").cast("bigint").alias("seq")), keys, time_us, "seq", int(round(1e6 / hz)))
 
 
 def accumulated_frames(packets: DataFrame, keys: list[str], most_s: float = 0.10, most_points: int = 20_000) -> DataFrame:
