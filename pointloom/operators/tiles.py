@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators import scans
 from pointloom.operators.walks import walked
 
 TILE = ["tx", "ty", "tz"]
@@ -81,28 +82,31 @@ def voxel_cap(points: DataFrame, most: int, order: list[str]) -> DataFrame:
 
 
 def stop_accumulating(points: DataFrame, budget: int, order: list[str]) -> DataFrame:
-    """Points of the first ``budget`` voxels of each map; others came when it was full."""
+    """Points of the first ``budget`` voxels of each map; others came when it was full. Voxels are numbered by a prefix scan,
+    so one map is as many tasks as it fills."""
     first = points.groupBy("map_id", *TILE, *VOXEL).agg(F.min(F.struct(*order)).alias("__first"))
-    kept = first.withColumn("__rank", F.row_number().over(Window.partitionBy("map_id").orderBy("__first", *TILE, *VOXEL))).where(F.col("__rank") <= budget)
+    kept = scans.row_numbers(first, ["map_id"], ["__first", *TILE, *VOXEL], "__rank").where(F.col("__rank") <= budget)
     return points.join(kept.select("map_id", *TILE, *VOXEL), ["map_id", *TILE, *VOXEL], "left_semi")
 
 
 def within_budget(tiles: DataFrame, budget: int, size: str, order: list[Column]) -> DataFrame:
-    """Tiles that stay: best first, as long as the sizes up to and with the tile are within the budget."""
-    run = Window.partitionBy("map_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return tiles.withColumn("__sum", F.sum(size).over(run)).where(F.col("__sum") <= budget).drop("__sum")
+    """Tiles that stay: best first, as long as the sizes up to and with the tile are within the budget. Sizes are added up
+    by a prefix scan; an unknown size counts as 0."""
+    names = [f"__by_{i}" for i in range(len(order))]
+    placed = tiles.withColumns(dict(zip(names, order, strict=True)))
+    summed = scans.prefix(placed, ["map_id"], names, {"__sum": F.coalesce(F.col(size).cast("long"), F.lit(0))})
+    return summed.where(F.col("__sum") <= budget).drop("__sum", *names)
 
 
 def retain_lru(tiles: DataFrame, budget: int, size: str = "n_voxels") -> DataFrame:
     """The least recently touched go first. ``tiles(map_id, tx, ty, tz, last_frame, <size>)``."""
-    return within_budget(tiles, budget, size, [F.desc("last_frame"), F.col("tx"), F.col("ty"), F.col("tz")])
+    return within_budget(tiles, budget, size, [-F.col("last_frame"), F.col("tx"), F.col("ty"), F.col("tz")])
 
 
 def retain_near(tiles: DataFrame, budget: int, tile_size: float, at: tuple[Column, Column, Column], size: str = "n_voxels") -> DataFrame:
     """The tiles whose centres are furthest from a position go first; of equal ones the older."""
     d2 = sum((((F.col(t) + 0.5) * tile_size - p) ** 2 for t, p in zip(TILE, at, strict=True)), F.lit(0.0))
-    placed = tiles.withColumn("__d2", d2)
-    return within_budget(placed, budget, size, [F.col("__d2"), F.desc("last_frame"), F.col("tx"), F.col("ty"), F.col("tz")]).drop("__d2")
+    return within_budget(tiles, budget, size, [d2, -F.col("last_frame"), F.col("tx"), F.col("ty"), F.col("tz")])
 
 
 def newest(rows: DataFrame, most: int, keys: list[str], order: list[str]) -> DataFrame:

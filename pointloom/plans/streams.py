@@ -9,14 +9,14 @@ from pointloom.plans.alignment import _COVER
 from pointloom.plans.cloud import _TILES, tiled
 from pointloom.plans.maps import _VERSIONS
 from pointloom.plans.registry import ORACLE_SQL, query, r, sql_r
-from pointloom.streaming import feeds, stateful
+from pointloom.streaming import feeds, keyed, stateful
 
 PIECES = 3
 
 
-def _collected(inputs, build, sink=None, name="stream"):
+def _collected(inputs, build, sink=None, name="stream", mode="append"):
     """All batches that the streaming query ``build`` gives for tables (rows, time) that arrive in pieces."""
-    path, schema = feeds.fed(inputs, build, PIECES, sink, name)
+    path, schema = feeds.fed(inputs, build, PIECES, sink, name, mode)
     return feeds.results(inputs[0][0].sparkSession, path, schema)
 
 
@@ -49,11 +49,11 @@ def t5_stream_epochs(spark, d):
 m AS (SELECT tx, ty, tz, max(version) AS version FROM ver GROUP BY tx, ty, tz), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tx, ty, tz, vx, vy, vz ORDER BY frame_id DESC, idx DESC) AS k FROM tiled) WHERE k = 1)
 SELECT tx, ty, tz, n_voxels, n_points, version, {sql_r('(SELECT sum(x) FROM l WHERE l.tx = c.tx AND l.ty = c.ty AND l.tz = c.tz)')} AS sum_x FROM c JOIN m USING (tx, ty, tz)""")
 def t7_stream_tile_map(spark, d):
-    """The map after the last batch, from its change feed: the newest change of each tile."""
+    """The map after the last batch, from the voxels that the batches touched: of each the newest."""
     points = tiled(spark, d).select("tx", "ty", "tz", "vx", "vy", "vz", "frame_id", "idx", "x", "y", "z", "intensity")
-    changes = _collected([(points, "frame_id")], stateful.tile_changes, feeds.change_feed, "t7")
-    now = changes.groupBy("tx", "ty", "tz").agg(F.max_by(F.struct("n_voxels", "n_points", "version", "points"), "version").alias("u")).select("tx", "ty", "tz", "u.*")
-    return now.withColumn("sum_x", r(F.aggregate("points", F.lit(0.0), lambda s, p: s + p["x"]))).drop("points")
+    touched = _collected([(points, "frame_id")], keyed.tile_cells, name="t7", mode="update")
+    cells = touched.groupBy("tx", "ty", "tz", "vx", "vy", "vz").agg(F.max_by(F.struct("version", "n_points", "n_voxels", "x"), "version").alias("u"))
+    return cells.groupBy("tx", "ty", "tz").agg(F.max("u.n_voxels").alias("n_voxels"), F.max("u.n_points").alias("n_points"), F.max("u.version").alias("version"), r(F.sum("u.x")).alias("sum_x"))
 
 
 @query(f"""WITH {fx.IMU}, w AS (SELECT device, ts_us // 3600000000 AS h, count(*) AS n, avg(ax) AS m FROM imu GROUP BY 1, 2), l AS (SELECT max(ts_us) // 3600000000 AS last_h FROM imu)

@@ -81,7 +81,7 @@ def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None
     return path
 
 
-def fed(inputs: list[tuple[DataFrame, str]], build: Callable[..., DataFrame], pieces: int, sink: Callable[[str], Callable] | None = None, name: str = "stream") -> tuple[str, StructType]:
+def fed(inputs: list[tuple[DataFrame, str]], build: Callable[..., DataFrame], pieces: int, sink: Callable[[str], Callable] | None = None, name: str = "stream", mode: str = "append") -> tuple[str, StructType]:
     """Tables as streams: each of ``inputs`` (rows, time column) arrives in pieces by time, all in step; after each arrival
     the query ``build(*streams)`` is started again from its checkpoint and takes what is new as one batch. A piece has as
     many files as Spark makes of it. Gives the folder of the results and their schema."""
@@ -94,7 +94,7 @@ def fed(inputs: list[tuple[DataFrame, str]], build: Callable[..., DataFrame], pi
             own[k].write.mode("append").parquet(folder)
         stream = build(*(packets_in(spark, folder, rows.schema) for folder, (rows, _) in zip(folders, inputs, strict=True)))
         schema = stream.schema
-        run_to_end(stream, sink, name, path=path, state=state)
+        run_to_end(stream, sink, name, mode, path, state)
     return path, schema
 
 
