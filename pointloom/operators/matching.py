@@ -10,22 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Where the determinant of the normal equations is below this share of what equal axes would give, they are not trusted.
-THIN = 1e-8
-
-
-def solve3(m: list[Column], b: list[Column]) -> tuple[list[Column], Column]:
-    """Cramer's rule for a symmetric 3 x 3 system (m: xx, xy, xz, yy, yz, zz); solution and determinant."""
-    xx, xy, xz, yy, yz, zz = m
-    det = xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)
-    n = [
-        b[0] * (yy * zz - yz * yz) - xy * (b[1] * zz - yz * b[2]) + xz * (b[1] * yz - yy * b[2]),
-        xx * (b[1] * zz - yz * b[2]) - b[0] * (xy * zz - yz * xz) + xz * (xy * b[2] - b[1] * xz),
-        xx * (yy * b[2] - b[1] * yz) - xy * (xy * b[2] - b[1] * xz) + b[0] * (xy * yz - yy * xz),
-    ]
-    return [F.try_divide(v, det) for v in n], det
-
-
 def pivoted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least squares ``a x = b`` of many small systems (n, rows, 3) by Householder steps, the longest remaining column first.
     A column that is nothing but rounding against the longest one counts as dependent, and its unknown is 0."""
@@ -57,39 +41,39 @@ def pivoted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-@F.arrow_udf(T.StructType([T.StructField(f"n{i}", T.DoubleType()) for i in range(3)]))
-def _by_steps(lists: pa.Array) -> pa.Array:
-    """Normals of ``n . p = -1`` of lists of points by :func:`pivoted`; null for a null list."""
-    kind = pa.struct([(f"n{i}", pa.float64()) for i in range(3)])
-    at = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
-    found = np.full((len(lists), 3), np.nan)
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    for rows in np.unique(sizes[at]).astype(int):
-        own = at[sizes[at] == rows]
+_PLANE = ("a", "b", "c", "d", "worst")
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in _PLANE]))
+def _plane(lists: pa.Array) -> pa.Array:
+    """Of each list of points the plane ``n . p = -1`` with a unit normal, and the largest distance from it; null for a null
+    list, and where no plane can be told."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    found = np.full((len(lists), 5), np.nan)
+    for rows in np.unique(size[size > 0]).tolist():
+        own = np.flatnonzero(size == rows)
         flat = lists.take(pa.array(own)).flatten()
         points = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1).reshape(len(own), rows, 3)
-        found[own] = pivoted(points, -np.ones((len(own), rows)))
-    return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(3)], fields=list(kind), mask=pa.array(~np.isin(np.arange(len(lists)), at)))
+        n = pivoted(points, -np.ones((len(own), rows)))
+        long = np.sqrt((n**2).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unit, d = n / long[:, None], 1 / long
+            worst = np.abs(np.einsum("nrc,nc->nr", points, unit) + d[:, None]).max(axis=1)
+        found[own] = np.column_stack([unit, d, worst])
+    known = np.isfinite(found).all(axis=1)
+    return pa.StructArray.from_arrays([pa.array(found[:, i], mask=~known) for i in range(5)], names=list(_PLANE))
 
 
 def planes(near: DataFrame, threshold: float = 0.1) -> DataFrame:
     """``near(query_id, points array<struct<x, y, z>>, ...)`` with (a, b, c, d, worst, accepted): the plane ``n . p = -1`` by
     least squares, scaled to a unit normal; accepted if no point is further than ``threshold`` from it.
 
-    Nine sums and a closed solution; where the points are nearly on a line, or their plane nearly through the origin, the
-    sums lose what they would need, and the points themselves are solved by pivoted Householder steps.
+    Solved by pivoted Householder steps on the points themselves, which keeps what normal equations lose where points are
+    nearly on a line or their plane is nearly through the origin. Systems of a batch are solved side by side.
     """
-    pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    total = lambda f: F.aggregate("points", F.lit(0.0), lambda s, p: s + f(p))
-    sums = near.select("*", *(total(lambda p, u=u, v=v: p[u] * p[v]).alias(f"__s{u}{v}") for u, v in pairs), *(total(lambda p, u=u: p[u]).alias(f"__s{u}") for u in "xyz"))
-    n, det = solve3([F.col(f"__s{u}{v}") for u, v in pairs], [-F.col(f"__s{u}") for u in "xyz"])
-    thin = F.abs(det) <= THIN * ((F.col("__sxx") + F.col("__syy") + F.col("__szz")) / 3) ** 3
-    solved_ = sums.withColumn("__thin", thin).withColumn("__steps", _by_steps(F.when(F.col("__thin"), F.col("points"))))
-    fitted = solved_.select(*near.columns, *(F.when(F.col("__thin"), F.col(f"__steps.n{i}")).otherwise(v).alias(f"__n{i}") for i, v in enumerate(n)))
-    size = F.sqrt(F.col("__n0") ** 2 + F.col("__n1") ** 2 + F.col("__n2") ** 2)
-    unit = fitted.select(*near.columns, *(F.try_divide(F.col(f"__n{i}"), size).alias(c) for i, c in enumerate("abc")), F.try_divide(F.lit(1.0), size).alias("d"))
-    worst = F.array_max(F.transform("points", lambda p: F.abs(F.col("a") * p["x"] + F.col("b") * p["y"] + F.col("c") * p["z"] + F.col("d"))))
-    return unit.withColumn("worst", worst).withColumn("accepted", F.coalesce(F.col("worst") <= threshold, F.lit(False)))
+    fitted = near.withColumn("__plane", _plane("points"))
+    told = fitted.select(*near.columns, *(F.col(f"__plane.{c}").alias(c) for c in _PLANE))
+    return told.withColumn("accepted", F.coalesce(F.col("worst") <= threshold, F.lit(False)))
 
 
 def residual_accepted(residual: Column, body_norm: Column) -> Column:

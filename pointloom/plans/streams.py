@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pointloom import fixtures as fx
@@ -9,7 +10,8 @@ from pointloom.plans.alignment import _COVER
 from pointloom.plans.cloud import _TILES, tiled
 from pointloom.plans.maps import _VERSIONS
 from pointloom.plans.registry import ORACLE_SQL, query, r, sql_r
-from pointloom.streaming import feeds, keyed, stateful
+from pointloom.sources.scratch import shared_path
+from pointloom.streaming import feeds, keyed, ledger, stateful
 
 PIECES = 3
 
@@ -126,3 +128,51 @@ def _arrivals(spark, d):
     ts = F.col("ts_us") - F.when(F.col("seq") % 97 == 0, 1_000_000_000).otherwise(0)
     imu = fx.imu(spark, d).select("device", F.col("seq").alias("arrival"), F.lit("imu").alias("kind"), F.col("seq").alias("id"), ts.alias("beg_us"), ts.alias("end_us"))
     return frames.unionByName(imu)
+
+
+_LEDGER = f"""{_TILES}, c AS (SELECT tx, ty, tz, least(frame_id // 170, 2)::INTEGER AS step, count(DISTINCT frame_id) AS n FROM tiled GROUP BY ALL),
+ev AS (SELECT tx, ty, tz, step, (sum(n) OVER (PARTITION BY tx, ty, tz ORDER BY step))::BIGINT AS v, step > 0 AND (tx + 2 * ty + 3 * tz + step) % 5 = 0 AS gone FROM c),
+st AS (SELECT DISTINCT tx, ty, tz, u.consumer, -1 AS step, 0::BIGINT AS v, 0::BIGINT AS floor, false AS live, NULL::BIGINT AS handed, NULL::BIGINT AS pending, false AS del, false AS mark, NULL::BIGINT AS sent, false AS sent_del, false AS sent_mark
+    FROM ev, (VALUES ('a'), ('b'), ('c')) u(consumer)
+UNION ALL SELECT tx, ty, tz, consumer, step, v, floor, live, CASE WHEN sends THEN CASE WHEN NOT del THEN pending END ELSE handed END, CASE WHEN NOT sends THEN pending END, del AND NOT sends, mark AND NOT sends AND pending IS NOT NULL,
+        CASE WHEN sends THEN pending END, del, mark AND NOT del
+    FROM (SELECT *, here AND pending IS NOT NULL AND NOT (consumer = 'b' AND step = 1) AS sends FROM (
+        SELECT tx, ty, tz, consumer, step, v, floor, live, handed, here, CASE WHEN touched THEN CASE WHEN live THEN floor + v WHEN handed IS NOT NULL THEN floor END ELSE pending END AS pending,
+            CASE WHEN touched THEN NOT live ELSE del END AS del, mark OR (touched AND consumer = 'c' AND step = 2) AS mark FROM (
+            SELECT *, here AND (changed OR (live AND consumer = 'c' AND step = 2)) AS touched FROM (
+                SELECT s.tx, s.ty, s.tz, s.consumer, s.step + 1 AS step, coalesce(e.v, s.v) AS v, CASE WHEN e.gone THEN s.floor + e.v + 1 ELSE s.floor END AS floor, coalesce(NOT e.gone, s.live) AS live, s.handed, s.pending, s.del, s.mark,
+                    s.consumer <> 'c' OR s.step + 1 >= 2 AS here, e.v IS NOT NULL AS changed
+                FROM st s LEFT JOIN ev e ON e.tx = s.tx AND e.ty = s.ty AND e.tz = s.tz AND e.step = s.step + 1 WHERE s.step < 2)))))"""
+
+
+def _delivered(spark, d):
+    """Deliveries of three batches of tile changes: consumer b refuses the second, c joins at the third."""
+    t = tiled(spark, d).withColumn("step", F.least(F.expr("frame_id div 170"), F.lit(2)))
+    n = t.groupBy("tx", "ty", "tz", "step").agg(F.countDistinct("frame_id").alias("n"))
+    v = F.sum("n").over(Window.partitionBy("tx", "ty", "tz").orderBy("step"))
+    gone = (F.col("step") > 0) & ((F.col("tx") + 2 * F.col("ty") + 3 * F.col("tz") + F.col("step")) % 5 == 0)
+    updates = n.select(*(F.col(c).cast("int").alias(c) for c in ("tx", "ty", "tz")), v.cast("long").alias("version"), gone.alias("deleted"), "step")
+    path = shared_path(spark, "deliveries")
+    put = ledger.to_folders(f"{path}/sent")
+
+    def send(consumer, rows, batch_id):
+        if (consumer, batch_id) == ("b", 1):
+            raise ledger.NotDelivered
+        put(consumer, rows, batch_id)
+
+    book = ledger.Ledger(path, lambda k: ["a", "b"] if k < 2 else ["a", "b", "c"], lambda k: ["c"] if k == 2 else [], send)
+    feeds.fed([(updates, "step")], lambda s: s.drop("step"), PIECES, lambda _: book, "t9", cut=lambda rows, time, n: [rows.where(F.col(time) == k) for k in range(n)])
+    return book, spark.read.schema(f"{ledger.SENT}, consumer string, batch int").option("basePath", f"{path}/sent").parquet(f"{path}/sent")
+
+
+@query(f"WITH RECURSIVE {_LEDGER} SELECT consumer, step AS batch, tx, ty, tz, sent AS version, sent_del AS deleted, sent_mark AS resync FROM st WHERE sent IS NOT NULL")
+def t9_delivery_ledger(spark, d):
+    """All deliveries (T9, T10, T15): a refused batch goes out again in its newest form, deletions only to who has the tile,
+    a new consumer gets all live tiles."""
+    return _delivered(spark, d)[1].select("consumer", "batch", "tx", "ty", "tz", "version", "deleted", "resync")
+
+
+@query(f"WITH RECURSIVE {_LEDGER} SELECT tx, ty, tz, v AS version, floor, live FROM st WHERE consumer = 'a' AND step = 1 AND v > 0")
+def t11_snapshot_at_batch(spark, d):
+    """The map as the second batch left it, while later batches have come."""
+    return _delivered(spark, d)[0].table(spark, "tiles", 1)

@@ -81,13 +81,13 @@ def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None
     return path
 
 
-def fed(inputs: list[tuple[DataFrame, str]], build: Callable[..., DataFrame], pieces: int, sink: Callable[[str], Callable] | None = None, name: str = "stream", mode: str = "append") -> tuple[str, StructType]:
+def fed(inputs: list[tuple[DataFrame, str]], build: Callable[..., DataFrame], pieces: int, sink: Callable[[str], Callable] | None = None, name: str = "stream", mode: str = "append", cut: Callable = in_pieces) -> tuple[str, StructType]:
     """Tables as streams: each of ``inputs`` (rows, time column) arrives in pieces by time, all in step; after each arrival
     the query ``build(*streams)`` is started again from its checkpoint and takes what is new as one batch. A piece has as
-    many files as Spark makes of it. Gives the folder of the results and their schema."""
+    many files as Spark makes of it; ``cut`` makes the pieces. Gives the folder of the results and their schema."""
     spark = inputs[0][0].sparkSession
     folders, path, state = [shared_path(spark, f"{name}-in") for _ in inputs], shared_path(spark, name), shared_path(spark, f"{name}-state")
-    parts = [in_pieces(rows, time, pieces) for rows, time in inputs]
+    parts = [cut(rows, time, pieces) for rows, time in inputs]
     schema = None
     for k in range(pieces):
         for folder, own in zip(folders, parts, strict=True):
