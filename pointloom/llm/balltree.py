@@ -7,7 +7,9 @@ the query's current k-th score, which all shards share: each round starts from t
 shard a query orders the leaves by the same bound and goes down that order until the bound falls below its k-th
 score; nodes whose bound is too low close their whole subtree. Bounds are strict, so ties survive and the result is exact.
 
-Queries are dealt in blocks of a bounded number, so a task holds one shard and one block, never pairs of rows.
+Queries are dealt in blocks of a bounded number and size, each packed once. What goes between a round's two steps is, for a
+shard and a block, which of the block's queries go there (four bytes each); a task holds one shard and one block, never
+pairs of vectors.
 
 Defined results
     * vectors null or holding null or non-finite components take no part, nor rows without id; an empty vector
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from pointloom.llm import common
 
 SHARD, BLOCK, LEAF = 16_384, 4_096, 256
+#: Bytes of the vectors of a shard, a block, or the centers of a group of shards (longer vectors: fewer of them).
+MOST_BYTES = 64 << 20
 _LOW = -(1 << 63)
 
 
@@ -183,7 +187,7 @@ def sharded(points: DataFrame, n: int, size: int) -> DataFrame:
     return common.written(placed.mapInArrow(build, SHARDS), "top-k-shards")
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK, group: int = 1_024) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK, group: int = 1_024, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``candidates(vec_id, v)``, ``queries(vec_id, v)`` to (query_id, rank, vec_id, score).
 
     Work is that of all queries against the shards that may still hold one of their k best, in blocks.
@@ -194,36 +198,56 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD,
     n, m = points.count(), asked.count()
     if not n or not m:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    wide = max(8, *(df.agg(F.max(F.octet_length("v"))).first()[0] for df in (points, asked)))
+    fit = max(1, most_bytes // wide)
+    shard, block, group = min(shard, fit), min(block, fit), min(group, fit)
     shards = sharded(points, n, shard)
     order = [r["shard"] for r in shards.select("shard").orderBy("shard").collect()]  # a number for each ``shard`` vectors
-    blocks = -(-m // block)
+    blocks, groups = -(-m // block), -(-len(order) // group)
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    balls = shards.select("shard", "longest", "radius", "center").withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(-(-len(order) // group))).cast("int"))
+    balls = shards.select("shard", "longest", "radius", "center").withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vec_id")
+        values = rows.column("v").to_pylist()
+        width = max(1, *(len(x) // 8 for x in values))
+        return pa.table([rows.column("block").slice(0, 1), pa.array([rows.column("vec_id").to_numpy().tobytes()]), pa.array([width], pa.int32()), pa.array([_matrix(values, width).tobytes()], pa.binary())], names=["block", "ids", "width", "vectors"])
+
+    packed = common.written(dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, width int, vectors binary"), "top-k-blocks")
+
+    def unpacked(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, vectors and floors of a block's queries."""
+        ids, width = np.frombuffer(right.column("ids")[0].as_py(), np.int64), right.column("width")[0].as_py()
+        return ids, np.frombuffer(right.column("vectors")[0].as_py(), np.float64).reshape(len(ids), width), right.column("floors").combine_chunks().flatten().to_numpy()
+
     def reach(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Which queries of a block (right) go to which shards of a group (left)."""
-        out = []
+        """Which queries of a block (right) go to which shards of a group (left): places in the block."""
+        shard_of, places = [], []
         if left.num_rows and right.num_rows:
-            vectors = right.column("v").to_pylist()
+            _, q, floor = unpacked(right)
             centers = left.column("center").to_pylist()
-            width = max(len(x) // 8 for x in [*vectors, *centers])
-            q, floor = _matrix(vectors, width), right.column("floor").to_numpy()
+            width = max(q.shape[1], *(len(x) // 8 for x in centers))
+            q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
             bound = np.minimum(bounds(q, _matrix(centers, width), left.column("radius").to_numpy()), bounds(q, np.zeros((left.num_rows, width)), left.column("longest").to_numpy()))
-            row, column = np.nonzero(bound >= floor[:, None])
-            asks = right.take(pa.array(row))
-            out = [pa.array(left.column("shard").to_numpy()[column]), *(asks.column(c) for c in ("block", "vec_id", "v", "floor"))]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
-        return pa.table(out or [pa.array([], t) for t in kinds], names=["shard", "block", "vec_id", "v", "floor"])
+            for column, number in zip((bound >= floor[:, None]).T, left.column("shard").to_pylist(), strict=True):
+                if column.any():
+                    shard_of.append(number)
+                    places.append(np.flatnonzero(column).astype(np.int32).tobytes())
+        own = right.column("block")[0].as_py() if right.num_rows else 0
+        return pa.table([pa.array(shard_of, pa.int64()), pa.array([own] * len(shard_of), pa.int32()), pa.array(places, pa.binary())], names=["shard", "block", "places"])
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The k best of the queries of a block (right) that go to a shard (left)."""
         place = vec_id = score = np.empty(0, dtype=np.int64)
-        query_ids = right.column("vec_id").to_numpy()
+        query_ids = np.empty(0, dtype=np.int64)
         if left.num_rows and right.num_rows:
             tree, values, ids = pickle.loads(left.column("tree")[0].as_py())
-            width = max(values.shape[1], *(len(x) // 8 for x in right.column("v").to_pylist()))
-            q = _matrix(right.column("v").to_pylist(), width)[:, : values.shape[1]]  # what lies beyond the shard's width meets zeros
-            place, vec_id, score = search(tree, values, ids, q, query_ids, right.column("floor").to_numpy().astype(np.int64), k)
+            query_ids, q, floor = unpacked(right)
+            at = np.frombuffer(left.column("places")[0].as_py(), np.int32)
+            query_ids, q, floor = query_ids[at], q[at], floor[at]
+            q = np.pad(q, ((0, 0), (0, max(0, values.shape[1] - q.shape[1]))))[:, : values.shape[1]]  # what lies beyond the shard's width meets zeros
+            place, vec_id, score = search(tree, values, ids, q, query_ids, floor, k)
         return pa.table({"query_id": query_ids[place], "vec_id": vec_id, "score": score})
 
     found, at, width = spark.createDataFrame([], "query_id long, vec_id long, score long"), 0, 1
@@ -231,14 +255,15 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD,
         low, high = order[at], order[min(at + width, len(order)) - 1]
         now = F.col("shard").between(low, high)
         kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-        floors = dealt.join(kth, dealt.vec_id == kth.query_id, "left").select("vec_id", "v", "block", F.coalesce("least", F.lit(_LOW).cast("long")).alias("floor"))
-        inside = balls.where(now)
-        spread = floors.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(-(-len(order) // group) - 1))))
-        around = inside.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        going = common.written(around.groupBy("group", "block").cogroup(spread.groupBy("group", "block")).applyInArrow(reach, "shard long, block int, vec_id long, v binary, floor long"), "top-k-going")
-        asking = going.select(F.col("shard").alias("of"), F.col("block").alias("by")).distinct()
-        trees = shards.where(now).select("shard", "tree").join(asking, F.col("shard") == F.col("of")).select("of", "by", "tree")
-        fresh = trees.groupBy("of", "by").cogroup(going.groupBy("shard", "block")).applyInArrow(one, "query_id long, vec_id long, score long")
+        floors = dealt.join(kth, dealt.vec_id == kth.query_id, "left").select("vec_id", "block", F.coalesce("least", F.lit(_LOW).cast("long")).alias("floor"))
+        listed = floors.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "floor"))), lambda x: x["floor"]).alias("floors"))  # of a block's queries
+        ready = packed.join(listed, "block")
+        spread = ready.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        around = balls.where(now).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        going = common.written(around.groupBy("group", "block").cogroup(spread.groupBy("group", "block")).applyInArrow(reach, "shard long, block int, places binary"), "top-k-going")
+        trees = shards.where(now).select("shard", "tree").join(going, "shard").select(F.col("shard").alias("of"), F.col("block").alias("by"), "tree", "places")
+        asking = going.select("shard", "block").join(ready, "block")
+        fresh = trees.groupBy("of", "by").cogroup(asking.groupBy("shard", "block")).applyInArrow(one, "query_id long, vec_id long, score long")
         merged = found.unionByName(fresh).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
         found = common.written(merged, "top-k-found")
         at, width = at + width, 2 * width

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,6 +54,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, needed: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work(docs)``, which adds columns; those of ``docs`` that it doesn't need stand aside meanwhile under names of their
+    own, so that none clashes with what it uses inside. An added column takes the place of one of the same name."""
+    held = {c: f"__aside_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    made = work(docs.withColumnsRenamed(held))
+    within = {held.get(c, c) for c in docs.columns}
+    added = [c for c in made.columns if c not in within]
+    return made.select(*(F.col(held.get(c, c)).alias(c) for c in docs.columns if c not in added), *added)
+
+
 def fold(key: Column, buckets: int) -> Column:
     """crc32 of the key as text, modulo ``buckets``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % buckets

@@ -277,15 +277,19 @@ def _array(rows: list[tuple], names: str) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and detections
-    (array of first, last, priority, weight, label: all of them, before suppression)."""
+    (array of first, last, priority, weight, label: all of them, before suppression). Further columns are kept whatever
+    their names; those named like a result are replaced."""
+    return common.aside(docs, (text,), lambda d: _scanned(d, text))
+
+
+def _scanned(docs: DataFrame, text: str) -> DataFrame:
     table = [(label, list(keywords_of(label, keyword)), _pattern(words), priority, weight) for label, keyword, words, priority, weight in rules()]
     rule_array = _array(table, "label keywords pattern priority weight")
     keywords = F.array(*(F.lit(k) for k in sorted({k for r in table for k in r[1]})))
     base_array = _array([(label, _pattern(words), words) for words, label in BASE.items()], "label pattern words")
     no_places = F.lit(None).cast("array<struct<first:int,last:int>>")
 
-    own = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
-    kept = [c for c in docs.columns if c not in own]
+    kept = docs.columns
     words = docs.select(*kept, normal_words(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__words"))
     counted = words.withColumn("n_words", F.when(F.col("__words") == "", 0).otherwise(F.length("__words") - F.length(F.replace("__words", F.lit(" "), F.lit(""))) + 1).cast("long"))
     small = F.translate("__words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,7 +16,8 @@ Defined results
     * null source counts as the source ``''``; null text has size 0; a source of size 0 has rate 1;
     * a source without a target weight (or with weight 0) has rate 0 and goes;
     * repeated rows with one doc_id draw alike; null doc_id draws as the text ``null``;
-    * an empty table gives no rows; extra columns are kept, ``replica`` and ``shuffle_key`` replaced.
+    * an empty table gives no rows; extra columns are kept whatever their names, ``replica`` and
+      ``shuffle_key`` replaced.
 """
 
 from __future__ import annotations
@@ -55,14 +56,17 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """``docs(doc_id, source, text, ...)`` replicated and shuffled; adds replica int and shuffle_key string."""
+    return common.aside(docs, ("doc_id", "source", "text"), lambda d: _mixed(d, weights, temperature, seed))
+
+
+def _mixed(docs: DataFrame, weights: dict[str, float] | None, temperature: float, seed: int) -> DataFrame:
     table = common.written(rates(docs, weights, temperature), "mix-rates")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"poisson:{seed}:"), key)), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
-    kept = [c for c in docs.columns if c not in ("replica", "shuffle_key")]
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    drawn = docs.select(*kept, draw.alias("__draw"), source.alias("__source")).join(table, F.col("__source") == table["mix_source"])
+    drawn = docs.select("*", draw.alias("__draw"), source.alias("__source")).join(table, F.col("__source") == table["mix_source"])
     copies = drawn.withColumn("__copies", F.size(F.filter("cdf", lambda c: c <= F.col("__draw")))).where("__copies > 0")
-    replicas = copies.select(*kept, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("replica"))
+    replicas = copies.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("replica"))
     order = F.md5(F.concat(F.lit(f"order:{seed}:"), key, F.lit(":"), F.col("replica").cast("string")))
     placed = replicas.withColumn("shuffle_key", F.substring(order, 1, 16))
     return placed.repartition(common.partitions_of(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")

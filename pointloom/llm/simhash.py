@@ -299,9 +299,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, size: int, radius: int, hot: int = HOT) -> DataFrame:
-    """(doc_id, fp, component_id, n_linked_texts): one row for each row of ``docs``.
+    """(doc_id, fp, component_id, class_fps): one row for each row of ``docs``.
 
-    component_id is the smallest doc_id of the class. Classes of one fingerprint need no join beyond
+    component_id is the smallest doc_id of the class, class_fps its number of fingerprints. Classes of one fingerprint need no join beyond
     their own aggregate; a fingerprint that a third of all documents share is one row on the small
     side, and its documents' side is split by adaptive execution.
     """
@@ -411,7 +411,11 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, hot: int = HOT)
 
 def deduplicated(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest (doc_id, hash of the text). Rows that
-    repeat it go too. Rows without doc_id stay."""
+    repeat it go too. Rows without doc_id stay. Further columns are kept whatever their names."""
+    return common.aside(docs, ("doc_id", "text"), lambda d: _deduplicated(d, likeness))
+
+
+def _deduplicated(docs: DataFrame, likeness: float) -> DataFrame:
     classes = common.written(near_duplicates(docs, likeness).where("doc_id IS NOT NULL"), "near-classes")
     firsts = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     joined = classes.join(firsts, "component")

@@ -206,7 +206,6 @@ def learned(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score double (0 to 1, higher: toxic likelier) and predicted int. The model is a few KB."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
     @F.arrow_udf("double")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -219,8 +218,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 out[first:last] += np.bincount(own, model.weights[feature], minlength=last - first)
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))) if model.constant is None else np.full(len(texts), model.constant))
 
-    made = docs.withColumn("__score", judged(F.col(text).cast("string")))
-    return made.select(*(made[c] for c in kept), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return common.aside(docs, (text,), lambda d: d.withColumn("score", judged(F.col(text).cast("string"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))
 
 
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 
 import duckdb
@@ -250,8 +251,61 @@ def test_stages_leave_columns_alone(spark, folder, odd_rows):
     assert cp.keep_known_languages(spark, docs.withColumn("lang", F.lit(None).cast("string")), bare).count() == len(odd_rows)
 
 
+CLASHING = ["cdf", "rate", "mix_source", "gone_id", "gone_hash", "again_id", "again_hash", "__words", "__at", "__held", "__score", "__lang", "__draw", "__source", "text_hash", "node", "component", "first", "print", "keys", "k", "words", "labels", "detections"]
+
+
+def test_clashing_names_everywhere(spark, folder, odd_rows):
+    """Columns named like what operators use inside stay as they are, in every stage and in the operators themselves."""
+    import corpus_pipeline as cp
+    from pointloom.llm import toxicity
+
+    docs = spark.createDataFrame(odd_rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+    at = folder(documents=docs, labels=spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int"))
+    want = {tuple(f"own {c}" for c in CLASHING)}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns and {tuple(r) for r in out.select(*CLASHING).collect()} == want, name
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == [*docs.columns, "replica", "shuffle_key"] and {tuple(r) for r in mixed.select(*CLASHING).collect()} == want
+    scanned = licenses.scan(docs)
+    kept = [c for c in CLASHING if c not in ("labels", "detections")]
+    assert {tuple(r) for r in scanned.select(*kept).collect()} == {tuple(f"own {c}" for c in kept)} and scanned.columns.count("labels") == 1
+    scored = toxicity.score(docs, toxicity.learned(docs, spark.read.parquet(f"{at}/labels.parquet")))
+    assert scored.columns == [*docs.columns, "score", "predicted"] and {tuple(r) for r in scored.select(*CLASHING).collect()} == want
+
+
+def test_language_of_many_signs_stays_and_random_letters_go(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(11)
+    signs = [chr(0x4E00 + i) for i in range(2_500)]
+    chance = [1 / (i + 20) for i in range(2_500)]
+    words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    rows = [(i, "".join(rng.choices(signs, chance, k=rng.randint(80, 400))), "zz", "s") for i in range(150)]
+    rows += [(1_000 + i, " ".join(rng.choice(words) for _ in range(60)), "aa", "s") for i in range(150)]
+    junk = [(2_000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)), rng.choice(["aa", None]), "s") for i in range(8)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id for r in cp.keep_known_languages(spark, docs, "").select("doc_id").collect()}
+    assert got >= {r[0] for r in rows} and len(got & {r[0] for r in junk if r[2] is None}) == 0
+
+
+def test_top_k_of_long_vectors_keeps_to_its_bytes(spark, monkeypatch):
+    """Shards, blocks and groups shrink with the vectors; what goes between the steps has no vectors."""
+    rng = np.random.default_rng(12)
+    vectors = rng.integers(-9, 9, (90, 40)).astype(float)
+    points = spark.createDataFrame([(i, bytearray(v.astype("<f8").tobytes())) for i, v in enumerate(vectors)], "vec_id long, v binary").repartition(3)
+    tables, written = {}, balltree.common.written
+    monkeypatch.setattr(balltree.common, "written", lambda df, name: tables.setdefault(name, []).append(written(df, name)) or tables[name][-1])
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in balltree.top_k(points, points.where("vec_id % 5 = 0"), 4, most_bytes=8 * 40 * 6).collect()}
+    assert tables["top-k-going"][-1].columns == ["shard", "block", "places"] and tables["top-k-shards"][0].count() >= 15
+    assert max(len(r.vectors) for r in tables["top-k-blocks"][0].collect()) <= 8 * 40 * 12
+    for q in range(0, 90, 5):
+        best = sorted((-int(vectors[q] @ vectors[j]), j) for j in range(90) if j != q)[:4]
+        assert [got[q, i + 1] for i in range(4)] == [(j, -s) for s, j in best]
+
+
 def test_registered_names():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in registry.QUERIES) == 1
 
 
