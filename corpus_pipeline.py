@@ -13,18 +13,29 @@ from pyspark.sql import functions as F
 
 from pointloom.llm import common, langid, mixing, pieces, quality, simhash
 
-#: A text of at least LEAST_CHARS that takes more bits a letter than MOST_BITS in its best language is in none of
-#: them (prose takes 2 to 3, random letters 5 to 7). Shorter texts hold too few phrases to tell, and stay.
-MOST_BITS, LEAST_CHARS = 5.5, 60
+#: A text of at least LEAST_CHARS that takes more bits a letter in its best language than the language's limit is in none
+#: of them (prose of an alphabet takes 2 to 3, random letters 5 to 7). A limit is SPREAD times the median of the language's
+#: own labelled held-out texts, MOST_BITS at least: a language of thousands of signs takes more. Shorter texts hold too few phrases
+#: to tell, and stay.
+MOST_BITS, SPREAD, LEAST_CHARS = 5.5, 1.6, 60
 
 
-def _apart(docs: DataFrame, own: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``work(docs)`` with the columns of ``docs``, as they are: those that the operator would replace by its own
-    (``own``) stand aside meanwhile."""
-    aside = {c: f"__aside_{c}" for c in docs.columns if c in own}
+def _apart(docs: DataFrame, needed: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``work(docs)`` with the columns of ``docs``, as they are: all that it doesn't need stand aside meanwhile
+    under names of their own, so none clashes with an operator's."""
+    aside = {c: f"__aside_{i}" for i, c in enumerate(docs.columns) if c not in needed}
     return work(docs.withColumnsRenamed(aside)).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
+def language_limits(docs: DataFrame, model: langid.Model) -> dict[str, float]:
+    """Bits a letter that texts of each learned language may take: from all its labelled texts of LEAST_CHARS or more that
+    are told as such and that the model didn't learn from (those take fewer). One number a language comes to the driver."""
+    fresh = docs.where(F.col("lang").isNotNull() & (F.length("text") >= LEAST_CHARS) & (common.fold(F.col("doc_id"), 4) == 2))
+    told = langid.predict(fresh.select("text", "lang"), model).where("lang_pred = lang")
+    middle = told.groupBy("lang_pred").agg(F.percentile_approx("bits", 0.5).alias("bits")).collect()
+    return {r["lang_pred"]: max(MOST_BITS, SPREAD * r["bits"]) for r in middle}
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier marks as good (score 0.7 or more). It learns from labelled rows of ``docs``.
 
@@ -35,22 +46,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = quality.learned(docs, common.read_table(spark, sf_dir, "labels", "doc_id", "quality"))
     if model.constant is not None:
         return docs
-    return _apart(docs, ("score", "predicted"), lambda d: quality.score(d, model).where("predicted = 1"))
+    return _apart(docs, ("text",), lambda d: quality.score(d, model).where("predicted = 1"))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have letters and are not far from all learned languages.
 
     Texts that are null, empty or without letters go (no language can be told). Texts of 60 characters or more go
-    where even the best language takes more bits a letter than any prose in it; shorter ones stay. Texts are parsed
-    whole; equal texts fare alike. Where no language can be learned all rows stay. Columns of ``docs`` are kept as they
-    are, whatever their names; no rows give none.
+    where even the best language takes more bits a letter than its own labelled texts let expect; shorter ones stay. Texts
+    are parsed whole; equal texts fare alike. Where no language can be learned all rows stay. Columns of ``docs`` are kept
+    as they are, whatever their names; no rows give none.
     """
     model = langid.learned(docs)
     if not model.languages:
         return docs
-    explained = (F.col("bits") <= MOST_BITS) | (F.length("text") < LEAST_CHARS)
-    return _apart(docs, ("lang_pred", "score", "bits"), lambda d: langid.predict(d, model).where((F.col("lang_pred") != "und") & explained))
+    limits = [F.lit(x) for pair in language_limits(docs, model).items() for x in pair]
+    limit = F.coalesce(F.try_element_at(F.create_map(*limits), F.col("lang_pred")), F.lit(MOST_BITS)) if limits else F.lit(MOST_BITS)
+    explained = (F.col("bits") <= limit) | (F.length("text") < LEAST_CHARS)
+    return _apart(docs, ("text",), lambda d: langid.predict(d, model).where((F.col("lang_pred") != "und") & explained))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +72,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts without words (null, empty) are one class. A text of fewer than five words is one shingle. Rows that repeat a
     doc_id and text count once; rows without doc_id stay. Texts of any length count whole. Columns of ``docs`` are kept as
-    they are; no rows give none.
+    they are, whatever their names; no rows give none.
     """
     return simhash.deduplicated(docs).select(*docs.columns)
 
@@ -70,7 +83,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is the source of the empty name; null and empty texts have size 0 and are drawn at their source's rate;
     rows with one doc_id draw alike. Columns of ``docs`` are kept as they are, whatever their names; no rows give none.
     """
-    return _apart(docs, ("replica", "shuffle_key"), mixing.mixed)
+    return _apart(docs, ("doc_id", "source", "text"), mixing.mixed)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
