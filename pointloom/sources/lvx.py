@@ -3,8 +3,9 @@
     spark.dataSource.register(LvxSource)
     spark.read.format("lvx").option("kind", "points").load("/recordings")
 
-The driver follows the frame offsets (24 bytes a frame) and cuts files into ranges of frames; tasks read
-their range and decode it with numpy. Files are opened through Arrow's file systems, by URI.
+The driver follows the frame offsets (43 bytes a frame) and cuts files into ranges of frames; tasks read
+their range and decode it with numpy. For many files :mod:`pointloom.sources.recordings` lets tasks follow the offsets.
+Files are opened through Arrow's file systems, by URI.
 
 Decoding rules: follow the offsets until one is bad, a frame is empty or above 10 MiB; packets of an unknown type
 or cut short end their frame and are counted; times are relative to the file's first packet.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from pointloom.operators.points import INTERVAL_NS, OTHER_INTERVAL_NS, U32
 
@@ -134,8 +135,8 @@ def listed(path: str, suffix: str) -> list[str]:
     return sorted(head + f.path for f in found if f.is_file and f.path.endswith(suffix))
 
 
-def frame_index(path: str) -> tuple[list[tuple[int, int, int]], int, bytes]:
-    """Frames (number, data start, data end), the first packet's time, and the device blocks."""
+def frame_index(path: str) -> tuple[list[tuple[int, int, int, int]], int, bytes]:
+    """Frames (number, data start, data end, time of its first packet), the file's first packet's time, and the device blocks."""
     store, at = _opened(path)
     with store.open_input_file(at) as f:
         size = f.size()
@@ -146,12 +147,14 @@ def frame_index(path: str) -> tuple[list[tuple[int, int, int]], int, bytes]:
         place, frames, base = HEADER.size + len(devices), [], 0
         while place and place + FRAME.size <= size:
             f.seek(place)
-            now, after, _ = FRAME.unpack(f.read(FRAME.size))
+            both = f.read(FRAME.size + PACKET)
+            now, after, _ = FRAME.unpack(both[: FRAME.size])
             if now != place or after < now + FRAME.size or after > size or not 0 < after - now - FRAME.size <= MOST_FRAME:
                 break
+            first = int.from_bytes(both[FRAME.size + 11 : FRAME.size + 19], "little")
             if not frames:
-                base = int.from_bytes(f.read(PACKET)[11:19], "little")
-            frames.append((len(frames), now + FRAME.size, after))
+                base = first
+            frames.append((len(frames), now + FRAME.size, after, first))
             place = after
     return frames, base, devices
 
@@ -170,11 +173,20 @@ class Range(InputPartition):
 class LvxReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.kind, self.each = options["path"], options.get("kind", "points"), int(options.get("framesperpartition", options.get("framesPerPartition", 2000)))
+        self.recordings: set | None = None
+        self.low, self.high, self.from_s, self.to_s = 0, 1 << 62, float("-inf"), float("inf")
+
+    def _wanted(self, frames: list, base: int) -> list:
+        """Frames that may hold wanted rows; a frame's own time is that of its first packet of points, at or after its first."""
+        return [f for i, f in enumerate(frames) if self.low <= f[0] <= self.high and (f[3] - base) / 1e9 <= self.to_s + 1e-6 and (i + 1 == len(frames) or (frames[i + 1][3] - base) / 1e9 >= self.from_s - 1e-6 or frames[i + 1][3] < f[3])]
 
     def partitions(self) -> list[Range]:
         out = []
         for path in listed(self.path, ".lvx"):
+            if self.recordings is not None and path not in self.recordings:
+                continue
             frames, base, devices = frame_index(path)
+            frames = self._wanted(frames, base)
             if self.kind == "devices":
                 out.append(Range(path, [], base, devices))
             else:
@@ -191,7 +203,7 @@ class LvxReader(DataSourceReader):
             return
         store, at = _opened(part.path)
         with store.open_input_file(at) as f:
-            for number, start, end in part.frames:
+            for number, start, end, _ in part.frames:
                 f.seek(start)
                 frame = decode_frame(f.read(end - start), part.base_ns)
                 if self.kind == "frames":
@@ -206,6 +218,28 @@ class LvxReader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+class FilteringLvxReader(LvxReader):
+    """Filters on recording, frame_index and time that Spark pushes down leave out files and frames before they are read.
+    Spark wants ``spark.sql.python.filterPushdown.enabled`` for that; option ``pushdown`` asks for this reader."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Narrows what is read; all filters stay with Spark as well, since a frame's rows may differ."""
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) else None
+            if name == "recording" and isinstance(f, (EqualTo, In)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.recordings = wanted if self.recordings is None else self.recordings & wanted
+            elif name == "frame_index" and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, f.value)
+            elif name == "frame_time_s" and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.from_s = max(self.from_s, f.value)
+            if name == "frame_index" and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                self.high = min(self.high, f.value)
+            elif name == "frame_time_s" and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                self.to_s = min(self.to_s, f.value)
+            yield f
+
+
 class LvxSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -215,4 +249,4 @@ class LvxSource(DataSource):
         return SCHEMAS[self.options.get("kind", "points")]
 
     def reader(self, schema) -> LvxReader:
-        return LvxReader(dict(self.options))
+        return (FilteringLvxReader if self.options.get("pushdown", "false") == "true" else LvxReader)(dict(self.options))

@@ -208,3 +208,46 @@ def test_gauss_newton_against_numpy(spark):
     got = matching.solved(matching.normal_equations(df, rows)).first()
     h = np.hstack([n, np.cross(p, n)])
     assert np.allclose([got[f"d_{i}"] for i in range(6)], np.linalg.solve(h.T @ h + 1e-6 * np.eye(6), -h.T @ r), atol=1e-8)
+
+
+def test_written_recordings_come_back_and_filters_leave_out_frames(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pointloom.sources import recordings
+
+    rng = random.Random(1)
+    rows = [(f"r{k}", f, f * 50_000_000 + 7, i, rng.randint(-9999, 9999), rng.randint(-9999, 9999), 5, rng.randint(0, 255), rng.randint(0, 60)) for k, n in (("a", 2_500), ("b", 3)) for f in range(n) for i in range(1 + (f == 1) * 99)]
+    df = spark.createDataFrame(rows, "recording string, frame long, ts_ns long, idx int, x_mm int, y_mm int, z_mm int, reflectivity int, tag int").repartition(4)
+    made = recordings.write(df, f"file://{tmp_path}/out")
+    assert sorted((r.file, r.frames) for r in made.collect()) == [("ra-000000.lvx", 1000), ("ra-000001.lvx", 1000), ("ra-000002.lvx", 500), ("rb-000000.lvx", 3)]
+    index = recordings.index(spark, f"file://{tmp_path}/out")
+    assert index.count() == 2_503
+    found = recordings.points(index, 5).where(F.col("tag") != recordings.FILLER)
+    name = F.regexp_extract("recording", "([^/]+)-(\\d+)[.]lvx$", 1)
+    frame = F.regexp_extract("recording", "-(\\d+)[.]lvx$", 1).cast("long") * recordings.FILE_FRAMES + F.col("frame_index")
+    got = sorted(tuple(r) for r in found.select(name, frame, "idx", F.round(F.col("x") * 1000).cast("int"), F.round(F.col("y") * 1000).cast("int"), "reflectivity", "tag").collect())
+    assert got == sorted((r[0], r[1], r[3], r[4], r[5], r[7], r[8]) for r in rows)
+    late = index.where(F.col("recording").endswith("ra-000001.lvx") & (F.col("time_s") >= 49.0) & (F.col("frame_index") < 990))
+    assert late.count() == 10 and recordings.points(late, 3).where(F.col("tag") != recordings.FILLER).count() == 10
+    # the data source itself: fewer ranges under a filter, same rows
+    spark.dataSource.register(lvx.LvxSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    load = lambda: spark.read.format("lvx").option("framesPerPartition", 100).option("pushdown", True).load(f"file://{tmp_path}/out")
+    some = load().where((F.col("frame_index") >= 100) & (F.col("frame_index") < 200) & (F.col("tag") != recordings.FILLER))
+    assert some.rdd.getNumPartitions() <= 6 < load().rdd.getNumPartitions() and some.count() == 300
+    timed = load().where((F.col("frame_time_s") >= 1.0) & (F.col("frame_time_s") <= 1.2) & (F.col("tag") != recordings.FILLER))
+    assert timed.rdd.getNumPartitions() <= 4 and timed.count() == 3 * 5
+    (one,) = {r.recording for r in load().where("recording LIKE '%rb%'").select("recording").distinct().collect()}
+    assert load().where(F.col("recording") == one).rdd.getNumPartitions() == 1
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_wanted_frames_of_odd_clocks():
+    reader = lvx.LvxReader({"path": "x"})
+    frames = [(0, 0, 0, 10**9), (1, 0, 0, 2 * 10**9), (2, 0, 0, 10**9), (3, 0, 0, 3 * 10**9)]  # a clock that goes back
+    reader.from_s = 0.9
+    assert [f[0] for f in reader._wanted(frames, 10**9)] == [0, 1, 2, 3]
+    reader.from_s = 1.5
+    assert [f[0] for f in reader._wanted(frames, 10**9)] == [1, 2, 3]
