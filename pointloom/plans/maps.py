@@ -337,9 +337,12 @@ f AS (SELECT map_id, k, frame_id, points, points AS waiting, 0::BIGINT AS droppe
 UNION ALL SELECT n.map_id, n.k, n.frame_id, n.points, CASE WHEN f.waiting > 0 AND f.waiting + n.points > 40 THEN n.points ELSE f.waiting + n.points END, CASE WHEN f.waiting > 0 AND f.waiting + n.points > 40 THEN f.waiting ELSE 0 END, f.waiting > 0 AND f.waiting + n.points > 40 FROM f JOIN n ON n.map_id = f.map_id AND n.k = f.k + 1)
 SELECT map_id, frame_id, points, dropped, resync FROM f""")
 def t12_delta_feed(spark, d):
+    return tiles.delta_with_overflow(_deltas(spark, d), 40)
+
+
+def _deltas(spark, d):
     fresh = v.new_voxels(fx.pts(spark, d), 2.0, [F.col("frame_id"), F.col("idx")])
-    delta = fresh.groupBy((F.col("frame_id") % 4).alias("map_id"), "frame_id").agg(F.count(F.lit(1)).alias("points"))
-    return tiles.delta_with_overflow(delta, 40)
+    return fresh.groupBy((F.col("frame_id") % 4).alias("map_id"), "frame_id").agg(F.count(F.lit(1)).alias("points"))
 
 
 @query(f"""WITH {_OPENED}, f AS (SELECT tx, ty, tz, min(x) AS min_x, max(x) AS max_x, count(*) AS n_voxels, count(DISTINCT frame_id) AS version FROM opened GROUP BY tx, ty, tz) SELECT tx, ty, tz, min_x, max_x, n_voxels, version FROM f""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointloom import fixtures as fx
 from pointloom.plans.alignment import _COVER
 from pointloom.plans.cloud import _TILES, tiled
-from pointloom.plans.maps import _VERSIONS
+from pointloom.plans.maps import _VERSIONS, _deltas
 from pointloom.plans.registry import ORACLE_SQL, query, r, sql_r
 from pointloom.sources.scratch import shared_path
 from pointloom.streaming import feeds, keyed, ledger, stateful
@@ -130,6 +130,37 @@ def _arrivals(spark, d):
     return frames.unionByName(imu)
 
 
+@query(ORACLE_SQL["t12_delta_feed"])
+def t12_stream_delta_queue(spark, d):
+    """Deltas through a bounded queue that is a stream's state."""
+    deltas = _deltas(spark, d)
+    return _collected([(deltas, "frame_id")], lambda s: keyed.delta_queue(s, 40), name="t12").drop("batch")
+
+
+@query(f"""WITH {fx.IMU}, f AS (SELECT *, coalesce((ts_us - lag(ts_us) OVER w >= 1800000000)::INTEGER, 0) AS o FROM imu WINDOW w AS (PARTITION BY device ORDER BY ts_us, seq)), g AS (SELECT *, sum(o) OVER (PARTITION BY device ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS s FROM f)
+SELECT device, count(*) AS n, min(ts_us) AS start_us, max(ts_us) AS last_us FROM g GROUP BY device, s HAVING max(ts_us) + 1800000000 <= (SELECT max(ts_us) FROM imu)""")
+def t14_stream_sessions(spark, d):
+    """Sessions that the watermark has closed: all but those that end within half an hour of the last sample."""
+    rows = fx.imu(spark, d).select("device", "ts_us", F.timestamp_micros("ts_us").alias("ts"))
+    return _collected([(rows, "ts_us")], lambda s: feeds.sessions(s, "30 minutes", "0 seconds"), name="t14").select("device", "n", "start_us", "last_us")
+
+
+@query(f"""WITH {fx.IMU}, s AS (SELECT device, seq, CASE WHEN seq % 97 = 0 THEN NULL WHEN seq % 50 = 0 THEN 'NaN'::DOUBLE ELSE ax END AS ax FROM imu) SELECT count(*) AS observed, count(*) FILTER (ax IS NULL)::BIGINT AS unknown, count(*) FILTER (isnan(ax))::BIGINT AS not_finite, count(*) FILTER (device = 2)::BIGINT AS device_2 FROM s""")
+def a18_observed_counters(spark, d):
+    """Rejected samples, counted inside the running stream while it writes the good ones."""
+    ax = F.when(F.col("seq") % 97 == 0, F.lit(None).cast("double")).when(F.col("seq") % 50 == 0, float("nan")).otherwise(F.col("ax"))
+    rows = fx.imu(spark, d).select("device", "seq", ax.alias("ax"))
+    path = shared_path(spark, "a18")
+    rows.write.parquet(f"{path}/in")
+    seen = spark.readStream.schema(rows.schema).parquet(f"{path}/in").observe(
+        "observed", F.count(F.lit(1)).alias("observed"), F.count_if(F.col("ax").isNull()).alias("unknown"), F.count_if(F.isnan("ax")).alias("not_finite"), F.count_if(F.col("device") == 2).alias("device_2")
+    )
+    good = seen.where(F.col("ax").isNotNull() & ~F.isnan("ax"))
+    total = feeds.run_observed(good, feeds.batch_sink(f"{path}/out"), f"{path}/state")
+    names = ["observed", "unknown", "not_finite", "device_2"]
+    return spark.createDataFrame([tuple(total[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 _LEDGER = f"""{_TILES}, c AS (SELECT tx, ty, tz, least(frame_id // 170, 2)::INTEGER AS step, count(DISTINCT frame_id) AS n FROM tiled GROUP BY ALL),
 ev AS (SELECT tx, ty, tz, step, (sum(n) OVER (PARTITION BY tx, ty, tz ORDER BY step))::BIGINT AS v, step > 0 AND (tx + 2 * ty + 3 * tz + step) % 5 = 0 AS gone FROM c),
 st AS (SELECT DISTINCT tx, ty, tz, u.consumer, -1 AS step, 0::BIGINT AS v, 0::BIGINT AS floor, false AS live, NULL::BIGINT AS handed, NULL::BIGINT AS pending, false AS del, false AS mark, NULL::BIGINT AS sent, false AS sent_del, false AS sent_mark

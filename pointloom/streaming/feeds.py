@@ -104,6 +104,27 @@ def results(spark: SparkSession, path: str, schema: StructType | str) -> DataFra
     return spark.read.schema(StructType([*wanted.fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
 
 
+def sessions(samples: DataFrame, gap: str, delay: str) -> DataFrame:
+    """Sessions of ``samples(device, ts, ts_us)`` by device: a gap ends one. They come out once the watermark has passed their
+    end; state is the sessions that are open, rows later than ``delay`` are dropped."""
+    return samples.withWatermark("ts", delay).groupBy("device", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("last_us"))
+
+
+def run_observed(stream: DataFrame, sink: Callable[[DataFrame, int], None], state: str, name: str = "observed", mode: str = "append") -> dict[str, int]:
+    """Runs all that is there through the stream, and gives what was counted on the way: the numbers of the stream's own
+    ``observe(name, ...)``, added up over the batches, and ``late``, the rows that stateful operators
+    dropped behind the watermark (an aggregation gets, and drops, a task's partial sums as one row). Nothing is read a second
+    time for them; they come with each batch's progress."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start()
+    query.awaitTermination()
+    total: dict[str, int] = {"late": 0}
+    for progress in query.recentProgress:
+        total["late"] += sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+        for key, value in (progress.observedMetrics.get(name).asDict() if name in progress.observedMetrics else {}).items():
+            total[key] = total.get(key, 0) + (value or 0)
+    return total
+
+
 def windowed_counts(samples: DataFrame, width: str, delay: str) -> DataFrame:
     """Counts and means by device in tumbling event-time windows; rows later than ``delay`` are dropped."""
     return samples.withWatermark("ts", delay).groupBy("device", F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg("ax").alias("mean_ax"))

@@ -89,3 +89,35 @@ def tile_cells(points: DataFrame, policy: str = "latest") -> DataFrame:
         raise ValueError(f"unknown policy {policy}")
     on_rocks(points.sparkSession)
     return points.groupBy("tx", "ty", "tz").transformWithStateInPandas(TileCells(policy), TILE_CELL, "Update", "None")
+
+
+class BoundedQueue(StatefulProcessor):
+    """A consumer's queue with a bound: what waits in it is the state."""
+
+    def __init__(self, bound: int):
+        self.bound = bound
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getValueState("waiting", "points long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        waiting = self.waiting.get()[0] if self.waiting.exists() else 0
+        parts = pd.concat([p[["frame_id", "points"]] for p in rows]).sort_values("frame_id", kind="stable")  # two numbers a frame
+        dropped, over = [], []
+        for n in parts["points"].tolist():
+            full = waiting > 0 and waiting + n > self.bound
+            dropped.append(waiting if full else 0)
+            over.append(full)
+            waiting = n if full else waiting + n
+        self.waiting.update((int(waiting),))
+        yield parts.assign(map_id=key[0], dropped=dropped, resync=over)[["map_id", "frame_id", "points", "dropped", "resync"]]
+
+    def close(self) -> None:
+        pass
+
+
+def delta_queue(deltas: DataFrame, bound: int) -> DataFrame:
+    """As :func:`pointloom.operators.tiles.delta_with_overflow`, for a stream of ``deltas(map_id, frame_id, points)``: a delta that
+    doesn't fit beside those that wait drops them and asks for one resync. Frames come in order, cut into batches anywhere."""
+    on_rocks(deltas.sparkSession)
+    return deltas.groupBy("map_id").transformWithStateInPandas(BoundedQueue(bound), "map_id long, frame_id long, points long, dropped long, resync boolean", "Append", "None")

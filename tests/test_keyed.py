@@ -80,3 +80,50 @@ def test_given_centroid_and_unknown_policy(spark, tmp_path):
     assert [found[0].x, found[0].y, found[0].z, found[0].intensity] == pytest.approx([0.4, 0.3, 0.5, 4.0]) and found[0].version == 1
     with pytest.raises(ValueError):
         keyed.tile_cells(spark.createDataFrame([], POINT), "average")
+
+
+def test_queue_in_any_cut_equals_the_batch_walk(spark, tmp_path):
+    from pointloom.operators import tiles
+
+    rng = random.Random(9)
+    rows = [(m, f, rng.randint(1, 30)) for f in range(60) for m in (0, 1)]
+    want = sorted(tuple(r) for r in tiles.delta_with_overflow(spark.createDataFrame(rows, "map_id long, frame_id long, points long"), 40).collect())
+    assert any(r[4] for r in want)
+    for cut in ([len(rows)], [1, 2, 50, len(rows)]):
+        at, found, folder = 0, [], f"{tmp_path}/{len(cut)}"
+        for end in cut:
+            spark.createDataFrame(rows[at:end], "map_id long, frame_id long, points long").write.mode("append").parquet(f"{folder}/in")
+            stream = keyed.delta_queue(spark.readStream.schema("map_id long, frame_id long, points long").parquet(f"{folder}/in"), 40)
+            q = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda df, i, found=found: found.extend(df.collect())).start()
+            q.awaitTermination()
+            at = end
+        assert sorted(tuple(r) for r in found) == want
+
+
+def test_given_overflow_sequence(spark, tmp_path):
+    rows = [(0, 1, 2), (0, 2, 2)]
+    spark.createDataFrame(rows, "map_id long, frame_id long, points long").write.parquet(f"{tmp_path}/in")
+    found = []
+    q = keyed.delta_queue(spark.readStream.schema("map_id long, frame_id long, points long").parquet(f"{tmp_path}/in"), 2).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+    q.foreachBatch(lambda df, i: found.extend(df.collect())).start().awaitTermination()
+    assert sorted(tuple(r) for r in found) == [(0, 1, 2, 0, False), (0, 2, 2, 2, True)]
+
+
+def test_late_rows_and_rejected_rows_are_counted_in_the_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pointloom.streaming import feeds
+
+    late, total, state = 0, {}, f"{tmp_path}/state"
+    watermark = None
+    for k, times in enumerate([[0, 60, 7200], [7300, 100, 200, 9000], [9100, 8000, 20_000]]):
+        if watermark is not None:
+            late += len({t // 3600 for t in times if t // 3600 * 3600 + 3600 <= watermark})  # a task's rows of a window are dropped as one
+        watermark = max([*times, watermark or 0])
+        rows = spark.createDataFrame([(1, t, float(t)) for t in times], "device long, t long, ax double")
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in").select("device", "ax", F.timestamp_seconds("t").alias("ts"))
+        seen = stream.observe("seen", F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ax") >= 9000).alias("high"))
+        found = feeds.run_observed(feeds.windowed_counts(seen, "1 hour", "0 seconds"), feeds.batch_sink(f"{tmp_path}/out"), state, "seen")
+        total = {n: total.get(n, 0) + v for n, v in found.items()}
+    assert total["rows"] == 10 and total["high"] == 3 and total["late"] == late == 1
