@@ -27,12 +27,12 @@ def _apart(docs: DataFrame, needed: tuple[str, ...], work: Callable[[DataFrame],
     return work(docs.withColumnsRenamed(aside)).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
-def language_limits(docs: DataFrame, model: langid.Model) -> dict[str, float]:
-    """Bits a letter that texts of each learned language may take: from all its labelled texts of LEAST_CHARS or more that
-    are told as such and that the model didn't learn from (those take fewer). One number a language comes to the driver."""
-    fresh = docs.where(F.col("lang").isNotNull() & (F.length("text") >= LEAST_CHARS) & (common.fold(F.col("doc_id"), 4) == 2))
-    told = langid.predict(fresh.select("text", "lang"), model).where("lang_pred = lang")
-    middle = told.groupBy("lang_pred").agg(F.percentile_approx("bits", 0.5).alias("bits")).collect()
+def language_limits(told: DataFrame, lang: str) -> dict[str, float]:
+    """Bits a letter that texts of each learned language may take: from all its labelled texts of LEAST_CHARS or more in
+    ``told`` (as langid.predict leaves them) that are told as such and that the model didn't learn from (those take fewer). One
+    number a language comes to the driver."""
+    fresh = told.where((F.length("text") >= LEAST_CHARS) & (common.fold(F.col("doc_id"), 4) == 2) & (F.col("lang_pred") == F.col(lang)))
+    middle = fresh.groupBy("lang_pred").agg(F.percentile_approx("bits", 0.5).alias("bits")).collect()
     return {r["lang_pred"]: max(MOST_BITS, SPREAD * r["bits"]) for r in middle}
 
 
@@ -60,10 +60,14 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = langid.learned(docs)
     if not model.languages:
         return docs
-    limits = [F.lit(x) for pair in language_limits(docs, model).items() for x in pair]
-    limit = F.coalesce(F.try_element_at(F.create_map(*limits), F.col("lang_pred")), F.lit(MOST_BITS)) if limits else F.lit(MOST_BITS)
-    explained = (F.col("bits") <= limit) | (F.length("text") < LEAST_CHARS)
-    return _apart(docs, ("text",), lambda d: langid.predict(d, model).where((F.col("lang_pred") != "und") & explained))
+
+    def near(docs: DataFrame) -> DataFrame:
+        told = common.written(langid.predict(docs, model).where("lang_pred <> 'und'"), "languages")
+        limits = [F.lit(x) for pair in language_limits(told, "lang").items() for x in pair]
+        limit = F.coalesce(F.try_element_at(F.create_map(*limits), F.col("lang_pred")), F.lit(MOST_BITS)) if limits else F.lit(MOST_BITS)
+        return told.where((F.col("bits") <= limit) | (F.length("text") < LEAST_CHARS))
+
+    return _apart(docs, ("doc_id", "text", "lang"), near)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
