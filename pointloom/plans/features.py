@@ -112,31 +112,46 @@ _RECORDED = f"""{fx.PTS}, rec AS (SELECT 'r' || frame_id % 4 AS recording, frame
     round(x * 1000)::INTEGER AS x_mm, round(y * 1000)::INTEGER AS y_mm, round(z * 1000)::INTEGER AS z_mm, (intensity::INTEGER % 256)::INTEGER AS reflectivity, tag FROM pts)"""
 
 
-def _recorded(spark, d):
-    """The cloud as four recordings with frames of 16 packets, written and indexed; frames are 50 ms apart."""
+def recorded_rows(spark, d):
+    """The cloud as four recordings with frames of 16 clouds, 50 ms apart."""
     p = fx.pts(spark, d)
-    rows = p.select(
+    return p.select(
         F.concat(F.lit("r"), F.col("frame_id") % 4).alias("recording"), F.expr("frame_id div 4 div 16").alias("frame"), (F.expr("frame_id div 4 div 16") * 50_000_000).alias("ts_ns"), (F.col("frame_id") * 21 + F.col("idx")).alias("idx"),
         *(F.round(F.col(c) * 1000).cast("int").alias(f"{c}_mm") for c in "xyz"), (F.col("intensity").cast("int") % 256).alias("reflectivity"), "tag",
     )
+
+
+def _name():
+    return F.regexp_extract("recording", "([^/]+)-[0-9]+[.]lvx$", 1)
+
+
+def _frame():
+    return F.regexp_extract("recording", "-([0-9]+)[.]lvx$", 1).cast("long") * recordings.FILE_FRAMES + F.col("frame_index")
+
+
+def recorded_points(points):
+    """Points read back, without what fills up packets."""
+    p = points.where(F.col("tag") != recordings.FILLER)
+    return p.select(_name().alias("recording"), _frame().alias("frame"), F.col("idx").alias("place"), *(F.round(F.col(c) * 1000).cast("int").alias(f"{c}_mm") for c in "xyz"), "reflectivity", "tag")
+
+
+def _recorded(spark, d):
+    """Written, and the index of its frames."""
     path = shared_path(spark, "recordings")
-    recordings.write(rows, path)
-    name = F.regexp_extract("recording", "([^/]+)-[0-9]+[.]lvx$", 1)
-    first = F.regexp_extract("recording", "-([0-9]+)[.]lvx$", 1).cast("long") * recordings.FILE_FRAMES
-    return recordings.index(spark, path), name, first
+    recordings.write(recorded_rows(spark, d), path)
+    return recordings.index(spark, path)
+
+
+_ROUND_TRIP = f"WITH {_RECORDED} SELECT recording, frame, place, x_mm, y_mm, z_mm, reflectivity, tag FROM rec"
 
 
-@query(f"WITH {_RECORDED} SELECT recording, frame, place, x_mm, y_mm, z_mm, reflectivity, tag FROM rec")
+@query(_ROUND_TRIP)
 def s1_recording_round_trip(spark, d):
-    index, name, first = _recorded(spark, d)
-    p = recordings.points(index).where(F.col("tag") != recordings.FILLER)
-    return p.select(name.alias("recording"), (first + F.col("frame_index")).alias("frame"), F.col("idx").alias("place"), *(F.round(F.col(c) * 1000).cast("int").alias(f"{c}_mm") for c in "xyz"), "reflectivity", "tag")
+    return recorded_points(recordings.points(_recorded(spark, d)))
 
 
 @query(f"WITH {_RECORDED} SELECT recording, frame, count(*) AS n, sum(x_mm)::BIGINT AS sum_x FROM rec WHERE recording <> 'r2' AND frame >= 3 AND frame < 6 GROUP BY recording, frame")
 def s5_frame_seek(spark, d):
     """Frames of a time range of some recordings: only they are opened."""
-    index, name, first = _recorded(spark, d)
-    wanted = index.where((name != "r2") & (first + F.col("frame_index") >= 3) & (F.col("time_s") < 0.3 - 1e-9))
-    p = recordings.points(wanted).where(F.col("tag") != recordings.FILLER)
-    return p.groupBy(name.alias("recording"), (first + F.col("frame_index")).alias("frame")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("x") * 1000).cast("int")).alias("sum_x"))
+    wanted = _recorded(spark, d).where((_name() != "r2") & (_frame() >= 3) & (F.col("time_s") < 0.3 - 1e-9))
+    return recorded_points(recordings.points(wanted)).groupBy("recording", "frame").agg(F.count(F.lit(1)).alias("n"), F.sum("x_mm").alias("sum_x"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pointloom import fixtures as fx
 from pointloom.plans.alignment import _COVER
 from pointloom.plans.cloud import _TILES, tiled
+from pointloom.plans.features import _ROUND_TRIP, recorded_points, recorded_rows
 from pointloom.plans.maps import _VERSIONS, _deltas
 from pointloom.plans.registry import ORACLE_SQL, query, r, sql_r
+from pointloom.sources import lvx, recordings
 from pointloom.sources.scratch import shared_path
 from pointloom.streaming import feeds, keyed, ledger, stateful
 
@@ -161,6 +163,20 @@ def a18_observed_counters(spark, d):
     return spark.createDataFrame([tuple(total[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
+@query(_ROUND_TRIP)
+def s7_recording_stream(spark, d):
+    """Recordings as a stream: two are there when the query starts, two come before it is started again."""
+    spark.dataSource.register(lvx.LvxSource)
+    top = shared_path(spark, "s7-recordings")
+    path, state = f"{top}/out", f"{top}/state"
+    rows = recorded_rows(spark, d)
+    for names in (("r0", "r2"), ("r1", "r3")):
+        recordings.write(rows.where(F.col("recording").isin(*names)), f"{top}/in")
+        stream = spark.readStream.format("lvx").option("framesPerPartition", 50).load(f"{top}/in")
+        feeds.run_to_end(stream, path=path, state=state)
+    return recorded_points(feeds.results(spark, path, stream.schema).drop("batch"))
+
+
 _LEDGER = f"""{_TILES}, c AS (SELECT tx, ty, tz, least(frame_id // 170, 2)::INTEGER AS step, count(DISTINCT frame_id) AS n FROM tiled GROUP BY ALL),
 ev AS (SELECT tx, ty, tz, step, (sum(n) OVER (PARTITION BY tx, ty, tz ORDER BY step))::BIGINT AS v, step > 0 AND (tx + 2 * ty + 3 * tz + step) % 5 = 0 AS gone FROM c),
 st AS (SELECT DISTINCT tx, ty, tz, u.consumer, -1 AS step, 0::BIGINT AS v, 0::BIGINT AS floor, false AS live, NULL::BIGINT AS handed, NULL::BIGINT AS pending, false AS del, false AS mark, NULL::BIGINT AS sent, false AS sent_del, false AS sent_mark

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from pointloom.operators.points import INTERVAL_NS, OTHER_INTERVAL_NS, U32
 
@@ -135,8 +135,9 @@ def listed(path: str, suffix: str) -> list[str]:
     return sorted(head + f.path for f in found if f.is_file and f.path.endswith(suffix))
 
 
-def frame_index(path: str) -> tuple[list[tuple[int, int, int, int]], int, bytes]:
-    """Frames (number, data start, data end, time of its first packet), the file's first packet's time, and the device blocks."""
+def frame_index(path: str, place: int = 0, number: int = 0) -> tuple[list[tuple[int, int, int, int]], int, bytes]:
+    """Frames (number, data start, data end, time of its first packet), the file's first packet's time, and the device
+    blocks. With the ``place`` where a frame begins and its ``number`` only what comes from there on."""
     store, at = _opened(path)
     with store.open_input_file(at) as f:
         size = f.size()
@@ -144,17 +145,18 @@ def frame_index(path: str) -> tuple[list[tuple[int, int, int, int]], int, bytes]
         if len(head) < HEADER.size or HEADER.unpack(head)[2] != MAGIC:
             raise ValueError(f"{path} is no lvx recording")
         devices = f.read(DEVICE.itemsize * HEADER.unpack(head)[4])
-        place, frames, base = HEADER.size + len(devices), [], 0
+        first = HEADER.size + len(devices)
+        place, frames, base = place or first, [], 0
+        if size >= first + FRAME.size + PACKET:
+            f.seek(first + FRAME.size)
+            base = int.from_bytes(f.read(PACKET)[11:19], "little")
         while place and place + FRAME.size <= size:
             f.seek(place)
             both = f.read(FRAME.size + PACKET)
             now, after, _ = FRAME.unpack(both[: FRAME.size])
             if now != place or after < now + FRAME.size or after > size or not 0 < after - now - FRAME.size <= MOST_FRAME:
                 break
-            first = int.from_bytes(both[FRAME.size + 11 : FRAME.size + 19], "little")
-            if not frames:
-                base = first
-            frames.append((len(frames), now + FRAME.size, after, first))
+            frames.append((number + len(frames), now + FRAME.size, after, int.from_bytes(both[FRAME.size + 11 : FRAME.size + 19], "little")))
             place = after
     return frames, base, devices
 
@@ -240,6 +242,45 @@ class FilteringLvxReader(LvxReader):
             yield f
 
 
+class LvxStream(DataSourceStreamReader):
+    """Recordings as a stream: files that come, and frames that are added to a file while it is written. An offset is, of each
+    file, how many whole frames it had and where the next one begins, so a restarted query goes on with the very next frame.
+    A frame that isn't whole yet waits. The folder should hold the recordings of a bounded time, since offsets name each file."""
+
+    def __init__(self, options: dict):
+        self.files, self.path, self.seen = LvxReader(options), options["path"], {}
+
+    def initialOffset(self) -> dict:
+        return {"files": {}}
+
+    def latestOffset(self) -> dict:
+        for path in listed(self.path, ".lvx"):
+            n, place = self.seen.get(path, (0, 0))
+            try:
+                frames = frame_index(path, place, n)[0]
+            except ValueError:  # not even its header is there yet
+                continue
+            if frames:
+                self.seen[path] = (n + len(frames), frames[-1][2])
+        return {"files": {p: list(at) for p, at in sorted(self.seen.items())}}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for path, (n, place) in end["files"].items():
+            held, begin = start["files"].get(path, (0, 0))
+            if n > held:
+                frames, base, _ = frame_index(path, begin, held)
+                frames = [f for f in frames if f[0] < n and f[2] <= place]
+                out += [Range(path, frames[i : i + self.files.each], base, b"") for i in range(0, len(frames), self.files.each)]
+        return out
+
+    def read(self, part: Range) -> Iterator:
+        yield from self.files.read(part)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class LvxSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -250,3 +291,6 @@ class LvxSource(DataSource):
 
     def reader(self, schema) -> LvxReader:
         return (FilteringLvxReader if self.options.get("pushdown", "false") == "true" else LvxReader)(dict(self.options))
+
+    def streamReader(self, schema) -> LvxStream:
+        return LvxStream(dict(self.options))

@@ -251,3 +251,31 @@ def test_wanted_frames_of_odd_clocks():
     assert [f[0] for f in reader._wanted(frames, 10**9)] == [0, 1, 2, 3]
     reader.from_s = 1.5
     assert [f[0] for f in reader._wanted(frames, 10**9)] == [1, 2, 3]
+
+
+def test_a_growing_recording_is_a_stream(spark, tmp_path):
+    """Stopped and started again in the middle of a file: no frame lost, none twice."""
+    import numpy as np
+
+    from pointloom.sources import recordings
+    from pointloom.streaming import feeds
+
+    spark.dataSource.register(lvx.LvxSource)
+    frames = [recordings.frame_bytes(np.array([[i, 2, 3, 4, 5]] * 3), (i + 1) * 10**9) for i in range(6)]
+    whole, other = recording(frames), recording(frames[:2])
+    ends = [len(recording(frames[:n])) for n in range(7)]
+    (tmp_path / "in").mkdir()
+
+    def step(size, *more):
+        (tmp_path / "in" / "a.lvx").write_bytes(whole[:size])
+        for name in more:
+            (tmp_path / "in" / name).write_bytes(other)
+        stream = spark.readStream.format("lvx").option("framesPerPartition", 2).load(f"file://{tmp_path}/in")
+        feeds.run_to_end(stream, path=f"file://{tmp_path}/out", state=f"file://{tmp_path}/state")
+        found = feeds.results(spark, f"file://{tmp_path}/out", stream.schema).where("tag = 5").collect()
+        return sorted((r.recording.rsplit("/", 1)[1], r.frame_index, r.frame_time_s, round(r.x * 1000)) for r in found)
+
+    want = lambda n: [("a.lvx", i, float(i), i) for i in range(n) for _ in range(3)]
+    assert step(ends[2] + 40) == want(2)  # the third frame is only begun
+    assert step(ends[5]) == want(5)
+    assert step(len(whole), "b.lvx") == want(6) + [("b.lvx", i, float(i), i) for i in range(2) for _ in range(3)]
