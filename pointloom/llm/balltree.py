@@ -256,7 +256,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD,
         now = F.col("shard").between(low, high)
         kth = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
         floors = dealt.join(kth, dealt.vec_id == kth.query_id, "left").select("vec_id", "block", F.coalesce("least", F.lit(_LOW).cast("long")).alias("floor"))
-        listed = floors.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "floor"))), lambda x: x["floor"]).alias("floors"))  # of a block's queries
+        listed = floors.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "floor"))), lambda x: x["floor"]).alias("floors"))
+        listed = common.written(listed, "top-k-floors")  # a number a query; both steps of the round read it
         ready = packed.join(listed, "block")
         spread = ready.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         around = balls.where(now).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
