@@ -365,6 +365,24 @@ def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return made.select(*(made[c] for c in coded.columns if c != "decoded"), made["__decoded"].alias("decoded"))
 
 
+def checked(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ids binary, as :func:`encode` gives them, and decoded_ok boolean (whether decoding gives the text back,
+    U+2581 taken as a blank), in one pass: a task needs one worker with the model, not one to encode and one to decode."""
+
+    @F.pandas_udf("ids binary, decoded_ok boolean")
+    def coded(texts: pd.Series) -> pd.DataFrame:
+        model, out = pieces(path), []
+        for values, found, counts in _coded(texts, path):
+            data, cuts = found.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+            for v, a, b in zip(values, cuts, cuts[1:], strict=False):
+                own = data[a:b]
+                out.append((own, model.decode_all(own) == v.replace(BLANK, " ")))
+        return pd.DataFrame(out, columns=["ids", "decoded_ok"]).astype({"ids": object, "decoded_ok": "bool"})
+
+    made = docs.withColumn("__coded", coded(F.col(text).cast("string")))
+    return made.select(*(made[c] for c in docs.columns if c not in ("ids", "decoded_ok")), "__coded.ids", "__coded.decoded_ok")
+
+
 def report(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs``: its other columns, n_pieces long, ids_crc32 long (of the ids' bytes), decoded_ok
     boolean (whether decoding gives the text back, U+2581 taken as a blank)."""

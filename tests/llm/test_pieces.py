@@ -93,3 +93,11 @@ def test_operators_round_trip(spark, odd):
     back = pieces.decode(coded, PATH)
     assert coded.columns == [*odd.columns, "ids"]
     assert back.where("decoded <> coalesce(text, '')").count() == 0
+
+
+def test_one_pass_equals_encoding_and_decoding(spark, odd):
+    path = pieces.model_path()
+    one = sorted((tuple(r) for r in pieces.checked(odd.select("doc_id", "text", "score"), path).collect()), key=str)
+    two = pieces.decode(pieces.encode(odd.select("doc_id", "text", "score"), path), path).collect()
+    assert one == sorted(((r.doc_id, r.text, r.score, r.ids, r.decoded == (r.text or "").replace(pieces.BLANK, " ")) for r in two), key=str)
+    assert all(r[4] for r in one)
