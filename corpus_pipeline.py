@@ -96,12 +96,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have no ids; texts of any length are encoded whole; repeated rows give repeated results; further
     columns are left out; no rows give none.
     """
-    path = pieces.model_path()
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text"), path), path)
-    return coded.select(
-        "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "ids",
-        (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.BLANK), F.lit(" "))).alias("decoded_ok"),
-    )
+    coded = pieces.checked(docs.select("doc_id", "source", "text"), pieces.model_path())
+    return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "ids", "decoded_ok")
 
 
 STAGES = [
