@@ -6,6 +6,7 @@ tables into the cluster's shared folder, and cut an ordered key into ranges.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,6 +75,15 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def released() -> None:
+    """Gives memory that a worker no longer uses back to the system, where its library can; the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(lengths: np.ndarray, most: int):
     """(first, last) index pairs that cut rows into runs of about ``most`` units, one row at least."""
     first, held = 0, 0

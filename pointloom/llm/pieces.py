@@ -370,14 +370,19 @@ def checked(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     U+2581 taken as a blank), in one pass: a task needs one worker with the model, not one to encode and one to decode."""
 
     @F.pandas_udf("ids binary, decoded_ok boolean")
-    def coded(texts: pd.Series) -> pd.DataFrame:
-        model, out = pieces(path), []
-        for values, found, counts in _coded(texts, path):
-            data, cuts = found.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
-            for v, a, b in zip(values, cuts, cuts[1:], strict=False):
-                own = data[a:b]
-                out.append((own, model.decode_all(own) == v.replace(BLANK, " ")))
-        return pd.DataFrame(out, columns=["ids", "decoded_ok"]).astype({"ids": object, "decoded_ok": "bool"})
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = pieces(path)
+        for texts in batches:
+            out = []
+            for values, found, counts in _coded(texts, path):
+                data, cuts = found.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+                for v, a, b in zip(values, cuts, cuts[1:], strict=False):
+                    own = data[a:b]
+                    out.append((own, model.decode_all(own) == v.replace(BLANK, " ")))
+            yield pd.DataFrame(out, columns=["ids", "decoded_ok"]).astype({"ids": object, "decoded_ok": "bool"})
+        _held.pop(path, None)  # what a later stage's task in this worker doesn't need
+        del model
+        common.released()
 
     made = docs.withColumn("__coded", coded(F.col(text).cast("string")))
     return made.select(*(made[c] for c in docs.columns if c not in ("ids", "decoded_ok")), "__coded.ids", "__coded.decoded_ok")
