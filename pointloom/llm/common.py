@@ -65,6 +65,18 @@ def aside(docs: DataFrame, needed: tuple[str, ...], work: Callable[[DataFrame],
     return made.select(*(F.col(held.get(c, c)).alias(c) for c in docs.columns if c not in added), *added)
 
 
+#: Bytes of the Arrow batches that go between Spark and Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes in this session, where it sets no bound of its own: Spark counts rows, and 10,000 rows of
+    long texts are any size. One row is a batch at least."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fold(key: Column, buckets: int) -> Column:
     """crc32 of the key as text, modulo ``buckets``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % buckets

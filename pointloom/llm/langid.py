@@ -264,6 +264,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred string, score double (how far the second language is behind: 1 - best/second)
     and bits double (the winner's bits a character). The model has a bounded size and goes with the task.
     """
+    common.bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits")]
 
@@ -286,6 +287,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names = np.where(chars > 0, np.array(m.languages, dtype=object)[best], "und")
                 out.append(pd.DataFrame({"lang_pred": names, "score": np.clip(score, 0, 1), "bits": np.where(chars > 0, two[:, 0], 0.0)}))
             yield pd.concat(out, ignore_index=True)
+        del m
+        common.released()
 
     made = docs.withColumn("__lang", judged(F.col(text).cast("string")))
     return made.select(*(made[c] for c in kept), "__lang.lang_pred", "__lang.score", "__lang.bits")

@@ -368,6 +368,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 def checked(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ids binary, as :func:`encode` gives them, and decoded_ok boolean (whether decoding gives the text back,
     U+2581 taken as a blank), in one pass: a task needs one worker with the model, not one to encode and one to decode."""
+    common.bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("ids binary, decoded_ok boolean")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
