@@ -6,8 +6,9 @@ is described by counts of character classes and their pairs, by word repetition,
 document, weighs the passage codes ``h``; the weighted code gives the document's score. Only
 document labels are used for learning; which passages count is learned with them.
 
-Learning uses a bounded sample: labelled rows drawn by a hash of the id (``TRAIN_DOCUMENTS`` expected, twice as many at
-most), and of each of them at most ``TRAIN_PASSAGES`` passages, evenly spaced. Scores read every passage of every text.
+Learning uses a bounded sample of whole documents: labelled rows drawn by a hash of the id (``TRAIN_DOCUMENTS`` expected, twice
+as many at most), taken in the order of that hash as long as they have ``TRAIN_PASSAGES`` passages together; a document that
+doesn't fit any more is passed over. Every passage of a taken document is learned from, and scores read every passage of every text.
 
 Defined results
     * null text counts as empty; an empty text is one passage without any sign, and gets a score;
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pointloom.llm import common
 
 PASSAGE = 320
-TRAIN_DOCUMENTS, TRAIN_PASSAGES = 3_000, 128
+TRAIN_DOCUMENTS, TRAIN_PASSAGES = 3_000, 100_000
 #: Buckets of words, and how much less than the other features each of them weighs at first.
 WORDS, CALM = 128, 5.0
 CODE, GATE, EPOCHS = 16, 8, 160
@@ -62,16 +62,20 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages (float32 rows) and the number of passages of each text."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    """As :func:`passages_of`, for single texts."""
+    return passages_of(np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts], dtype=np.int64))
+
+
+def passages_of(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages (float32 rows) and the number of passages of each text. ``data``: bytes of all texts, one after
+    the other; ``sizes``: how many each has."""
     counts = np.maximum(1, -(-sizes // PASSAGE))
     out = np.zeros((int(counts.sum()), FEATURES), dtype=np.float32)
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     if not len(data):
         return out, counts
     starts = np.cumsum(sizes) - sizes
     base = np.cumsum(counts) - counts
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     home = base[owner] + (np.arange(len(data)) - starts[owner]) // PASSAGE
     total = len(out)
     kinds = _kind[data]
@@ -181,14 +185,16 @@ def gradients(model: Model, x: np.ndarray, counts: np.ndarray, labels: np.ndarra
     return g
 
 
-def scores(texts: list[bytes], model: Model) -> np.ndarray:
+def scores(texts: pa.Array, model: Model) -> np.ndarray:
+    """Of each text of a column (null: empty). Texts are read in runs of about a million bytes, without copies."""
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    out = []
-    for first, last in common.slices(np.array([len(t) for t in texts]), 1_000_000):
-        x, counts = passages(texts[first:last])
-        out.append(forward(model, ((x - model.mean) / model.scale).astype(np.float32), counts)[0])
-    return np.concatenate(out).astype(np.float64) if out else np.empty(0)
+    data, cuts = common.text_bytes(texts)
+    out = [np.empty(0)]
+    for first, last in common.slices(np.diff(cuts), 1_000_000):
+        x, counts = passages_of(data[cuts[first] : cuts[last]], np.diff(cuts[first : last + 1]))
+        out.append(forward(model, ((x - model.mean) / model.scale).astype(np.float32), counts)[0].astype(np.float64))
+    return np.concatenate(out)
 
 
 def learned(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = TRAIN_DOCUMENTS) -> Model:
@@ -203,33 +209,51 @@ def learned(docs: DataFrame, labels: DataFrame, target: str = "quality", most: i
     drawn = usable.where(F.xxhash64("doc_id").bitwiseAND((1 << 52) - 1) < int(rate * (1 << 52))).orderBy("doc_id").limit(2 * most).collect()
     if not drawn:
         return fit(np.empty((0, FEATURES), np.float32), np.empty(0, np.int64), np.empty(0))
+    common.bounded_batches(docs.sparkSession)
     known = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in drawn], "doc_id long, label double")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    met = common.written(plain.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text").distinct(), "quality-sample")
+    key = F.xxhash64("doc_id", "text").alias("key")
+    sizes = met.select(key, F.xxhash64("doc_id").alias("draw"), F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE)).alias("n"))
+    taken = whole_documents(sorted((r["draw"], r["key"], r["n"]) for r in sizes.collect()), TRAIN_PASSAGES)  # three numbers a drawn row
+    if not taken:
+        return fit(np.empty((0, FEATURES), np.float32), np.empty(0, np.int64), np.empty(0))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.texts_of_size(batches, 1_000_000):
-            x, counts = passages([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()])
-            ends = np.cumsum(counts)
-            rows = [x[e - c : e][np.unique(np.linspace(0, c - 1, min(c, TRAIN_PASSAGES)).round().astype(int))].tobytes() for e, c in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
+            data, cuts = common.text_bytes(batch.column("text"))
+            x, counts = passages_of(data, np.diff(cuts))
+            rows = common.strings(x.reshape(-1).view(np.uint8), (np.cumsum(counts) - counts) * x.itemsize * FEATURES, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), rows], names=["doc_id", "label", "x"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = plain.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text").distinct()  # of 2 * most rows at most
-    rows = met.mapInArrow(describe, "doc_id long, label double, x binary").collect()
+    chosen = met.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken], "key long")), key == F.col("key"), "left_semi")
+    rows = chosen.mapInArrow(describe, "doc_id long, label double, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["x"])))
-    if not rows:
-        return fit(np.empty((0, FEATURES), np.float32), np.empty(0, np.int64), np.empty(0))
     parts = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
     return fit(np.concatenate(parts), np.array([len(p) for p in parts]), np.array([r["label"] for r in rows], dtype=np.float32))
 
 
+def whole_documents(drawn: list[tuple[int, int, int]], most: int) -> list[int]:
+    """Keys of the (draw, key, passages) in order that have ``most`` passages together; what doesn't fit is passed over."""
+    taken, held = [], 0
+    for _, key, n in drawn:
+        if held + n <= most:
+            taken.append(key)
+            held += n
+    return taken
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score double (0 to 1, higher: better) and predicted int. The model is a few KB."""
+    common.bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
-    @F.pandas_udf("double")
-    def judged(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores([(t or "").encode("utf-8", "surrogatepass") for t in texts], shipped.value))
+    @F.arrow_udf("double")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(scores(texts, shipped.value))
+        common.released()
 
     made = docs.withColumn("__score", judged(F.col(text).cast("string")))
     return made.select(*(made[c] for c in kept), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))

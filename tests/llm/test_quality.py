@@ -1,9 +1,11 @@
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from conftest import sentence
 
-from pointloom.llm import quality
+from pointloom.llm import common, quality
 
 
 def test_gradients():
@@ -113,6 +115,33 @@ def test_query(spark, folder):
     assert quality.op5_quality_mil(spark, folder(documents=docs.limit(0), labels=labels)).count() == 0
 
 
+def test_learning_reads_whole_texts(spark, monkeypatch):
+    """All passages of a long text are learned from; documents that together pass the bound are left out whole."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (10 if i else 20_000)) for i in range(30)] + [(30, None), (31, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(32)], "doc_id long, quality int")
+    sizes = {r.doc_id: max(1, -(-len(r.text or "") // quality.PASSAGE)) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    given = []
+    monkeypatch.setattr(quality, "fit", lambda x, counts, labels: given.append((len(x), counts.tolist())))
+    quality.learned(docs, labels)
+    assert sizes[0] > 128 and given[0] == (sum(sizes.values()), [sizes[i] for i in sorted(sizes)])
+    monkeypatch.setattr(quality, "TRAIN_PASSAGES", 12)
+    quality.learned(docs, labels)
+    assert given[1][0] == sum(given[1][1]) == 12 and sizes[0] not in given[1][1]
+
+
+def test_taken_documents_are_whole():
+    assert quality.whole_documents([(1, 10, 4), (2, 20, 9), (3, 30, 3), (4, 40, 1)], 8) == [10, 30, 40]
+    assert quality.whole_documents([], 8) == [] == quality.whole_documents([(1, 1, 9)], 8)
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(i, "long text " * 100_000) for i in range(24)], "doc_id long, text string").repartition(1)
+    quality.score(docs, quality.Model(np.zeros(1), np.ones(1), {}, 0.5))
+    largest = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").agg({"n": "max"}).first()[0]
+    assert 1_000_000 <= largest < 2 * common.BATCH_BYTES
+
+
 def test_operator_replaces_clashing_columns(spark, odd):
     out = quality.score(odd, quality.Model(np.zeros(1), np.ones(1), {}, 0.25))
     assert out.columns == [c for c in odd.columns if c != "score"] + ["score", "predicted"]
