@@ -117,6 +117,43 @@ def s14_path_feed(spark, d):
     return found.where(F.col("batch") == PIECES - 1).drop("batch")
 
 
+@query(f"WITH {fx.PTS}, n AS (SELECT *, frame_id % 4 AS map_id, max(frame_id) OVER (PARTITION BY frame_id % 4) AS newest FROM pts) SELECT map_id, frame_id, idx, {sql_r('x')} AS x FROM n WHERE frame_id = newest")
+def s14_current_cloud_feed(spark, d):
+    """The cloud as published last: all points of each map's newest frame."""
+    rows = fx.pts(spark, d).select((F.col("frame_id") % 4).alias("map_id"), "frame_id", "idx", "x")
+    found = _collected([(rows, "frame_id")], lambda s: s, lambda path: feeds.current_clouds(path, ["map_id"], "frame_id"), "s14c")
+    newest = found.groupBy("map_id").agg(F.max("frame_id").alias("frame_id"))
+    return found.join(newest, ["map_id", "frame_id"], "left_semi").select("map_id", "frame_id", "idx", r(F.col("x")).alias("x"))
+
+
+_CELL, _CELL_ORDER, _EVERY = ["tx", "ty", "tz", "vx", "vy", "vz"], ["version", "n"], 2
+
+
+def _map_feed(spark, d):
+    """The tiled map's feed over three steps of frames, with a whole map after each second batch."""
+    points = tiled(spark, d).select(*_CELL, "frame_id", "idx", "x", "y", "z", "intensity", F.least(F.expr("frame_id div 170"), F.lit(2)).alias("step"))
+    by_step = lambda rows, time, n: [rows.where(F.col(time) == k) for k in range(n)]
+    return feeds.fed([(points, "step")], lambda s: keyed.tile_cells(s.drop("step")), PIECES, lambda path: feeds.map_feed(path, _CELL, _CELL_ORDER, _EVERY), "s14m", "update", by_step)
+
+
+@query(f"""WITH {_TILES}, s AS (SELECT *, least(frame_id // 170, 2)::INTEGER AS batch FROM tiled), k AS (SELECT *, row_number() OVER (PARTITION BY batch, tx, ty, tz, vx, vy, vz ORDER BY frame_id DESC, idx DESC) AS k FROM s)
+SELECT batch, tx, ty, tz, vx, vy, vz, frame_id, idx, {sql_r('x')} AS x FROM k WHERE k = 1""")
+def s14_map_delta_feed(spark, d):
+    """What each batch changed of the map: the voxels that it touched, as they are after it."""
+    path, schema = _map_feed(spark, d)
+    return feeds.results(spark, f"{path}/delta", schema).select(F.col("batch").cast("int").alias("batch"), *_CELL, "frame_id", "idx", r(F.col("x")).alias("x"))
+
+
+@query(f"""WITH {_TILES}, k AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY tx, ty, tz, vx, vy, vz) AS n FROM tiled WINDOW w AS (PARTITION BY tx, ty, tz, vx, vy, vz ORDER BY frame_id DESC, idx DESC))
+SELECT tx, ty, tz, vx, vy, vz, frame_id, idx, n, {sql_r('x')} AS x FROM k WHERE k = 1""")
+def s14_full_map_feed(spark, d):
+    """The map of a consumer who took the last whole map and the deltas after it."""
+    path, schema = _map_feed(spark, d)
+    last = feeds.results(spark, f"{path}/delta", schema).agg(F.max("batch")).first()[0]
+    view = feeds.map_view(spark, path, schema, _CELL, _CELL_ORDER, _EVERY, last if last is not None else 0)
+    return view.select(*_CELL, "frame_id", "idx", "n", r(F.col("x")).alias("x"))
+
+
 @query()
 def t5_dropped_samples(spark, d):
     """Pairs and dropped samples where clocks go back: against the batch walk in the tests."""

@@ -62,6 +62,46 @@ def kept_path(path: str, keys: list[str], order: list[str], most: int = 500) ->
     return write
 
 
+def current_clouds(path: str, keys: list[str], frame: str) -> Callable[[DataFrame, int], None]:
+    """Sink of the current cloud: of each batch all points of each key's newest frame. Newest frames are one row a key; the
+    points stay where they are, or meet them by (key, frame)."""
+
+    def newest(batch: DataFrame) -> DataFrame:
+        return batch.join(batch.groupBy(*keys).agg(F.max(frame).alias(frame)), [*keys, frame], "left_semi")
+
+    return batch_sink(path, newest)
+
+
+def _newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("u")).select(*keys, "u.*")
+
+
+def map_feed(path: str, keys: list[str], order: list[str], every: int = 8) -> Callable[[DataFrame, int], None]:
+    """Sink of a map that changes, cells by ``keys``: what a batch touched goes out as ``delta/batch=N``; after each
+    ``every``-th batch the whole map goes out as ``map/batch=N``, made of the whole map before it and the deltas since, of each cell the
+    newest by ``order``. A repeated batch reads the same folders and overwrites its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
+        if (batch_id + 1) % every == 0:
+            before = _map_folders(path, every, batch_id - 1) + [f"{path}/delta/batch={batch_id}"]
+            _newest(batch.sparkSession.read.schema(batch.schema).parquet(*before), keys, order).write.mode("overwrite").parquet(f"{path}/map/batch={batch_id}")
+
+    return write
+
+
+def _map_folders(path: str, every: int, at: int) -> list[str]:
+    """The last whole map that went out up to batch ``at``, and the deltas after it."""
+    whole = (at + 1) // every * every - 1
+    return [f"{path}/map/batch={whole}"] * (whole >= 0) + [f"{path}/delta/batch={k}" for k in range(whole + 1, at + 1)]
+
+
+def map_view(spark: SparkSession, path: str, schema: StructType, keys: list[str], order: list[str], every: int, at: int) -> DataFrame:
+    """The map after batch ``at`` as a consumer of :func:`map_feed` has it who came with the last whole map."""
+    return _newest(spark.read.schema(schema).parquet(*_map_folders(path, every, at)), keys, order)
+
+
 def odometry(poses: DataFrame) -> DataFrame:
     """Messages of ``poses(device, pose_id, ts_us, px, yaw)``, a pose and a transform from the map to the body each:
     seconds and nanoseconds, position, orientation as a quaternion about the vertical."""

@@ -125,3 +125,29 @@ def test_path_feed(spark):
     write(rows(3, 4), 1)
     write(rows(3, 4), 1)  # repeated
     assert sorted(r.t for r in spark.read.parquet(f"{path}/batch=1").collect()) == [2, 3, 4]
+
+
+def test_current_cloud_is_the_newest_frame(spark):
+    path = shared_path(spark, "current")
+    rows = spark.createDataFrame([(0, 1, 0), (0, 2, 0), (0, 2, 1), (1, 1, 5), (None, 3, 0)], "map_id long, frame_id long, idx long")
+    write = feeds.current_clouds(path, ["map_id"], "frame_id")
+    write(rows, 0)
+    write(rows, 0)  # repeated
+    write(rows.limit(0), 1)
+    assert sorted((r.map_id, r.frame_id, r.idx) for r in spark.read.parquet(path).collect()) == [(0, 2, 0), (0, 2, 1), (1, 1, 5)]  # points of no map are no map's cloud
+
+
+def test_map_feed_view_at_every_batch(spark):
+    """Whole maps and deltas give the same map at each batch, also where a batch is repeated after later ones were not."""
+    path, keys, order = shared_path(spark, "mapfeed"), ["v"], ["version"]
+    batches = [[(1, 1, "a"), (2, 1, "b")], [(2, 2, "c")], [], [(3, 3, "d"), (1, 3, "e")], [(3, 4, "f")]]
+    frames = [spark.createDataFrame(b, "v long, version long, x string") for b in batches]
+    write, state = feeds.map_feed(path, keys, order, every=2), {}
+    for n, (rows, frame) in enumerate(zip(batches, frames, strict=True)):
+        write(frame, n)
+        write(frame, n)
+        state |= {v: (version, x) for v, version, x in rows}
+        view = feeds.map_view(spark, path, frame.schema, keys, order, 2, n)
+        assert {r.v: (r.version, r.x) for r in view.collect()} == state, n
+    whole = spark.read.schema(frames[0].schema).parquet(f"{path}/map/batch=3")
+    assert sorted((r.v, r.x) for r in whole.collect()) == [(1, "e"), (2, "c"), (3, "d")]
