@@ -152,6 +152,8 @@ def s1_recording_round_trip(spark, d):
 
 @query(f"WITH {_RECORDED} SELECT recording, frame, count(*) AS n, sum(x_mm)::BIGINT AS sum_x FROM rec WHERE recording <> 'r2' AND frame >= 3 AND frame < 6 GROUP BY recording, frame")
 def s5_frame_seek(spark, d):
-    """Frames of a time range of some recordings: only they are opened."""
-    wanted = _recorded(spark, d).where((_name() != "r2") & (_frame() >= 3) & (F.col("time_s") < 0.3 - 1e-9))
+    """Frames of a time range of some recordings: only they are opened. A recording is many files, and an index has times from
+    its file's first packet: the range is in the recordings' own clock."""
+    time_ns = F.col("base_ns") + F.round(F.col("time_s") * 1e9).cast("bigint")
+    wanted = _recorded(spark, d).where((_name() != "r2") & (_frame() >= 3) & (time_ns < 6 * 50_000_000))
     return recorded_points(recordings.points(wanted)).groupBy("recording", "frame").agg(F.count(F.lit(1)).alias("n"), F.sum("x_mm").alias("sum_x"))

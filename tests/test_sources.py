@@ -279,3 +279,19 @@ def test_a_growing_recording_is_a_stream(spark, tmp_path):
     assert step(ends[2] + 40) == want(2)  # the third frame is only begun
     assert step(ends[5]) == want(5)
     assert step(len(whole), "b.lvx") == want(6) + [("b.lvx", i, float(i), i) for i in range(2) for _ in range(3)]
+
+
+def test_frames_are_sought_in_the_recordings_own_clock(spark, tmp_path):
+    """A recording of more than one file: the frames of its later files begin at 0 in their own file's time only."""
+    import duckdb
+
+    from pointloom.plans import catalog
+    from pointloom.sources import recordings
+
+    frames = recordings.FILE_FRAMES + 8
+    rows = [(f * 64 + r, [float((f + k) % 5) for k in range(63)], 1) for f in range(frames) for r in range(4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLE_SQL["s5_frame_seek"]).fetchall()
+    assert sorted(tuple(r) for r in catalog.QUERIES["s5_frame_seek"](spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 9
