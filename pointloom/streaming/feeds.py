@@ -170,10 +170,22 @@ def windowed_counts(samples: DataFrame, width: str, delay: str) -> DataFrame:
     return samples.withWatermark("ts", delay).groupBy("device", F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg("ax").alias("mean_ax"))
 
 
-def bounded_interval_join(frames: DataFrame, imu: DataFrame, longest: str, delay: str = "10 minutes") -> DataFrame:
+#: Width of the time buckets that the stream-stream join is dealt by.
+BUCKET_US = 600_000_000
+
+
+def bounded_interval_join(frames: DataFrame, imu: DataFrame, longest: str, delay: str = "10 minutes", bucket_us: int = BUCKET_US) -> DataFrame:
     """Stream-stream join of frames (device, frame_id, beg, end) and samples (device, seq, ts) by time bounds. State is bounded
-    by both watermarks and the longest frame. It pairs overlapping frames alike; once-only pairs need stateful.interval_pairs."""
-    f = frames.withWatermark("end", delay).select(F.col("device").alias("f_device"), "frame_id", "beg", "end")
-    s = imu.withWatermark("ts", delay)
-    near = (F.col("f_device") == F.col("device")) & (F.col("ts") <= F.col("end")) & (F.col("ts") > F.col("beg")) & (F.col("ts") > F.col("end") - F.expr(f"INTERVAL {longest}"))
+    by both watermarks and the longest frame. It pairs overlapping frames alike; once-only pairs need stateful.interval_pairs.
+
+    Frames are cut into the time buckets of the last ``longest`` before their end and joined by (device, bucket): a row
+    meets what is held of its own bucket, not all of its device, and a busy device is many keys. A sample has one bucket, so
+    no pair is made twice.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(c) / bucket_us).cast("bigint")
+    bound = F.expr(f"INTERVAL {longest}")
+    f = frames.withWatermark("end", delay).select(F.col("device").alias("f_device"), "frame_id", "beg", "end").where("end > beg")
+    f = f.withColumn("f_bucket", F.explode(F.sequence(bucket(F.greatest(F.col("beg"), F.col("end") - bound)), bucket(F.col("end")))))
+    s = imu.withWatermark("ts", delay).withColumn("bucket", bucket(F.col("ts")))
+    near = (F.col("f_device") == F.col("device")) & (F.col("f_bucket") == F.col("bucket")) & (F.col("ts") <= F.col("end")) & (F.col("ts") > F.col("beg")) & (F.col("ts") > F.col("end") - bound)
     return f.join(s, near).select("device", "frame_id", "seq", "ts")
