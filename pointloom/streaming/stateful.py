@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,24 +41,25 @@ def interval_pairs(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
             reason = "no_final_imu_coverage" if times else "no_final_imu"
             yield pd.DataFrame([(key[0], f, None, None, reason) for f in frames], columns=names).astype({"device": "int64", "frame_id": "Int64", "seq": "Int64", "ts_us": "Int64"})
             return
-        rows = _rows(parts, ["beg_us", "id"])
-        new = rows[rows["kind"] == "frame"]
-        waiting = sorted([*zip(begins, frames, ends, strict=True), *zip(new["beg_us"], new["id"], new["end_us"], strict=True)])
-        new = rows[rows["kind"] == "imu"]
-        samples = sorted([*zip(times, seqs, strict=True), *zip(new["beg_us"], new["id"], strict=True)])
-        pairs, last = [], samples[-1][0] if samples else None
-        while waiting and last is not None and max(high, waiting[0][2]) <= last:
-            _, frame, end = waiting.pop(0)
-            low, high = high, max(high, end)
-            n = 0
-            while n < len(samples) and samples[n][0] <= high:
-                if low < samples[n][0] <= end:
-                    pairs.append((key[0], frame, samples[n][1], samples[n][0]))
-                n += 1
-            # the last sample stays known, since it says how far inertial data reach
-            samples = samples[n:] or samples[-1:]
-        state.update((high, [f for _, f, _ in waiting], [b for b, _, _ in waiting], [e for _, _, e in waiting], [s for _, s in samples], [t for t, _ in samples]))
-        found = pd.DataFrame(pairs, columns=["device", "frame_id", "seq", "ts_us"]).astype("int64")
+        rows = pd.concat(list(parts), ignore_index=True)
+        is_frame, is_sample = (rows["kind"] == "frame").to_numpy(), (rows["kind"] == "imu").to_numpy()
+        both = lambda held, name, own: np.concatenate([np.array(held, dtype=np.int64), rows[name].fillna(-(1 << 62)).to_numpy(dtype=np.int64)[own]])
+        frames, begins, ends = both(frames, "id", is_frame), both(begins, "beg_us", is_frame), both(ends, "end_us", is_frame)
+        order = np.lexsort((ends, frames, begins))
+        frames, begins, ends = frames[order], begins[order], ends[order]
+        seqs, times = both(seqs, "id", is_sample), both(times, "beg_us", is_sample)
+        order = np.lexsort((seqs, times))
+        seqs, times = seqs[order], times[order]
+        # the running end before and with each frame; frames up to the first that no sample has reached yet are covered
+        highs = np.maximum.accumulate(np.concatenate([np.array([high], dtype=np.int64), ends]))
+        covered = int(np.searchsorted(highs[1:], times[-1], side="right")) if len(times) else 0
+        first, last = np.searchsorted(times, highs[:covered], side="right"), np.searchsorted(times, ends[:covered], side="right")
+        n = np.maximum(last - first, 0)
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        found = pd.DataFrame({"device": np.full(len(at), key[0], dtype=np.int64), "frame_id": np.repeat(frames[:covered], n), "seq": seqs[at], "ts_us": times[at]})
+        # the last sample stays known, since it says how far inertial data reach
+        used = min(int(np.searchsorted(times, highs[covered], side="right")), max(0, len(times) - 1)) if covered else 0
+        state.update((int(highs[covered]), *(x.tolist() for x in (frames[covered:], begins[covered:], ends[covered:], seqs[used:], times[used:]))))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
             found = found.assign(reason=pd.Series([None] * len(found), dtype=object))

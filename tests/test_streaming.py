@@ -151,3 +151,31 @@ def test_map_feed_view_at_every_batch(spark):
         assert {r.v: (r.version, r.x) for r in view.collect()} == state, n
     whole = spark.read.schema(frames[0].schema).parquet(f"{path}/map/batch=3")
     assert sorted((r.v, r.x) for r in whole.collect()) == [(1, "e"), (2, "c"), (3, "d")]
+
+
+def test_bounded_join_meets_by_bucket_and_loses_no_pair(spark):
+    """Frames of up to the longest length, at bucket edges, overlapping and empty: the pairs of all rows, by an equi-join on buckets."""
+    frames = [(f % 2, f, (f * 37) % 900, (f * 37) % 900 + (f * 13) % 121) for f in range(60)] + [(0, 100, 60, 120), (0, 101, 120, 120), (0, 102, 130, 90), (1, 103, 0, 400)]
+    imu = [(s % 2, s, s * 3) for s in range(330)]
+    f = spark.createDataFrame(frames, "device long, frame_id long, b long, e long").select("device", "frame_id", F.timestamp_seconds("b").alias("beg"), F.timestamp_seconds("e").alias("end"))
+    s = spark.createDataFrame(imu, "device long, seq long, t long").select("device", "seq", F.timestamp_seconds("t").alias("ts"))
+    joined = feeds.bounded_interval_join(f, s, "2 minutes", bucket_us=60_000_000)
+    want = sorted((d, n, q) for d, n, b, e in frames for d2, q, t in imu if d == d2 and max(b, e - 120) < t <= e)
+    assert sorted((r.device, r.frame_id, r.seq) for r in joined.collect()) == want and len(want) > 500
+    keys = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "f_bucket" in keys
+
+
+def test_a_busy_device_takes_time_by_its_rows(spark):
+    """300,000 frames and samples of one device in one batch: each sample once, without copies of all that waits a frame."""
+    import time
+
+    n = 300_000
+    both = spark.range(2 * n).select(
+        F.lit(0).cast("long").alias("device"), F.when(F.col("id") < n, "frame").otherwise("imu").alias("kind"), (F.col("id") % n).alias("id"), (F.col("id") % n * 10 + F.when(F.col("id") < n, 0).otherwise(5)).alias("beg_us")
+    ).withColumn("end_us", F.when(F.col("kind") == "frame", F.col("beg_us") + 10).otherwise(F.col("beg_us")))
+    began = time.time()
+    path, schema = feeds.fed([(both, "beg_us")], stateful.interval_pairs, 1)
+    got = feeds.results(spark, path, schema)
+    assert got.agg(F.count(F.lit(1)), F.sum((F.col("seq") == F.col("frame_id")).cast("int"))).first() == (n - 1, n - 1)
+    assert time.time() - began < 40
