@@ -244,3 +244,22 @@ def test_as_of_against_all_rows(spark):
         for width in (37, 1000, 10**9):
             got = {x.id: x.v for x in sync.as_of(l, r, ["k"], "t", ["v"], strict, width).collect()}
             assert got == want, (strict, width)
+
+
+def test_boxes_over_a_crowd_are_not_paired_with_it(spark):
+    """Points in any of many boxes: the blocks whole in a box are told without pairs, the rest and the edges point by point."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    places = np.concatenate([rng.normal(0, 0.5, (3_000, 3)), rng.uniform(-30, 30, (600, 3)), np.repeat([[7.0, 7.0, 7.0]], 200, axis=0), [[-2.0, 0, 0], [2.0, 0, 0]]])
+    rows = [(i, *map(float, p)) for i, p in enumerate(places)]
+    corners = [tuple(float(c) for c in places[i] - 1) + tuple(float(c) for c in places[i] + 1.5) for i in range(0, len(places), 20)]
+    corners += [(-2.0, -9.0, -9.0, 2.0, 9.0, 9.0), (7.0, 7.0, 7.0, 7.0, 8.0, 8.0), (20.0, -40.0, -40.0, 1e6, 40.0, 40.0), (5.0, 5.0, 5.0, 4.0, 9.0, 9.0)]
+    boxes = spark.createDataFrame([(i, *c) for i, c in enumerate(corners)], "box_id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+    points = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
+    kept = spatial.delete_in_boxes(points, boxes, 2.0)
+    hit = np.zeros(len(places), dtype=bool)
+    for c in corners:
+        hit |= (places >= np.array(c[:3])).all(axis=1) & (places < np.array(c[3:])).all(axis=1)
+    assert sorted(r.point_id for r in kept.select("point_id").collect()) == np.flatnonzero(~hit).tolist() and 0 < hit.sum() < len(places)
+    assert spatial.in_any_box(points, boxes).count() == hit.sum()
