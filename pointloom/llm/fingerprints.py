@@ -162,6 +162,7 @@ def edit_report(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     counts as below all others; rows with one doc_id follow by text.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     parts = common.partitions_of(spark)
     lowest = -(1 << 63)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text().alias("text")).withColumn(
@@ -200,6 +201,7 @@ def edit_report(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
                     held = None if closing else (at, doc_id, text, hashes, positions, distinct)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in EDIT_SCHEMA.split(", ")])
+        common.released()
 
     return dealt.mapInArrow(scan, EDIT_SCHEMA)
 

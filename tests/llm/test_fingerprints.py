@@ -82,3 +82,13 @@ def test_stretches_make_no_difference(monkeypatch):
             monkeypatch.setattr(f, "STRETCH", size)
             got = f.winnow(text, 5, 9)
             assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1]), (text[:20], size)
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark):
+    """Spark counts rows of a batch, and rows of long texts are any size: the report bounds its batches' bytes, and none is lost."""
+    from pointloom.llm import common, fingerprints
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.createDataFrame([(i, f"{i} " * 2_000) for i in range(40)], "doc_id long, text string")
+    assert fingerprints.edit_report(docs).count() == 40 and spark.conf.get(key) == str(common.BATCH_BYTES)
