@@ -79,7 +79,9 @@ def with_fingerprints(docs: DataFrame, size: int, out: str = "fp") -> DataFrame:
         for batch in batches:
             found = np.array([fingerprint(t.as_py() or "", size) for t in batch.column("text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", out])
+        common.released()
 
+    common.bounded_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(scan, f"doc_id long, {out} long")
 
@@ -239,6 +241,7 @@ def searched(dealt: DataFrame, words: int, radius: int, hot: int, likeness: floa
                 columns = [np.concatenate(c) for c in zip(*found, strict=True)]
                 columns[2] = columns[2].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "band", "key"])
+        common.released()
 
     parts = common.partitions_of(dealt.sparkSession)
     placed = dealt.repartition(parts, "band", "key").sortWithinPartitions("band", "key")
@@ -375,7 +378,9 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, hot: int = HOT)
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array([p for _, p, _ in made], pa.binary()), pa.array([k for _, _, k in made], pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "node", "print", "keys"],
             )
+        common.released()
 
+    common.bounded_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     marked = common.written(plain.mapInArrow(scan, "doc_id long, text_hash long, node long, print binary, keys array<long>"), "near-prints")
     nodes = marked.select("node", "print", "keys").distinct()
@@ -399,8 +404,10 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, hot: int = HOT)
     chosen = chosen.select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash"))
 
     @F.pandas_udf("binary")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t or "", SHINGLE).astype("<u4")).tobytes() for t in texts], dtype=object)
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t or "", SHINGLE).astype("<u4")).tobytes() for t in texts], dtype=object)
+        common.released()
 
     same = [plain["doc_id"].eqNullSafe(chosen["doc_id"]), plain["text_hash"] == chosen["text_hash"]]
     sets = common.written(plain.join(chosen, same).select("node", shingles("text").alias("shingles")).dropDuplicates(["node"]), "near-sets")

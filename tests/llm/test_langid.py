@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from conftest import sentence
+from pyspark.sql import functions as F
 
 from pointloom.llm import langid
 
@@ -105,3 +106,15 @@ def test_no_labels_gives_und(spark, odd):
     out = langid.predict(odd, model)
     assert {r.lang_pred for r in out.select("lang_pred").collect()} == {"und"}
     assert out.columns == [c for c in odd.columns if c != "score"] + ["lang_pred", "score", "bits"]
+
+
+def test_a_filter_on_the_result_judges_no_text_twice(spark, odd):
+    """Spark pushes a filter below a function that it takes for free, which then runs on either side of it."""
+    from pointloom.llm import quality
+
+    model = langid.learned(odd.withColumn("lang", F.lit("en")))
+    told = langid.predict(odd, model).where("lang_pred <> 'und'")
+    good = quality.score(odd, quality.Model(np.zeros(1), np.ones(1), {}, 0.8)).where("predicted = 1").select("doc_id", "score")
+    for df in (told, good):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert told.count() == langid.predict(odd, model).toPandas().lang_pred.ne("und").sum() and good.count() == odd.count()

@@ -200,3 +200,13 @@ def test_recall_on_documents_against_all_pairs(spark):
     found = {r.doc_id: r.component for r in s.near_duplicates(docs).collect()}
     met = {(top(i), found[r.doc_id]) for i, r in enumerate(rows)}
     assert pairs > 50 and len(met) == len({a for a, _ in met}) == len({b for _, b in met})
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark):
+    from pointloom.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, f"{i} " * 2_000) for i in range(40)], "doc_id long, text string")
+    for work, n in ((lambda: s.with_fingerprints(docs, 4), 40), (lambda: s.deduplicated(docs), 40)):
+        spark.conf.unset(key)
+        assert work().count() == n and spark.conf.get(key) == str(common.BATCH_BYTES)
