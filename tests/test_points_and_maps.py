@@ -263,3 +263,13 @@ def test_boxes_over_a_crowd_are_not_paired_with_it(spark):
         hit |= (places >= np.array(c[:3])).all(axis=1) & (places < np.array(c[3:])).all(axis=1)
     assert sorted(r.point_id for r in kept.select("point_id").collect()) == np.flatnonzero(~hit).tolist() and 0 < hit.sum() < len(places)
     assert spatial.in_any_box(points, boxes).count() == hit.sum()
+
+
+def test_pairs_of_boxes_come_cell_by_cell(spark):
+    """Few boxes are not sent to all points: the points' order would decide which ids stand together in the result's files."""
+    b = spark.createDataFrame([(i, *(float(i % 7), float(i % 7 + 2)) * 3) for i in range(20)], "box_id long, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double")
+    p = spark.range(300).select(F.col("id").alias("point_id"), *((F.col("id") * k % 9).cast("double").alias(c) for c, k in (("x", 1), ("y", 4), ("z", 7))))
+    found = spatial.box_join(b, p, 2.0)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    inside = " AND ".join(f"{c} >= min_{c} AND {c} < max_{c}" for c in "xyz")
+    assert sorted(found.collect()) == sorted(b.join(p, F.expr(inside)).select("box_id", "point_id").collect()) != []
