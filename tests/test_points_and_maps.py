@@ -210,6 +210,27 @@ def test_batches_take_deletions_first(spark):
     assert batch(spark, [], 1, 1, 1) == []
 
 
+def test_radius_join_deals_a_query_to_the_cells_that_its_ball_meets(spark):
+    """Not to all 27 around it; and places at a cell's edge, far away or not finite lose and break nothing."""
+    import random
+
+    rng = random.Random(8)
+    inf, nan = float("inf"), float("nan")
+    odd = [(-1e-17, 0.0, 0.0), (3.0, 0.0, 0.0), (-3.0, 0.0, 0.0), (3e15, 0.0, 0.0), (3e15 + 3, 0.0, 0.0), (1e300, 1.0, -1e300), (1e300, 2.0, -1e300), (inf, 0.0, 0.0), (-inf, 0.0, 0.0), (nan, nan, nan), (0.0, None, 0.0)]
+    places = odd + [tuple(rng.choice((rng.uniform(-9, 9), float(rng.randrange(-9, 10)), rng.randrange(-30, 30) * 0.3)) for _ in "xyz") for _ in range(300)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "point_id long, x double, y double, z double")
+    queries = points.selectExpr("point_id AS query_id", "x AS qx", "y AS qy", "z AS qz")
+
+    def near(p, q):
+        return None not in p and None not in q and sum((a - b) * (a - b) for a, b in zip(p, q, strict=True)) <= 9.0
+
+    got = [(r.query_id, r.point_id) for r in spatial.radius_join(queries, points, 3.0).collect()]
+    assert sorted(got) == [(i, j) for i, q in enumerate(places) for j, p in enumerate(places) if near(p, q)]
+    assert (0, 1) in got and (3, 4) in got and (5, 6) in got
+    inner = spark.createDataFrame([(i, *(rng.uniform(-90, 90) for _ in "xyz")) for i in range(2_000)], "query_id long, qx double, qy double, qz double")
+    assert 20 < spatial.reached(inner, 3.0).count() / 2_000 < 22
+
+
 def test_boxes_of_all_sizes(spark):
     import random
 
