@@ -294,3 +294,38 @@ def test_pairs_of_boxes_come_cell_by_cell(spark):
     assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
     inside = " AND ".join(f"{c} >= min_{c} AND {c} < max_{c}" for c in "xyz")
     assert sorted(found.collect()) == sorted(b.join(p, F.expr(inside)).select("box_id", "point_id").collect()) != []
+
+
+def test_pairs_of_a_crowd_take_little_room(spark, tmp_path):
+    """Boxes and points that are many in one place: files hold the pairs in less than a byte each."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    at, low = rng.uniform(0, 2, (3_000, 3)), rng.uniform(-4, 2, (1_500, 3))
+    points = spark.createDataFrame([(i * 7_919 % 3_000, *map(float, p)) for i, p in enumerate(at)], "point_id long, x double, y double, z double")
+    boxes = spark.createDataFrame([(i * 20, *map(float, (*b, *(b + 5)))) for i, b in enumerate(low)], "box_id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+    found = spatial.box_join(boxes, points, 5.0)
+    found.write.parquet(str(tmp_path / "pairs"))
+    inside = ((at[None] >= low[:, None]) & (at[None] < low[:, None] + 5)).all(axis=2)
+    got = spark.read.parquet(str(tmp_path / "pairs"))
+    by_box = {r.box_id // 20: (r.n, r.s) for r in got.groupBy("box_id").agg(F.count("*").alias("n"), F.sum("point_id").alias("s")).collect()}
+    ids = np.arange(3_000) * 7_919 % 3_000
+    assert by_box == {i: (int(row.sum()), int(ids[row].sum())) for i, row in enumerate(inside) if row.any()}
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < inside.sum()
+
+
+def test_crowded_cells_are_parted(spark, monkeypatch):
+    """Cells of many points, some at one place, dealt in parts and shares; edges, empty boxes, places that are nowhere, ids twice or null."""
+    import random
+
+    monkeypatch.setattr(spatial, "CROWD", 16)
+    rng = random.Random(4)
+    inf, nan = float("inf"), float("nan")
+    places = [(nan, 1.0, 1.0), (1.0, None, 1.0), (inf, 1.0, 1.0), (1.0, 1.0, -inf), (-1e-17, 0.0, 0.0), (2.0, 2.0, 2.0)] + [(1.5, 1.5, 1.5)] * 150
+    places += [tuple(rng.choice((rng.uniform(-9, 9), rng.gauss(1, 0.4), float(rng.randrange(-9, 10)), rng.randrange(-30, 30) * 0.3)) for _ in "xyz") for _ in range(500)]
+    points = [(None if i == 20 else 19 if i == 21 else i, *p) for i, p in enumerate(places)]
+    boxes = [(i % 90, *(v for c in rng.choice(places[4:]) for v in (c - rng.choice((0.0, 1.0, 0.3)), c + rng.choice((0.0, 0.3, 2.0, 11.0, 400.0))))) for i in range(100)]
+    names = ", ".join(f"{n}_{c} double" for c in "xyz" for n in ("min", "max"))
+    got = spatial.box_join(spark.createDataFrame(boxes, f"box_id long, {names}"), spark.createDataFrame(points, "point_id long, x double, y double, z double"), 2.0)
+    want = [(b, p) for b, *m in boxes for p, *at in points if None not in at and all(m[2 * a] <= at[a] < m[2 * a + 1] for a in range(3))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 3_000
